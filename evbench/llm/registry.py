@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, records
+from . import bpe, linededup, media, packing, quality, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": records.query,
+    "op2_line_crf": quality.query,
+    "op5_line_dedup": linededup.query,
     "op6_packing": packing.query,
+    "op9_media": media.query,
+    "op10_bpe_chunks": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": linededup.SQL,
+}
