@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, media, packing, quality, records
+from . import bpe, licences, linededup, media, packing, quality, records, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": records.query,
     "op2_line_crf": quality.query,
+    "op4_licences": licences.query,
     "op5_line_dedup": linededup.query,
     "op6_packing": packing.query,
+    "op8_urls": urls.query,
     "op9_media": media.query,
     "op10_bpe_chunks": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.SQL,
+    "op8_urls": urls.SQL,
 }
