@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licences, linededup, media, packing, quality, records, urls
+from . import bpe, licences, linededup, media, neardup, packing, quality, records, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": records.query,
     "op2_line_crf": quality.query,
+    "op3_minhash": neardup.query,
     "op4_licences": licences.query,
     "op5_line_dedup": linededup.query,
     "op6_packing": packing.query,
