@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licences, linededup, media, neardup, packing, quality, records, urls
+from . import bpe, licences, linededup, media, neardup, packing, quality, records, suffixdedup, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": records.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licences": licences.query,
     "op5_line_dedup": linededup.query,
     "op6_packing": packing.query,
+    "op7_substrings": suffixdedup.query,
     "op8_urls": urls.query,
     "op9_media": media.query,
     "op10_bpe_chunks": bpe.query,
