@@ -4,9 +4,10 @@
    one class, whose id is its smallest document id; from here on only classes are compared.
 2. Classes that share a band's hash form a bucket.  A first round pairs each bucket's members with its smallest member, a
    second one pairs members of buckets that are not yet in one component with a leader drawn anew for each band.
-3. Buckets that still hold several components go through an exhaustive round in blocks: signatures of all members of
-   different components are compared.  Members already in one component are not compared again, so that a group of
-   thousands of copies costs its size and not its square; no cap is set on buckets or partners.
+3. Buckets that still hold several components go through an exhaustive round in blocks: members of different components
+   are compared in the first band they share, until their components are linked.  Members already in one component are not
+   compared again, so that a group of thousands of copies costs its size and not its square; only links leave a task, and
+   no cap is set on buckets or partners.
 4. Every pair is verified sequentially: after each batch of signature places it is dropped if the posterior probability
    that its similarity reaches the threshold, under a uniform prior, is below `miss`; survivors are compared exactly on
    their full sets.  Links that hold give the components.
@@ -34,7 +35,7 @@ BAND_MISS, MISS = 1e-5, 1e-6
 #: Signature places that a verification step looks at.
 BATCH = 20
 #: Members of a bucket that the exhaustive round compares as one block.
-BLOCK = 2048
+BLOCK = 1024
 #: Tasks over which the members that are compared with one leader are dealt.
 SALTS = 8
 
@@ -193,6 +194,16 @@ def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float, steps: list) ->
     return both.mapInArrow(test, "a long, b long")
 
 
+def _shared_grams(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sorted sets have in common."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y):
+        return 0
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum())
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union.  A task streams: a's set, then those of its partners."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
@@ -208,12 +219,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if kind == 0:
                     leader, own = a, s
                 elif leader == a:
-                    if len(own) > len(s):
-                        at = np.searchsorted(own, s)
-                        inter = int((own[np.minimum(at, len(own) - 1)] == s).sum())
-                    else:
-                        at = np.searchsorted(s, own)
-                        inter = int((s[np.minimum(at, len(s) - 1)] == own).sum())
+                    inter = _shared_grams(own, s)
                     if 100 * inter >= percent * (len(own) + len(s) - inter):
                         out.append((a, b))
             if out:
@@ -224,46 +230,73 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long").distinct()
 
 
-def _exhaustive(open_: DataFrame, sigs: DataFrame, threshold: float, steps: list) -> DataFrame:
-    """Plausible pairs of different components in buckets; open_: (band, h, id, label, m), m the bucket's size."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _block_links(rows: list[tuple], percent: int, steps: list) -> list[tuple[int, int]]:
+    """Links between different components of a unit, one for each two components that have any.
+
+    rows: (band, h, u, v, own block, id, label, n, sig, bands, grams).  A pair that already met in an earlier band is left to it.
+    """
+    band, across = rows[0][0], rows[0][2] != rows[0][3]
+    own, ids, labels, n = (np.asarray([r[i] for r in rows]) for i in range(4, 8))
+    sig = np.frombuffer(b"".join(r[8] for r in rows), "u1").reshape(len(rows), -1)
+    before = np.asarray([r[9][:band] for r in rows], dtype=np.int64).reshape(len(rows), band)
+    grams = [np.frombuffer(r[10], "<u8") for r in rows]
+    parent = {x: x for x in labels.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kinds, counts = np.unique(labels, return_counts=True)
+    order = np.argsort(labels == kinds[counts.argmax()], kind="stable")  # the largest component comes last and meets only the others
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    out = []
+    for i in order[: len(rows) - counts.max()].tolist():
+        ok = (place > place[i]) & (labels != labels[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if across:
+            ok &= own != own[i]
+        if band:
+            ok &= ~(before == before[i]).any(axis=1)
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        for j in at[plausible(sig[i], sig[at], steps)].tolist():
+            a, b = root(int(labels[i])), root(int(labels[j]))
+            if a != b:
+                both = _shared_grams(grams[i], grams[j])
+                if 100 * both >= percent * (len(grams[i]) + len(grams[j]) - both):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return out
+
+
+def _exhaustive(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, steps: list) -> DataFrame:
+    """Links between different components of buckets; open_: (band, h, id, label, m), m the bucket's size.
+
+    A bucket of several blocks is dealt as pairs of blocks, so that a task holds two blocks at most.  Only links leave a task.
+    """
+    own = open_.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = own.select("band", "h", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = dealt.select("band", "h", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "id", "label")
-    rows = units.join(sigs.select("id", "n", "sig"), "id").select("band", "h", "u", "v", "own", "id", "label", "n", "sig")
-
-    def unit(rows: list) -> list[tuple[int, int]]:
-        u, v, own, ids, labels, n = (np.asarray([r[i] for r in rows]) for i in range(2, 8))
-        sig = np.frombuffer(b"".join(r[8] for r in rows), "u1").reshape(len(rows), -1)
-        across = u[0] != v[0]
-        kinds, counts = np.unique(labels, return_counts=True)
-        largest = kinds[counts.argmax()]
-        order = np.argsort(labels == largest, kind="stable")  # the largest component comes last and meets only the others
-        out = []
-        for i in order[: len(rows) - counts.max()]:
-            later = np.zeros(len(rows), bool)
-            later[order[np.flatnonzero(order == i)[0] + 1 :]] = True
-            ok = later & (labels != labels[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9)
-            if across:
-                ok &= own != own[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                out += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in at[plausible(sig[i], sig[at], steps)]]
-        return out
+    rows = units.join(classes.select("id", "n", "sig", "bands").join(sets, "id"), "id").select("band", "h", "u", "v", "own", "id", "label", "n", "sig", "bands", "grams")
 
     def compare(batches):
         held: list = []
+
+        def links() -> list[pa.RecordBatch]:
+            found = _block_links(held, percent, steps)
+            held.clear()
+            return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])] if found else []
+
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 if held and held[0][:4] != row[:4]:
-                    out += unit(held)
-                    held = []
+                    yield from links()
                 held.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
-        if held and (out := unit(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        if held:
+            yield from links()
 
     n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "band", "h", "u", "v").sortWithinPartitions("band", "h", "u", "v").mapInArrow(compare, "a long, b long").distinct()
@@ -308,7 +341,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         links = cut(links.unionByName(confirmed(met)).distinct())
         open_ = cut(labelled(links))
         if not open_.isEmpty():
-            links = cut(links.unionByName(_confirm(_exhaustive(open_, sigs, threshold, steps), sets, percent)).distinct())
+            links = cut(links.unionByName(_exhaustive(open_, classes, sets, percent, steps)).distinct())
     final = components(links).select(F.col("v").alias("id"), "label")
     named = classes.select("c0", "c1", "n", "id").join(final, "id", "left").select("c0", "c1", "n", F.coalesce("label", "id").alias("component_id"))
     out = raw.select("doc_id", "c0", "c1", "n").join(named, ["c0", "c1", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
