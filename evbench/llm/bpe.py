@@ -28,6 +28,8 @@ from .common import cut, lines_into, texts
 #: Low bits of the rolling hash that must be zero at a cut: chunks of 2**CUT_BITS bytes on average.
 CUT_BITS = 10
 MIN_CHUNK, MAX_CHUNK = 256, 16_384
+#: Uses of a shared chunk that one salt takes.
+SALT_USES = 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,18 +116,20 @@ def _assembled(docs: DataFrame, vocab: str, id_col: str, text_col: str, digest:
 
     def hashed(batches):
         for b in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(lines_into(b, "doc_id"), lines_into(b, "text"), strict=True):
-                own = [chunk_hash(c) for c in chunks(text.encode())]
-                keys += own
-                ids += [doc_id] * len(own)
-            both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "k0", "k1"])
-
-    found = cut(base.mapInArrow(hashed, "doc_id long, k0 long, k1 long"))
-    shared = found.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")).where("n > 1").drop("n")
-    uses = cut(found.distinct().join(shared, ["k0", "k1"]))
-    owned = uses.where("doc_id = owner").groupBy("doc_id").agg(F.collect_list(F.struct("k0", "k1")).alias("own"))
+            ids, k0, k1 = lines_into(b, "doc_id"), [], []
+            for text in lines_into(b, "text"):
+                own = np.frombuffer(b"".join({chunk_hash(c) for c in chunks(text.encode())}), "<i8").reshape(-1, 2)
+                k0.append(own[:, 0])
+                k1.append(own[:, 1])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k0, kind), pa.array(k1, kind)], names=["doc_id", "k0", "k1"])
+
+    # a row per document holds its distinct chunks
+    found = cut(base.mapInArrow(hashed, "doc_id long, k0 array<long>, k1 array<long>")).select("doc_id", F.explode(F.arrays_zip("k0", "k1")).alias("k")).select("doc_id", "k.k0", "k.k1")
+    shared = found.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")).where("n > 1")
+    # uses of one chunk are dealt over salts, as many as its count asks for
+    uses = cut(found.join(shared, ["k0", "k1"]).withColumn("salts", F.ceil(F.col("n") / SALT_USES).cast("int")).drop("n"))
+    owned = uses.where("doc_id = owner").groupBy("doc_id").agg(F.collect_list(F.struct("k0", "k1", "salts")).alias("own"))
     names = ["k0", "k1", "head", "ids", "tail"]
 
     def encode_owned(batches):
@@ -134,20 +138,21 @@ def _assembled(docs: DataFrame, vocab: str, id_col: str, text_col: str, digest:
         for b in batches:
             rows = []
             for text, own in zip(lines_into(b, "text"), lines_into(b, "own"), strict=True):
-                wanted = {np.asarray([k["k0"], k["k1"]], "<i8").tobytes() for k in own}
+                wanted = {np.asarray([k["k0"], k["k1"]], "<i8").tobytes(): k["salts"] for k in own}
                 for c in chunks(text.encode()):
-                    if (h := chunk_hash(c)) in wanted:
-                        wanted.discard(h)
+                    if salts := wanted.pop(h := chunk_hash(c), None):
                         head, ids, tail = encode_chunk(codec_, c)
                         small = None if ids is None else np.frombuffer(ids, "<u4").astype(kind).tobytes()
-                        rows.append((*np.frombuffer(h, "<i8").tolist(), head, small, tail))
+                        rows.append((*np.frombuffer(h, "<i8").tolist(), head, small, tail, salts))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=[*names, "salts"])
 
+    made = base.join(owned.hint("shuffle_hash"), "doc_id").mapInArrow(encode_owned, "k0 long, k1 long, head string, ids binary, tail string, salts int")
     # an owner with repeated rows encodes its chunks once for each; they are equal
-    once = base.join(owned.hint("shuffle_hash"), "doc_id").mapInArrow(encode_owned, "k0 long, k1 long, head string, ids binary, tail string").dropDuplicates(["k0", "k1"])
-    given = uses.select("k0", "k1", "doc_id").join(once, ["k0", "k1"]).groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("given"))
+    once = made.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    asked = uses.select("k0", "k1", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    given = asked.join(once, ["k0", "k1", "salt"]).groupBy("doc_id").agg(F.collect_set(F.struct(*names)).alias("given"))
 
     def assemble(batches):
         codec_ = codec(vocabulary(vocab))
