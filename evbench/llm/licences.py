@@ -149,6 +149,52 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def sql(templates: Sequence[Template] = TEMPLATES, base: Sequence[tuple[str, str, int]] = BASE, rare: int = 6, min_share: float = 0.6) -> str:
+    """DuckDB SQL that gives the rows of scan() with these parameters over documents."""
+    quote = lambda x: "'" + str(x).replace("'", "''") + "'"
+    index = index_of(templates)
+    needed = {t: min(2, len({i for _, u, i in index if u == t})) for t in range(len(templates))}
+    idx = ", ".join(f"({quote(w)}, {t}, {i}, {needed[t]})" for w, t, i in index)
+    tpl = ", ".join(f"({t}, {quote(x.label)}, {j}, {quote(w)}, {len(x.text.split())})" for t, x in enumerate(templates) for j, w in enumerate(x.text.split()))
+    phr = ", ".join(f"({t}, {quote(f' {p} ')})" for t, x in enumerate(templates) for p in x.phrases)
+    places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS pos, {quote(label)} AS label FROM flat WHERE w[i : i + {len(p.split()) - 1}] = [{', '.join(map(quote, p.split()))}]" for p, label, _ in base)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), flat AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), words AS (
+  SELECT doc_id, i - 1 AS pos, w[i] AS word FROM flat
+), idx(word, t, place, needed) AS (VALUES {idx}), tpl(t, label, j, word, size) AS (VALUES {tpl}), phr(t, phrase) AS (VALUES {phr}),
+base AS ({places}),
+based AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id
+), present AS (
+  SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM idx)
+), df AS (
+  SELECT word, count(*) AS n FROM present GROUP BY word
+), top AS (
+  SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS r FROM present JOIN df USING (word)) WHERE r <= {rare}
+), agreed AS (
+  SELECT doc_id, t, pos - place AS start FROM words JOIN top USING (doc_id, word) JOIN idx USING (word) GROUP BY doc_id, t, pos - place, needed HAVING count(DISTINCT place) >= needed
+), laid AS (
+  SELECT a.doc_id, a.t, a.start, p.label, count(*) FILTER (WHERE w.word = p.word) / p.size AS share, ' ' || string_agg(coalesce(w.word, '-'), ' ' ORDER BY p.j) || ' ' AS joined
+  FROM agreed a JOIN tpl p ON p.t = a.t LEFT JOIN words w ON w.doc_id = a.doc_id AND w.pos = a.start + p.j GROUP BY a.doc_id, a.t, a.start, p.label, p.size
+), verified AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM laid
+  WHERE share >= {min_share} AND NOT EXISTS (SELECT 1 FROM phr WHERE phr.t = laid.t AND NOT contains(joined, phrase)) GROUP BY doc_id
+)
+SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(v.labels, [])))), ','), '') AS labels,
+       coalesce(v.share, CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN based b USING (doc_id) LEFT JOIN verified v USING (doc_id)
+"""
+
+
+#: Rows of query() in DuckDB.
+SQL = sql()
+
+
 def brute_force(rows: Sequence[tuple[int, str | None]], templates: Sequence[Template] = TEMPLATES, rare: int = 6, min_share: float = 0.6) -> list[tuple]:
     """The same by plain loops, for tests on small tables."""
     split = [(i, re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for i, t in rows]

@@ -350,3 +350,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=85)
+
+
+#: Rows of query() in DuckDB: exact similarities of all documents that share a shingle, then reachability.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shr AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM shr JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)
+), u AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e
+), walk(v, l) AS (
+  SELECT a, a FROM u UNION SELECT u.b, w.l FROM walk w JOIN u ON u.a = w.v WHERE u.b > w.l
+), c AS (
+  SELECT v, min(l) AS l FROM walk GROUP BY v
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.l, doc_id) AS component_id, doc_id = coalesce(c.l, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = doc_id
+"""

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": neardup.SQL,
+    "op4_licences": licences.SQL,
     "op5_line_dedup": linededup.SQL,
     "op8_urls": urls.SQL,
 }
