@@ -2,11 +2,11 @@
 
 Every byte that a `LENGTH`-byte string covers which also starts anywhere else is removed; texts are UTF-8 bytes.
 
-1. A scan hashes each text's q-grams and keeps, for every window of LENGTH bytes, the q-grams of the least hash in it.  Equal
-   strings keep the same q-grams at the same offsets, so only q-grams that are kept twice or more in the corpus matter:
-   these are the initial buckets, about two for every 128 bytes of repeated text.
-2. The LENGTH-byte strings that may start around a kept q-gram fall into blocks of 64 starts; all strings of a block share
-   a core of LENGTH - 63 bytes.  Each block is dealt to the bucket of its core, with the 63 bytes on either side.
+1. A scan hashes each text's q-grams and keeps, for every window of LENGTH bytes, the q-gram of the least hash in it, the
+   first among equals.  Equal strings keep the same q-gram at the same offset, so only q-grams that are kept twice or more in
+   the corpus matter: these are the initial buckets, about one for every 128 bytes of repeated text.
+2. The LENGTH-byte strings that keep a q-gram fall into blocks of 64 starts; all strings of a block share a core of
+   LENGTH - 63 bytes.  Each block is dealt to the bucket of its core, with the bytes on either side that its strings need.
 3. In a bucket, pointers are refined byte by byte: a suffix that starts one byte earlier is sorted by that byte and the
    bucket pointer of the later offset, which the step before has just updated; on the right side a prefix one byte longer
    likewise.  A string is repeated if the pair of its left and right pointers occurs twice.  All buckets of a batch are
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lines_into, texts
+from .common import cut, texts
 
 LENGTH, GRAM = 400, 145
 #: q-grams in a window, and starts that share a core.
@@ -57,41 +57,46 @@ def _grams(raw: np.ndarray) -> np.ndarray:
         return (h ^ (h >> _U(29))) | _U(1)
 
 
-def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
+def _least_places(g: np.ndarray) -> np.ndarray:
+    """For each window of SPAN values the place of the least one, the first among equals; by doubling the window."""
+    at = np.arange(len(g), dtype=np.int32)
     step = 1
-    while 2 * step <= width:
-        x = f(x[:-step], x[step:])
-        step *= 2
-    return f(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
+    while step < SPAN:
+        move = min(step, SPAN - step)
+        less = g[move:] < g[: len(g) - move]
+        at = np.where(less, at[move:], at[: len(at) - move])
+        g = np.where(less, g[move:], g[: len(g) - move])
+        step += move
+    return at
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the q-grams of least hash in some window of LENGTH bytes; all of equal least hash."""
+    """(codes, hashes) of the q-grams of least hash in some window of LENGTH bytes.
+
+    A code holds a q-gram's place p and the run of window starts for which it is the first least one: p << 16, the distance
+    from the first start to p << 8, and that from the last.  Every start belongs to one q-gram.
+    """
     raw = np.frombuffer(data, "u1")
-    places, hashes = [], []
+    codes, hashes = [], []
     for at in range(0, len(raw) - LENGTH + 1, SEGMENT):
         g = _grams(raw[at : at + SEGMENT + LENGTH - 1])
-        least = _sliding(g, SPAN, np.minimum)
-        pad = np.zeros(SPAN - 1, dtype=_U)
-        highest = _sliding(np.concatenate([pad, least, pad]), SPAN, np.maximum)
-        own = np.flatnonzero(highest == g)
-        places.append(own + at)
-        hashes.append(g[own])
-    if not places:
+        least = _least_places(g)
+        edge = np.flatnonzero(np.diff(least)) + 1
+        first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(least)]]) - 1
+        p = least[first].astype(np.int64)
+        codes.append(((p + at) << 16) | ((p - first) << 8) | (p - last))
+        hashes.append(g[p])
+    if not codes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    places, first = np.unique(np.concatenate(places), return_index=True)
-    return places, np.concatenate(hashes)[first].view(np.int64)
-
-
-def blocks(data: bytes, places) -> dict[int, None]:
-    """Core starts around the given places whose block has a whole string in the text."""
-    out = {}
-    for p in places:
-        for c in range(p, p - SPAN, -BLOCK):
-            left, right = min(EDGE, c), min(EDGE, len(data) - c - CORE)
-            if c >= 0 and right >= 0 and left + right >= EDGE:
-                out[c] = None
-    return out
+    return np.concatenate(codes), np.concatenate(hashes).view(np.int64)
+
+
+def blocks(codes):
+    """(core start, least e, greatest e) of the blocks that a q-gram's starts fall into; a start is e bytes before the core."""
+    for code in codes:
+        p, far, near = code >> 16, code >> 8 & 255, code & 255
+        for j in range(near // BLOCK, far // BLOCK + 1):
+            yield p - j * BLOCK, max(near - j * BLOCK, 0), min(far - j * BLOCK, EDGE)
 
 
 def refine(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -149,48 +154,57 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "doc_id long, h long, lo int, hi int"
 
 
-def spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, h, lo, hi): byte ranges to remove, overlapping; rows: (doc_id, text, h) with h a hash of the text."""
+def spans(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
+    """(doc_id, h, lo, hi): byte ranges to remove, overlapping.
+
+    rows: _keyed(docs).  They are joined here just as in _cut_out(), so that Spark shuffles the texts once for both.
+    """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def find(batches):
         for b in batches:
-            places, hashes = [], []
-            for text in lines_into(b, "text"):
-                p, g = anchors(text.encode())
-                places.append(p.astype(np.int32))
+            codes, hashes = [], []
+            for text in b.column(2).to_pylist():
+                c, g = anchors((text or "").encode())
+                codes.append(c)
                 hashes.append(g)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "h", "places", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "h", "codes", "grams"])
 
-    found = cut(rows.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", "h").mapInArrow(find, "doc_id long, h long, places array<int>, grams array<long>"))
-    buckets = found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    long_ = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= LENGTH))
+    found = cut(long_.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, codes array<long>, grams array<long>"))
+    counted = found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     marks = (
-        found.select("doc_id", "h", F.explode(F.arrays_zip("places", "grams")).alias("x"))
-        .select("doc_id", "h", F.col("x.places").alias("p"), F.col("x.grams").alias("g"))
-        .join(buckets, "g")
+        found.select("doc_id", "h", F.explode(F.arrays_zip("codes", "grams")).alias("x"))
+        .select("doc_id", "h", F.col("x.codes").alias("c"), F.col("x.grams").alias("g"))
+        .join(counted.where("n > 1"), "g")
         .groupBy("doc_id", "h")
-        .agg(F.collect_set(F.when(F.col("n") <= hot, F.col("p"))).alias("places"), F.collect_set(F.when(F.col("n") > hot, F.col("p"))).alias("hot"))
+        .agg(F.collect_set(F.when(F.col("n") <= hot, F.col("c"))).alias("cold"), F.collect_set(F.when(F.col("n") > hot, F.col("c"))).alias("hot"))
+        .select(F.struct("cold", "hot").alias("__found"), F.col("doc_id").alias("__i"), F.col("h").alias("__g"))
     )
+    width, at = len(rows.columns), rows.columns.index(text_col)
 
     def deal(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
         names = ["k0", "k1", "doc_id", "h", "core", "left", "right", "hot"]
         for b in batches:
             out = []
-            for doc_id, h, text, places, hot_ in zip(*(lines_into(b, c) for c in ("doc_id", "h", "text", "places", "hot")), strict=True):
+            for doc_id, h, text, got in zip(b.column(width - 2).to_pylist(), b.column(width - 1).to_pylist(), b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True):
+                if not got:
+                    continue
                 data = text.encode()
-                for few, is_hot in ((places, False), (hot_, True)):
-                    for c in blocks(data, few):
-                        k = np.frombuffer(hashlib.blake2b(data[c : c + CORE], digest_size=16).digest(), "<i8")
-                        out.append((int(k[0]), int(k[1]), doc_id, h, c, data[max(0, c - EDGE) : c], data[c + CORE : c + CORE + EDGE], is_hot))
+                for codes, is_hot in ((got["cold"], False), (got["hot"], True)):
+                    for c, lo, hi in blocks(codes):
+                        end = c + CORE
+                        k = np.frombuffer(hashlib.blake2b(data[c:end], digest_size=16).digest(), "<i8")
+                        out.append((int(k[0]), int(k[1]), doc_id, h, c, data[c - hi : c], data[end : end + EDGE - lo], is_hot))
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    dealt = rows.join(marks.hint("shuffle_hash"), ["doc_id", "h"]).select("doc_id", "h", "text", "places", "hot").mapInArrow(deal, "k0 long, k1 long, doc_id long, h long, core int, left binary, right binary, hot boolean")
+    dealt = _joined(rows, marks).mapInArrow(deal, "k0 long, k1 long, doc_id long, h long, core int, left binary, right binary, hot boolean")
 
     def sort_buckets(batches):
         def out(t: list) -> pa.RecordBatch | None:
@@ -227,7 +241,7 @@ def spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
                 yield done
 
     cold = dealt.where("not hot").select("k0", "k1", "doc_id", "h", "core", "left", "right").repartition(n, "k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(sort_buckets, SPANS)
-    if found.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > hot).isEmpty():
+    if counted.where(F.col("n") > hot).isEmpty():
         return cold
 
     def strings(batches):
@@ -248,26 +262,30 @@ def spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     return cold.unionByName(each.join(twice, ["s0", "s1"]).select("doc_id", "h", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __id and __h, which name a row's text."""
+    return docs.withColumn("__id", docs[id_col].cast("long")).withColumn("__h", F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+
+
+def _joined(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """rows with one more column, from side (one column, __i, __g)."""
+    return rows.join(side.hint("shuffle_hash"), (rows["__id"] == side["__i"]) & (rows["__h"] == side["__g"]), "left").drop("__i", "__g")
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs with every column, text_col without repeated bytes, plus n_bytes, n_removed, n_spans and kept_sha256.
 
     Rows with a null id keep their text and neither give nor take repeats.
     """
-    base = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    gone = spans(base, hot).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return _cut_out(docs, gone, id_col, text_col)
-
-
-def _cut_out(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    named = gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    match = (docs[id_col].cast("long") == named["__id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == named["__h"])
-    joined = docs.join(named.hint("shuffle_hash"), match, "left").drop("__id", "__h")
-    at, end = docs.columns.index(text_col), len(docs.columns)
+    rows = _keyed(docs, id_col, text_col)
+    gone = spans(rows, text_col, hot).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
+    joined = _joined(rows, gone.select("__spans", F.col("doc_id").alias("__i"), F.col("h").alias("__g")))
+    end, at = len(docs.columns), docs.columns.index(text_col)
 
     def cut_out(batches):
         for b in batches:
             out, sizes, lost, runs, sha = [], [], [], [], []
-            for text, ranges in zip(b.column(at).to_pylist(), b.column(end).to_pylist(), strict=True):
+            for text, ranges in zip(b.column(at).to_pylist(), b.column(end + 2).to_pylist(), strict=True):
                 data = (text or "").encode()
                 merged = united([(r["lo"], r["hi"]) for r in ranges or ()])
                 sizes.append(len(data))
