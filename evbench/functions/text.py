@@ -96,15 +96,23 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def signed_effect(ratio: Column, up: Column, down: Column, limit: float = 1.0) -> Column:
-    """struct(effect, why) from a log ratio and two flags, by ordered rules; effect is null where none holds."""
-    pick = lambda e, w: F.struct(F.lit(e).cast("string").alias("effect"), F.lit(w).alias("why"))
-    return (
-        F.when(ratio.isNull(), pick(None, "no ratio"))
-        .when(up & down, pick(None, "conflicting flags"))
-        .when(up & (ratio >= limit), pick("enhance", "flag and ratio"))
-        .when(down & (ratio <= -limit), pick("inhibit", "flag and ratio"))
-        .when(ratio >= 2 * limit, pick("enhance", "ratio alone"))
-        .when(ratio <= -2 * limit, pick("inhibit", "ratio alone"))
-        .otherwise(pick(None, "below limits"))
-    )
+def signed_effect(ratio: Column, bound: Column, free: Column, mutant: Column) -> Column:
+    """struct(effect, why) from a log2 ratio of unmodified over modified and three significance flags, by six ordered rules.
+
+    A ratio of -1 or less speaks for the modified form (enhance), one of 1 or more for the unmodified form (inhibit); a flag
+    of the same side makes it the stronger reason.  Without a clear ratio flags alone may decide; else effect is null.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    low, high = yes(ratio <= -1), yes(ratio >= 1)
+    rules = [
+        (low & yes(bound), "enhance", "ratio and modified flag"),
+        (high & yes(free), "inhibit", "ratio and unmodified flag"),
+        (low, "enhance", "ratio alone"),
+        (high, "inhibit", "ratio alone"),
+        (yes(bound) & ~yes(free) & ~yes(mutant), "enhance", "modified flag alone"),
+        (yes(free) & ~yes(bound), "inhibit", "unmodified flag alone"),
+    ]
+    out = F.struct(F.lit(None).cast("string").alias("effect"), F.lit("ambiguous").alias("why"))
+    for cond, effect, why in reversed(rules):
+        out = F.when(cond, F.struct(F.lit(effect).alias("effect"), F.lit(why).alias("why"))).otherwise(out)
+    return out

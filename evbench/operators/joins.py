@@ -120,3 +120,23 @@ def overlap_counts(df: DataFrame, key: Column, part: Column, parts: Sequence[str
     per = df.select(key.alias("k"), part.alias("p")).groupBy("k").agg(*[F.bool_or(F.col("p") == x).alias(x) for x in parts])
     pairs = [(x, y) for i, x in enumerate(parts) for y in parts[i + 1 :]]
     return per.agg(*[F.count_if(F.col(x)).alias(f"{x}_keys") for x in parts], *[F.count_if(F.col(x) & F.col(y)).alias(f"{x}_{y}_overlap") for x, y in pairs])
+
+
+def join_by_first_key(df: DataFrame, source: DataFrame, keys: Sequence[Sequence[str]], label: str) -> DataFrame:
+    """df with source's label by the first key set that both have and that finds a label for some row.
+
+    One existence test per key set; raises ValueError where none works.  Each key of source counts once.
+    """
+    for key in keys:
+        if not set(key) <= set(df.columns) & set(source.columns):
+            continue
+        side = source.groupBy(*key).agg(F.min(label).alias(label))
+        j = df.join(side, list(key), "left")
+        if not j.where(F.col(label).isNotNull()).isEmpty():
+            return j
+    raise ValueError("no key set joins the tables")
+
+
+def once_per_value(df: DataFrame, column: str, compute) -> DataFrame:
+    """df joined to compute(distinct values of the column), so that costly work runs once per value."""
+    return df.join(compute(df.select(column).where(F.col(column).isNotNull()).distinct()), column, "left")

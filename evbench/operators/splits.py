@@ -139,3 +139,19 @@ def external_overlap(external: DataFrame, benchmark: DataFrame, keys: Sequence[s
         seen = benchmark.select(F.col(k)).where(F.col(k).isNotNull()).distinct().withColumn(f"__{k}", F.lit(True))
         out = out.join(seen, k, "left")
     return out.agg(F.count(F.lit(1)).alias("row_count"), *[F.count(f"__{k}").alias(f"{k}_overlap") for k in keys], F.count_if(after).alias("after_cutoff"), F.count_if(F.col(label)).alias("positives"), F.count_if(~F.col(label)).alias("negatives"))
+
+
+def split_or_skip(df: DataFrame, specs: Sequence[tuple[str, str, int]]) -> tuple[DataFrame, DataFrame]:
+    """(long splits, status): one failing split never blocks the others; specs are (name, key column, seed).
+
+    status has (split, status, reason); a split whose key column is missing is skipped.
+    """
+    long, status = None, []
+    for name, key, seed in specs:
+        if key not in df.columns:
+            status.append((name, "skipped", f"no column {key}"))
+            continue
+        one = attach(df, group_split(df, key, seed), key).select(F.lit(name).alias("split"), F.col(key).cast("string").alias("key"), "part", "label")
+        long = one if long is None else long.unionByName(one)
+        status.append((name, "made", ""))
+    return long, df.sparkSession.createDataFrame(status, "split string, status string, reason string")

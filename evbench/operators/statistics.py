@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_int
+from .durable import cut
 from .ranks import hash_rank
 
 
@@ -50,3 +51,23 @@ def seed_deltas(df: DataFrame, seed: str, model: str, full: str, base: str, metr
     f, b = (df.where(F.col(model) == m).select(seed, *[F.col(x).alias(f"{p}{x}") for x in metrics]) for m, p in ((full, "f_"), (base, "b_")))
     long = f.join(b, seed).select(seed, F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), (F.col(f"f_{x}") - F.col(f"b_{x}")).alias("d")) for x in metrics])).alias("x")).select(seed, "x.*")
     return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 7).alias("mean"), F.round(F.stddev_samp("d"), 7).alias("sd"), F.round(F.min("d"), 7).alias("lo"), F.round(F.max("d"), 7).alias("hi"), F.round(F.avg((F.col("d") > 0).cast("int")), 7).alias("positive"))
+
+
+def calibration(df: DataFrame, by: Sequence[str], label: str, score: str, steps: int = 12, eps: float = 1e-6) -> DataFrame:
+    """(by, intercept, slope) of the logistic regression of label on logit(score), by Newton steps.
+
+    Each step is one aggregation over all groups at once; what comes back is a row per group.
+    """
+    p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1 - eps))
+    rows = df.select(*by, F.col(label).cast("double").alias("__y"), F.ln(p / (1 - p)).alias("__x"))
+    state = rows.select(*by).distinct().withColumn("__a", F.lit(0.0)).withColumn("__b", F.lit(1.0))
+    for _ in range(steps):
+        q = 1 / (1 + F.exp(-(F.col("__a") + F.col("__b") * F.col("__x"))))
+        j = rows.join(state, list(by)).withColumn("__q", q).withColumn("__w", F.col("__q") * (1 - F.col("__q")))
+        r, w, x = F.col("__y") - F.col("__q"), F.col("__w"), F.col("__x")
+        s = j.groupBy(*by).agg(F.min("__a").alias("a"), F.min("__b").alias("b"), F.sum(r).alias("g0"), F.sum(r * x).alias("g1"), F.sum(w).alias("h00"), F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11"))
+        det = F.nullif(F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01"), F.lit(0.0))
+        da = (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det
+        db = (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det
+        state = cut(s.select(*by, (F.col("a") + F.coalesce(da, F.lit(0.0))).alias("__a"), (F.col("b") + F.coalesce(db, F.lit(0.0))).alias("__b")))
+    return state.select(*by, F.round("__a", 5).alias("intercept"), F.round("__b", 5).alias("slope"))

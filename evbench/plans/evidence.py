@@ -122,15 +122,14 @@ def regex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rule_label_ratio",
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(log2(l_quantity / 25), 9) AS ratio, l_returnflag = 'R' AS up, l_returnflag = 'A' OR l_discount > 0.08 AS down FROM lineitem)
+    """WITH r AS (SELECT round(log2(l_quantity / 15), 9) AS ratio, l_returnflag = 'R' AS p, l_returnflag = 'A' OR l_discount > 0.08 AS w, l_tax > 0.04 AS m FROM lineitem)
     SELECT effect, why, count(*) AS n FROM (SELECT
-      CASE WHEN ratio IS NULL OR (up AND down) THEN NULL WHEN up AND ratio >= 1 THEN 'enhance' WHEN down AND ratio <= -1 THEN 'inhibit' WHEN ratio >= 2 THEN 'enhance' WHEN ratio <= -2 THEN 'inhibit' END AS effect,
-      CASE WHEN ratio IS NULL THEN 'no ratio' WHEN up AND down THEN 'conflicting flags' WHEN (up AND ratio >= 1) OR (down AND ratio <= -1) THEN 'flag and ratio' WHEN ratio >= 2 OR ratio <= -2 THEN 'ratio alone' ELSE 'below limits' END AS why FROM r) GROUP BY ALL""",
+      CASE WHEN ratio <= -1 THEN 'enhance' WHEN ratio >= 1 THEN 'inhibit' WHEN p AND NOT w AND NOT m THEN 'enhance' WHEN w AND NOT p THEN 'inhibit' END AS effect,
+      CASE WHEN ratio <= -1 AND p THEN 'ratio and modified flag' WHEN ratio >= 1 AND w THEN 'ratio and unmodified flag' WHEN ratio <= -1 OR ratio >= 1 THEN 'ratio alone' WHEN p AND NOT w AND NOT m THEN 'modified flag alone' WHEN w AND NOT p THEN 'unmodified flag alone' ELSE 'ambiguous' END AS why FROM r) GROUP BY ALL""",
 )
 def rule_label_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    ratio = F.round(F.log2(li.l_quantity / 25), 9)
-    e = T.signed_effect(ratio, li.l_returnflag == "R", (li.l_returnflag == "A") | (li.l_discount > 0.08))
+    e = T.signed_effect(F.round(F.log2(li.l_quantity / 15), 9), li.l_returnflag == "R", (li.l_returnflag == "A") | (li.l_discount > 0.08), li.l_tax > 0.04)
     return li.select(e.alias("e")).groupBy("e.effect", "e.why").agg(F.count(F.lit(1)).alias("n"))
 
 

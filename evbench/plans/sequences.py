@@ -148,3 +148,50 @@ def attach_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.select("doc_id", F.when(d.doc_id % 2 == 0, F.concat("lang", F.lit("-own"))).otherwise("").alias("own"))
     store = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("other"))
     return X.prefer_own(rows, store, "doc_id", "own", "other").select("doc_id", "sequence")
+
+
+SITE = "w AS (SELECT p_partkey AS id, ['Phos', 'Ac', 'Me', 'Ub', 'Sumo', 'Glyco', 'Other'][p_partkey % 7 + 1] AS kind, ['K', 'R', 'S', 'Y', 'T'][p_partkey % 5 + 1] AS residue, left(translate(md5(p_name || p_partkey), '0123456789abcdef', 'ACDEFGHIKLMNPQRS'), 31) AS s, CASE WHEN p_partkey % 13 = 0 THEN 'ywhaz' ELSE p_brand END AS partner FROM part), x AS (SELECT *, length(s) // 2 AS c, substr(s, greatest(length(s) // 2 - 5, 0)::INT + 1, 5) AS up, substr(s, length(s) // 2 + 2, 1) AS nxt, substr(s, length(s) // 2 + 2, 6) AS down FROM w)"
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    pick = lambda names, m: F.element_at(F.array(*map(F.lit, names)), (p.p_partkey % m + 1).cast("int"))
+    s = F.left(F.translate(F.md5(F.concat("p_name", "p_partkey")), "0123456789abcdef", "ACDEFGHIKLMNPQRS"), F.lit(31))
+    partner = F.when(p.p_partkey % 13 == 0, "ywhaz").otherwise(p.p_brand)
+    return p.select(p.p_partkey.alias("id"), pick(["Phos", "Ac", "Me", "Ub", "Sumo", "Glyco", "Other"], 7).alias("kind"), pick(["K", "R", "S", "Y", "T"], 5).alias("residue"), s.alias("s"), partner.alias("partner"))
+
+
+@query(
+    "site_classifiers",
+    f"""WITH {SITE} SELECT id,
+      CASE WHEN kind = 'Phos' THEN CASE WHEN upper(partner) LIKE 'YWHA%' THEN 'reader_14_3_3_edge' WHEN residue = 'Y' THEN 'phosphotyrosine_reader_candidate' WHEN nxt = 'P' THEN 'proline_directed_pin1_ww_candidate' WHEN regexp_matches(up, 'R.{{1,3}}$') THEN 'basophilic_phosphosite_candidate' WHEN regexp_matches(up, '[DE].{{0,3}}$') OR regexp_matches(down, '^[DE]') THEN 'acidic_phosphosite_candidate' ELSE 'other_phosphosite' END
+           WHEN kind = 'Ac' AND residue = 'K' THEN 'acetyl_lysine_reader_candidate' WHEN kind = 'Me' AND residue IN ('K', 'R') THEN 'methyl_reader_candidate' WHEN kind IN ('Ub', 'Sumo') AND residue = 'K' THEN 'ubiquitin_like_lysine' WHEN kind = 'Glyco' THEN 'glycosylation_site' ELSE 'other_ptm' END AS motif,
+      CASE WHEN kind <> 'Phos' THEN 'non_phos_' || kind WHEN residue = 'Y' THEN 'tyrosine_kinase_proxy' WHEN nxt = 'P' THEN 'proline_directed_kinase_proxy' WHEN regexp_matches(up, '[RK].{{0,3}}$') THEN 'basophilic_kinase_proxy' WHEN regexp_matches(up, '[DE].{{0,4}}$') THEN 'acidophilic_kinase_proxy' ELSE 'other_ser_thr_kinase_proxy' END AS kinase,
+      round(ln(1 + CASE kind WHEN 'Phos' THEN 79.966 WHEN 'Ac' THEN 42.011 WHEN 'Me' THEN 14.016 WHEN 'Ub' THEN 8564 WHEN 'Sumo' THEN 11000 WHEN 'Glyco' THEN 203 ELSE 0 END::DOUBLE), 7) AS log_mass FROM x""",
+)
+def site_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import site as P
+
+    w = _sites(spark, sf_dir)
+    args = F.col("kind"), F.col("residue"), F.col("s")
+    return w.select("id", P.motif_family(*args, F.lit(""), F.col("partner")).alias("motif"), P.kinase_proxy(*args).alias("kinase"), F.round(F.get(P.chemistry(F.col("kind")), F.lit(0)), 7).alias("log_mass"))
+
+
+@query("variant_parse", r"WITH v AS (SELECT p_partkey AS id, p_brand || '_' || CASE WHEN p_partkey % 3 = 0 THEN 'Thr' ELSE 'Zzz' END || p_size || CASE WHEN p_partkey % 5 = 0 THEN '?' ELSE 'Ile' END AS t FROM part) SELECT id, regexp_extract(t, '^(.+)_', 1) AS gene, CASE WHEN id % 3 = 0 THEN 'T' ELSE 'Zzz' END AS wild, regexp_extract(t, '(\d+)Ile$', 1)::INT AS pos, 'I' AS variant FROM v WHERE id % 5 <> 0")
+def variant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import site as P
+    from ..sources.readers import RESIDUES
+
+    p = table(spark, sf_dir, "part")
+    t = F.concat("p_brand", F.lit("_"), F.when(p.p_partkey % 3 == 0, "Thr").otherwise("Zzz"), "p_size", F.when(p.p_partkey % 5 == 0, "?").otherwise("Ile"))
+    return p.select(p.p_partkey.alias("id"), P.parse_variant(t, RESIDUES).alias("v")).where("v is not null").select("id", "v.*")
+
+
+@query("assay_family", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'co_ip' WHEN p_partkey % 4 = 1 THEN 'biophysical' WHEN p_partkey % 4 = 2 THEN 'blot_overlay' ELSE 'other' END AS family FROM part")
+def assay_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import site as P
+    from ..functions.text import first_match
+
+    p = table(spark, sf_dir, "part")
+    text = F.element_at(F.array(F.lit("Co-IP, western"), F.lit("SPR assay"), F.lit("Western"), F.lit("md run")), (p.p_partkey % 4 + 1).cast("int"))
+    return p.select("p_partkey", first_match(text, P.ASSAYS).alias("family"))

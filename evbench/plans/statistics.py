@@ -63,3 +63,8 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).where("part = 'test'")
     mean = F.avg("score")
     return p.groupBy("event_id", "split").agg(F.round(mean, 9).alias("score"), F.array_join(F.array_sort(F.collect_list("model")), ",").alias("members"), F.count(F.lit(1)).alias("n"), F.round(F.greatest(mean, 1 - mean), 9).alias("confidence"))
+
+
+@query("calibration_slope")
+def calibration_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.calibration(predictions(spark, sf_dir).where("part = 'test'"), ["split", "model"], "label", "score")

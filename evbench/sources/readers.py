@@ -94,6 +94,12 @@ def tsv_profile(lines: DataFrame, column: str = "value") -> DataFrame:
     return s.select("file", F.greatest(F.col("n") - 1, F.lit(0)).alias("row_count"), F.coalesce(F.size(F.split("header", "\t")), F.lit(0)).alias("columns"), "header", "looks_like_html")
 
 
+def discover(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
+    """(path, length) of the files below root that have one of the suffixes; contents aren't read."""
+    glob = "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
+
+
 def keyed_store(sources: Sequence[DataFrame]) -> DataFrame:
     """(accession, sequence) from several sources; a later one overrides an earlier one; empty sequences are dropped."""
     out = None

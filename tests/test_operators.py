@@ -111,3 +111,27 @@ def test_fasta_and_tables(spark, tmp_path):
     assert R.any_table(spark, str(tmp_path / "t.json")).count() == 2
     with pytest.raises(ValueError, match="missing columns: c"):
         R.delimited(spark, str(tmp_path / "t.csv"), required=["c", "a"])
+
+
+def test_calibration_recovers_a_logit(spark):
+    import math
+
+    from evbench.operators import statistics as St
+
+    rows = []
+    for k in range(1, 20):
+        p = k / 20
+        true = 1 / (1 + math.exp(-(0.5 + 2 * math.log(p / (1 - p)))))
+        rows += [("g", int(i < round(true * 1000)), p) for i in range(1000)]
+    r = St.calibration(spark.createDataFrame(rows, "g string, y int, p double"), ["g"], "y", "p").first()
+    assert r.intercept == pytest.approx(0.5, abs=0.03) and r.slope == pytest.approx(2, abs=0.05)
+
+
+def test_skipped_split_and_first_key(spark):
+    df = spark.createDataFrame([(str(i % 9), i % 2 == 0) for i in range(90)], "k string, label boolean")
+    long, status = S.split_or_skip(df, [("a", "k", 1), ("b", "nope", 2)])
+    assert {(r.split, r.status) for r in status.collect()} == {("a", "made"), ("b", "skipped")} and long.count() == 90
+    src = spark.createDataFrame([("3", "yes"), ("3", "yes")], "k string, y string")
+    assert J.join_by_first_key(df, src, [["zzz"], ["k"]], "y").where("y = 'yes'").count() == 10
+    with pytest.raises(ValueError):
+        J.join_by_first_key(df, src, [["zzz"]], "y")
