@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The twenty amino-acid letters.
+# Fixed value: the twenty amino-acid letters.
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cell values that mean "missing", compared case-insensitively.
+# Cells that mean "missing", compared case-insensitively.
 MISSING = ("", "-", "na", "n/a", "none", "null")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.evidence import require_columns
 
-#: Three-letter residue names to letters.
+# Three-letter residue names and their letters.
 RESIDUES = dict(
     ALA="A", ARG="R", ASN="N", ASP="D", CYS="C", GLN="Q", GLU="E", GLY="G", HIS="H", ILE="I",
     LEU="L", LYS="K", MET="M", PHE="F", PRO="P", SER="S", THR="T", TRP="W", TYR="Y", VAL="V",
