@@ -64,7 +64,7 @@ def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(K.stacked(p, "event_id", "part", "label", ["m0", "m1", "m2"]))
 
 
-@query("aligned_probabilities", "WITH i AS (SELECT DISTINCT user_id FROM events), k AS (SELECT user_id, event_type AS class, count(*) AS k FROM events WHERE event_type <> 'error' GROUP BY ALL), p AS (SELECT user_id, class, round(k / sum(k) OVER (PARTITION BY user_id), 9) AS p FROM k) SELECT user_id, class, coalesce(p, 0) AS p FROM i, (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS c(class) LEFT JOIN p USING (user_id, class)")
+@query("aligned_probabilities", "WITH i AS (SELECT DISTINCT user_id FROM events), k AS (SELECT user_id, event_type AS class, count(*) AS k FROM events WHERE event_type <> 'error' GROUP BY ALL), p AS (SELECT user_id, class, round(k / sum(k) OVER (PARTITION BY user_id), 9) AS p FROM k) SELECT user_id, class, coalesce(p, 0) AS p FROM i CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS c(class) LEFT JOIN p USING (user_id, class)")
 def aligned_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type <> 'error'")
     n = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
