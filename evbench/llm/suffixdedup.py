@@ -36,6 +36,8 @@ SPAN, BLOCK = LENGTH - GRAM + 1, 64
 CORE, EDGE = LENGTH - BLOCK + 1, BLOCK - 1
 #: Occurrences of a q-gram beyond which its strings are counted by Spark.
 HOT = 100_000
+#: One q-gram in so many is common; no more than so many q-grams can be.
+COMMON = 10_000
 #: Rows that are refined at once, and bytes of a text that are scanned at once.
 BATCH, SEGMENT = 20_000, 1 << 20
 
@@ -174,10 +176,16 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
     long_ = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= LENGTH))
     found = cut(long_.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, codes array<long>, grams array<long>"))
     counted = found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    total = found.agg(F.sum(F.size("grams"))).first()[0] or 0  # one number
+    each = found.select("doc_id", "h", F.explode(F.arrays_zip("codes", "grams")).alias("x")).select("doc_id", "h", F.col("x.codes").alias("c"), F.col("x.grams").alias("g"))
+    # at most COMMON q-grams are that common: they are sent to every task, and only the others' rows meet by q-gram
+    common = counted.where(F.col("n") > max(2, total // COMMON)).withColumnRenamed("n", "m")
+    split = each.join(F.broadcast(common), "g", "left")
+    rare = split.where("m is null").drop("m").join(counted.where("n > 1"), "g")
     marks = (
-        found.select("doc_id", "h", F.explode(F.arrays_zip("codes", "grams")).alias("x"))
-        .select("doc_id", "h", F.col("x.codes").alias("c"), F.col("x.grams").alias("g"))
-        .join(counted.where("n > 1"), "g")
+        split.where("m is not null")
+        .select("g", "doc_id", "h", "c", F.col("m").alias("n"))
+        .unionByName(rare.select("g", "doc_id", "h", "c", "n"))
         .groupBy("doc_id", "h")
         .agg(F.collect_set(F.when(F.col("n") <= hot, F.col("c"))).alias("cold"), F.collect_set(F.when(F.col("n") > hot, F.col("c"))).alias("hot"))
         .select(F.struct("cold", "hot").alias("__found"), F.col("doc_id").alias("__i"), F.col("h").alias("__g"))
