@@ -15,8 +15,9 @@ from array import array
 
 import numpy as np
 
-#: Most pieces that a worker remembers; beyond it the memory is emptied and filled again.  Results don't depend on it.
-MOST_WORDS = 1_000_000
+#: Pieces that a worker's young memory holds.  When it is full it becomes the old one, which gives back what is asked for
+#: again and is dropped when the young one is full once more.  Results don't depend on it.
+MOST_WORDS = 200_000
 
 #: Latin letters that are single code points, are lower-cased one to one and are stable under NFC; then ASCII punctuation but the apostrophe.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -53,7 +54,8 @@ class Codec(dict):
         self.tok.no_padding()
         self.model = self.tok.model
         self.lower = self.tok.normalizer is not None
-        self.parts: dict[tuple[str, str], bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tables: list[str] | None = None
 
     def whole(self, text: str) -> bytes:
@@ -74,20 +76,24 @@ class Codec(dict):
         return self[piece] if self.lower else self.whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
-        m = PLAIN.fullmatch(piece)
-        if m and self.lower:
-            got = self._model(m[1].lower()) + (self._model(m[2]) if m[2] else b"")
-        elif m:
-            got = self._model(" " + m[1]) + (self._model(m[2]) if m[2] else b"")
-        elif self.lower or piece[:1] == "\n":
-            got = self.whole(piece)
-        else:
-            got = self.whole(" " + piece)
         if len(self) >= MOST_WORDS:
+            self.old = dict(self)
             self.clear()
+        got = self.old.get(piece)
+        if got is None:
+            got = self._piece(piece)
         self[piece] = got
         return got
 
+    def _piece(self, piece: str) -> bytes:
+        m = PLAIN.fullmatch(piece)
+        if m:
+            letters = m[1].lower() if self.lower else " " + m[1]
+            return self._model(letters) + (self._model(m[2]) if m[2] else b"")
+        if self.lower or piece[:1] == "\n":
+            return self.whole(piece)
+        return self.whole(" " + piece)
+
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as the library's encode(text, add_special_tokens=False) gives them."""
         if not text:
