@@ -1,14 +1,13 @@
-"""Licence scan by a positional rare-token index (operator 4); DataFrame functions only.
+"""Licence scan by a positional token index (operator 4); DataFrame functions only.
 
 Words are runs of digits, letters a-z and non-ASCII characters of the lower-cased text.  The index holds, for each word of
-the licence templates that isn't a function word, the templates and places where it stands.  A scan counts in how many
-files each index word occurs; each file then looks up its `rare` highest-IDF index words, and every occurrence of one votes
-for (template, place of the template's start in the file).  Where two different template places agree on a start (one, if
-the template has no more), the template's words are laid over the file there; at least `min_share` of them must agree and
-its mandatory key phrases must stand in it word by word.  A template's label is then added to the base labels.
-
-The index and the word counts are as large as the templates, whatever the corpus; texts are scanned twice and never
-shuffled.  Null or empty texts: no words, no labels, score 0.  Repeated ids are scanned row by row.  Templates that verify
+the licence templates that isn't a function word, the templates and places where it stands.  Every occurrence of an index
+word in a file votes for (template, place of the template's start in the file); no word is left out, however many licences
+a file holds.  Where two different template places agree on a start (one, if the template has no more), the template's
+words are laid over the file there; at least `min_share` of them must agree and its mandatory key phrases must stand in it
+word by word.  A template's label is then added to the base labels.
+
+The index is as large as the templates, whatever the corpus; texts are scanned once, row by row, and never shuffled.  Null or empty texts: no words, no labels, score 0.  Repeated ids are scanned row by row.  Templates that verify
 at several places count once; an empty table gives an empty result.
 """
 
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, texts
+from .common import ascii_lower, texts
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -91,49 +90,40 @@ def index_of(templates: Sequence[Template]) -> list[tuple[str, int, int]]:
     return [(w, t, i) for t, x in enumerate(templates) for i, w in enumerate(x.text.split()) if w not in FUNCTION_WORDS]
 
 
-def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, rare: int = 6, min_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, min_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)"""
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
     index = index_of(templates)
-    vocab = sorted({w for w, _, _ in index})
     literal = lambda ws: F.array(*map(F.lit, ws))
-
-    # document frequencies: as many rows as the templates have words
-    present = rows.select(F.explode(F.array_intersect(literal(vocab), words_of(F.col("text")))).alias("word"))
-    df = {r.word: r.n for r in present.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    by_idf = sorted(vocab, key=lambda w: (df.get(w, 0), w))
     span = max(len(t.text.split()) for t in templates)
-
-    worded = rows.select("doc_id", words_of(F.col("text")).alias("w"))
-    picked = worded.select("doc_id", "w", F.slice(F.array_intersect(literal(by_idf), F.col("w")), 1, rare).alias("top"))
-    w, top = F.col("w"), F.col("top")
-    around = lambda x, i: F.when(F.array_contains(top, x), F.struct(x.alias("word"), i.alias("at"), F.greatest(i - span, F.lit(0)).alias("lo"), F.slice(w, F.greatest(i - span, F.lit(0)) + 1, F.lit(2 * span + 1)).alias("ctx")))
-    none = F.array().cast("array<struct<word:string,at:int,lo:int,ctx:array<string>>>")
-    hits = F.when(F.size(top) > 0, F.filter(F.transform(w, around), lambda h: h.isNotNull())).otherwise(none)
-    scanned = cut(picked.select("doc_id", F.size("w").cast("long").alias("n_words"), base_places(w).alias("base"), hits.alias("hits"))).withColumn("row", F.monotonically_increasing_id())
-
-    postings = spark.createDataFrame([(a, t, i, templates[t].label, templates[t].text.split(), [f" {p} " for p in templates[t].phrases]) for a, t, i in index], "word string, template int, place int, label string, words array<string>, phrases array<string>")
-    needed = {t: min(2, len({i for _, u, i in index if u == t})) for t in range(len(templates))}
-    enough = F.element_at(F.create_map(*[F.lit(x) for kv in needed.items() for x in kv]), F.col("template"))
-    found = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    # the index is a constant of this module or the caller's own list: a few hundred rows
-    votes = found.join(F.broadcast(postings), "word").withColumn("start", F.col("at") - F.col("place"))
-    agreed = votes.groupBy("row", "template", "start").agg(F.count_distinct("place").alias("n"), F.min_by(F.struct("lo", "ctx", "label", "words", "phrases"), "at").alias("v")).where(F.col("n") >= enough)
-    at = lambda j: F.get(F.col("v.ctx"), F.col("start") + j - F.col("v.lo"))
-    size = F.size("v.words")
-    over = F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.when(F.col("start") + j >= 0, at(j)))
-    laid = agreed.select("row", "v.label", "v.words", "v.phrases", over.alias("over"))
-    same = F.size(F.filter(F.zip_with("over", "words", lambda a, b: a == b), lambda x: x))
-    joined = F.concat(F.lit(" "), F.array_join(F.transform("over", lambda x: F.coalesce(x, F.lit("-"))), " "), F.lit(" "))
-    share = (same / F.size("words")).alias("share")
-    verified = laid.where(F.forall("phrases", lambda p: F.contains(joined, p))).select("row", "label", share).where(F.col("share") >= min_share)
-    more = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    # a vote is template << 32 | start + span; a word's postings are its votes at place 0
+    postings: dict[str, list[int]] = {}
+    for word, t, i in index:
+        postings.setdefault(word, []).append((t << 32) + span - i)
+    lookup = F.create_map(*[c for word, ps in postings.items() for c in (F.lit(word), F.array(*[F.lit(p).cast("long") for p in ps]))])
+    forms = F.array(*[F.struct(F.lit(x.label).alias("label"), literal(x.text.split()).alias("words"), literal([f" {p} " for p in x.phrases]).alias("phrases")) for x in templates])
+    single = [t for t in range(len(templates)) if len({i for _, u, i in index if u == t}) == 1]
+
+    w = F.col("w")
+    worded = texts(docs, id_col, text_col).select("doc_id", words_of(F.col("text")).alias("w"))
+    present = worded.select("doc_id", "w", F.array_intersect(literal(sorted(postings)), w).alias("present"))
+    hit = lambda x, i: F.when(F.array_contains("present", x), F.struct(x.alias("word"), i.alias("at")))
+    hits = F.when(F.size("present") > 0, F.filter(F.transform(w, hit), lambda h: h.isNotNull())).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
+    votes = F.sort_array(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(lookup, h["word"]), lambda p: p + h["at"]))))
+    voted = present.select("doc_id", "w", base_places(w).alias("base"), votes.alias("votes"))
+    # a place votes once for a start, so equal votes are different places
+    enough = lambda v, i: (F.get(F.col("votes"), i - 1) == v) | F.shiftright(v, 32).isin(single) if single else F.get(F.col("votes"), i - 1) == v
+    agreed = voted.select("doc_id", "w", "base", F.array_distinct(F.filter("votes", enough)).alias("agreed"))
+    starts = F.transform("agreed", lambda v: F.struct(F.get(forms, F.shiftright(v, 32).cast("int")).alias("form"), (v.bitwiseAND(F.lit(0xFFFFFFFF)) - span).cast("int").alias("start")))
+    laid = F.transform(starts, lambda s: F.struct(s["form"].alias("form"), F.transform(s["form"]["words"], lambda _, j: F.get(w, s["start"] + j)).alias("over")))
+    same = lambda s: F.size(F.filter(F.zip_with(s["over"], s["form"]["words"], lambda a, b: a == b), lambda x: x))
+    joined = lambda s: F.concat(F.lit(" "), F.array_join(F.transform(s["over"], lambda x: F.coalesce(x, F.lit("-"))), " "), F.lit(" "))
+    shares = F.transform(laid, lambda s: F.struct(s["form"]["label"].alias("label"), s["form"]["phrases"].alias("phrases"), joined(s).alias("joined"), (same(s) / F.size(s["form"]["words"])).alias("share")))
+    verified = F.filter(shares, lambda s: (s["share"] >= min_share) & F.forall(s["phrases"], lambda p: F.contains(s["joined"], p)))
+    found = agreed.select("doc_id", F.size("w").cast("long").alias("n_words"), "base", F.transform(verified, lambda s: F.struct(s["label"].alias("label"), s["share"].alias("share"))).alias("found"))
 
     labels = F.array_distinct(F.transform("base", lambda b: b.label))
-    every = F.array_union(labels, F.coalesce("more", F.array().cast("array<string>")))
-    out = scanned.drop("hits").join(more, "row", "left")
-    return out.select(
+    every = F.array_union(labels, F.transform("found", lambda s: s.label))
+    return found.select(
         "doc_id",
         "n_words",
         F.size("base").cast("long").alias("n_base"),
@@ -141,7 +131,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, rare: int =
         F.array_max(F.transform("base", lambda b: b["at"])).alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
         F.array_join(F.array_sort(every), ",").alias("labels"),
-        F.coalesce("share", F.when(F.size("base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.transform("found", lambda s: s.share)), F.when(F.size("base") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 
@@ -191,30 +181,25 @@ FROM d LEFT JOIN based b USING (doc_id) LEFT JOIN verified v USING (doc_id)
 """
 
 
-#: Rows of query() in DuckDB.
+#: Rows of query() in DuckDB, but that only the six rarest index words of a text vote here: labels of texts with many licences
+#: can be missing.
 SQL = sql()
 
 
-def brute_force(rows: Sequence[tuple[int, str | None]], templates: Sequence[Template] = TEMPLATES, rare: int = 6, min_share: float = 0.6) -> list[tuple]:
+def brute_force(rows: Sequence[tuple[int, str | None]], templates: Sequence[Template] = TEMPLATES, min_share: float = 0.6) -> list[tuple]:
     """The same by plain loops, for tests on small tables."""
     split = [(i, re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for i, t in rows]
     index = index_of(templates)
-    vocab = {w for w, _, _ in index}
-    df: dict[str, int] = {}
-    for _, ws in split:
-        for x in vocab & set(ws):
-            df[x] = df.get(x, 0) + 1
     out = []
     for i, ws in split:
         base = sorted((k, label) for p, label, _ in BASE for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split())
-        top = sorted(vocab & set(ws), key=lambda x: (df[x], x))[:rare]
         more: dict[str, float] = {}
         for t, x in enumerate(templates):
             tw = x.text.split()
             places = {j for w, u, j in index if u == t}
             for start in range(-len(tw), len(ws)):
                 laid = [ws[start + j] if 0 <= start + j < len(ws) else None for j in range(len(tw))]
-                votes = sum(laid[j] == tw[j] and tw[j] in top for j in places)
+                votes = sum(laid[j] == tw[j] for j in places)
                 joined = f" {' '.join(y or '-' for y in laid)} "
                 share = sum(a == b for a, b in zip(laid, tw, strict=True)) / len(tw)
                 if votes >= min(2, len(places)) and share >= min_share and all(f" {p} " in joined for p in x.phrases):

@@ -264,6 +264,19 @@ def test_licences(docs, rows, empty, spark):
     assert licences.scan(empty).count() == 0
 
 
+def test_every_licence_of_a_file_is_found(spark):
+    by = {x.label: x.text for x in licences.TEMPLATES}
+    five = ("cc0", "unlicense", "isc", "bsd", "mit")
+    rows = [
+        (1, " some words between them ".join(by[x] for x in five)), (2, f"neighboring fee binary person mozilla affero {by['mit']}"), (3, f"neighboring fee binary person mozilla affero {by['gpl-2']}"),
+        (4, " and ".join(x.text for x in licences.TEMPLATES)), (5, by["mit"]), (6, by["isc"][20:]), (7, "license " * 300),
+    ]
+    got = sorted(map(tuple, licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(licences.brute_force(rows))
+    labels = {r[0]: r[6] for r in got}
+    assert labels[1] == ",".join(sorted(five)) and labels[2] == "mit" and labels[3] == "gpl-2" and labels[4] == ",".join(sorted(by))
+
+
 # --------------------------------------------------------------------------------------------------------- 5: line dedup
 
 
