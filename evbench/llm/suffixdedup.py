@@ -1,12 +1,13 @@
 """Repeated-substring removal by bucket-pointer refinement (operator 7).
 
-Every byte that a `LENGTH`-byte string covers which also starts anywhere else is removed; texts are UTF-8 bytes.
+Every byte that a string of `length` bytes covers which also starts anywhere else is removed; texts are UTF-8 bytes.  The
+query takes LENGTH; figures below are for it, and measures() derives all sizes from the length.
 
-1. A scan hashes each text's q-grams and keeps, for every window of LENGTH bytes, the q-gram of the least hash in it, the
+1. A scan hashes each text's q-grams and keeps, for every window of `length` bytes, the q-gram of the least hash in it, the
    first among equals.  Equal strings keep the same q-gram at the same offset, so only q-grams that are kept twice or more in
    the corpus matter: these are the initial buckets, about one for every 128 bytes of repeated text.
-2. The LENGTH-byte strings that keep a q-gram fall into blocks of 64 starts; all strings of a block share a core of
-   LENGTH - 63 bytes.  Each block is dealt to the bucket of its core, with the bytes on either side that its strings need.
+2. The strings of `length` bytes that keep a q-gram fall into blocks of 64 starts; all strings of a block share a core of
+   `length` - 63 bytes.  Each block is dealt to the bucket of its core, with the bytes on either side that its strings need.
 3. In a bucket, pointers are refined byte by byte: a suffix that starts one byte earlier is sorted by that byte and the
    bucket pointer of the later offset, which the step before has just updated; on the right side a prefix one byte longer
    likewise.  A string is repeated if the pair of its left and right pointers occurs twice.  All buckets of a batch are
@@ -14,14 +15,15 @@ Every byte that a `LENGTH`-byte string covers which also starts anywhere else is
 4. q-grams kept more than `hot` times don't meet in one task: there, each string is a row with 128 bits of hash, and Spark
    counts them.
 
-Strings are judged on the input: nothing depends on what is removed.  Null or empty text, or fewer than LENGTH bytes: nothing
-is removed.  Repeated rows are copies of one another.  An empty table gives an empty result.  Removing bytes may cut a
+Strings are judged on the input: nothing depends on what is removed.  Null or empty text, or fewer than `length` bytes:
+nothing is removed.  Repeated rows are copies of one another.  An empty table gives an empty result.  Removing bytes may cut a
 character; `removed` then drops its broken rest from the text, while the digests are of the exact bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, texts
 
-LENGTH, GRAM = 400, 145
-#: q-grams in a window, and starts that share a core.
-SPAN, BLOCK = LENGTH - GRAM + 1, 64
-CORE, EDGE = LENGTH - BLOCK + 1, BLOCK - 1
+LENGTH = 400
 #: Occurrences of a q-gram beyond which its strings are counted by Spark.
 HOT = 100_000
 #: One q-gram in so many is common; no more than so many q-grams can be.
@@ -45,26 +44,43 @@ _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place, by doubling; odd, so never 0."""
+class Measures(NamedTuple):
+    """Bytes of a q-gram, q-grams in a window, starts that share a core, bytes of a core and most bytes beside it."""
+
+    gram: int
+    span: int
+    block: int
+    core: int
+    edge: int
+
+
+def measures(length: int) -> Measures:
+    # a window holds 256 q-grams at most, since anchors() keeps distances in 8 bits
+    gram = max(length * 145 // 400, length - 255, 1)
+    block = max(min(64, length // 2), 1)
+    return Measures(gram, length - gram + 1, block, length - block + 1, block - 1)
+
+
+def _grams(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram bytes from each place, by doubling; odd, so never 0."""
     with np.errstate(over="ignore"):
         h = raw.astype(_U) + _U(1)
         step, power = 1, _U(_MUL)
-        while 2 * step <= GRAM:
+        while 2 * step <= gram:
             h = h[:-step] * power + h[step:]
             step, power = 2 * step, power * power
-        rest = GRAM - step
+        rest = gram - step
         h = h[: len(h) - rest] * _U(0xBF58476D1CE4E5B9) + h[rest:] if rest else h
         h = (h ^ (h >> _U(31))) * _U(0x94D049BB133111EB)
         return (h ^ (h >> _U(29))) | _U(1)
 
 
-def _least_places(g: np.ndarray) -> np.ndarray:
-    """For each window of SPAN values the place of the least one, the first among equals; by doubling the window."""
+def _least_places(g: np.ndarray, span: int) -> np.ndarray:
+    """For each window of span values the place of the least one, the first among equals; by doubling the window."""
     at = np.arange(len(g), dtype=np.int32)
     step = 1
-    while step < SPAN:
-        move = min(step, SPAN - step)
+    while step < span:
+        move = min(step, span - step)
         less = g[move:] < g[: len(g) - move]
         at = np.where(less, at[move:], at[: len(at) - move])
         g = np.where(less, g[move:], g[: len(g) - move])
@@ -72,17 +88,18 @@ def _least_places(g: np.ndarray) -> np.ndarray:
     return at
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, hashes) of the q-grams of least hash in some window of LENGTH bytes.
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, hashes) of the q-grams of least hash in some window of length bytes.
 
     A code holds a q-gram's place p and the run of window starts for which it is the first least one: p << 16, the distance
     from the first start to p << 8, and that from the last.  Every start belongs to one q-gram.
     """
     raw = np.frombuffer(data, "u1")
+    m = measures(length)
     codes, hashes = [], []
-    for at in range(0, len(raw) - LENGTH + 1, SEGMENT):
-        g = _grams(raw[at : at + SEGMENT + LENGTH - 1])
-        least = _least_places(g)
+    for at in range(0, len(raw) - length + 1, SEGMENT):
+        g = _grams(raw[at : at + SEGMENT + length - 1], m.gram)
+        least = _least_places(g, m.span)
         edge = np.flatnonzero(np.diff(least)) + 1
         first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(least)]]) - 1
         p = least[first].astype(np.int64)
@@ -93,22 +110,23 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(hashes).view(np.int64)
 
 
-def blocks(codes):
+def blocks(codes, block: int):
     """(core start, least e, greatest e) of the blocks that a q-gram's starts fall into; a start is e bytes before the core."""
     for code in codes:
         p, far, near = code >> 16, code >> 8 & 255, code & 255
-        for j in range(near // BLOCK, far // BLOCK + 1):
-            yield p - j * BLOCK, max(near - j * BLOCK, 0), min(far - j * BLOCK, EDGE)
+        for j in range(near // block, far // block + 1):
+            yield p - j * block, max(near - j * block, 0), min(far - j * block, block - 1)
 
 
-def refine(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """(rows, BLOCK) bool: whether the string that starts e bytes before a row's core is repeated in its group.
+def refine(group: np.ndarray, left: list[bytes], right: list[bytes], block: int) -> np.ndarray:
+    """(rows, block) bool: whether the string that starts e bytes before a row's core is repeated in its group.
 
-    group: small integers; left and right: the bytes beside the core, at most EDGE of them.
+    group: small integers; left and right: the bytes beside the core, at most block - 1 of them.
     """
+    edge = block - 1
     n = len(group)
     la, lb = (np.fromiter(map(len, x), np.int32, n) for x in (left, right))
-    whole = np.frombuffer(b"".join(x.rjust(EDGE, b"\0") + y.ljust(EDGE, b"\0") for x, y in zip(left, right, strict=True)), "u1").reshape(n, 2 * EDGE)
+    whole = np.frombuffer(b"".join(x.rjust(edge, b"\0") + y.ljust(edge, b"\0") for x, y in zip(left, right, strict=True)), "u1").reshape(n, 2 * edge)
     # rows alike in everything are one row that counts twice
     alike = np.concatenate([group.astype("<i4").view("u1").reshape(n, 4), la.astype("u1")[:, None], lb.astype("u1")[:, None], whole], axis=1)
     _, first, inverse, counts = np.unique(np.ascontiguousarray(alike).view(f"V{alike.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
@@ -116,31 +134,31 @@ def refine(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarr
     m = len(first)
     sizes = np.bincount(group)
     live = sizes[group] > 1
-    repeated = np.zeros((m, BLOCK), bool)
-    e = np.arange(BLOCK)
-    valid = (e[None, :] <= la[:, None]) & (EDGE - e[None, :] <= lb[:, None])
+    repeated = np.zeros((m, block), bool)
+    e = np.arange(block)
+    valid = (e[None, :] <= la[:, None]) & (edge - e[None, :] <= lb[:, None])
     at = np.flatnonzero(live)
     if len(at):
         k = len(at)
         bytes_, va = whole[at].astype(np.int64), valid[at]
-        lefts, rights = np.zeros((BLOCK, k), np.int64), np.zeros((BLOCK, k), np.int64)
+        lefts, rights = np.zeros((block, k), np.int64), np.zeros((block, k), np.int64)
         lefts[0] = rights[0] = group[at]
-        for i in range(1, BLOCK):
-            lefts[i] = np.unique(lefts[i - 1] * 256 + bytes_[:, EDGE - i], return_inverse=True)[1]
-            rights[i] = np.unique(rights[i - 1] * 256 + bytes_[:, EDGE + i - 1], return_inverse=True)[1]
-        for i in range(BLOCK):
+        for i in range(1, block):
+            lefts[i] = np.unique(lefts[i - 1] * 256 + bytes_[:, edge - i], return_inverse=True)[1]
+            rights[i] = np.unique(rights[i - 1] * 256 + bytes_[:, edge + i - 1], return_inverse=True)[1]
+        for i in range(block):
             ok = np.flatnonzero(va[:, i])
             if len(ok):
-                _, inv, cnt = np.unique(lefts[i, ok] * k + rights[EDGE - i, ok], return_inverse=True, return_counts=True)
+                _, inv, cnt = np.unique(lefts[i, ok] * k + rights[edge - i, ok], return_inverse=True, return_counts=True)
                 repeated[at[ok], i] = cnt[inv] > 1
     repeated |= valid & (counts > 1)[:, None]
     return repeated[inverse]
 
 
-def _runs(marks: np.ndarray, core: int) -> list[tuple[int, int]]:
+def _runs(marks: np.ndarray, core: int, length: int) -> list[tuple[int, int]]:
     """Byte ranges that the marked strings of a block cover."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
-    return [(core - int(hi) + 1, core - int(lo) + LENGTH) for lo, hi in zip(edge[::2], edge[1::2], strict=True)]
+    return [(core - int(hi) + 1, core - int(lo) + length) for lo, hi in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,24 +174,25 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "doc_id long, h long, lo int, hi int"
 
 
-def spans(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
+def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH) -> DataFrame:
     """(doc_id, h, lo, hi): byte ranges to remove, overlapping.
 
     rows: _keyed(docs).  They are joined here just as in _cut_out(), so that Spark shuffles the texts once for both.
     """
     spark = rows.sparkSession
+    _, _, block, core_size, edge = measures(length)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def find(batches):
         for b in batches:
             codes, hashes = [], []
             for text in b.column(2).to_pylist():
-                c, g = anchors((text or "").encode())
+                c, g = anchors((text or "").encode(), length)
                 codes.append(c)
                 hashes.append(g)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "h", "codes", "grams"])
 
-    long_ = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= LENGTH))
+    long_ = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= length))
     found = cut(long_.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, codes array<long>, grams array<long>"))
     counted = found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     total = found.agg(F.sum(F.size("grams"))).first()[0] or 0  # one number
@@ -202,10 +221,10 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
                     continue
                 data = text.encode()
                 for codes, is_hot in ((got["cold"], False), (got["hot"], True)):
-                    for c, lo, hi in blocks(codes):
-                        end = c + CORE
+                    for c, lo, hi in blocks(codes, block):
+                        end = c + core_size
                         k = np.frombuffer(hashlib.blake2b(data[c:end], digest_size=16).digest(), "<i8")
-                        out.append((int(k[0]), int(k[1]), doc_id, h, c, data[c - hi : c], data[end : end + EDGE - lo], is_hot))
+                        out.append((int(k[0]), int(k[1]), doc_id, h, c, data[c - hi : c], data[end : end + edge - lo], is_hot))
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
                     out = []
@@ -222,8 +241,8 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
             if not len(keep):
                 return None
             pick = [x.take(pa.array(keep)) for x in t]
-            marked = refine(np.unique(group[keep], return_inverse=True)[1], pick[5].to_pylist(), pick[6].to_pylist())
-            rows_ = [(d, h, lo, hi) for d, h, c, m in zip(pick[2].to_pylist(), pick[3].to_pylist(), pick[4].to_pylist(), marked, strict=True) if m.any() for lo, hi in _runs(m, c)]
+            marked = refine(np.unique(group[keep], return_inverse=True)[1], pick[5].to_pylist(), pick[6].to_pylist(), block)
+            rows_ = [(d, h, lo, hi) for d, h, c, m in zip(pick[2].to_pylist(), pick[3].to_pylist(), pick[4].to_pylist(), marked, strict=True) if m.any() for lo, hi in _runs(m, c, length)]
             if not rows_:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(x, t_) for x, t_ in zip(zip(*rows_, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "h", "lo", "hi"])
@@ -258,16 +277,16 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
             out = []
             for k0, k1, doc_id, h, core, left, right in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 key = np.asarray([k0, k1], "<i8").tobytes()
-                for e in range(max(0, EDGE - len(right)), len(left) + 1):
+                for e in range(max(0, edge - len(right)), len(left) + 1):
                     # the lengths of both sides are fixed by e, so that the concatenation is unambiguous
-                    d = hashlib.blake2b(key + bytes([e]) + left[len(left) - e :] + right[: EDGE - e], digest_size=16).digest()
+                    d = hashlib.blake2b(key + bytes([e]) + left[len(left) - e :] + right[: edge - e], digest_size=16).digest()
                     out.append((*np.frombuffer(d, "<i8").tolist(), doc_id, h, core - e))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["s0", "s1", "doc_id", "h", "lo"])
 
     each = cut(dealt.where("hot").select("k0", "k1", "doc_id", "h", "core", "left", "right").mapInArrow(strings, "s0 long, s1 long, doc_id long, h long, lo int"))
     twice = each.groupBy("s0", "s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return cold.unionByName(each.join(twice, ["s0", "s1"]).select("doc_id", "h", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    return cold.unionByName(each.join(twice, ["s0", "s1"]).select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -280,13 +299,13 @@ def _joined(rows: DataFrame, side: DataFrame) -> DataFrame:
     return rows.join(side.hint("shuffle_hash"), (rows["__id"] == side["__i"]) & (rows["__h"] == side["__g"]), "left").drop("__i", "__g")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """docs with every column, text_col without repeated bytes, plus n_bytes, n_removed, n_spans and kept_sha256.
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, length: int = LENGTH) -> DataFrame:
+    """docs with every column, text_col without bytes of repeated strings of `length` bytes, plus n_bytes, n_removed, n_spans and kept_sha256.
 
     Rows with a null id keep their text and neither give nor take repeats.
     """
     rows = _keyed(docs, id_col, text_col)
-    gone = spans(rows, text_col, hot).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
+    gone = spans(rows, text_col, hot, length).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
     joined = _joined(rows, gone.select("__spans", F.col("doc_id").alias("__i"), F.col("h").alias("__g")))
     end, at = len(docs.columns), docs.columns.index(text_col)
 

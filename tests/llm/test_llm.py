@@ -363,6 +363,19 @@ def test_substrings_over_small_batches_and_segments(spark, rows, monkeypatch):
     assert digest_cut(spark.createDataFrame(texts, "doc_id long, text string")) == Counter(suffixdedup.brute_force(texts))
 
 
+@pytest.mark.parametrize("length", [30, 200, 450])
+def test_substrings_of_other_lengths(spark, rows, length):
+    rnd = random.Random(length)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(length + 5))
+    texts = [(i, t) for i, t, *_ in rows if len(t or "") < 3000]
+    texts += [(900, f"x{passage}y"), (901, passage[:length]), (902, f"zz{passage[6:]}"), (903, passage[: length - 1])]
+    want = Counter(suffixdedup.brute_force(texts, length))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert digest_cut(df, length=length) == want
+    assert digest_cut(df, length=length, hot=1) == want
+    assert {r[0]: r[2] for r in want}[900] >= length
+
+
 # ---------------------------------------------------------------------------------------------------------------- 8: urls
 
 
@@ -488,6 +501,24 @@ def test_pipeline(spark, tmp_path, rows):
     assert any(gone.values())
 
 
+def test_pipeline_removes_a_shared_passage_of_51_words(spark):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(9)
+    word = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    words = lambda n: " ".join(word(rnd.randint(2, 9)) for _ in range(n))
+    short, usual = " ".join(word(3) for _ in range(51)), words(51)
+    phrase = words(12)
+    assert len(short) < 400 and len(usual) < 400
+    texts = [(1, f"{words(60)} {short} {words(40)}"), (2, f"{words(30)} {short} {words(80)}"), (3, f"{usual} {words(70)}"), (4, f"{words(70)} {usual}")]
+    clean = [(5, words(150)), (6, f"{words(50)} {phrase} {words(50)}"), (7, f"{words(20)} {phrase} {words(90)}")]
+    df = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in texts + clean], SCHEMA)
+    got = {r.doc_id: r.text for r in cp.substring_dedup(spark, df, "").collect()}
+    for i, t in texts:
+        assert not any(x in got[i].split() for x in (short if i < 3 else usual).split()[1:-1] if t.split().count(x) == 1)
+    assert [got[i] for i, _ in clean] == [t for _, t in clean]
+
+
 def test_pipeline_stages_keep_columns_and_pass_empty_tables(spark, tmp_path, empty):
     import corpus_pipeline as cp
 
