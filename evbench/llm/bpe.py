@@ -16,6 +16,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,28 +70,46 @@ def chunk_hash(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def encode_chunk(codec_, chunk: bytes) -> tuple[str, bytes | None, str]:
-    """(broken word at the start, ids of the whole words, broken word at the end); no ids where there's no white space."""
+def splitting(vocab: str):
+    """The codec of a vocabulary; chunks join exactly only where white space is dropped, so others are refused."""
+    codec_ = codec(vocabulary(vocab))
+    if not codec_.lower:
+        raise ValueError(f"{vocab} keeps white space in its tokens: chunks can't be encoded apart")
+    return codec_
+
+
+def open_chunk(chunk: bytes) -> tuple[str, str | None, str]:
+    """(broken word at the start, the whole words, broken word at the end); no words where there's no white space."""
     text = chunk.decode().replace("\n", " ")
     first, last = text.find(" "), text.rfind(" ")
     if first < 0:
         return text, None, ""
-    return text[:first], codec_.ids(text[first + 1 : last]) if last > first else b"", text[last + 1 :]
+    return text[:first], text[first + 1 : last] if last > first else "", text[last + 1 :]
 
 
-def join_chunks(codec_, parts: list[tuple[str, bytes | None, str]]) -> bytes:
-    out, open_ = [], ""
-    for head, ids, tail in parts:
+def join_plan(parts: list[tuple[str, str | np.ndarray | None, str]]) -> list[str | np.ndarray]:
+    """What a document consists of in order: known ids, and texts that are still to be encoded."""
+    out: list[str | np.ndarray] = []
+    open_ = ""
+    for head, body, tail in parts:
         open_ += head
-        if ids is None:  # no word break yet
+        if body is None:  # no word break yet
             continue
         if open_:
-            out.append(codec_[open_])
-        out.append(ids)
+            out.append(open_)
+        out.append(body)
         open_ = tail
     if open_:
-        out.append(codec_[open_])
-    return b"".join(out)
+        out.append(open_)
+    return out
+
+
+def encode_plans(codec_, plans: list[list[str | np.ndarray]]) -> Iterator[np.ndarray]:
+    """The ids of each plan; the texts of all plans are encoded together."""
+    made = codec_.each(x for plan in plans for x in plan if isinstance(x, str))
+    for plan in plans:
+        parts = [next(made) if isinstance(x, str) else x for x in plan]
+        yield np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
 def id_type(codec_) -> str:
@@ -133,17 +152,21 @@ def _assembled(docs: DataFrame, vocab: str, id_col: str, text_col: str, digest:
     names = ["k0", "k1", "head", "ids", "tail"]
 
     def encode_owned(batches):
-        codec_ = codec(vocabulary(vocab))
+        codec_ = splitting(vocab)
         kind = id_type(codec_)
         for b in batches:
-            rows = []
+            rows, bodies = [], []
             for text, own in zip(lines_into(b, "text"), lines_into(b, "own"), strict=True):
                 wanted = {np.asarray([k["k0"], k["k1"]], "<i8").tobytes(): k["salts"] for k in own}
                 for c in chunks(text.encode()):
                     if salts := wanted.pop(h := chunk_hash(c), None):
-                        head, ids, tail = encode_chunk(codec_, c)
-                        small = None if ids is None else np.frombuffer(ids, "<u4").astype(kind).tobytes()
-                        rows.append((*np.frombuffer(h, "<i8").tolist(), head, small, tail, salts))
+                        head, body, tail = open_chunk(c)
+                        rows.append([*np.frombuffer(h, "<i8").tolist(), head, None, tail, salts])
+                        bodies.append(body)
+            made = codec_.each(x for x in bodies if x is not None)
+            for row, body in zip(rows, bodies, strict=True):
+                if body is not None:
+                    row[3] = next(made).astype(kind).tobytes()
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=[*names, "salts"])
@@ -155,27 +178,23 @@ def _assembled(docs: DataFrame, vocab: str, id_col: str, text_col: str, digest:
     given = asked.join(once, ["k0", "k1", "salt"]).groupBy("doc_id").agg(F.collect_set(F.struct(*names)).alias("given"))
 
     def assemble(batches):
-        codec_ = codec(vocabulary(vocab))
+        codec_ = splitting(vocab)
         kind = id_type(codec_)
         for b in batches:
-            rows = []
-            for doc_id, text, got in zip(*(lines_into(b, c) for c in ("doc_id", "text", "given")), strict=True):
+            plans = []
+            for text, got in zip(lines_into(b, "text"), lines_into(b, "given"), strict=True):
                 known = {}
                 for g in got or ():
-                    ids = None if g["ids"] is None else np.frombuffer(g["ids"], kind).astype("<u4").tobytes()
+                    ids = None if g["ids"] is None else np.frombuffer(g["ids"], kind).astype("<u4")
                     known[np.asarray([g["k0"], g["k1"]], "<i8").tobytes()] = (g["head"], ids, g["tail"])
-                parts = []
-                if known:
-                    for c in chunks(text.encode()):
-                        parts.append(known.get(chunk_hash(c)) or encode_chunk(codec_, c))
-                    ids = join_chunks(codec_, parts)
-                else:
-                    ids = codec_.ids(text)
+                plans.append(join_plan([known.get(chunk_hash(c)) or open_chunk(c) for c in chunks(text.encode())]) if known else [text])
+            rows = []
+            for doc_id, ids in zip(lines_into(b, "doc_id"), encode_plans(codec_, plans), strict=True):
                 if digest:
-                    decoded = codec_.decode(np.frombuffer(ids, "<u4"))
-                    rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    decoded = codec_.decode(ids)
+                    rows.append((doc_id, len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 else:
-                    rows.append((doc_id, ids))
+                    rows.append((doc_id, ids.tobytes()))
             if rows:
                 out = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=out)

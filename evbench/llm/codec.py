@@ -1,10 +1,10 @@
-"""Exact, fast use of the tokenizers library: words are encoded once per worker and reused.
+"""Exact, fast use of the tokenizers library: each distinct word of a batch is encoded once and remembered by its worker.
 
-Both vocabularies split texts before merging, and no merge crosses a space that follows a visible character.  A text is
-therefore cut there, each distinct piece is encoded once by the library, and the ids are joined.  Pieces of plain Latin
-letters and ASCII punctuation go straight to the library's BPE model, since normaliser and splitter are the identity (or
-lower-casing) on them; every other piece goes through the library's whole encode().  Texts with irregular white space go
-through encode() whole.
+Both vocabularies split texts before merging, and no merge crosses a space that follows a visible character.  A batch of
+texts is therefore cut there by Arrow, which also finds the distinct pieces; pieces that the worker doesn't remember are
+encoded by the library, and numpy joins the ids.  Pieces of plain Latin letters and ASCII punctuation go straight to the
+library's BPE model, since normaliser and splitter are the identity (or lower-casing) on them; every other piece goes
+through the library's whole encode().  Texts with irregular white space go through encode() in long stretches.
 """
 
 from __future__ import annotations
@@ -12,12 +12,19 @@ from __future__ import annotations
 import functools
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker's young memory holds.  When it is full it becomes the old one, which gives back what is asked for
-#: again and is dropped when the young one is full once more.  Results don't depend on it.
-MOST_WORDS = 200_000
+#: Pieces that a worker remembers at most (about 40 bytes each); beyond that the half that was asked for last stays.  Results
+#: don't depend on it.
+MOST_WORDS = 1_000_000
+#: Stems of missed pieces that a worker holds besides.
+MOST_STEMS = 100_000
+#: Characters of texts that are encoded at once.
+BATCH_CHARS = 4 << 20
 
 #: Latin letters that are single code points, are lower-cased one to one and are stable under NFC; then ASCII punctuation but the apostrophe.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -43,8 +50,50 @@ def irregular(text: str) -> bool:
     return ODD_SPACE.search(text) is not None
 
 
-class Codec(dict):
-    """piece -> ids as bytes of unsigned 32-bit integers.  A piece starts with \\n, or stands for a space and itself."""
+class Words:
+    """Pieces with their ids, held as Arrow and numpy arrays."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.lens = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, "<u4")
+        self.used = np.zeros(0, np.int64)
+        self.clock = 0
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, or -1."""
+        self.clock += 1
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used[at[at >= 0]] = self.clock
+        return at
+
+    def add(self, words: pa.Array, ids: list[bytes]) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.lens = np.concatenate([self.lens, np.fromiter(map(len, ids), np.int32, len(ids)) // 4])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.used = np.concatenate([self.used, np.full(len(ids), self.clock)])
+
+    def shrink(self, most: int) -> None:
+        if len(self) > most:
+            keep = np.sort(np.argsort(self.used, kind="stable")[-(most // 2) :])
+            self.flat = taken(self.flat, self.lens, keep)
+            self.words, self.lens, self.used = self.words.take(pa.array(keep)), self.lens[keep], self.used[keep]
+
+
+def taken(flat: np.ndarray, lens: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The runs numbered pick of consecutive runs of the lengths lens in flat, joined."""
+    starts = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])[:-1]
+    n = lens[pick].astype(np.int64)
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[pick] - (ends - n), n) + np.arange(total)]
+
+
+class Codec:
+    """A public vocabulary.  A piece starts with \\n, or stands for a space and itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,8 +103,8 @@ class Codec(dict):
         self.tok.no_padding()
         self.model = self.tok.model
         self.lower = self.tok.normalizer is not None
-        self.parts: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.words = Words()
         self.tables: list[str] | None = None
 
     def whole(self, text: str) -> bytes:
@@ -63,29 +112,15 @@ class Codec(dict):
 
     def _model(self, piece: str) -> bytes:
         """The ids of one piece that the library's splitter leaves whole; a space before it is part of it."""
-        got = self.parts.get(piece)
+        got = self.stems.get(piece)
         if got is None:
-            if len(self.parts) >= MOST_WORDS:
-                self.parts.clear()
+            if len(self.stems) >= MOST_STEMS:
+                self.stems.clear()
             mapped = piece.encode().decode("latin-1").translate(BYTE_TABLE)
-            got = self.parts[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return got
-
-    def first(self, piece: str) -> bytes:
-        """A piece at the start of a text."""
-        return self[piece] if self.lower else self.whole(piece)
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.old = dict(self)
-            self.clear()
-        got = self.old.get(piece)
-        if got is None:
-            got = self._piece(piece)
-        self[piece] = got
+            got = self.stems[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return got
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         m = PLAIN.fullmatch(piece)
         if m:
             letters = m[1].lower() if self.lower else " " + m[1]
@@ -96,14 +131,54 @@ class Codec(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as the library's encode(text, add_special_tokens=False) gives them."""
-        if not text:
-            return b""
+        return self.batch([text])[0].tobytes()
+
+    def each(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers; BATCH_CHARS of text are encoded at once."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text) > BATCH_CHARS:
+                yield from self._some(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        yield from self._some(held)
+
+    def batch(self, texts: Iterable[str]) -> list[np.ndarray]:
+        return list(self.each(texts))
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        own: list[bytes] = []  # ids of first pieces and of texts with irregular white space, which are not remembered
         if self.lower:  # white space only separates here
-            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        if irregular(text):
-            return self._irregular(text)
-        head, *rest = text.replace("\n", " \n").split(" ")
-        return self.first(head) + b"".join(map(self.__getitem__, rest))
+            cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        else:
+            odd = [irregular(t) for t in texts]
+            regular = pa.array(["" if x else t for t, x in zip(texts, odd, strict=True)], pa.large_string())
+            cut = pc.split_pattern(pc.replace_substring(regular, "\n", " \n"), " ")
+            own = [self._irregular(t) if x else self.whole(t.replace("\n", " \n").split(" ", 1)[0]) for t, x in zip(texts, odd, strict=True)]
+        bounds = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = coded.dictionary
+        at = self.words.places(words)
+        if len(missed := np.flatnonzero(at < 0)):
+            new = words.take(pa.array(missed))
+            at[missed] = len(self.words) + np.arange(len(missed))
+            self.words.add(new, [self.piece(w) for w in new.to_pylist()])
+        known = len(self.words)
+        codes = at[codes]
+        lens, flat = self.words.lens, self.words.flat
+        if own:
+            codes[bounds[:-1] - bounds[0]] = known + np.arange(len(own))
+            lens = np.concatenate([lens, np.fromiter(map(len, own), np.int32, len(own)) // 4])
+            flat = np.concatenate([flat, np.frombuffer(b"".join(own), "<u4")])
+        ids = taken(flat, lens, codes)
+        ends = np.concatenate([[0], np.cumsum(lens[codes], dtype=np.int64)])[bounds - bounds[0]]
+        self.words.shrink(MOST_WORDS)
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def _irregular(self, text: str) -> bytes:
         """Cut only before a space that follows a Latin letter and precedes one; each stretch is encoded whole or by words."""
@@ -118,7 +193,7 @@ class Codec(dict):
 
     def _stretch(self, text: str) -> bytes:
         if text[:1] == " " and text[1:] and not irregular(text[1:]):
-            return b"".join(map(self.__getitem__, text[1:].replace("\n", " \n").split(" ")))
+            return b"".join(map(self.piece, text[1:].replace("\n", " \n").split(" ")))
         return self.whole(text)
 
     def decode(self, ids: np.ndarray) -> str:

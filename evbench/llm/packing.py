@@ -72,7 +72,7 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 0, cap
 
     def first(batches):
         codec_ = codec(vocabulary(vocab))
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        end = np.asarray([end_id], dtype="<u4")
         windows = OpenWindows(capacity, open_windows)
         part, seq = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
@@ -90,8 +90,8 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 0, cap
             return out
 
         for b in batches:
-            for doc_id, text in zip(lines_into(b, "doc_id"), lines_into(b, "text"), strict=True):
-                ids = np.frombuffer(codec_.ids(text) + end, "<u4")
+            for doc_id, own in zip(lines_into(b, "doc_id"), codec_.each(lines_into(b, "text")), strict=True):
+                ids = np.concatenate([own, end])
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]
                     item = (doc_id, at, len(piece), crc(piece), len(ids))

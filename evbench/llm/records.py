@@ -75,7 +75,7 @@ def write_records(docs: DataFrame, path: str, vocab: str = "word_bpe_49k.json",
 
     def write(batches):
         codec_ = codec(vocabulary(vocab))
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        end = np.asarray([end_id], dtype="<u4")
         out, file = None, f"{uuid.uuid4().hex}.rec"
         offset = before = 0
         for b in batches:
@@ -84,8 +84,8 @@ def write_records(docs: DataFrame, path: str, vocab: str = "word_bpe_49k.json",
                 store.create_dir(folder, recursive=True)
                 out = store.open_output_stream(f"{folder}/{file}")
             rows = []
-            for doc_id, text in zip(lines_into(b, "doc_id"), lines_into(b, "text"), strict=True):
-                ids = np.frombuffer(codec_.ids(text) + end, "<u4")
+            for doc_id, own in zip(lines_into(b, "doc_id"), codec_.each(lines_into(b, "text")), strict=True):
+                ids = np.concatenate([own, end])
                 rec = pack_record(doc_id, ids)
                 out.write(rec)
                 rows.append((file, doc_id, offset, len(rec), len(ids), before))
