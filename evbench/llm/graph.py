@@ -1,28 +1,40 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(v, label) of every vertex of the undirected edges (a, b); label is the smallest vertex of its component.
 
-    Each round takes the smallest label among a vertex's neighbours, then the label of that label, so that chains shorten
-    geometrically.  Rounds are written to the shared folder.  Aggregation is partial before each shuffle, so that a vertex
-    with very many edges is combined map-side.
+    Each round orders the vertices by a fresh hash, points every vertex at the least of itself and its neighbours, and puts
+    those in place of the ends of the edges; edges within one vertex and repeated ones go.  A constant share of the vertices
+    goes in each round, of a chain as of a star, so that rounds are few and soon small.  Minima are combined map-side, so a
+    hub costs its edges once; joins by a hub or by a large component's label are split by Spark's skew join.  Rounds are
+    written to the shared folder, and a round is deleted when the next one is there.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.v == near.a).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        new = cut(step.join(jump, "label").select("v", "old", F.least("label", "far").alias("label")))
-        labels = new.select("v", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    if left.isEmpty():
+        return left.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    labels, done = None, []
+    for k in range(most_rounds):
+        key = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        least: Column = F.least(key("a"), key("b"))
+        ends = left.select(F.col("a").alias("v"), least.alias("m")).unionByName(left.select(F.col("b").alias("v"), least.alias("m")))
+        step = cut(ends.groupBy("v").agg(F.min("m").alias("m")).select("v", "m.v").toDF("v", "m"))
+        if labels is None:
+            labels = step.select("v", F.col("m").alias("label"))
+        else:
+            labels = cut(labels.join(step.toDF("label", "m"), "label", "left").select("v", F.coalesce("m", "label").alias("label")))
+        moved = left.join(step.toDF("a", "am"), "a").join(step.toDF("b", "bm"), "b")
+        after = cut(moved.select(F.least("am", "bm").alias("a"), F.greatest("am", "bm").alias("b")).where("a <> b").distinct())
+        forget(left, *done)
+        left, done = after, [step] if k else []
+        if left.isEmpty():
+            named = labels.groupBy("label").agg(F.min("v").alias("least"))
+            return labels.join(named, "label").select("v", F.col("least").alias("label"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -2,12 +2,13 @@
 
 1. A scan turns each text into its set of word shingles, a MinHash signature and band hashes.  Texts with equal sets become
    one class, whose id is its smallest document id; from here on only classes are compared.
-2. Classes that share a band's hash form a bucket.  A first round pairs each bucket's members with its smallest member, a
-   second one pairs members of buckets that are not yet in one component with a leader drawn anew for each band.
-3. Buckets that still hold several components go through an exhaustive round in blocks: members of different components
-   are compared in the first band they share, until their components are linked.  Members already in one component are not
-   compared again, so that a group of thousands of copies costs its size and not its square; only links leave a task, and
-   no cap is set on buckets or partners.
+2. Classes that share a band's hash form a bucket.  First each class meets one class: of its buckets' smallest members the
+   one that it shares most buckets with.  Then, in buckets that hold several components, members outside the largest one
+   meet a member of it, drawn anew for each band.
+3. Buckets that still hold several components go through an exhaustive round: members outside a bucket's largest component
+   meet one another and its members, in blocks, in the first band they share, until their components are linked.  Members of
+   one component are not compared again, so that a group of thousands of copies costs its size and not its square; only
+   links leave a task, and no cap is set on buckets or partners.
 4. Every pair is verified sequentially: after each batch of signature places it is dropped if the posterior probability
    that its similarity reaches the threshold, under a uniform prior, is below `miss`; survivors are compared exactly on
    their full sets.  Links that hold give the components.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lines_into, texts
+from .common import cut, forget, lines_into, texts
 from .graph import components
 
 ROWS = 5
@@ -35,7 +36,7 @@ BAND_MISS, MISS = 1e-5, 1e-6
 #: Signature places that a verification step looks at.
 BATCH = 20
 #: Members of a bucket that the exhaustive round compares as one block.
-BLOCK = 1024
+BLOCK = 2048
 #: Tasks over which the members that are compared with one leader are dealt.
 SALTS = 8
 
@@ -233,7 +234,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _block_links(rows: list[tuple], percent: int, steps: list) -> list[tuple[int, int]]:
     """Links between different components of a unit, one for each two components that have any.
 
-    rows: (band, h, u, v, own block, id, label, n, sig, bands, grams).  A pair that already met in an earlier band is left to it.
+    rows: (band, h, u, v, own block, id, label, n, sig, bands, grams).  Blocks below 0 hold members of the bucket's largest
+    component.  A pair that already met in an earlier band is left to it.
     """
     band, across = rows[0][0], rows[0][2] != rows[0][3]
     own, ids, labels, n = (np.asarray([r[i] for r in rows]) for i in range(4, 8))
@@ -248,15 +250,11 @@ def _block_links(rows: list[tuple], percent: int, steps: list) -> list[tuple[int
             x = parent[x]
         return x
 
-    kinds, counts = np.unique(labels, return_counts=True)
-    order = np.argsort(labels == kinds[counts.argmax()], kind="stable")  # the largest component comes last and meets only the others
-    place = np.empty(len(rows), np.int64)
-    place[order] = np.arange(len(rows))
     out = []
-    for i in order[: len(rows) - counts.max()].tolist():
-        ok = (place > place[i]) & (labels != labels[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        if across:
-            ok &= own != own[i]
+    for i in np.flatnonzero(own == own.max()).tolist():
+        # across two blocks the others are those of the other block, else those that come later in the same one
+        ok = (own != own[i]) if across else (np.arange(len(rows)) > i)
+        ok &= (labels != labels[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         if band:
             ok &= ~(before == before[i]).any(axis=1)
         at = np.flatnonzero(ok)
@@ -273,12 +271,17 @@ def _block_links(rows: list[tuple], percent: int, steps: list) -> list[tuple[int
 
 
 def _exhaustive(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, steps: list) -> DataFrame:
-    """Links between different components of buckets; open_: (band, h, id, label, m), m the bucket's size.
+    """Links between different components of buckets; open_: (band, h, id, label, top, c, o), see _open().
 
-    A bucket of several blocks is dealt as pairs of blocks, so that a task holds two blocks at most.  Only links leave a task.
+    The o members outside a bucket's largest component are dealt to blocks 0, 1, ..., its c members to blocks -1, -2, ...  Units
+    are pairs of the former, and pairs of one of each, so that a task holds two blocks at most.  Only links leave a task.
     """
-    own = open_.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = own.select("band", "h", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    outside = F.col("label") != F.col("top")
+    own = open_.withColumn("own", F.when(outside, deal(blocks("o"))).otherwise(-1 - deal(blocks("c"))))
+    others = F.when(outside, F.sequence(-blocks("c"), blocks("o") - 1)).otherwise(F.sequence(F.lit(0), blocks("o") - 1))
+    dealt = own.select("band", "h", "id", "label", "own", F.explode(others).alias("other"))
     units = dealt.select("band", "h", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "id", "label")
     rows = units.join(classes.select("id", "n", "sig", "bands").join(sets, "id"), "id").select("band", "h", "u", "v", "own", "id", "label", "n", "sig", "bands", "grams")
 
@@ -302,6 +305,27 @@ def _exhaustive(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     return rows.repartition(n, "band", "h", "u", "v").sortWithinPartitions("band", "h", "u", "v").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: (band, h, id, label, top, leader, c, o).
+
+    top is the label of the bucket's largest component, which has c members, of which leader is one; o members are outside it.
+    """
+    now = shared.select("band", "h", "id").join(labels.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    each = now.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("id", F.xxhash64("id", "band")).alias("leader"))
+    top = each.groupBy("band", "h").agg(F.max(F.struct("c", "label", "leader")).alias("t"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return now.join(top, ["band", "h"]).select("band", "h", "id", "label", F.col("t.label").alias("top"), F.col("t.leader").alias("leader"), F.col("t.c").alias("c"), (F.col("m") - F.col("t.c")).alias("o"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (v, label) once links (a, b) are added: only the labels that the links join go through components()."""
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}l"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("al", "a").alias("al"), F.coalesce("bl", "b").alias("bl"))
+    found = cut(components(named.select(F.col("al").alias("a"), F.col("bl").alias("b"))).toDF("label", "to"))
+    # an end of a link that had no label is its own component
+    every = labels.unionByName(found.join(labels, found["label"] == labels["v"], "left_anti").select(F.col("label").alias("v"), "label"))
+    return cut(every.join(found, "label", "left").select("v", F.coalesce("to", "label").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs with an id.  percent: of the union that must be shared."""
     threshold = percent / 100
@@ -314,7 +338,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sigs = classes.select("id", "n", "sig")
     banded = classes.select("id", F.posexplode("bands").alias("band", "h"))
     full = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least")).where("m > 1")
-    shared = cut(banded.join(full, ["band", "h"]).select("band", "h", "id", "m", "least"))
+    shared = cut(banded.join(full, ["band", "h"]).select("band", "h", "id", "least"))
     wanted = shared.select("id").distinct()
 
     def grams(batches):
@@ -325,24 +349,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = cut(rows.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").select("id", "text").mapInArrow(grams, "id long, grams binary"))
     confirmed = lambda pairs: _confirm(_prune(pairs, sigs, threshold, steps), sets, percent)
 
-    def labelled(links: DataFrame) -> DataFrame:
-        """Buckets that hold several components: (band, h, id, m, label)."""
-        found = components(links).withColumnRenamed("v", "id")
-        now = shared.select("band", "h", "id", "m").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = now.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "h")
-        return now.join(open_, ["band", "h"], "left_semi").select("band", "h", "id", "m", "label")
-
-    pairs = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirmed(pairs))
-    open_ = cut(labelled(links))
+    met = shared.where("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("k"))
+    first = met.groupBy("id").agg(F.max(F.struct("k", (-F.col("least")).alias("least"))).alias("x")).select((-F.col("x.least")).alias("a"), F.col("id").alias("b"))
+    labels = cut(components(confirmed(first)))
+    open_ = cut(_open(shared, labels))
     if not open_.isEmpty():
-        leader = open_.groupBy("band", "h").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "band")).alias("l"))
-        met = open_.join(leader, ["band", "h"]).where("label <> l.label").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-        links = cut(links.unionByName(confirmed(met)).distinct())
-        open_ = cut(labelled(links))
-        if not open_.isEmpty():
-            links = cut(links.unionByName(_exhaustive(open_, classes, sets, percent, steps)).distinct())
-    final = components(links).select(F.col("v").alias("id"), "label")
+        second = open_.where("label <> top").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        links = cut(confirmed(second))
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+            forget(open_)
+            open_ = cut(_open(shared, labels))
+        links = cut(_exhaustive(open_, classes, sets, percent, steps))
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+    forget(shared, sets, open_)
+    final = labels.withColumnRenamed("v", "id")
     named = classes.select("c0", "c1", "n", "id").join(final, "id", "left").select("c0", "c1", "n", F.coalesce("label", "id").alias("component_id"))
     out = raw.select("doc_id", "c0", "c1", "n").join(named, ["c0", "c1", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
