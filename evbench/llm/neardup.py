@@ -177,24 +177,6 @@ def _scan(rows: DataFrame, size: int, bands: int) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, c0 long, c1 long, n long, sig binary, bands array<long>")
 
 
-def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float, steps: list) -> DataFrame:
-    """Distinct pairs (a, b) that the sequential test lets through."""
-    a = sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    b = sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-
-    def test(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u1").reshape(batch.num_rows, -1) for i in (3, 5))
-            keep = plausible(x, y, steps) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
-
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb")
-    return both.mapInArrow(test, "a long, b long")
-
-
 def _shared_grams(x: np.ndarray, y: np.ndarray) -> int:
     """Elements that two sorted sets have in common."""
     if len(x) < len(y):
@@ -205,21 +187,24 @@ def _shared_grams(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[np.minimum(at, len(x) - 1)] == y).sum())
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union.  A task streams: a's set, then those of its partners."""
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, steps: list) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union, of those that the sequential test lets through.
+
+    A task streams a's signature and set, then those of its partners; partners of one class are dealt over SALTS tasks.
+    """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    members = salted.join(sets.select(F.col("id").alias("b"), "grams"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "grams")
-    leaders = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "grams"), "a").select("a", "salt", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), "grams")
+    members = salted.join(sets.select(F.col("id").alias("b"), "sig", "grams"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "sig", "grams")
+    leaders = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "sig", "grams"), "a").select("a", "salt", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), "sig", "grams")
 
     def check(batches):
-        leader, own = None, None
+        leader, own, own_sig = None, None, None
         for batch in batches:
             out = []
-            for a, kind, b, grams in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), batch.column(4), strict=True):
-                s = np.frombuffer(grams.as_buffer(), "<u8")
+            for a, kind, b, sig, grams in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), batch.column(5), strict=True):
+                s, x = np.frombuffer(grams.as_buffer(), "<u8"), np.frombuffer(sig, "u1")
                 if kind == 0:
-                    leader, own = a, s
-                elif leader == a:
+                    leader, own, own_sig = a, s, x
+                elif leader == a and 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)) and plausible(own_sig, x[None, :], steps)[0]:
                     inter = _shared_grams(own, s)
                     if 100 * inter >= percent * (len(own) + len(s) - inter):
                         out.append((a, b))
@@ -228,7 +213,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = members.unionByName(leaders).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def _block_links(rows: list[tuple], percent: int, steps: list) -> list[tuple[int, int]]:
@@ -270,7 +255,7 @@ def _block_links(rows: list[tuple], percent: int, steps: list) -> list[tuple[int
     return out
 
 
-def _exhaustive(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, steps: list) -> DataFrame:
+def _exhaustive(open_: DataFrame, sets: DataFrame, percent: int, steps: list) -> DataFrame:
     """Links between different components of buckets; open_: (band, h, id, label, top, c, o), see _open().
 
     The o members outside a bucket's largest component are dealt to blocks 0, 1, ..., its c members to blocks -1, -2, ...  Units
@@ -283,7 +268,7 @@ def _exhaustive(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     others = F.when(outside, F.sequence(-blocks("c"), blocks("o") - 1)).otherwise(F.sequence(F.lit(0), blocks("o") - 1))
     dealt = own.select("band", "h", "id", "label", "own", F.explode(others).alias("other"))
     units = dealt.select("band", "h", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "id", "label")
-    rows = units.join(classes.select("id", "n", "sig", "bands").join(sets, "id"), "id").select("band", "h", "u", "v", "own", "id", "label", "n", "sig", "bands", "grams")
+    rows = units.join(sets, "id").select("band", "h", "u", "v", "own", "id", "label", "n", "sig", "bands", "grams")
 
     def compare(batches):
         held: list = []
@@ -310,20 +295,17 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
     top is the label of the bucket's largest component, which has c members, of which leader is one; o members are outside it.
     """
-    now = shared.select("band", "h", "id").join(labels.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    now = shared.select("band", "h", "id").join(labels, "id")
     each = now.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("id", F.xxhash64("id", "band")).alias("leader"))
     top = each.groupBy("band", "h").agg(F.max(F.struct("c", "label", "leader")).alias("t"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
     return now.join(top, ["band", "h"]).select("band", "h", "id", "label", F.col("t.label").alias("top"), F.col("t.leader").alias("leader"), F.col("t.c").alias("c"), (F.col("m") - F.col("t.c")).alias("o"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (v, label) once links (a, b) are added: only the labels that the links join go through components()."""
-    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}l"))
-    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("al", "a").alias("al"), F.coalesce("bl", "b").alias("bl"))
-    found = cut(components(named.select(F.col("al").alias("a"), F.col("bl").alias("b"))).toDF("label", "to"))
-    # an end of a link that had no label is its own component
-    every = labels.unionByName(found.join(labels, found["label"] == labels["v"], "left_anti").select(F.col("label").alias("v"), "label"))
-    return cut(every.join(found, "label", "left").select("v", F.coalesce("to", "label").alias("label")))
+    """labels (id, label) once links (a, b) are added: only the labels that the links join go through components()."""
+    of = lambda c: labels.toDF(c, f"{c}l")
+    found = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("al").alias("a"), F.col("bl").alias("b")))
+    return cut(labels.join(found.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,37 +317,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     raw = cut(_scan(rows, size, bands))
     members = raw.where("n > 0")
     classes = cut(members.groupBy("c0", "c1", "n").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("x")).select("c0", "c1", "id", "n", "x.sig", "x.bands"))
-    sigs = classes.select("id", "n", "sig")
     banded = classes.select("id", F.posexplode("bands").alias("band", "h"))
     full = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least")).where("m > 1")
     shared = cut(banded.join(full, ["band", "h"]).select("band", "h", "id", "least"))
-    wanted = shared.select("id").distinct()
+    wanted = classes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "n", "sig", "bands")
 
     def grams(batches):
         for batch in batches:
             sets = [shingle_set(t, size).astype("<u8").tobytes() for t in lines_into(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "grams"])
-
-    sets = cut(rows.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").select("id", "text").mapInArrow(grams, "id long, grams binary"))
-    confirmed = lambda pairs: _confirm(_prune(pairs, sigs, threshold, steps), sets, percent)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["id", "n", "sig", "bands", "grams"])
 
+    sets = cut(rows.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "n", "sig", "bands", "text").mapInArrow(grams, "id long, n long, sig binary, bands array<long>, grams binary"))
     met = shared.where("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("k"))
     first = met.groupBy("id").agg(F.max(F.struct("k", (-F.col("least")).alias("least"))).alias("x")).select((-F.col("x.least")).alias("a"), F.col("id").alias("b"))
-    labels = cut(components(confirmed(first)))
+    found = components(_confirm(first, sets, percent, steps)).toDF("id", "label")
+    labels = cut(sets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
     open_ = cut(_open(shared, labels))
     if not open_.isEmpty():
         second = open_.where("label <> top").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        links = cut(confirmed(second))
+        links = cut(_confirm(second, sets, percent, steps))
         if not links.isEmpty():
             labels = _merged(labels, links)
             forget(open_)
             open_ = cut(_open(shared, labels))
-        links = cut(_exhaustive(open_, classes, sets, percent, steps))
+        links = cut(_exhaustive(open_, sets, percent, steps))
         if not links.isEmpty():
             labels = _merged(labels, links)
     forget(shared, sets, open_)
-    final = labels.withColumnRenamed("v", "id")
-    named = classes.select("c0", "c1", "n", "id").join(final, "id", "left").select("c0", "c1", "n", F.coalesce("label", "id").alias("component_id"))
+    named = classes.select("c0", "c1", "n", "id").join(labels, "id", "left").select("c0", "c1", "n", F.coalesce("label", "id").alias("component_id"))
     out = raw.select("doc_id", "c0", "c1", "n").join(named, ["c0", "c1", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -240,9 +240,11 @@ def test_posterior_bounds_keep_true_pairs():
 
 
 def test_components_of_chains(spark):
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
     e = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)] + [(200, 200 + i) for i in range(1, 30)]
-    got = dict(map(tuple, graph.components(spark.createDataFrame(e, "a long, b long")).collect()))
-    assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[229] == 200
+    for most in (graph.TASK_EDGES, 9):  # of nine edges a task, they meet in several rounds
+        got = dict(map(tuple, graph.components(spark.createDataFrame(e, "a long, b long"), task_edges=most).collect()))
+        assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[229] == 200
 
 
 # ----------------------------------------------------------------------------------------------------------- 4: licences
