@@ -2,17 +2,23 @@
 
 A linear-chain conditional random field over a document's lines marks each as content or boilerplate; the share of the
 document's word characters that stands in content lines decides whether it is kept.  The field has two labels, the line
-features of `line_features` and a 2x2 transition; Viterbi decoding gives the labels.  It is fitted on a bounded sample of
-labelled documents (`fit_docs` of them, those whose id has the smallest hash, and of each its first `fit_lines` lines),
-where every line takes its document's label.  Scoring covers every line of every text.
+features of `line_features` and a 2x2 transition; Viterbi decoding gives the labels.
+
+Labels are of documents.  Besides the labelled documents, whose lines take their document's label, the field is therefore
+fitted on documents joined from one of either class, in turn content first, boilerplate first, and boilerplate amid
+content: there the label of a line differs within a sequence and changes are seen.  The sample is bounded: `fit_docs`
+documents, those whose id has the smallest hash, and of each a run of at most `fit_lines` lines that starts at a place drawn
+from its id.  Scoring covers every line of every text.
 
 Null or empty text: no words, so the base rules reject it.  Without usable labels (none, or one class) the field falls back
-to `DEFAULT`, fixed weights of the same features.  Repeated ids are judged each by itself.  An empty table gives an empty
-result.
+to `DEFAULT`, fixed weights of the same features.  Repeated ids are judged each by itself.  Very long texts are one task's
+row and cost a few numbers a line.  Of equally good labellings the one with content at the last line that differs is
+taken.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,13 +32,15 @@ from .common import lines_into, table, texts
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
+#: Bytes of a character after its first.
+LATER = bytes(range(128, 192))
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 FEATURES = ["bias", "log_words", "symbols", "upper", "digits", "exclaim", "distinct", "repeated", "ends", "letters"]
 
 #: Content share from which a document is kept.
 MIN_CONTENT = 0.5
 #: Bounds of the sample that the field is fitted on.
-FIT_DOCS, FIT_LINES = 3000, 64
+FIT_DOCS, FIT_LINES = 1500, 32
 
 
 def line_features(lines: list[bytes]) -> np.ndarray:
@@ -93,22 +101,38 @@ def viterbi(scores: list[float], trans: list[list[float]]) -> list[int]:
     return out[::-1]
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.15, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over forward-backward; sequences: (features of the lines, the label of all of them).  Classes weigh alike."""
-    sequences = [(x, y) for x, y in sequences if len(x)]
-    n1 = sum(y for _, y in sequences)
-    n0 = len(sequences) - n1
-    if not n0 or not n1:
+def training(documents: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(features of the lines, their labels, weight) of the documents (features, label) and of joins of both classes; none if one is missing.
+
+    Documents of a class weigh a third together, and so do all joins.
+    """
+    by = [[x for x, y in documents if y == c and len(x)] for c in (0, 1)]
+    if not by[0] or not by[1]:
+        return []
+    out = [(x, np.full(len(x), c), 1 / len(by[c])) for c in (0, 1) for x in by[c]]
+    n = max(map(len, by))
+    for k in range(n):
+        bad, good = by[0][k % len(by[0])], by[1][k % len(by[1])]
+        half = len(good) // 2 if k % 3 == 2 else (0 if k % 3 else len(good))
+        x = np.concatenate([good[:half], bad, good[half:]])
+        out.append((x, np.concatenate([np.ones(half), np.zeros(len(bad)), np.ones(len(good) - half)]), 1 / n))
+    return out
+
+
+def fit(documents: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.2, l2: float = 1e-3) -> Field:
+    """Maximum likelihood by Adam over forward-backward; documents: (features of the lines, label)."""
+    sequences = training(documents)
+    if not sequences:
         return DEFAULT
-    t = max(len(x) for x, _ in sequences)
+    t = max(len(x) for x, _, _ in sequences)
     n, k = len(sequences), len(FEATURES)
     x = np.zeros((t, n, k))
     mask = np.zeros((t, n), bool)
-    y = np.asarray([c for _, c in sequences])
-    for j, (f, _) in enumerate(sequences):
-        x[: len(f), j], mask[: len(f), j] = f, True
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    length = mask.sum(axis=0)
+    y = np.zeros((t, n))
+    for j, (f, labels, _) in enumerate(sequences):
+        x[: len(f), j], mask[: len(f), j], y[: len(f), j] = f, True, labels
+    w = np.asarray([c for *_, c in sequences]) / mask.sum(axis=0) / 3
+    seen = np.asarray([[((y[:-1] == a) & (y[1:] == b) & mask[1:]) for b in (0, 1)] for a in (0, 1)])
     theta = np.zeros(k + 4)
     m = v = np.zeros_like(theta)
     for step in range(1, rounds + 1):
@@ -127,14 +151,13 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float
             beta[i] = np.where(mask[i + 1][:, None], nxt, beta[i + 1])
         z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
         p1 = np.where(mask, np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - z, 0)), 0)
-        w = weight / length
         grad = np.zeros_like(theta)
-        grad[:k] = np.einsum("tn,tnk->k", (np.where(mask, y, 0) - p1) * w, x)
+        grad[:k] = np.einsum("tn,tnk->k", (y - p1) * w, x)
         pairs = np.zeros((2, 2))
         for a in (0, 1):
             for b in (0, 1):
                 e = np.exp(np.minimum(alpha[:-1, :, a] + trans[a, b] + s[1:, :, b] + beta[1:, :, b] - z, 0))
-                pairs[a, b] = ((((y == a) & (y == b)) - e) * mask[1:] * w).sum()
+                pairs[a, b] = ((seen[a, b] - e * mask[1:]) * w).sum()
         grad[k:] = pairs.ravel()
         grad -= l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -143,7 +166,7 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> Field:
-    """Fit on the fit_docs labelled documents of the smallest id hash; only features of at most fit_docs x fit_lines lines reach the driver."""
+    """Fit on a sample of the labelled documents; only features of at most fit_docs x fit_lines lines reach the driver."""
     lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     picked = lab.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_docs).select("doc_id", "quality")
     k = len(FEATURES)
@@ -154,7 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_line
             for doc_id, text, quality in zip(*(lines_into(b, c) for c in ("doc_id", "text", "quality")), strict=True):
                 ids.append(doc_id)
                 labels_.append(int(quality))
-                flat.append(line_features(text.encode().split(b"\n"))[:fit_lines].ravel())
+                x = line_features(text.encode().split(b"\n"))
+                at = zlib.crc32(str(doc_id).encode()) % max(1, len(x) - fit_lines + 1)
+                flat.append(x[at : at + fit_lines].ravel())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels_, pa.int32()), pa.array(flat, pa.list_(pa.float64()))], names=["doc_id", "quality", "flat"])
 
     # at most fit_docs rows of two numbers are broadcast
@@ -195,7 +220,7 @@ def judge(text: str, field: Field, min_content: float = MIN_CONTENT) -> tuple:
     failed = len(words) < 50 or 100 * repeat > 50 * len(words)
     x = line_features(lines)
     marks = viterbi((x @ np.asarray(field.unary)).tolist(), field.trans)
-    sizes = [len(line) for line in lines]
+    sizes = [len(b"".join(line.split()).translate(None, LATER)) for line in lines]
     total = sum(sizes)
     share = sum(n for n, m in zip(sizes, marks, strict=True) if m) / total if total else 0.0
     return len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), dup, repeat, failed, share, not failed and share >= min_content

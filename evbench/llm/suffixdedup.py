@@ -1,28 +1,33 @@
 """Repeated-substring removal by bucket-pointer refinement (operator 7).
 
 Every byte that a string of `length` bytes covers which also starts anywhere else is removed; texts are UTF-8 bytes.  The
-query takes LENGTH; figures below are for it, and measures() derives all sizes from the length.
+query takes LENGTH; figures below are for it, and measures() derives all sizes from the length.  Several lengths can be
+looked for in one pass.
 
-1. A scan hashes each text's q-grams and keeps, for every window of `length` bytes, the q-gram of the least hash in it, the
-   first among equals.  Equal strings keep the same q-gram at the same offset, so only q-grams that are kept twice or more in
-   the corpus matter: these are the initial buckets, about one for every 128 bytes of repeated text.
+1. A scan names each text's q-grams, by doubling from bytes, and keeps for every window of `length` bytes the q-gram of the
+   least name in it, the first among equals.  Equal strings keep the same q-gram at the same offset, so only q-grams that
+   are kept twice or more in the corpus matter: these are the initial buckets, about one for every 128 bytes of repeated text.
 2. The strings of `length` bytes that keep a q-gram fall into blocks of 64 starts; all strings of a block share a core of
-   `length` - 63 bytes.  Each block is dealt to the bucket of its core, with the bytes on either side that its strings need.
+   `length` - 63 bytes.  A block's bucket is refined by the identifiers of the q-grams at later offsets in its core, one
+   q-gram further on each, up to the core's end; Spark sorts the blocks by these identifiers.  Identifiers are 128 bits of names and not
+   ranks, so that all tasks agree on them without a sort of every place of the corpus.
 3. In a bucket, pointers are refined byte by byte: a suffix that starts one byte earlier is sorted by that byte and the
    bucket pointer of the later offset, which the step before has just updated; on the right side a prefix one byte longer
    likewise.  A string is repeated if the pair of its left and right pointers occurs twice.  All buckets of a batch are
    refined together by one sort a step.
-4. q-grams kept more than `hot` times don't meet in one task: there, each string is a row with 128 bits of hash, and Spark
-   counts them.
+4. q-grams kept more than `hot` times don't meet in one task: there, each string of a text is a row with 128 bits of hash
+   and all its places in the text, and Spark counts them, over SALTS salts a string.
 
 Strings are judged on the input: nothing depends on what is removed.  Null or empty text, or fewer than `length` bytes:
-nothing is removed.  Repeated rows are copies of one another.  An empty table gives an empty result.  Removing bytes may cut a
+nothing is removed.  Repeated rows are copies of one another.  Very long texts are scanned in segments, and their rows are
+dealt like those of many texts.  An empty table gives an empty result.  Removing bytes may cut a
 character; `removed` then drops its broken rest from the text, while the digests are of the exact bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,12 +38,16 @@ from pyspark.sql import functions as F
 from .common import cut, texts
 
 LENGTH = 400
+#: Bytes of a repeat that the query reports without removing it: passages of over 50 words have some 300.
+PASSAGE = 256
 #: Occurrences of a q-gram beyond which its strings are counted by Spark.
 HOT = 100_000
 #: One q-gram in so many is common; no more than so many q-grams can be.
 COMMON = 10_000
 #: Rows that are refined at once, and bytes of a text that are scanned at once.
 BATCH, SEGMENT = 20_000, 1 << 20
+#: Tasks over which the texts that hold one hot string are dealt.
+SALTS = 64
 
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15
@@ -61,11 +70,11 @@ def measures(length: int) -> Measures:
     return Measures(gram, length - gram + 1, block, length - block + 1, block - 1)
 
 
-def _grams(raw: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the gram bytes from each place, by doubling; odd, so never 0."""
+def _grams(raw: np.ndarray, gram: int, base: int = _MUL) -> np.ndarray:
+    """A name of the gram bytes from each place, by doubling; odd, so never 0."""
     with np.errstate(over="ignore"):
         h = raw.astype(_U) + _U(1)
-        step, power = 1, _U(_MUL)
+        step, power = 1, _U(base)
         while 2 * step <= gram:
             h = h[:-step] * power + h[step:]
             step, power = 2 * step, power * power
@@ -75,6 +84,21 @@ def _grams(raw: np.ndarray, gram: int) -> np.ndarray:
         return (h ^ (h >> _U(29))) | _U(1)
 
 
+def core_names(raw: np.ndarray, starts: np.ndarray, m: Measures) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket identifiers of the cores that start at the given places: two sequences of q-gram names folded from front to end."""
+    steps = [*range(0, m.core - m.gram, m.gram), m.core - m.gram] if m.core > m.gram else [0]
+    gram = min(m.gram, m.core)
+    out = []
+    for base in (_MUL, 0xD1342543DE82EF95):
+        g = _grams(raw, gram, base)
+        with np.errstate(over="ignore"):
+            k = np.full(len(starts), m.core, _U)
+            for step in steps:
+                k = (k ^ (k >> _U(30))) * _U(0xBF58476D1CE4E5B9) + g[starts + step]
+            out.append(((k ^ (k >> _U(27))) * _U(0x94D049BB133111EB)).view(np.int64))
+    return out[0], out[1]
+
+
 def _least_places(g: np.ndarray, span: int) -> np.ndarray:
     """For each window of span values the place of the least one, the first among equals; by doubling the window."""
     at = np.arange(len(g), dtype=np.int32)
@@ -171,32 +195,40 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-SPANS = "doc_id long, h long, lo int, hi int"
+SPANS = "which int, doc_id long, h long, lo int, hi int"
 
 
-def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH) -> DataFrame:
-    """(doc_id, h, lo, hi): byte ranges to remove, overlapping.
+def _arrow(rows: list[tuple], kinds: list, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names.split())
+
+
+def spans(rows: DataFrame, text_col: str, hot: int = HOT, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """(which, doc_id, h, lo, hi): byte ranges covered by repeated strings of lengths[which] bytes, overlapping.
 
     rows: _keyed(docs).  They are joined here just as in _cut_out(), so that Spark shuffles the texts once for both.
     """
     spark = rows.sparkSession
-    _, _, block, core_size, edge = measures(length)
+    sizes = [measures(x) for x in lengths]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    long_, int_, list_ = pa.int64(), pa.int32(), pa.list_(pa.int64())
 
     def find(batches):
         for b in batches:
-            codes, hashes = [], []
+            codes, hashes, which = [], [], []
             for text in b.column(2).to_pylist():
-                c, g = anchors((text or "").encode(), length)
-                codes.append(c)
-                hashes.append(g)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "h", "codes", "grams"])
-
-    long_ = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= length))
-    found = cut(long_.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, codes array<long>, grams array<long>"))
+                data = (text or "").encode()
+                found = [anchors(data, x) for x in lengths]
+                codes.append(np.concatenate([c for c, _ in found]))
+                # a q-gram's bucket is of one length
+                hashes.append(np.concatenate([g ^ k for k, (_, g) in enumerate(found)]))
+                which.append(np.concatenate([np.full(len(c), k, np.int64) for k, (c, _) in enumerate(found)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, list_) for x in (which, codes, hashes))], names=["doc_id", "h", "which", "codes", "grams"])
+
+    some = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= min(lengths)))
+    found = cut(some.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, which array<long>, codes array<long>, grams array<long>"))
     counted = found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     total = found.agg(F.sum(F.size("grams"))).first()[0] or 0  # one number
-    each = found.select("doc_id", "h", F.explode(F.arrays_zip("codes", "grams")).alias("x")).select("doc_id", "h", F.col("x.codes").alias("c"), F.col("x.grams").alias("g"))
+    each = found.select("doc_id", "h", F.explode(F.arrays_zip("which", "codes", "grams")).alias("x")).select("doc_id", "h", F.struct("x.which", "x.codes").alias("c"), F.col("x.grams").alias("g"))
     # at most COMMON q-grams are that common: they are sent to every task, and only the others' rows meet by q-gram
     common = counted.where(F.col("n") > max(2, total // COMMON)).withColumnRenamed("n", "m")
     split = each.join(F.broadcast(common), "g", "left")
@@ -212,40 +244,45 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH)
     width, at = len(rows.columns), rows.columns.index(text_col)
 
     def deal(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-        names = ["k0", "k1", "doc_id", "h", "core", "left", "right", "hot"]
+        kinds = [int_, long_, long_, long_, long_, int_, pa.binary(), pa.binary(), pa.bool_()]
+        names = "which k0 k1 doc_id h core left right hot"
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for doc_id, h, text, got in zip(b.column(width - 2).to_pylist(), b.column(width - 1).to_pylist(), b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True):
                 if not got:
                     continue
                 data = text.encode()
-                for codes, is_hot in ((got["cold"], False), (got["hot"], True)):
-                    for c, lo, hi in blocks(codes, block):
-                        end = c + core_size
-                        k = np.frombuffer(hashlib.blake2b(data[c:end], digest_size=16).digest(), "<i8")
-                        out.append((int(k[0]), int(k[1]), doc_id, h, c, data[c - hi : c], data[end : end + edge - lo], is_hot))
+                raw = np.frombuffer(data, "u1")
+                for w, m in enumerate(sizes):
+                    own = [(c, lo, hi, is_hot) for kind, is_hot in (("cold", False), ("hot", True)) for c, lo, hi in blocks((x["codes"] for x in got[kind] if x["which"] == w), m.block)]
+                    if own:
+                        k0, k1 = core_names(raw, np.asarray([x[0] for x in own]), m)
+                        for (c, lo, hi, is_hot), x, y in zip(own, k0.tolist(), k1.tolist(), strict=True):
+                            end = c + m.core
+                            out.append((w, x, y, doc_id, h, c, data[c - hi : c], data[end : end + m.edge - lo], is_hot))
                 if len(out) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+                    yield _arrow(out, kinds, names)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+                yield _arrow(out, kinds, names)
 
-    dealt = _joined(rows, marks).mapInArrow(deal, "k0 long, k1 long, doc_id long, h long, core int, left binary, right binary, hot boolean")
+    dealt = _joined(rows, marks).mapInArrow(deal, "which int, k0 long, k1 long, doc_id long, h long, core int, left binary, right binary, hot boolean")
 
     def sort_buckets(batches):
-        def out(t: list) -> pa.RecordBatch | None:
-            k0, k1 = np.asarray(t[0]), np.asarray(t[1])
-            group = np.cumsum(np.concatenate([[0], (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])]))
-            keep = np.flatnonzero(np.bincount(group)[group] > 1)
-            if not len(keep):
-                return None
-            pick = [x.take(pa.array(keep)) for x in t]
-            marked = refine(np.unique(group[keep], return_inverse=True)[1], pick[5].to_pylist(), pick[6].to_pylist(), block)
-            rows_ = [(d, h, lo, hi) for d, h, c, m in zip(pick[2].to_pylist(), pick[3].to_pylist(), pick[4].to_pylist(), marked, strict=True) if m.any() for lo, hi in _runs(m, c, length)]
-            if not rows_:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(x, t_) for x, t_ in zip(zip(*rows_, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "h", "lo", "hi"])
+        def out(t: list) -> Iterator[pa.RecordBatch]:
+            which = np.asarray(t[0])
+            edge = _edges(t)
+            group = np.cumsum(np.concatenate([[0], edge]))
+            several = np.bincount(group)[group] > 1
+            for w, m in enumerate(sizes):
+                keep = np.flatnonzero(several & (which == w))
+                if not len(keep):
+                    continue
+                pick = [x.take(pa.array(keep)) for x in t]
+                marked = refine(np.unique(group[keep], return_inverse=True)[1], pick[6].to_pylist(), pick[7].to_pylist(), m.block)
+                found_ = [(w, d, h, lo, hi) for d, h, c, x in zip(pick[3].to_pylist(), pick[4].to_pylist(), pick[5].to_pylist(), marked, strict=True) if x.any() for lo, hi in _runs(x, c, lengths[w])]
+                if found_:
+                    yield _arrow(found_, [int_, long_, long_, int_, int_], "which doc_id h lo hi")
 
         held: list = []
         size = 0
@@ -255,38 +292,48 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH)
                 size += b.num_rows
             if size >= BATCH:
                 t = pa.Table.from_batches(held).combine_chunks()
-                k0, k1 = (t.column(i).to_numpy() for i in (0, 1))
                 # the last bucket may go on in the next batch
-                last = int(np.flatnonzero(np.concatenate([[True], (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])]))[-1])
-                if last and (done := out([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in t.slice(0, last).columns])):
-                    yield done
+                starts = np.flatnonzero(np.concatenate([[True], _edges([t.column(i) for i in range(3)])]))
+                last = int(starts[-1])
+                if last:
+                    yield from out([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in t.slice(0, last).columns])
                 held = t.slice(last).to_batches() if last else t.to_batches()
                 size = sum(x.num_rows for x in held) if last else 0
         if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            if done := out([x.combine_chunks() for x in t.columns]):
-                yield done
+            yield from out([x.combine_chunks() for x in pa.Table.from_batches(held).combine_chunks().columns])
 
-    cold = dealt.where("not hot").select("k0", "k1", "doc_id", "h", "core", "left", "right").repartition(n, "k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(sort_buckets, SPANS)
+    key = ["which", "k0", "k1"]
+    cold = dealt.where("not hot").drop("hot").repartition(n, *key).sortWithinPartitions(*key).mapInArrow(sort_buckets, SPANS)
     if counted.where(F.col("n") > hot).isEmpty():
         return cold
 
     def strings(batches):
-        """A row for each string of a hot block."""
+        """A row for each string of a text's hot blocks, with its places."""
         for b in batches:
-            out = []
-            for k0, k1, doc_id, h, core, left, right in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                key = np.asarray([k0, k1], "<i8").tobytes()
+            by: dict[tuple, list[int]] = {}
+            for w, k0, k1, doc_id, h, core, left, right in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                name, edge = np.asarray([k0, k1], "<i8").tobytes(), sizes[w].edge
                 for e in range(max(0, edge - len(right)), len(left) + 1):
                     # the lengths of both sides are fixed by e, so that the concatenation is unambiguous
-                    d = hashlib.blake2b(key + bytes([e]) + left[len(left) - e :] + right[: edge - e], digest_size=16).digest()
-                    out.append((*np.frombuffer(d, "<i8").tolist(), doc_id, h, core - e))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["s0", "s1", "doc_id", "h", "lo"])
+                    d = hashlib.blake2b(name + bytes([e]) + left[len(left) - e :] + right[: edge - e], digest_size=16).digest()
+                    by.setdefault((w, d, doc_id, h), []).append(core - e)
+            if by:
+                yield _arrow([(w, *np.frombuffer(d, "<i8").tolist(), doc_id, h, lo) for (w, d, doc_id, h), lo in by.items()], [int_, long_, long_, long_, long_, pa.list_(int_)], "which s0 s1 doc_id h lo")
+
+    made = dealt.where("hot").drop("hot").mapInArrow(strings, "which int, s0 long, s1 long, doc_id long, h long, lo array<int>")
+    each = cut(made.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int")))
+    name = ["which", "s0", "s1"]
+    salted = each.groupBy(*name, "salt").agg(F.sum(F.size("lo")).alias("n"))
+    twice = salted.groupBy(*name).agg(F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1").select(*name, F.explode("salts").alias("salt"))
+    several = each.join(twice, [*name, "salt"]).select("which", "doc_id", "h", F.explode("lo").alias("lo"))
+    length = F.element_at(F.array(*map(F.lit, lengths)), F.col("which") + 1)
+    return cold.unionByName(several.withColumn("hi", (F.col("lo") + length).cast("int")))
+
 
-    each = cut(dealt.where("hot").select("k0", "k1", "doc_id", "h", "core", "left", "right").mapInArrow(strings, "s0 long, s1 long, doc_id long, h long, lo int"))
-    twice = each.groupBy("s0", "s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return cold.unionByName(each.join(twice, ["s0", "s1"]).select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi")))
+def _edges(t: list) -> np.ndarray:
+    """Whether a row's first three columns differ from those of the row before, from the second row on."""
+    cols = [x.to_numpy() if isinstance(x, pa.ChunkedArray) else np.asarray(x) for x in t[:3]]
+    return np.any([c[1:] != c[:-1] for c in cols], axis=0)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -299,25 +346,27 @@ def _joined(rows: DataFrame, side: DataFrame) -> DataFrame:
     return rows.join(side.hint("shuffle_hash"), (rows["__id"] == side["__i"]) & (rows["__h"] == side["__g"]), "left").drop("__i", "__g")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, length: int = LENGTH) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """docs with every column, text_col without bytes of repeated strings of `length` bytes, plus n_bytes, n_removed, n_spans and kept_sha256.
 
+    With `passage`, n_passage counts the bytes covered by repeated strings of that length besides; they are not removed.
     Rows with a null id keep their text and neither give nor take repeats.
     """
     rows = _keyed(docs, id_col, text_col)
-    gone = spans(rows, text_col, hot, length).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
+    lengths = (length, passage) if passage else (length,)
+    of = lambda k: F.collect_set(F.when(F.col("which") == k, F.struct("lo", "hi")))
+    gone = spans(rows, text_col, hot, lengths).groupBy("doc_id", "h").agg(F.struct(of(0).alias("gone"), of(1).alias("passage")).alias("__spans"))
     joined = _joined(rows, gone.select("__spans", F.col("doc_id").alias("__i"), F.col("h").alias("__g")))
     end, at = len(docs.columns), docs.columns.index(text_col)
+    counts = ["n_bytes", "n_removed", "n_spans", *(["n_passage"] if passage else [])]
 
     def cut_out(batches):
         for b in batches:
-            out, sizes, lost, runs, sha = [], [], [], [], []
-            for text, ranges in zip(b.column(at).to_pylist(), b.column(end + 2).to_pylist(), strict=True):
+            out, numbers, sha = [], [], []
+            for text, found in zip(b.column(at).to_pylist(), b.column(end + 2).to_pylist(), strict=True):
                 data = (text or "").encode()
-                merged = united([(r["lo"], r["hi"]) for r in ranges or ()])
-                sizes.append(len(data))
-                lost.append(sum(hi - lo for lo, hi in merged))
-                runs.append(len(merged))
+                merged, shared = (united([(r["lo"], r["hi"]) for r in (found or {}).get(k) or ()]) for k in ("gone", "passage"))
+                numbers.append((len(data), sum(hi - lo for lo, hi in merged), len(merged), sum(hi - lo for lo, hi in shared)))
                 if merged:
                     bounds = [0, *(x for r in merged for x in r), len(data)]
                     data = b"".join(data[lo:hi] for lo, hi in zip(bounds[::2], bounds[1::2], strict=True))
@@ -326,18 +375,19 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
                 sha.append(hashlib.sha256(data).hexdigest())
             fields = [b.schema.field(i) for i in range(end)]
             columns = [pa.array(out, fields[i].type) if i == at else b.column(i) for i in range(end)]
-            more = [("n_bytes", sizes), ("n_removed", lost), ("n_spans", runs)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for _, x in more), pa.array(sha, pa.string())], schema=pa.schema([*fields, *((k, pa.int64()) for k, _ in more), ("kept_sha256", pa.string())]))
+            more = [pa.array([x[i] for x in numbers], pa.int64()) for i in range(len(counts))]
+            yield pa.RecordBatch.from_arrays([*columns, *more, pa.array(sha, pa.string())], schema=pa.schema([*fields, *((k, pa.int64()) for k in counts), ("kept_sha256", pa.string())]))
 
     schema = docs.select(*docs.columns).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
-        schema = schema.add(name, kind)
-    return joined.mapInArrow(cut_out, schema)
+    for name in counts:
+        schema = schema.add(name, "long")
+    return joined.mapInArrow(cut_out, schema.add("kept_sha256", "string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's 400 bytes decide; n_passage tells of repeats from PASSAGE bytes on, which passages of some fifty words have."""
     docs = texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed(docs, passage=PASSAGE).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
