@@ -1,8 +1,7 @@
 """Repeated-substring removal by bucket-pointer refinement (operator 7).
 
 Every byte that a string of `length` bytes covers which also starts anywhere else is removed; texts are UTF-8 bytes.  The
-query takes LENGTH; figures below are for it, and measures() derives all sizes from the length.  Several lengths can be
-looked for in one pass.
+query takes LENGTH; figures below are for it, and measures() derives all sizes from the length.
 
 1. A scan names each text's q-grams, by doubling from bytes, and keeps for every window of `length` bytes the q-gram of the
    least name in it, the first among equals.  Equal strings keep the same q-gram at the same offset, so only q-grams that
@@ -38,8 +37,6 @@ from pyspark.sql import functions as F
 from .common import cut, texts
 
 LENGTH = 400
-#: Bytes of a repeat that the query reports without removing it: passages of over 50 words have some 300.
-PASSAGE = 256
 #: Occurrences of a q-gram beyond which its strings are counted by Spark.
 HOT = 100_000
 #: One q-gram in so many is common; no more than so many q-grams can be.
@@ -195,40 +192,33 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-SPANS = "which int, doc_id long, h long, lo int, hi int"
+SPANS = "doc_id long, h long, lo int, hi int"
 
 
 def _arrow(rows: list[tuple], kinds: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names.split())
 
 
-def spans(rows: DataFrame, text_col: str, hot: int = HOT, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
-    """(which, doc_id, h, lo, hi): byte ranges covered by repeated strings of lengths[which] bytes, overlapping.
+def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH) -> DataFrame:
+    """(doc_id, h, lo, hi): byte ranges covered by repeated strings, overlapping.
 
     rows: _keyed(docs).  They are joined here just as in _cut_out(), so that Spark shuffles the texts once for both.
     """
     spark = rows.sparkSession
-    sizes = [measures(x) for x in lengths]
+    m = measures(length)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long_, int_, list_ = pa.int64(), pa.int32(), pa.list_(pa.int64())
 
     def find(batches):
         for b in batches:
-            codes, hashes, which = [], [], []
-            for text in b.column(2).to_pylist():
-                data = (text or "").encode()
-                found = [anchors(data, x) for x in lengths]
-                codes.append(np.concatenate([c for c, _ in found]))
-                # a q-gram's bucket is of one length
-                hashes.append(np.concatenate([g ^ k for k, (_, g) in enumerate(found)]))
-                which.append(np.concatenate([np.full(len(c), k, np.int64) for k, (c, _) in enumerate(found)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, list_) for x in (which, codes, hashes))], names=["doc_id", "h", "which", "codes", "grams"])
-
-    some = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= min(lengths)))
-    found = cut(some.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, which array<long>, codes array<long>, grams array<long>"))
+            found = [anchors((text or "").encode(), length) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[i] for x in found], list_) for i in (0, 1))], names=["doc_id", "h", "codes", "grams"])
+
+    some = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= length))
+    found = cut(some.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, codes array<long>, grams array<long>"))
     counted = found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     total = found.agg(F.sum(F.size("grams"))).first()[0] or 0  # one number
-    each = found.select("doc_id", "h", F.explode(F.arrays_zip("which", "codes", "grams")).alias("x")).select("doc_id", "h", F.struct("x.which", "x.codes").alias("c"), F.col("x.grams").alias("g"))
+    each = found.select("doc_id", "h", F.explode(F.arrays_zip("codes", "grams")).alias("x")).select("doc_id", "h", F.col("x.codes").alias("c"), F.col("x.grams").alias("g"))
     # at most COMMON q-grams are that common: they are sent to every task, and only the others' rows meet by q-gram
     common = counted.where(F.col("n") > max(2, total // COMMON)).withColumnRenamed("n", "m")
     split = each.join(F.broadcast(common), "g", "left")
@@ -244,8 +234,8 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, lengths: tuple[int, ..
     width, at = len(rows.columns), rows.columns.index(text_col)
 
     def deal(batches):
-        kinds = [int_, long_, long_, long_, long_, int_, pa.binary(), pa.binary(), pa.bool_()]
-        names = "which k0 k1 doc_id h core left right hot"
+        kinds = [long_, long_, long_, long_, int_, pa.binary(), pa.binary(), pa.bool_()]
+        names = "k0 k1 doc_id h core left right hot"
         for b in batches:
             out: list[tuple] = []
             for doc_id, h, text, got in zip(b.column(width - 2).to_pylist(), b.column(width - 1).to_pylist(), b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True):
@@ -253,36 +243,30 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, lengths: tuple[int, ..
                     continue
                 data = text.encode()
                 raw = np.frombuffer(data, "u1")
-                for w, m in enumerate(sizes):
-                    own = [(c, lo, hi, is_hot) for kind, is_hot in (("cold", False), ("hot", True)) for c, lo, hi in blocks((x["codes"] for x in got[kind] if x["which"] == w), m.block)]
-                    if own:
-                        k0, k1 = core_names(raw, np.asarray([x[0] for x in own]), m)
-                        for (c, lo, hi, is_hot), x, y in zip(own, k0.tolist(), k1.tolist(), strict=True):
-                            end = c + m.core
-                            out.append((w, x, y, doc_id, h, c, data[c - hi : c], data[end : end + m.edge - lo], is_hot))
+                own = [(*x, is_hot) for kind, is_hot in (("cold", False), ("hot", True)) for x in blocks(got[kind], m.block)]
+                k0, k1 = core_names(raw, np.asarray([x[0] for x in own]), m)
+                for (c, lo, hi, is_hot), x, y in zip(own, k0.tolist(), k1.tolist(), strict=True):
+                    end = c + m.core
+                    out.append((x, y, doc_id, h, c, data[c - hi : c], data[end : end + m.edge - lo], is_hot))
                 if len(out) >= 4096:
                     yield _arrow(out, kinds, names)
                     out = []
             if out:
                 yield _arrow(out, kinds, names)
 
-    dealt = _joined(rows, marks).mapInArrow(deal, "which int, k0 long, k1 long, doc_id long, h long, core int, left binary, right binary, hot boolean")
+    dealt = _joined(rows, marks).mapInArrow(deal, "k0 long, k1 long, doc_id long, h long, core int, left binary, right binary, hot boolean")
 
     def sort_buckets(batches):
         def out(t: list) -> Iterator[pa.RecordBatch]:
-            which = np.asarray(t[0])
-            edge = _edges(t)
-            group = np.cumsum(np.concatenate([[0], edge]))
-            several = np.bincount(group)[group] > 1
-            for w, m in enumerate(sizes):
-                keep = np.flatnonzero(several & (which == w))
-                if not len(keep):
-                    continue
-                pick = [x.take(pa.array(keep)) for x in t]
-                marked = refine(np.unique(group[keep], return_inverse=True)[1], pick[6].to_pylist(), pick[7].to_pylist(), m.block)
-                found_ = [(w, d, h, lo, hi) for d, h, c, x in zip(pick[3].to_pylist(), pick[4].to_pylist(), pick[5].to_pylist(), marked, strict=True) if x.any() for lo, hi in _runs(x, c, lengths[w])]
-                if found_:
-                    yield _arrow(found_, [int_, long_, long_, int_, int_], "which doc_id h lo hi")
+            group = np.cumsum(np.concatenate([[0], _edges(t)]))
+            keep = np.flatnonzero(np.bincount(group)[group] > 1)
+            if not len(keep):
+                return
+            pick = [x.take(pa.array(keep)) for x in t]
+            marked = refine(np.unique(group[keep], return_inverse=True)[1], pick[5].to_pylist(), pick[6].to_pylist(), m.block)
+            found_ = [(d, h, lo, hi) for d, h, c, x in zip(pick[2].to_pylist(), pick[3].to_pylist(), pick[4].to_pylist(), marked, strict=True) if x.any() for lo, hi in _runs(x, c, length)]
+            if found_:
+                yield _arrow(found_, [long_, long_, int_, int_], "doc_id h lo hi")
 
         held: list = []
         size = 0
@@ -293,7 +277,7 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, lengths: tuple[int, ..
             if size >= BATCH:
                 t = pa.Table.from_batches(held).combine_chunks()
                 # the last bucket may go on in the next batch
-                starts = np.flatnonzero(np.concatenate([[True], _edges([t.column(i) for i in range(3)])]))
+                starts = np.flatnonzero(np.concatenate([[True], _edges([t.column(i) for i in range(2)])]))
                 last = int(starts[-1])
                 if last:
                     yield from out([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in t.slice(0, last).columns])
@@ -302,7 +286,7 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, lengths: tuple[int, ..
         if held:
             yield from out([x.combine_chunks() for x in pa.Table.from_batches(held).combine_chunks().columns])
 
-    key = ["which", "k0", "k1"]
+    key = ["k0", "k1"]
     cold = dealt.where("not hot").drop("hot").repartition(n, *key).sortWithinPartitions(*key).mapInArrow(sort_buckets, SPANS)
     if counted.where(F.col("n") > hot).isEmpty():
         return cold
@@ -311,28 +295,27 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, lengths: tuple[int, ..
         """A row for each string of a text's hot blocks, with its places."""
         for b in batches:
             by: dict[tuple, list[int]] = {}
-            for w, k0, k1, doc_id, h, core, left, right in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                name, edge = np.asarray([k0, k1], "<i8").tobytes(), sizes[w].edge
+            for k0, k1, doc_id, h, core, left, right in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                name, edge = np.asarray([k0, k1], "<i8").tobytes(), m.edge
                 for e in range(max(0, edge - len(right)), len(left) + 1):
                     # the lengths of both sides are fixed by e, so that the concatenation is unambiguous
                     d = hashlib.blake2b(name + bytes([e]) + left[len(left) - e :] + right[: edge - e], digest_size=16).digest()
-                    by.setdefault((w, d, doc_id, h), []).append(core - e)
+                    by.setdefault((d, doc_id, h), []).append(core - e)
             if by:
-                yield _arrow([(w, *np.frombuffer(d, "<i8").tolist(), doc_id, h, lo) for (w, d, doc_id, h), lo in by.items()], [int_, long_, long_, long_, long_, pa.list_(int_)], "which s0 s1 doc_id h lo")
+                yield _arrow([(*np.frombuffer(d, "<i8").tolist(), doc_id, h, lo) for (d, doc_id, h), lo in by.items()], [long_, long_, long_, long_, pa.list_(int_)], "s0 s1 doc_id h lo")
 
-    made = dealt.where("hot").drop("hot").mapInArrow(strings, "which int, s0 long, s1 long, doc_id long, h long, lo array<int>")
+    made = dealt.where("hot").drop("hot").mapInArrow(strings, "s0 long, s1 long, doc_id long, h long, lo array<int>")
     each = cut(made.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int")))
-    name = ["which", "s0", "s1"]
+    name = ["s0", "s1"]
     salted = each.groupBy(*name, "salt").agg(F.sum(F.size("lo")).alias("n"))
     twice = salted.groupBy(*name).agg(F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1").select(*name, F.explode("salts").alias("salt"))
-    several = each.join(twice, [*name, "salt"]).select("which", "doc_id", "h", F.explode("lo").alias("lo"))
-    length = F.element_at(F.array(*map(F.lit, lengths)), F.col("which") + 1)
+    several = each.join(twice, [*name, "salt"]).select("doc_id", "h", F.explode("lo").alias("lo"))
     return cold.unionByName(several.withColumn("hi", (F.col("lo") + length).cast("int")))
 
 
 def _edges(t: list) -> np.ndarray:
-    """Whether a row's first three columns differ from those of the row before, from the second row on."""
-    cols = [x.to_numpy() if isinstance(x, pa.ChunkedArray) else np.asarray(x) for x in t[:3]]
+    """Whether a row's first two columns differ from those of the row before, from the second row on."""
+    cols = [x.to_numpy() if isinstance(x, pa.ChunkedArray) else np.asarray(x) for x in t[:2]]
     return np.any([c[1:] != c[:-1] for c in cols], axis=0)
 
 
@@ -346,27 +329,24 @@ def _joined(rows: DataFrame, side: DataFrame) -> DataFrame:
     return rows.join(side.hint("shuffle_hash"), (rows["__id"] == side["__i"]) & (rows["__h"] == side["__g"]), "left").drop("__i", "__g")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, length: int = LENGTH) -> DataFrame:
     """docs with every column, text_col without bytes of repeated strings of `length` bytes, plus n_bytes, n_removed, n_spans and kept_sha256.
 
-    With `passage`, n_passage counts the bytes covered by repeated strings of that length besides; they are not removed.
     Rows with a null id keep their text and neither give nor take repeats.
     """
     rows = _keyed(docs, id_col, text_col)
-    lengths = (length, passage) if passage else (length,)
-    of = lambda k: F.collect_set(F.when(F.col("which") == k, F.struct("lo", "hi")))
-    gone = spans(rows, text_col, hot, lengths).groupBy("doc_id", "h").agg(F.struct(of(0).alias("gone"), of(1).alias("passage")).alias("__spans"))
+    gone = spans(rows, text_col, hot, length).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
     joined = _joined(rows, gone.select("__spans", F.col("doc_id").alias("__i"), F.col("h").alias("__g")))
     end, at = len(docs.columns), docs.columns.index(text_col)
-    counts = ["n_bytes", "n_removed", "n_spans", *(["n_passage"] if passage else [])]
+    counts = ["n_bytes", "n_removed", "n_spans"]
 
     def cut_out(batches):
         for b in batches:
             out, numbers, sha = [], [], []
             for text, found in zip(b.column(at).to_pylist(), b.column(end + 2).to_pylist(), strict=True):
                 data = (text or "").encode()
-                merged, shared = (united([(r["lo"], r["hi"]) for r in (found or {}).get(k) or ()]) for k in ("gone", "passage"))
-                numbers.append((len(data), sum(hi - lo for lo, hi in merged), len(merged), sum(hi - lo for lo, hi in shared)))
+                merged = united([(r["lo"], r["hi"]) for r in found or ()])
+                numbers.append((len(data), sum(hi - lo for lo, hi in merged), len(merged)))
                 if merged:
                     bounds = [0, *(x for r in merged for x in r), len(data)]
                     data = b"".join(data[lo:hi] for lo, hi in zip(bounds[::2], bounds[1::2], strict=True))
@@ -385,9 +365,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's 400 bytes decide; n_passage tells of repeats from PASSAGE bytes on, which passages of some fifty words have."""
     docs = texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return removed(docs, passage=PASSAGE).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")
+    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
