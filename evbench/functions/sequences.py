@@ -42,9 +42,8 @@ def head_and_tail(seq: Column, most: int) -> Column:
 
 
 def kmer_list(seq: Column, k: int) -> Column:
-    """All k-mers in order; none where the sequence is shorter (a descending range is guarded against)."""
-    n = F.length(seq) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All k-mers in order; none where the sequence is shorter.  A look-ahead walks the sequence once."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def kmers(seq: Column, k: int) -> Column:

@@ -96,3 +96,9 @@ def position_share(pos: Column, length: Column) -> Column:
 def contacts_at(pairs: Column, site: Column) -> Column:
     """struct(total, at_site) of an array of struct(i, j) contacts."""
     return F.struct(F.size(pairs).alias("total"), F.size(F.filter(pairs, lambda p: p.i == site)).alias("at_site"))
+
+
+def presence(a: Column, b: Column, sequence_a: Column, sequence_b: Column) -> Column:
+    """struct(self_interaction, has_a, has_b): whether both ends are one, and whether each has a sequence."""
+    has = lambda s: F.length(F.coalesce(s, F.lit(""))) > 0
+    return F.struct(F.coalesce(a == b, F.lit(False)).alias("self_interaction"), has(sequence_a).alias("has_a"), has(sequence_b).alias("has_b"))

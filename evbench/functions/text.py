@@ -116,3 +116,15 @@ def signed_effect(ratio: Column, bound: Column, free: Column, mutant: Column) ->
     for cond, effect, why in reversed(rules):
         out = F.when(cond, F.struct(F.lit(effect).alias("effect"), F.lit(why).alias("why"))).otherwise(out)
     return out
+
+
+def split_from_path(path: Column) -> Column:
+    """The partition that a file's name tells of: the first of its words that is a synonym of train, valid or test; else null."""
+    words = F.split(F.lower(F.regexp_replace(basename(path), r"\.[^.]*$", "")), "[^a-z]+")
+    return F.get(F.filter(F.transform(words, split_name), lambda x: x.isNotNull()), F.lit(0))
+
+
+def placeholder(sequence: Column, accession: Column, site: Column | None = None) -> Column:
+    """The sequence, or ID:accession[:site] where it is missing or empty."""
+    parts = [F.lit("ID"), accession.cast("string"), *([site.cast("string")] if site is not None else [])]
+    return F.coalesce(F.nullif(sequence, F.lit("")), F.concat_ws(":", *parts))

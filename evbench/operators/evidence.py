@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sequences import ALPHABET
+from .durable import cut
 
 
 def resolve_columns(df: DataFrame, aliases: Mapping[str, Sequence[str]], explicit: Mapping[str, str] | None = None) -> DataFrame:
@@ -129,4 +130,33 @@ def evidence_tier(direct: Column, replicated: Column, overlap: Column) -> Column
 
 def conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
     """Keys that carry more than one label, with their labels and row counts."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels")).where("k > 1").drop("k")
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("__k"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels")).where("__k > 1").drop("__k")
+
+
+def collapse(df: DataFrame, key: str, label: str, publication: str) -> DataFrame:
+    """(key, label, publication, n, excluded): rows alike in all three are one; keys that carry several labels are excluded.
+
+    Excluded rows stay in the result, so that they can be reported.
+    """
+    one = df.groupBy(key, label, publication).agg(F.count(F.lit(1)).alias("n"))
+    clash = conflicts(df, key, label).select(key, F.lit(True).alias("excluded"))
+    return one.join(clash, key, "left").fillna(False, ["excluded"])
+
+
+def route_ambiguous(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """(accepted, ambiguous): rows without a reason as they are, and of the others the reason and the whole row as JSON."""
+    rows = df.withColumn("__why", reason)
+    return rows.where("__why is null").drop("__why"), rows.where("__why is not null").select(F.col("__why").alias("reason"), F.to_json(F.struct(*df.columns)).alias("original"))
+
+
+def stable_ids(df: DataFrame, keys: Sequence[str], out: str = "row_id", prefix: str = "event_", width: int = 5) -> DataFrame:
+    """df with an id by place in the order of the keys, from 0, zero-padded.
+
+    Ranges are sorted by Spark and numbered within their tasks; only their sizes are summed, one row for each range.
+    """
+    ranged = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    numbered = ranged.withColumn("__p", part).join(base, "__p").withColumn("__at", at + F.col("__base"))
+    return numbered.select(*df.columns, F.concat(F.lit(prefix), F.lpad(F.col("__at").cast("string"), F.greatest(F.lit(width), F.length(F.col("__at").cast("string"))), F.lit("0"))).alias(out))

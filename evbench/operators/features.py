@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import hash32, kmer_list
+from ..functions.sequences import crop_around, crop_around_median, format_pairs, hash32, kmer_list, remap_pairs
+from ..functions.text import pair_key
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -51,3 +52,33 @@ def mechanism_columns(df: DataFrame, defaults: dict[str, str], lengths: Sequence
 def prefer_own(df: DataFrame, store: DataFrame, on: str, own: str, other: str) -> DataFrame:
     """df with `sequence`: the row's own where it has one, else the store's, else the empty string."""
     return df.join(store.select(on, F.col(other).alias("__other")), on, "left").withColumn("sequence", F.coalesce(F.nullif(F.col(own), F.lit("")), F.col("__other"), F.lit(""))).drop("__other")
+
+
+def model_inputs(rows: DataFrame, most: int) -> DataFrame:
+    """(id, crop_a, start_a, at_a, crop_b, start_b, contacts, key): what a pair model reads.
+
+    rows: (id, a, b, seq_a, pos, seq_b, pairs), pairs of places from 0.  The modified sequence is cropped around its site, the
+    partner around its median contact, and contacts are moved into the crops.
+    """
+    places = F.transform("pairs", lambda p: p.j + 1)
+    j = rows.select("*", crop_around(F.col("seq_a"), F.col("pos"), most).alias("x"), crop_around_median(F.col("seq_b"), places, most).alias("y"))
+    moved = remap_pairs(F.col("pairs"), F.col("x.start"), F.col("y.start"), F.length("x.crop"), F.length("y.crop"))
+    return j.select("id", F.col("x.crop").alias("crop_a"), F.col("x.start").alias("start_a"), F.col("x.at").alias("at_a"), F.col("y.crop").alias("crop_b"), F.col("y.start").alias("start_b"), format_pairs(moved).alias("contacts"), pair_key(F.col("a"), F.col("b")).alias("key"))
+
+
+def broken_inputs(manifest: DataFrame, sequence: str, ids: str, least: int = 0, most: int = 19) -> DataFrame:
+    """Rows of a strict manifest whose id list isn't as long as the sequence or holds an id out of range; it must be empty."""
+    bad = F.exists(ids, lambda i: i.isNull() | (i < least) | (i > most))
+    return manifest.where(F.col(ids).isNull() | (F.size(ids) != F.length(sequence)) | bad)
+
+
+def feature_pack(df: DataFrame, families: dict[str, Sequence[str]]) -> DataFrame:
+    """df with a vector for each family of numeric columns and `combined`, which holds all of them in order; nulls are 0."""
+    out = df.fillna(0.0, sorted({c for cs in families.values() for c in cs}))
+    every = {**families, "combined": [c for cs in families.values() for c in cs]}
+    return out.withColumns({name: F.array(*[F.col(c).cast("double") for c in cs]) for name, cs in every.items()})
+
+
+def counterfactual(modified: Column, unmodified: Column) -> Column:
+    """struct(modified, unmodified, delta) of two states' vectors of one length."""
+    return F.struct(modified.alias("modified"), unmodified.alias("unmodified"), F.zip_with(modified, unmodified, lambda a, b: a - b).alias("delta"))

@@ -13,18 +13,25 @@ from .durable import cut
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(v, label) of every vertex of the undirected edges (a, b); label is the smallest vertex of its component.
 
-    Each round takes the smallest label among the neighbours and then that label's own label, so that chains shorten
-    geometrically.  Self-loops keep a vertex without other edges.
+    Each round orders the vertices by a fresh hash, points every vertex at the least of itself and its neighbours, and puts those
+    in place of the ends of the edges; edges within one vertex and repeated ones go.  A constant share of the vertices goes in each
+    round, of a chain as of a star.  Minima are combined map-side, and a hub's edges are gone after the first rounds; joins by a hub
+    or by a large component's label are split by Spark's skew join.  Self-loops keep a vertex without other edges.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.v == near.a).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = cut(step.join(labels.select(F.col("v").alias("label"), F.col("label").alias("far")), "label").select("v", "old", F.least("label", "far").alias("label")))
-        labels = new.select("v", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+    every = cut(edges.select("a", "b").distinct())
+    labels = cut(every.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
+    left = every.where("a <> b")
+    for k in range(most_rounds):
+        if left.isEmpty():
+            named = labels.groupBy("label").agg(F.min("v").alias("least"))
+            return labels.join(named, "label").select("v", F.col("least").alias("label"))
+        key = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        least = F.least(key("a"), key("b")).alias("m")
+        ends = left.select(F.col("a").alias("v"), least).unionByName(left.select(F.col("b").alias("v"), least))
+        step = cut(ends.groupBy("v").agg(F.min("m").alias("m")).select("v", F.col("m.v").alias("m")))
+        labels = cut(labels.join(step.toDF("label", "m"), "label", "left").select("v", F.coalesce("m", "label").alias("label")))
+        moved = left.join(step.toDF("a", "am"), "a").join(step.toDF("b", "bm"), "b")
+        left = cut(moved.select(F.least("am", "bm").alias("a"), F.greatest("am", "bm").alias("b")).where("a <> b").distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -115,7 +122,12 @@ def topology_features(train: DataFrame, pairs: DataFrame) -> DataFrame:
     deg = ends.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     asked = pairs.select("a", "b").distinct()
     near = both.select(F.col("a").alias("v"), F.col("b").alias("w"))
-    paths = asked.join(near.select(F.col("v").alias("a"), "w"), "a").where("w <> a and w <> b").join(near.select(F.col("v").alias("b"), "w"), ["b", "w"])
+    # a pair lists the neighbours of its end of smaller degree, and the other end is looked up among theirs
+    size = both.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    sized = asked.join(size.toDF("a", "ka"), "a").join(size.toDF("b", "kb"), "b")
+    few, many = F.when(F.col("ka") <= F.col("kb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ka") <= F.col("kb"), F.col("b")).otherwise(F.col("a"))
+    turned = sized.select("a", "b", few.alias("few"), many.alias("many"))
+    paths = turned.join(near.toDF("few", "w"), "few").where("w <> a and w <> b").join(near.toDF("many", "w"), ["many", "w"])
     common = paths.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     comp = components(e)
     known = e.select("a", "b", F.lit(True).alias("edge"))
@@ -124,3 +136,19 @@ def topology_features(train: DataFrame, pairs: DataFrame) -> DataFrame:
     out = out.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(known.withColumnsRenamed({"a": "lo", "b": "hi"}), ["lo", "hi"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("a", "b", zero("deg_a"), zero("deg_b"), zero("common"), F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("same_component"), F.coalesce("edge", F.lit(False)).alias("edge_exists"))
+
+
+def subgraph_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(v, degree) of the nodes (v) in the simple graph of the edges (a, b) that both ends are nodes of; 0 for those without."""
+    keep = lambda c: nodes.select(F.col("v").alias(c)).distinct()
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().join(keep("a"), "a", "left_semi").join(keep("b"), "b", "left_semi")
+    d = e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.select("v").distinct().join(d, "v", "left").fillna(0, ["degree"])
+
+
+def community_key(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs (a, b) with community_pair: the communities of both ends as texts in text order, -1 for an end without one."""
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").cast("string").alias(f"__{c}"))
+    j = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    x, y = F.coalesce("__a", F.lit("-1")), F.coalesce("__b", F.lit("-1"))
+    return j.withColumn("community_pair", F.concat(F.least(x, y), F.lit("|"), F.greatest(x, y))).drop("__a", "__b")

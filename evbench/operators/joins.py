@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import kmers
+from ..functions.sequences import kmer_list
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -59,31 +59,51 @@ def inside(crops: DataFrame, ranges: DataFrame, on: str) -> DataFrame:
     return j.withColumn("status", why)
 
 
-def token_pairs(items: DataFrame, ident: str, token: str, cap: int) -> DataFrame:
-    """Distinct pairs (a < b) of ids that share a token held by at most cap ids.
+def token_pairs(items: DataFrame, ident: str, token: str, cap: int | None) -> DataFrame:
+    """Distinct pairs (a < b) of ids that share a token held by at most cap ids; cap None: by any number.
 
     cap is part of the operator's meaning (commoner tokens say nothing); it bounds a group to cap rows before it meets itself.
     """
     rows = items.select(F.col(ident).alias("id"), F.col(token).alias("token")).distinct()
-    kept = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= cap)).select("token")
+    n = F.col("n")
+    kept = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((n > 1) & (n <= cap) if cap is not None else n > 1).select("token")
     few = rows.join(kept, "token")
     return few.select("token", F.col("id").alias("a")).join(few.select("token", F.col("id").alias("b")), "token").where("a < b").select("a", "b").distinct()
 
 
-def contained(needles: DataFrame, texts: DataFrame, k: int = 20) -> DataFrame:
+def window_minima(rows: DataFrame, values: str, size: int) -> DataFrame:
+    """rows with the array column replaced by the distinct minima of its windows of `size` values; the last windows are shorter.
+
+    Windows double by a projection each, so that an array is computed once and not once for each use.
+    """
+    step = 1
+    while step < size:
+        move = min(step, size - step)
+        after = F.slice(values, move + 1, F.greatest(F.size(values) - move, F.lit(0)))
+        rows = rows.withColumn(values, F.zip_with(values, after, lambda a, b: F.least(a, b)))
+        step += move
+    return rows.withColumn(values, F.array_distinct(values))
+
+
+def contained(needles: DataFrame, texts: DataFrame, k: int = 20, window: int = 64) -> DataFrame:
     """(needle_id, text_id, start): needles (needle_id, needle) that stand in texts (text_id, text); start counts from 0.
 
-    Probes are a needle's first, middle and last k-mers; a text must have all of them before it is searched.  Needles shorter
-    than k match nothing.
+    A needle is looked up by the least hash among its first `window` k-mers.  A text that holds it has that hash as the minimum
+    of the window there, so only about two of `window` k-mers of a text leave its task, as numbers; texts that share one are
+    searched.  Needles of fewer than window k-mers are looked up by their first k-mer among all k-mers, needles shorter than k
+    match nothing.
     """
+    hashes = lambda c: F.transform(kmer_list(F.col(c), k), lambda g: F.xxhash64(g))
     n = F.length("needle")
-    mid = F.greatest(F.lit(0), F.floor(n / 2).cast("int") - k // 2)
-    probes = F.array_distinct(F.array(F.substring("needle", 1, k), F.substring("needle", mid + 1, F.lit(k)), F.substring("needle", n - k + 1, F.lit(k))))
-    asked = needles.where(n >= k).select("needle_id", F.explode(probes).alias("kmer"), F.size(probes).alias("asked"))
-    # only k-mers that are probes leave their task's join
-    grams = texts.select("text_id", F.explode(kmers(F.col("text"), k)).alias("kmer"))
-    hits = grams.join(asked, "kmer").groupBy("needle_id", "text_id").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("n = asked")
-    return hits.join(needles, "needle_id").join(texts, "text_id").select("needle_id", "text_id", (F.instr(F.col("text"), F.col("needle")) - 1).alias("start")).where("start >= 0")
+    long_ = needles.where(n >= k + window - 1).select("needle_id", F.array_min(F.slice(hashes("needle"), 1, window)).alias("g"))
+    minima = window_minima(texts.select("text_id", hashes("text").alias("g")), "g", window).withColumn("g", F.explode_outer("g"))  # a plain explode pushes a filter on the array, with all its steps, below them
+    hits = minima.join(long_, "g").select("needle_id", "text_id")
+    short = needles.where((n >= k) & (n < k + window - 1)).select("needle_id", F.xxhash64(F.left("needle", F.lit(k))).alias("g"))
+    if not short.isEmpty():
+        every = texts.select("text_id", F.explode(F.array_distinct(hashes("text"))).alias("g"))
+        hits = hits.unionByName(every.join(short, "g").select("needle_id", "text_id"))
+    found = hits.distinct().join(needles, "needle_id").join(texts, "text_id")
+    return found.select("needle_id", "text_id", (F.instr(F.col("text"), F.col("needle")) - 1).alias("start")).where("start >= 0")
 
 
 def match_or_keep(needles: DataFrame, matches: DataFrame) -> DataFrame:

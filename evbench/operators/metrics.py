@@ -106,7 +106,7 @@ def sweep(df: DataFrame, by: Sequence[str], label: str, score: str, candidates:
     x = r.where("c = 1").join(t, list(by))
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     fn, tn = F.col("P") - tp, F.col("N") - fp
-    value = {"mcc": mcc(tp, fp, fn, tn), "macro_f1": (_f1(tp, fp, fn) + _f1(tn, fn, fp)) / 2}[objective]
+    value = {"mcc": mcc(tp, fp, fn, tn), "macro_f1": (_f1(tp, fp, fn) + _f1(tn, fn, fp)) / 2, "mcc_balanced": mcc(tp, fp, fn, tn) + (tp / F.col("P") + tn / F.col("N")) / 2}[objective]
     best = x.groupBy(*by).agg(F.max_by("s", F.struct(F.round(value, 9).alias("v"), (-F.col("s")).alias("t"))).alias("threshold"), F.min("P").alias("P"), F.min("N").alias("N"))
     return best.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("threshold")).otherwise(0.5).alias("threshold"))
 
@@ -115,3 +115,43 @@ def quantile_candidates(df: DataFrame, by: Sequence[str], score: str) -> DataFra
     """(by, s): the 2 % to 98 % quantiles of the scores."""
     q = F.array(*[F.lit(i / 100) for i in range(2, 99)])
     return df.groupBy(*by).agg(F.percentile(score, q).alias("q")).select(*by, F.explode("q").alias("s"))
+
+
+def weighted_f1(df: DataFrame, by: Sequence[str], label: str, score: str, threshold: Column | float) -> DataFrame:
+    """(by, weighted_f1): the F1 of both classes weighted by their rows."""
+    c = confusion(df, by, label, score, threshold)
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return c.select(*by, F.round(((tp + fn) * _f1(tp, fp, fn) + (tn + fp) * _f1(tn, fn, fp)) / (tp + fp + fn + tn), 9).alias("weighted_f1"))
+
+
+def prevalence_threshold(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
+    """(by, threshold): the score quantile above which as large a share of rows lies as is positive, between two scores linearly."""
+    h = _histogram(df, by, label, score).withColumn("n", F.col("pos") + F.col("neg"))
+    r = running(h, by, "s", ["n"], _bucket())
+    t = df.groupBy(*by).agg(F.count(F.lit(1)).alias("of"), F.sum(F.col(label).cast("long")).alias("hits"))
+    # place (of - 1) (1 - hits / of) of the ascending scores, counted from 0, as a whole part and a rest
+    place = (F.col("of") - 1) * (F.col("of") - F.col("hits"))
+    x = r.join(t, list(by)).withColumn("lo", F.expr("((of - 1) * (of - hits)) div of")).withColumn("f", (place - F.col("lo") * F.col("of")) / F.col("of"))
+    first = lambda k: F.min(F.when(F.col("cum_n") > F.col("lo") + k, F.col("s")))
+    g = x.groupBy(*by).agg(first(0).alias("a"), first(1).alias("b"), F.first("f").alias("f"))
+    return g.select(*by, F.round(F.col("a") + F.col("f") * (F.coalesce("b", "a") - F.col("a")), 9).alias("threshold"))
+
+
+def metric_rows(preds: DataFrame, by: Sequence[str], label: str, score: str, ident: str, part: str = "part") -> DataFrame:
+    """One row per group: sizes and positive rates of the parts, the threshold of best MCC on valid, and test metrics at it."""
+    y = F.col(label).cast("int")
+    of = lambda p: F.col(part) == p
+    sizes = preds.groupBy(*by).agg(*[F.count_if(of(p)).alias(f"{p}_n") for p in ("valid", "test")], *[F.round(F.avg(F.when(of(p), y)), 9).alias(f"{p}_rate") for p in ("valid", "test")])
+    valid, test = preds.where(of("valid")), preds.where(of("test"))
+    best = sweep(valid, by, label, score, quantile_candidates(valid, by, score))
+    out = sizes.join(best, list(by))
+    for one in (
+        auroc(test, by, label, score),
+        average_precision(test, by, label, score),
+        confusion(test.join(best, list(by)), by, label, score, F.col("threshold")).select(*by, "mcc", "macro_f1", "balanced_accuracy"),
+        brier_and_log_loss(test, by, label, score).select(*by, "brier"),
+        ece(test, by, label, score),
+        precision_at(test, by, label, score, ident).withColumnRenamed("precision", "precision_at_50"),
+    ):
+        out = out.join(one, list(by), "left")
+    return out

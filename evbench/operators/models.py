@@ -8,9 +8,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 
 def prior(rows: DataFrame, part: str, label: str) -> DataFrame:
     """rows with score: the positive rate of train."""
@@ -33,22 +35,22 @@ def classifier(kind: str, n_features: int, seed: int = 7):
     if kind == "logistic":
         return LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01, **y)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=40, minInstancesPerNode=2, weightCol="weight", seed=seed, **y)
+        return RandomForestClassifier(numTrees=300, minInstancesPerNode=2, weightCol="weight", seed=seed, **y)
     if kind == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 16, 2], maxIter=40, seed=seed, **y)
     raise ValueError(f"unknown model {kind!r}")
 
 
-def fit_score(rows: DataFrame, part: str, label: str, categories: Sequence[str], numbers: Sequence[str], kind: str, least_train: int = 80) -> DataFrame:
+def fit_score(rows: DataFrame, part: str, label: str, categories: Sequence[str], numbers: Sequence[str], kind: str, least_train: int = 2) -> DataFrame:
     """rows with score and confidence.  Indexers, encoders and scalers see train alone; unseen categories have a place of their own.
 
-    Too few train rows or one class: no rows, as the split can't be used.
+    Raises ValueError where train has fewer than least_train rows or one class only, as the split can't be used.
     """
     rows = balanced(rows.withColumn("y", F.col(label).cast("double")), part, label)
     train = rows.where(F.col(part) == "train")
     n, k = train.agg(F.count(F.lit(1)), F.count_distinct("y")).first()
     if n < least_train or k < 2:
-        return rows.where("false").withColumn("score", F.lit(0.0)).withColumn("confidence", F.lit(0.0)).drop("y", "weight")
+        raise ValueError(f"train has {n} rows of {k} classes; {least_train} rows of two classes are needed")
     stages = []
     if categories:
         stages.append(StringIndexer(inputCols=list(categories), outputCols=[f"{c}_i" for c in categories], handleInvalid="keep"))
@@ -75,3 +77,39 @@ def aligned(probs: DataFrame, ident: str, classes: Sequence[str]) -> DataFrame:
     """(id, class, p) for every class, 0 where the model doesn't know it."""
     ids = probs.select(ident).distinct().withColumn("class", F.explode(F.array(*map(F.lit, classes))))
     return ids.join(probs, [ident, "class"], "left").fillna(0.0, ["p"])
+
+
+def harness(rows: DataFrame, ident: str, splits: DataFrame, names: Sequence[str], label: str, categories: Sequence[str], numbers: Sequence[str], kinds: Sequence[str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(predictions (id, split, model, part, label, score, confidence), status per split) of every split and model.
+
+    splits: long table (id, split, part).  The driver loops over the splits and models, each a distributed fit on train alone; a split
+    whose train can't be used is skipped with its reason.
+    """
+    out, status = None, {}
+    for name in names:
+        mine = rows.join(splits.where(F.col("split") == name).select(ident, "part"), ident)
+        try:
+            for kind in kinds:
+                scored = fit_score(mine, "part", label, categories, numbers, kind)
+                one = cut(scored.select(ident, F.lit(name).alias("split"), F.lit(kind).alias("model"), "part", label, "score", "confidence"))
+                out = one if out is None else out.unionByName(one)
+            status[name] = "ok"
+        except ValueError as why:
+            status[name] = str(why)
+    return out, status
+
+
+def external_scores(train: DataFrame, valid: DataFrame, external: DataFrame, ident: str, label: str, categories: Sequence[str], numbers: Sequence[str], kind: str = "logistic") -> DataFrame:
+    """(id, part, label, score, confidence) of external and valid rows by a model that is fitted on train and then frozen.
+
+    Raises ValueError if valid rows are train rows too: a threshold must come from rows that the model hasn't seen.
+    """
+    if not train.select(ident).join(valid.select(ident), ident, "left_semi").isEmpty():
+        raise ValueError("valid rows are among the train rows")
+    every = train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("valid"))).unionByName(external.withColumn("part", F.lit("external")))
+    return fit_score(every, "part", label, categories, numbers, kind).where("part <> 'train'").select(ident, "part", label, "score", "confidence")
+
+
+def labelled(preds: DataFrame, threshold: Column | float) -> DataFrame:
+    """Predictions with the label that the threshold gives."""
+    return preds.withColumn("threshold", F.lit(threshold) if isinstance(threshold, float) else threshold).withColumn("predicted", F.col("score") >= F.col("threshold"))

@@ -6,24 +6,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import jaccard
+from .durable import cut
 from .graphs import components
-from .joins import token_pairs
 
 
-def jaccard_edges(sets: DataFrame, ident: str, items: str, cap: int, least: float, blocking: str | None = None) -> DataFrame:
-    """(a, b, score) of pairs of at least the given similarity; sets: (id, items array).
+def _candidates(sets: DataFrame, cap: int | None, least: float) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs (a, b), ids that hold a kept token); sets: (id, n, block, m), m ids stand behind each row.
 
-    Candidates share a token held by at most cap ids; the score uses all tokens.  blocking: a column of fewer tokens that
-    candidates must share instead.
+    A token is kept if at most cap ids hold it.  Two sets of similarity `least` have a token in common among the
+    n - ceil(least n) + 1 rarest of each, if the block is the whole set; so only those meet.  Of the tokens that two sets
+    share the rarest one is kept if any is.
     """
-    block = blocking or items
-    pairs = token_pairs(sets.select(F.col(ident).alias("id"), F.explode(block).alias("token")), "id", "token", cap)
-    s = sets.select(F.col(ident).alias("id"), F.col(items).alias("s"))
-    j = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    tokens = cut(sets.select("id", "n", "whole", "m", F.explode("block").alias("token")))
+    count = tokens.groupBy("token").agg(F.sum("m").alias("held"))
+    known = tokens.join(count, "token")
+    rank = F.array_sort(F.collect_list(F.struct("held", "token")))
+    take = F.when(F.col("whole"), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1).otherwise(F.col("n"))
+    prefix = known.groupBy("id", "n", "whole").agg(rank.alias("t")).select("id", F.explode(F.slice("t", 1, take)).alias("t")).select("id", "t.*")
+    kept = prefix.where(F.col("held") <= cap) if cap is not None else prefix
+    some = cut(kept.where("held > 1").select("id", "token"))
+    pairs = some.withColumnRenamed("id", "a").join(some.withColumnRenamed("id", "b"), "token").where("a < b").select("a", "b").distinct()
+    whole = known if cap is None else known.where(F.col("held") <= cap)
+    return pairs, whole.select("id").distinct()
+
+
+def _scored(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs whose sets are similar enough; sizes are compared before the sets are."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"s{c}"), F.size("items").alias(f"n{c}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
     return j.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)
 
 
-def clusters(sets: DataFrame, ident: str, edges: DataFrame) -> DataFrame:
-    """(id, cluster): components of the edges; items without edges are alone."""
-    alone = sets.select(F.col(ident).alias("a"), F.col(ident).alias("b"))
-    return components(edges.select("a", "b").unionByName(alone)).select(F.col("v").alias(ident), F.col("label").alias("cluster"))
+def _sets(sets: DataFrame, ident: str, items: str, blocking: str | None) -> DataFrame:
+    block = F.array_distinct(F.col(blocking or items))
+    return sets.select(F.col(ident).alias("id"), F.array_distinct(F.col(items)).alias("items"), block.alias("block"), F.size(block).alias("n"), F.lit(blocking is None).alias("whole"))
+
+
+def jaccard_edges(sets: DataFrame, ident: str, items: str, cap: int | None, least: float, blocking: str | None = None) -> DataFrame:
+    """(a, b, score) of pairs of at least the given similarity; sets: (id, items array).
+
+    Candidates share a token held by at most cap ids (None: by any number); the score uses all tokens.  blocking: a column of
+    fewer tokens that candidates must share instead.
+    """
+    rows = _sets(sets, ident, items, blocking).withColumn("m", F.lit(1))
+    return _scored(_candidates(rows, cap, least)[0], rows, least)
+
+
+def jaccard_clusters(sets: DataFrame, ident: str, items: str, cap: int | None, least: float, blocking: str | None = None) -> DataFrame:
+    """(id, cluster): components of the pairs of jaccard_edges(); an id without one is alone.
+
+    Ids of equal sets are one class from the start, so that copies aren't paired with one another; they are linked if one of their
+    tokens is kept.
+    """
+    key = F.md5(F.concat_ws("/", *[F.array_join(F.array_sort(F.col(c)).cast("array<string>"), ",") for c in ("items", "block")]))
+    rows = cut(_sets(sets, ident, items, blocking).withColumn("key", key))
+    classes = cut(rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("items", "block", "n", "whole")]))
+    pairs, linked = _candidates(classes, cap, least)
+    edges = _scored(pairs, classes, least).select("a", "b")
+    copies = rows.select("key", F.col("id").alias("b")).join(classes.join(linked, "id", "left_semi").select("key", F.col("id").alias("a")), "key").select("a", "b")
+    alone = rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return components(edges.unionByName(copies).unionByName(alone)).select(F.col("v").alias(ident), F.col("label").alias("cluster"))

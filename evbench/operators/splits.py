@@ -155,3 +155,27 @@ def split_or_skip(df: DataFrame, specs: Sequence[tuple[str, str, int]]) -> tuple
         long = one if long is None else long.unionByName(one)
         status.append((name, "made", ""))
     return long, df.sparkSession.createDataFrame(status, "split string, status string, reason string")
+
+
+def cohort_split(df: DataFrame, year: Column, cutoff: int) -> DataFrame:
+    """df with part: train up to the cutoff year, holdout after it, null without a year."""
+    return df.withColumn("part", F.when(year <= cutoff, "train").when(year > cutoff, "holdout"))
+
+
+def named_splits(df: DataFrame, ident: str, specs: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """(id, split, key, part) of many group splits at once; specs: (name, key column, seed).  Rows without a key are in train.
+
+    All splits share each shuffle; per split only the histogram of its group sizes reaches the driver.
+    """
+    one = lambda name, key, seed: F.struct(F.lit(name).alias("split"), F.col(key).cast("string").alias("key"), F.lit(str(seed)).alias("seed"))
+    long = df.select(F.col(ident), F.explode(F.array(*[one(*s) for s in specs])).alias("x")).select(ident, "x.*")
+    groups = long.where("key is not null").groupBy("split", "key", "seed").agg(F.count(F.lit(1)).alias("size"))
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in groups.groupBy("split", "size").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes.setdefault(r["split"], []).append((r["size"], r["n"]))
+    cuts = [(name, s, a, a + b) for name, of in sizes.items() for s, (a, b, _) in fill(of).items()]
+    bounds = df.sparkSession.createDataFrame(cuts, "split string, size long, __a long, __b long")
+    ranked = hash_rank(groups, ["split", "size"], F.md5(F.concat_ws("|", "seed", "key")), ["key"], "__rank")
+    part = F.when(F.col("__rank") <= F.col("__a"), "train").when(F.col("__rank") <= F.col("__b"), "valid").otherwise("test")
+    assigned = ranked.join(bounds, ["split", "size"]).select("split", "key", part.alias("part"))
+    return long.drop("seed").join(assigned, ["split", "key"], "left").select(ident, "split", "key", F.coalesce("part", F.lit("train")).alias("part"))

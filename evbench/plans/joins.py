@@ -9,11 +9,11 @@ from ..operators import joins as J
 from .base import query, table
 
 
-@query("lookup_left", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name, n_name FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 <> 0) ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity < 5")
+@query("lookup_left", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name, n_name FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 <> 0) ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey")
 def lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").withColumnRenamed("s_suppkey", "l_suppkey")
     n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
-    li = table(spark, sf_dir, "lineitem").where("l_quantity < 5").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return J.lookup(J.lookup(li, s, ["l_suppkey"]), n, ["s_nationkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s_name", "n_name")
 
 
@@ -112,12 +112,12 @@ def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "either_direction",
-    """WITH c AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS y, l_linenumber AS v FROM lineitem WHERE l_partkey < 100), q AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey < 100 AND l_orderkey % 2 = 0 UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey < 100 AND l_orderkey % 3 = 0),
+    """WITH c AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS y, l_linenumber AS v FROM lineitem), q AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey % 2 = 0 UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 3 = 0),
     w AS (SELECT x AS a, y AS b, v, 0 AS p FROM c UNION ALL SELECT y, x, v, 1 FROM c), m AS (SELECT a, b, min(p) AS p FROM w GROUP BY ALL)
     SELECT a, b, v, p = 1 AS reversed FROM q JOIN m USING (a, b) JOIN w USING (a, b, p)""",
 )
 def either_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_partkey < 100")
+    li = table(spark, sf_dir, "lineitem")
     c = li.select(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y"), F.col("l_linenumber").alias("v")).distinct()
     q = li.where("l_orderkey % 2 = 0").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).union(li.where("l_orderkey % 3 = 0").select("l_suppkey", "l_partkey")).distinct()
     return J.either_direction(q, c, "v")

@@ -105,7 +105,7 @@ def lineage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "null_enrichment",
-    """WITH s AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site FROM lineitem WHERE l_quantity > 40), e AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res, l_linestatus AS label FROM lineitem WHERE l_orderkey % 20 = 0),
+    """WITH s AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site FROM lineitem WHERE l_quantity > 40), e AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res, l_linestatus AS label FROM lineitem),
     n AS (SELECT s.chain, s.res, count(*) AS total, count(i.site) AS hits FROM s LEFT JOIN i USING (chain, site) GROUP BY ALL), x AS (SELECT label, (i.site IS NOT NULL)::INT AS hit, hits / total AS expected FROM e JOIN n USING (chain, res) LEFT JOIN i USING (chain, site))
     SELECT coalesce(label, 'all') AS label, count(*) AS n, sum(hit)::BIGINT AS observed, round(sum(expected), 6) AS expected, round(sum(hit) / sum(expected), 6) AS ratio FROM x GROUP BY ROLLUP (label)""",
 )
@@ -115,6 +115,6 @@ def null_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chain"), F.col("l_partkey").alias("site"), F.col("l_returnflag").alias("res"), F.col("l_linestatus").alias("label"), "l_quantity", "l_orderkey")
     i = li.where("l_quantity > 40").select("chain", "site").distinct().withColumn("hit", F.lit(1))
     n = li.select("chain", "site", "res").distinct().join(i, ["chain", "site"], "left").groupBy("chain", "res").agg((F.count("hit") / F.count(F.lit(1))).alias("rate"))
-    e = li.where("l_orderkey % 20 = 0").select("chain", "site", "res", "label").distinct()
+    e = li.select("chain", "site", "res", "label").distinct()
     x = e.join(n, ["chain", "res"]).join(i, ["chain", "site"], "left").fillna(0, ["hit"])
     return overall_and_by(x, "label", F.count(F.lit(1)).alias("n"), F.sum("hit").alias("observed"), F.round(F.sum("rate"), 6).alias("expected"), F.round(F.sum("hit") / F.sum("rate"), 6).alias("ratio"))

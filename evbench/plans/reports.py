@@ -105,7 +105,7 @@ def topk_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.enrichment(o.select("o_orderkey", "o_totalprice", o.o_orderpriority.alias("st"), (o.o_orderstatus == "F").alias("hit")), "o_orderkey", "o_totalprice", "hit", ["st"], 200)
 
 
-@query("min_evidence_gate", "SELECT count(*) AS row_count, count(DISTINCT l_orderkey) AS publications, count(*) FILTER (WHERE l_suppkey % 97 = 0) AS overlaps, CASE WHEN count(*) >= 50 AND count(DISTINCT l_orderkey) >= 10 AND count(*) FILTER (WHERE l_suppkey % 97 = 0) = 0 THEN 'validation' ELSE 'pilot' END AS status FROM lineitem WHERE l_partkey % 50 = 1")
+@query("min_evidence_gate", "SELECT count(*) AS row_count, count(DISTINCT l_orderkey) AS publications, count(*) FILTER (WHERE l_suppkey % 97 = 0) AS overlaps, CASE WHEN count(*) >= 50 AND count(DISTINCT l_orderkey) >= 10 AND count(*) FILTER (WHERE l_suppkey % 97 = 0) = 0 THEN 'validation' ELSE 'pilot' END AS status FROM lineitem")
 def min_evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 1").withColumn("o", F.col("l_suppkey") % 97 == 0)
+    li = table(spark, sf_dir, "lineitem").withColumn("o", F.col("l_suppkey") % 97 == 0)
     return R.minimum_evidence(li, "l_orderkey", "o")

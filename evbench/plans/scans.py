@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as Q
 from ..functions import text as T
+from ..operators.durable import shared_folder
 from ..sources import readers as R
 from .base import query, table
 
 
 def _landing(spark: SparkSession, what: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-landing-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 CLEAN = "regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]', '', 'g'), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g')"
@@ -33,14 +32,15 @@ def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fasta(spark, path)
 
 
-@query("atom_scan", "SELECT c AS chain, count(*) AS residues, min(p_size) AS first_size, max(p_size) AS last_size FROM (SELECT chr((65 + p_partkey % 5)::INT) AS c, p_size, p_partkey FROM part WHERE p_partkey < 900) GROUP BY c")
+@query("atom_scan", "SELECT 'Complex' || (p_partkey // 5000) AS complex_id, chr((65 + p_partkey % 5)::INT) AS chain, count(*) AS residues, min(p_size) AS first_size, max(p_size) AS last_size FROM part GROUP BY ALL")
 def atom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 900")
-    line = F.format_string("ATOM  %5d  CA  GLY %s%4d    ", (p.p_partkey % 99999).cast("int"), F.char(65 + p.p_partkey % 5), p.p_partkey.cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.floor(F.col("p_partkey") / 5000).alias("file"))
+    line = F.format_string("ATOM  %5d  CA  GLY %s%4d    ", (p.p_partkey % 99999).cast("int"), F.char(65 + p.p_partkey % 5), (p.p_partkey % 5000).cast("int"))
     path = _landing(spark, "atoms")
-    p.select(line.alias("value")).coalesce(1).write.text(path)
-    got = R.atoms(spark, path).select("chain", F.col("site").cast("long").alias("p_partkey"))
-    return got.join(p.select("p_partkey", "p_size"), "p_partkey").groupBy("chain").agg(F.count(F.lit(1)).alias("residues"), F.min("p_size").alias("first_size"), F.max("p_size").alias("last_size"))
+    # a folder for each complex, as its name is part of the path
+    p.select(line.alias("value"), F.concat(F.lit("Complex"), "file").alias("complex")).write.partitionBy("complex").text(path)
+    got = R.atoms(spark, path).select("complex_id", "chain", (F.regexp_extract("complex_id", r"(\d+)$", 1).cast("long") * 5000 + F.col("site")).alias("p_partkey"))
+    return got.join(p.select("p_partkey", "p_size"), "p_partkey").groupBy("complex_id", "chain").agg(F.count(F.lit(1)).alias("residues"), F.min("p_size").alias("first_size"), F.max("p_size").alias("last_size"))
 
 
 @query("delimited_roundtrip", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand FROM part")

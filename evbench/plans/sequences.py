@@ -91,7 +91,7 @@ EDGES = """few AS (SELECT t FROM {block} GROUP BY t HAVING count(*) BETWEEN 2 AN
 size AS (SELECT id, count(*) AS n FROM sets GROUP BY id), inter AS (SELECT a, b, count(*) AS k FROM pairs JOIN sets x ON x.id = a JOIN sets y ON y.id = b AND y.t = x.t GROUP BY ALL),
 edges AS (SELECT a, b, k / (p.n + q.n - k) AS score FROM inter JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE k / (p.n + q.n - k) >= {least})"""
 CLUSTERS = "u AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), walk(v, l) AS (SELECT DISTINCT id, id FROM sets UNION SELECT u.b, w.l FROM walk w JOIN u ON u.a = w.v WHERE u.b > w.l)"
-TOKENS = "sets AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS t FROM lineitem WHERE l_orderkey % 3 = 0)"
+TOKENS = "sets AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS t FROM lineitem)"
 
 
 @query("token_jaccard_edges", f"WITH {TOKENS}, {EDGES.format(block='sets', cap=250, least=0.25)} SELECT a, b, round(score, 9) AS score FROM edges")
@@ -99,15 +99,15 @@ def token_jaccard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.jaccard_edges(_token_sets(spark, sf_dir), "id", "t", 250, 0.25).withColumn("score", F.round("score", 9))
 
 
-@query("token_jaccard_clusters", f"WITH RECURSIVE {TOKENS}, {EDGES.format(block='sets', cap=250, least=0.6)}, {CLUSTERS} SELECT v AS id, min(l) AS cluster FROM walk GROUP BY v")
+@query("token_jaccard_clusters", f"WITH RECURSIVE {TOKENS}, {EDGES.format(block='sets', cap=250, least=0.4)}, {CLUSTERS} SELECT v AS id, min(l) AS cluster FROM walk GROUP BY v")
 def token_jaccard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _token_sets(spark, sf_dir)
-    return M.clusters(s, "id", M.jaccard_edges(s, "id", "t", 250, 0.6))
+    return M.jaccard_clusters(s, "id", "t", 250, 0.4)
 
 
 def _token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
-    return li.groupBy(li.l_orderkey.alias("id")).agg(F.collect_set("l_suppkey").alias("t"))
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(li.l_orderkey.alias("id")).agg(F.collect_set("l_partkey").alias("t"))
 
 
 @query(
@@ -118,7 +118,7 @@ def sketch_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     s = c.select((c.conv_id * 1000 + c.turn).alias("id"), Q.clean_sequence(c.text).alias("s")).where(F.length("s") >= 3)
     s = s.select("id", Q.sketch(F.col("s")).alias("sketch")).withColumn("head", F.slice("sketch", 1, 8))
-    return M.clusters(s, "id", M.jaccard_edges(s, "id", "sketch", 200, 0.72, "head"))
+    return M.jaccard_clusters(s, "id", "sketch", 200, 0.72, "head")
 
 
 @query("pair_vector_features", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))), 5) AS l1, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS dot, 4 * len(a.embedding) AS dims FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

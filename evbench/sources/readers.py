@@ -65,17 +65,19 @@ def fasta(spark: SparkSession, path: str, strip_isoform: bool = False) -> DataFr
 def atoms(spark: SparkSession, path: str) -> DataFrame:
     """(complex_id, chain, ord, site, residue): CA atoms of fixed-width records, first of each residue, in file order.
 
-    A blank chain is `_`, an unknown residue `X`; the complex is the end of the file's name.  A residue whose number isn't an
+    A blank chain is `_`, an unknown residue `X`; the complex is the end of the file's name or, for a complex of several files,
+    of its folder's.  A residue whose number isn't an
     integer is dropped after it has counted as seen.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "t"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "t"))
     part = lambda lo, n: F.trim(F.substring("t", lo, n))
     ca = files.where((F.substring("t", 1, 4) == "ATOM") & (part(13, 4) == "CA"))
     table = F.create_map(*[F.lit(x) for kv in RESIDUES.items() for x in kv])
-    stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    complex_id = F.coalesce(F.nullif(F.regexp_extract(stem, r"(Complex\d+(?:_\d+)?)$", 1), F.lit("")), stem)
+    stem = F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    named = lambda c: F.nullif(F.regexp_extract(c, r"(Complex\d+(?:_\d+)?)$", 1), F.lit(""))
+    complex_id = F.coalesce(named(stem), named(F.regexp_extract("file", r"([^/]*)/[^/]*$", 1)), stem)
     chain = F.coalesce(F.nullif(part(22, 1), F.lit("")), F.lit("_"))
-    rows = ca.select(complex_id.alias("complex_id"), chain.alias("chain"), part(23, 4).alias("num"), part(27, 1).alias("icode"), F.coalesce(F.element_at(table, part(18, 3)), F.lit("X")).alias("residue"), "line")
+    rows = ca.select(complex_id.alias("complex_id"), chain.alias("chain"), part(23, 4).alias("num"), part(27, 1).alias("icode"), F.coalesce(F.element_at(table, part(18, 3)), F.lit("X")).alias("residue"), F.struct("file", "line").alias("line"))
     first = rows.groupBy("complex_id", "chain", "num", "icode").agg(F.min_by("residue", "line").alias("residue"), F.min("line").alias("line"))
     kept = first.withColumn("site", F.col("num").try_cast("int")).where("site is not null")
     from pyspark.sql import Window
