@@ -1,9 +1,9 @@
-"""Licence scan by a positional token index (operator 4); DataFrame functions only.
+"""Licence scan by a positional rare-token index (operator 4); DataFrame functions only.
 
 Words are runs of digits, letters a-z and non-ASCII characters of the lower-cased text.  The index holds, for each word of
-the licence templates that isn't a function word, the templates and places where it stands.  Every occurrence of an index
-word in a file votes for (template, place of the template's start in the file); no word is left out, however many licences
-a file holds.  Where two different template places agree on a start (one, if the template has no more), the template's
+the licence templates that isn't a function word, the templates and places where it stands.  Of each template a file looks
+up the `rare` words of highest IDF that it holds, IDF being over the templates, so that the words of one licence never displace
+another's.  Each of their occurrences votes for (template, place of the template's start in the file).  Where two different template places agree on a start (one, if the template has no more), the template's
 words are laid over the file there; at least `min_share` of them must agree and its mandatory key phrases must stand in it
 word by word.  A template's label is then added to the base labels.
 
@@ -51,6 +51,8 @@ TEMPLATES = (
 )
 #: Base phrases: words, label, and which of the words is the least common.
 BASE = (("under the mit license", "mit", 2), ("apache license version 2", "apache-2", 0), ("cc by nc", "cc-by-nc", 0))
+#: Words of a template that a file looks up.
+RARE = 8
 #: Words that say nothing about a licence; they are not indexed but do count in the comparison.
 FUNCTION_WORDS = frozenset("a all and any are by copy extent for form has in into is met of on or other possible released subject terms that the this to under use with without work".split())
 
@@ -90,25 +92,40 @@ def index_of(templates: Sequence[Template]) -> list[tuple[str, int, int]]:
     return [(w, t, i) for t, x in enumerate(templates) for i, w in enumerate(x.text.split()) if w not in FUNCTION_WORDS]
 
 
-def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, min_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def by_rarity(index: list[tuple[str, int, int]]) -> dict[int, list[str]]:
+    """template -> its index words by falling IDF over the templates, then by the word."""
+    held: dict[str, set[int]] = {}
+    for w, t, _ in index:
+        held.setdefault(w, set()).add(t)
+    return {t: sorted({w for w, u, _ in index if u == t}, key=lambda w: (len(held[w]), w)) for t in {t for _, t, _ in index}}
+
+
+def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, min_share: float = 0.6, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)"""
     index = index_of(templates)
     literal = lambda ws: F.array(*map(F.lit, ws))
     span = max(len(t.text.split()) for t in templates)
-    # a vote is template << 32 | start + span; a word's postings are its votes at place 0
-    postings: dict[str, list[int]] = {}
+    # a vote is template << 32 | start + span; a word's postings are its votes at place 0, each with template << 32 | word
+    postings: dict[str, list[tuple[int, int]]] = {}
+    number = {word: k for k, word in enumerate(sorted({word for word, _, _ in index}))}
     for word, t, i in index:
-        postings.setdefault(word, []).append((t << 32) + span - i)
-    lookup = F.create_map(*[c for word, ps in postings.items() for c in (F.lit(word), F.array(*[F.lit(p).cast("long") for p in ps]))])
+        postings.setdefault(word, []).append(((t << 32) + span - i, (t << 32) + number[word]))
+    entry = lambda p: F.struct(F.lit(p[0]).cast("long").alias("vote"), F.lit(p[1]).cast("long").alias("own"))
+    lookup = F.create_map(*[c for word, ps in postings.items() for c in (F.lit(word), F.array(*map(entry, ps)))])
+    rarest = F.array(*[F.array(*[F.struct(F.lit(word).alias("word"), F.lit((t << 32) + number[word]).cast("long").alias("own")) for word in words]) for t, words in sorted(by_rarity(index).items())])
     forms = F.array(*[F.struct(F.lit(x.label).alias("label"), literal(x.text.split()).alias("words"), literal([f" {p} " for p in x.phrases]).alias("phrases")) for x in templates])
     single = [t for t in range(len(templates)) if len({i for _, u, i in index if u == t}) == 1]
 
     w = F.col("w")
     worded = texts(docs, id_col, text_col).select("doc_id", words_of(F.col("text")).alias("w"))
     present = worded.select("doc_id", "w", F.array_intersect(literal(sorted(postings)), w).alias("present"))
+    # of each template the words of highest IDF that the file holds
+    some = lambda words: F.slice(F.filter(words, lambda x: F.array_contains("present", x["word"])), 1, rare)
+    asked = F.when(F.size("present") > 0, F.flatten(F.transform(rarest, lambda words: F.transform(some(words), lambda x: x["own"])))).otherwise(F.array().cast("array<long>"))
+    present = present.withColumn("asked", asked)
     hit = lambda x, i: F.when(F.array_contains("present", x), F.struct(x.alias("word"), i.alias("at")))
     hits = F.when(F.size("present") > 0, F.filter(F.transform(w, hit), lambda h: h.isNotNull())).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
-    votes = F.sort_array(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(lookup, h["word"]), lambda p: p + h["at"]))))
+    votes = F.sort_array(F.flatten(F.transform(hits, lambda h: F.transform(F.filter(F.element_at(lookup, h["word"]), lambda p: F.array_contains("asked", p["own"])), lambda p: p["vote"] + h["at"]))))
     voted = present.select("doc_id", "w", base_places(w).alias("base"), votes.alias("votes"))
     # a place votes once for a start, so equal votes are different places
     enough = lambda v, i: (F.get(F.col("votes"), i - 1) == v) | F.shiftright(v, 32).isin(single) if single else F.get(F.col("votes"), i - 1) == v
@@ -139,12 +156,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def sql(templates: Sequence[Template] = TEMPLATES, base: Sequence[tuple[str, str, int]] = BASE, rare: int = 6, min_share: float = 0.6) -> str:
+def sql(templates: Sequence[Template] = TEMPLATES, base: Sequence[tuple[str, str, int]] = BASE, rare: int = RARE, min_share: float = 0.6) -> str:
     """DuckDB SQL that gives the rows of scan() with these parameters over documents."""
     quote = lambda x: "'" + str(x).replace("'", "''") + "'"
     index = index_of(templates)
     needed = {t: min(2, len({i for _, u, i in index if u == t})) for t in range(len(templates))}
-    idx = ", ".join(f"({quote(w)}, {t}, {i}, {needed[t]})" for w, t, i in index)
+    order = by_rarity(index)
+    idx = ", ".join(f"({quote(w)}, {t}, {i}, {needed[t]}, {order[t].index(w)})" for w, t, i in index)
     tpl = ", ".join(f"({t}, {quote(x.label)}, {j}, {quote(w)}, {len(x.text.split())})" for t, x in enumerate(templates) for j, w in enumerate(x.text.split()))
     phr = ", ".join(f"({t}, {quote(f' {p} ')})" for t, x in enumerate(templates) for p in x.phrases)
     places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS pos, {quote(label)} AS label FROM flat WHERE w[i : i + {len(p.split()) - 1}] = [{', '.join(map(quote, p.split()))}]" for p, label, _ in base)
@@ -155,18 +173,16 @@ WITH d AS (
   SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
 ), words AS (
   SELECT doc_id, i - 1 AS pos, w[i] AS word FROM flat
-), idx(word, t, place, needed) AS (VALUES {idx}), tpl(t, label, j, word, size) AS (VALUES {tpl}), phr(t, phrase) AS (VALUES {phr}),
+), idx(word, t, place, needed, at) AS (VALUES {idx}), tpl(t, label, j, word, size) AS (VALUES {tpl}), phr(t, phrase) AS (VALUES {phr}),
 base AS ({places}),
 based AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id
 ), present AS (
   SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM idx)
-), df AS (
-  SELECT word, count(*) AS n FROM present GROUP BY word
 ), top AS (
-  SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS r FROM present JOIN df USING (word)) WHERE r <= {rare}
+  SELECT doc_id, t, word FROM (SELECT doc_id, t, word, row_number() OVER (PARTITION BY doc_id, t ORDER BY at) AS r FROM present JOIN (SELECT DISTINCT word, t, at FROM idx) USING (word)) WHERE r <= {rare}
 ), agreed AS (
-  SELECT doc_id, t, pos - place AS start FROM words JOIN top USING (doc_id, word) JOIN idx USING (word) GROUP BY doc_id, t, pos - place, needed HAVING count(DISTINCT place) >= needed
+  SELECT doc_id, t, pos - place AS start FROM words JOIN top USING (doc_id, word) JOIN idx USING (word, t) GROUP BY doc_id, t, pos - place, needed HAVING count(DISTINCT place) >= needed
 ), laid AS (
   SELECT a.doc_id, a.t, a.start, p.label, count(*) FILTER (WHERE w.word = p.word) / p.size AS share, ' ' || string_agg(coalesce(w.word, '-'), ' ' ORDER BY p.j) || ' ' AS joined
   FROM agreed a JOIN tpl p ON p.t = a.t LEFT JOIN words w ON w.doc_id = a.doc_id AND w.pos = a.start + p.j GROUP BY a.doc_id, a.t, a.start, p.label, p.size
@@ -181,28 +197,29 @@ FROM d LEFT JOIN based b USING (doc_id) LEFT JOIN verified v USING (doc_id)
 """
 
 
-#: Rows of query() in DuckDB, but that only the six rarest index words of a text vote here: labels of texts with many licences
-#: can be missing.
+#: Rows of query() in DuckDB.
 SQL = sql()
 
 
-def brute_force(rows: Sequence[tuple[int, str | None]], templates: Sequence[Template] = TEMPLATES, min_share: float = 0.6) -> list[tuple]:
+def brute_force(rows: Sequence[tuple[int, str | None]], templates: Sequence[Template] = TEMPLATES, min_share: float = 0.6, rare: int = RARE) -> list[tuple]:
     """The same by plain loops, for tests on small tables."""
     split = [(i, re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for i, t in rows]
     index = index_of(templates)
+    order = by_rarity(index)
     out = []
     for i, ws in split:
         base = sorted((k, label) for p, label, _ in BASE for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split())
         more: dict[str, float] = {}
         for t, x in enumerate(templates):
             tw = x.text.split()
-            places = {j for w, u, j in index if u == t}
+            chosen = [w for w in order[t] if w in ws][:rare]
+            every, places = ({j for w, u, j in index if u == t and w in some} for some in (order[t], chosen))
             for start in range(-len(tw), len(ws)):
                 laid = [ws[start + j] if 0 <= start + j < len(ws) else None for j in range(len(tw))]
                 votes = sum(laid[j] == tw[j] for j in places)
                 joined = f" {' '.join(y or '-' for y in laid)} "
                 share = sum(a == b for a, b in zip(laid, tw, strict=True)) / len(tw)
-                if votes >= min(2, len(places)) and share >= min_share and all(f" {p} " in joined for p in x.phrases):
+                if votes >= min(2, len(every)) and share >= min_share and all(f" {p} " in joined for p in x.phrases):
                     more[x.label] = max(more.get(x.label, 0), share)
         own = sorted({b for _, b in base})
         score = max(more.values()) if more else 0.5 if base else 0.0

@@ -5,7 +5,8 @@
 proportional to the picture.  `tiles` gives each picture's tile in NPY format and its difference hash.
 
 Null or damaged media: null tile and hash, and the reason in `error`.  For texts as media, see `pack_texts`: null is the
-empty text.  Repeated ids are separate rows.  Empty tables give empty results.
+empty text.  Their tiles go into archives, one for each task, with an index.  Very long texts are high pictures.  Repeated ids
+are separate rows.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import hashlib
 import io
 import re
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import lines_into, shared_path, texts
 
@@ -199,28 +202,79 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     texts(docs, id_col, text_col).mapInArrow(pack, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PLACE = "file string, offset long, size long"
+#: Side of the tiles of stored texts.
+TEXT_TILE = 8
 
 
-def digest_media(stored: DataFrame) -> DataFrame:
-    """Decode stored pictures and describe payload, stored form, difference hash and NPY tile."""
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    def read(batches):
-        names = [c.split()[0] for c in DIGEST.split(", ")]
+
+def write_tile_archives(stored: DataFrame, path: str, side: int = TEXT_TILE) -> None:
+    """Decode stored pictures; write their NPY tiles one after the other into a file for each task, and an index with their digests.
+
+    The index (Parquet, by Spark's committer) names only files of successful attempts, with each tile's offset and size.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+
+        out, file, offset = None, f"{uuid.uuid4().hex}.tiles", 0
         for b in batches:
+            if out is None and b.num_rows:
+                store, folder = fs.FileSystem.from_uri(f"{path}/tiles")
+                store.create_dir(folder, recursive=True)
+                out = store.open_output_stream(f"{folder}/{file}")
             rows = []
             for doc_id, n, media in zip(*(lines_into(b, c) for c in ("doc_id", "n_bytes", "media")), strict=True):
                 px = decode(media)
                 payload = px.tobytes()
+                data = npy(tile(px, side))
+                out.write(data)
                 sha = hashlib.sha256
-                rows.append((doc_id, n, len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), sha(media).hexdigest(), difference_hash(px), sha(npy(tile(px))).hexdigest()))
+                rows.append((doc_id, n, len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), sha(media).hexdigest(), difference_hash(px), file, offset, len(data)))
+                offset += len(data)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                yield _columns(rows, f"{DIGEST}, {PLACE}")
+        if out is not None:
+            out.close()
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, DIGEST)
+    stored.select("doc_id", "n_bytes", "media").mapInArrow(write, f"{DIGEST}, {PLACE}").write.parquet(f"{path}/index")
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """The index with `tile`, the NPY bytes that stand in the archives; tiles of a file that an Arrow batch asks for are one read."""
+    index = spark.read.schema(f"{DIGEST}, {PLACE}").parquet(f"{path}/index")
+    at = [index.columns.index(c) for c in ("file", "offset", "size")]
+
+    def read(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            store, folder = fs.FileSystem.from_uri(f"{path}/tiles")
+            files, offsets, sizes = (b.column(i).to_pylist() for i in at)
+            found: list = [None] * b.num_rows
+            for file in set(files):
+                mine = [i for i, f in enumerate(files) if f == file]
+                lo, hi = min(offsets[i] for i in mine), max(offsets[i] + sizes[i] for i in mine)
+                with store.open_input_file(f"{folder}/{file}") as f:
+                    f.seek(lo)
+                    data = f.read(hi - lo)
+                for i in mine:
+                    found[i] = data[offsets[i] - lo : offsets[i] - lo + sizes[i]]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, "tile"])
+
+    return index.mapInArrow(read, f"{DIGEST}, {PLACE}, tile binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "media")
-    pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return digest_media(spark.read.parquet(path))
+    pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{path}/pictures")
+    write_tile_archives(spark.read.parquet(f"{path}/pictures"), path)
+    return read_tiles(spark, path).withColumn("tile_sha256", F.sha2("tile", 256)).drop("file", "offset", "size", "tile")

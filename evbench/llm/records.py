@@ -133,6 +133,30 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spans.repartition(n, "file", "lo").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, offset long")
 
 
+def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
+    """(place, doc_id, ids): every record once in an order drawn from the seed, read one by one by its offset.
+
+    place is the 64-bit hash by which tasks and their rows are ordered, so that an epoch can be repeated or resumed from a place.
+    """
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select(F.xxhash64(F.lit(seed), "file", "offset").alias("place"), "file", "offset", "n_bytes")
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            store, folder = _files(f"{path}/data")
+            for place, file, offset, size in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                with store.open_input_file(f"{folder}/{file}") as f:
+                    f.seek(offset)
+                    doc_id, ids = next(unpack_records(f.read(size)))
+                rows.append((place, doc_id, ids))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["place", "doc_id", "ids"])
+
+    return placed.repartitionByRange(n, "place").sortWithinPartitions("place").mapInArrow(read, "place long, doc_id long, ids array<long>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "records")
     write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)

@@ -3,8 +3,9 @@
 A url's host and path come from plain expressions.  The longest fitting rule gives the verdict.  Where none fits, its host's
 scores do: trust is the personalised PageRank over host edges from trusted seeds (hosts of which at least half of the
 pages are allowed by a rule), distrust is the personalised PageRank over the reversed edges from blocked seeds (at least
-half blocked by a rule), so that hosts which link to blocked ones are distrusted.  A host is blocked where its distrust
-reaches `threshold` and exceeds its trust.
+half blocked by a rule), so that hosts which link to blocked ones are distrusted.  A walk restarts at every seed with the
+same mass, so that scores are in restarts of one seed and don't shrink with the number of hosts: a seed has 0.15 at least.  A
+host is blocked where its distrust reaches `threshold` and exceeds its trust.
 
 Host edges are the absolute links of the pages; links within a host don't count.  An edge's weight is its share of the
 links that leave its source (for distrust: that enter its target).  Scores of hosts without onward edges are not dealt out
@@ -25,9 +26,11 @@ from .common import ascii_lower, cut
 
 #: (host, path, verdict) of the contract's rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, STEPS, THRESHOLD = 0.85, 20, 0.01
+DAMPING, STEPS, THRESHOLD = 0.85, 20, 0.05
 #: Walk steps after which lineage is cut and convergence is looked at.
 STRIDE = 5
+#: Tasks over which the edges of one host, and the pages of one host, are dealt.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -63,13 +66,19 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return targets.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once for each salt."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
     """(kind, host, score) by personalised PageRank; edges: (kind, src, dst, w), seeds: (kind, host, mass)."""
-    edges = cut(edges.repartition("kind", "src"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    edges = cut(edges.select("kind", "src", "dst", "w", salt("dst")).repartition("kind", "src", "salt"))
     start = cut(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")))
     scores, before = start, None
     for step in range(1, steps + 1):
-        flow = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
+        flow = edges.join(_salted(scores.withColumnRenamed("host", "src")), ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
         scores = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if step == 1 or step % STRIDE == 0:
             scores = cut(scores)
@@ -87,9 +96,7 @@ def host_scores(pages: DataFrame, judged: DataFrame, seed_share: float = 0.5, da
     count = lambda v: F.sum(F.when(F.col("rule_verdict") == v, 1).otherwise(0))
     hosts = judged.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), count("allow").alias("allowed"), count("block").alias("blocked"))
     hosts = hosts.withColumn("kind", F.when(F.col("allowed") >= seed_share * F.col("n"), "trust").when(F.col("blocked") >= seed_share * F.col("n"), "distrust")).where("kind is not null")
-    seeds = cut(hosts.select("kind", "host", F.when(F.col("kind") == "trust", F.col("allowed")).otherwise(F.col("blocked")).alias("m")))
-    totals = {r.kind: r.m for r in seeds.groupBy("kind").agg(F.sum("m").alias("m")).collect()}  # two rows at most
-    seeds = seeds.select("kind", "host", (F.col("m") / F.when(F.col("kind") == "trust", totals.get("trust", 1)).otherwise(totals.get("distrust", 1))).alias("mass"))
+    seeds = hosts.select("kind", "host", F.lit(1.0).alias("mass"))
     plain = cut(host_edges(pages))
     sums = plain.groupBy("src").agg(F.sum("n").alias("all"))
     forward = plain.join(sums, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("all")).alias("w"))
@@ -105,7 +112,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
     judged = parsed(pages, rules)
     scores = host_scores(pages, judged)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    rows = judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", "rule_verdict", zero("trust"), zero("distrust"))
+    dealt = judged.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    rows = dealt.join(_salted(scores), ["host", "salt"], "left").select("page_id", "host", "path", "rule", "rule_verdict", zero("trust"), zero("distrust"))
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
@@ -133,9 +141,9 @@ WITH RECURSIVE p AS (
 ), h AS (
   SELECT host, count(*) AS n, count(*) FILTER (WHERE rv = 'allow') AS a, count(*) FILTER (WHERE rv = 'block') AS b FROM v WHERE host <> '' GROUP BY host
 ), k AS (
-  SELECT host, CASE WHEN a >= 0.5 * n THEN 'trust' WHEN b >= 0.5 * n THEN 'distrust' END AS kind, CASE WHEN a >= 0.5 * n THEN a ELSE b END AS m FROM h
+  SELECT host, CASE WHEN a >= 0.5 * n THEN 'trust' WHEN b >= 0.5 * n THEN 'distrust' END AS kind FROM h
 ), seeds AS (
-  SELECT kind, host, m / sum(m) OVER (PARTITION BY kind) * (1 - 0.85) AS score FROM k WHERE kind IS NOT NULL
+  SELECT kind, host, (1.0::DOUBLE * (1 - 0.85::DOUBLE)) AS score FROM k WHERE kind IS NOT NULL
 ), links AS (
   SELECT host AS src, translate(regexp_extract(l, '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
   FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1)) AS l FROM p WHERE host <> '' AND html IS NOT NULL)
@@ -156,7 +164,7 @@ WITH RECURSIVE p AS (
   SELECT host, round(coalesce(max(score) FILTER (WHERE kind = 'trust'), 0), 9) AS trust, round(coalesce(max(score) FILTER (WHERE kind = 'distrust'), 0), 9) AS distrust
   FROM walk WHERE step = 20 GROUP BY host
 )
-SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN distrust >= 0.01 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN distrust >= 0.05 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust
 FROM v LEFT JOIN scores USING (host)
 """

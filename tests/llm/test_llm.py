@@ -1,6 +1,7 @@
 """The training-data operators against plain Python on small tables, with the awkward rows that their docstrings name."""
 
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter
@@ -86,6 +87,16 @@ def test_records_round_trip(spark, docs, rows, empty, tmp_path):
     assert records.read_records(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_records_in_shuffled_order(spark, docs, rows, tmp_path):
+    path = f"file://{tmp_path}/s"
+    records.write_records(docs, path)
+    c = codec.Codec(codec.vocabulary("word_bpe_49k.json"))
+    want = Counter((i, tuple(c.tok.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, *_ in rows)
+    one, two = ([(r.place, r.doc_id, tuple(r.ids)) for r in records.read_shuffled(spark, path, seed).collect()] for seed in (1, 2))
+    assert Counter(x[1:] for x in one) == Counter(x[1:] for x in two) == want
+    assert [x[0] for x in one] == sorted(x[0] for x in one) and [x[1] for x in one] != [x[1] for x in two] != sorted(i for i, *_ in rows)
+
+
 def test_damaged_records_are_noticed():
     good = records.pack_record(7, np.asarray([1, 70000], "<u4"))
     assert [(i, x.tolist()) for i, x in records.unpack_records(good)] == [(7, [1, 70000])]
@@ -178,6 +189,47 @@ def test_field_learns_and_verdicts(spark, docs, empty):
     assert quality.filtered(docs, quality.DEFAULT).columns == docs.columns
 
 
+def test_mixed_documents_are_judged_by_their_lines():
+    """Two thirds of a text are content and one third boilerplate, and the other way round."""
+    rnd = random.Random(9)
+    clean = [(quality.line_features([prose(rnd, 30).encode() for _ in range(4)]), 1) for _ in range(40)]
+    junk = [(quality.line_features([" ".join(f"{w}***" for w in prose(rnd, 30).split()).encode() for _ in range(4)]), 0) for _ in range(40)]
+    field = quality.fit(clean + junk)
+    good = [prose(rnd, 30) for _ in range(6)]
+    bad = [" ".join(f"{w}***" for w in prose(rnd, 30).split()) for _ in range(3)]
+    share = lambda lines: quality.judge("\n".join(lines), field)[6]
+    chars = lambda lines: sum(len("".join(x.split())) for x in lines)
+    assert share(good + bad) == pytest.approx(chars(good) / chars(good + bad))
+    assert share(good[:3] + bad + good[3:]) == pytest.approx(chars(good) / chars(good + bad))
+    assert quality.judge("\n".join(good + bad), field)[-1] and not quality.judge("\n".join(good[:2] + bad * 2), field)[-1]
+
+
+def test_verdicts_are_those_of_brute_force(docs, rows):
+    import re
+
+    field = quality.DEFAULT
+    want = Counter()
+    for i, t, *_ in rows:
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = t.split("\n")
+        dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:k] for k, x in enumerate(lines))
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        counts = Counter(windows)
+        repeat = len({k + d for k, w in enumerate(windows) if counts[w] > 1 for d in range(3)})
+        failed = len(words) < 50 or 100 * repeat > 50 * len(words)
+        scores = (quality.line_features([x.encode() for x in lines]) @ np.asarray(field.unary)).tolist()
+        if len(lines) > 8:
+            continue
+        value = lambda y: sum(a * b for a, b in zip(scores, y)) + sum(field.trans[a][b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        marks = max(([k >> n & 1 for n in range(len(lines))] for k in range(1 << len(lines))), key=value)
+        sizes = [sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", x))) for x in lines]
+        share = sum(n for n, m in zip(sizes, marks) if m) / sum(sizes) if sum(sizes) else 0.0
+        want[(i, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, repeat, failed, round(share, 9), not failed and share >= 0.5)] += 1
+    got = Counter((*r[:7], round(r[7], 9), r[8]) for r in map(tuple, quality.verdicts(docs, field).collect()))
+    assert want and not want - got
+
+
 def test_base_counts():
     r = quality.judge("a b c a b c d\n \na b c a b c d\nx #|* é", quality.DEFAULT)
     assert r[:5] == (17, 19, 3, 1, 14)
@@ -411,6 +463,14 @@ def test_urls(spark):
     assert Counter(map(tuple, urls.judge(df).collect())) == want
 
 
+def test_verdicts_do_not_depend_on_the_number_of_hosts(spark):
+    copies = 30
+    rows = [(1000 * k + i, u.replace("://", f"://c{k}.", 1) if u else u, h.replace("://", f"://c{k}.") if h else h) for k in range(copies) for i, u, h in PAGES if i is not None]
+    one = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame([r for r in rows if r[0] < 1000], "page_id long, url string, html string")).collect()}
+    many = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(many) >= copies * len(one) and all(r.verdict == one[r.page_id % 1000] for r in many)
+
+
 # --------------------------------------------------------------------------------------------------------------- 9: media
 
 
@@ -462,7 +522,11 @@ def test_media_columns(spark, docs, rows, empty, tmp_path):
     files = {r.id: r.file for r in media.write_npy_tiles(t, f"file://{tmp_path}/tiles").collect()}
     assert np.load(tmp_path / "tiles" / files[1]).shape == (32, 32, 3) and files[3] is None
     media.pack_texts(docs, f"file://{tmp_path}/m")
-    out = media.digest_media(spark.read.parquet(f"file://{tmp_path}/m")).collect()
+    media.write_tile_archives(spark.read.parquet(f"file://{tmp_path}/m"), f"file://{tmp_path}/a")
+    out = media.read_tiles(spark, f"file://{tmp_path}/a").collect()
+    for r in out:
+        px = media.decode(media.encode_ppm(np.frombuffer(media.payload_of(dict((i, t or "") for i, t, *_ in rows)[r.doc_id])[1], "u1").reshape(-1, 64, 3)))
+        assert (np.load(io.BytesIO(bytes(r.tile))) == media.tile(px, media.TEXT_TILE)).all() and r.feature == media.difference_hash(px)
     want = Counter()
     for i, text, *_ in rows:
         d = (text or "").encode()
@@ -470,7 +534,8 @@ def test_media_columns(spark, docs, rows, empty, tmp_path):
         want[(i, len(d), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out) == want
     media.pack_texts(empty, f"file://{tmp_path}/e")
-    assert media.digest_media(spark.read.parquet(f"file://{tmp_path}/e")).count() == 0
+    media.write_tile_archives(spark.read.parquet(f"file://{tmp_path}/e"), f"file://{tmp_path}/ea")
+    assert media.read_tiles(spark, f"file://{tmp_path}/ea").count() == 0
 
 
 # --------------------------------------------------------------------------------------------------------------- pipeline
