@@ -173,14 +173,14 @@ WITH d AS (
   SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
 ), words AS (
   SELECT doc_id, i - 1 AS pos, w[i] AS word FROM flat
-), idx(word, t, place, needed, at) AS (VALUES {idx}), tpl(t, label, j, word, size) AS (VALUES {tpl}), phr(t, phrase) AS (VALUES {phr}),
+), idx(word, t, place, needed, rarity) AS (VALUES {idx}), tpl(t, label, j, word, size) AS (VALUES {tpl}), phr(t, phrase) AS (VALUES {phr}),
 base AS ({places}),
 based AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id
 ), present AS (
   SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM idx)
 ), top AS (
-  SELECT doc_id, t, word FROM (SELECT doc_id, t, word, row_number() OVER (PARTITION BY doc_id, t ORDER BY at) AS r FROM present JOIN (SELECT DISTINCT word, t, at FROM idx) USING (word)) WHERE r <= {rare}
+  SELECT doc_id, t, word FROM (SELECT doc_id, t, word, row_number() OVER (PARTITION BY doc_id, t ORDER BY rarity) AS r FROM present JOIN (SELECT DISTINCT word, t, rarity FROM idx) USING (word)) WHERE r <= {rare}
 ), agreed AS (
   SELECT doc_id, t, pos - place AS start FROM words JOIN top USING (doc_id, word) JOIN idx USING (word, t) GROUP BY doc_id, t, pos - place, needed HAVING count(DISTINCT place) >= needed
 ), laid AS (
