@@ -135,3 +135,66 @@ def test_skipped_split_and_first_key(spark):
     assert J.join_by_first_key(df, src, [["zzz"], ["k"]], "y").where("y = 'yes'").count() == 10
     with pytest.raises(ValueError):
         J.join_by_first_key(df, src, [["zzz"]], "y")
+
+
+def test_components_of_chains_and_hubs(spark):
+    from evbench.operators import graphs
+
+    e = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 80)] + [(500, 500)]
+    got = dict(map(tuple, graphs.components(spark.createDataFrame(e, "a long, b long")).collect()))
+    assert all(got[i] == 0 for i in range(61)) and got[279] == 200 and got[500] == 500
+    assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_containment_of_long_and_short_needles(spark):
+    from evbench.operators import joins
+
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
+    needles = [(1, text[500:700]), (2, text[:90]), (3, text[-90:]), (4, text[100:130]), (5, "z" * 100), (6, text[5:15]), (7, text)]
+    n = spark.createDataFrame(needles, "needle_id long, needle string")
+    t = spark.createDataFrame([(10, text), (11, text[400:800]), (12, ""), (13, None)], "text_id long, text string")
+    got = {(r.needle_id, r.text_id): r.start for r in joins.contained(n, t).collect()}
+    want = {(i, j): x.index(s) for i, s in needles for j, x in ((10, text), (11, text[400:800])) if len(s) >= 20 and s in x}
+    assert got == want
+
+
+def test_clusters_of_equal_and_like_sets(spark):
+    import itertools
+    import random
+
+    from evbench.operators import similarity
+
+    rnd = random.Random(3)
+    sets = {i: sorted(rnd.sample(range(25), rnd.randint(1, 6))) for i in range(80)}
+    sets |= {100 + i: sets[i] for i in range(20)}
+    df = spark.createDataFrame(list(sets.items()), "id long, t array<long>")
+    held = {}
+    for s in sets.values():
+        for x in s:
+            held[x] = held.get(x, 0) + 1
+    for cap in (None, 20):
+        edges = {}
+        for a, b in itertools.combinations(sorted(sets), 2):
+            x, y = set(sets[a]), set(sets[b])
+            if any(cap is None or held[z] <= cap for z in x & y) and len(x & y) / len(x | y) >= 0.5:
+                edges[a, b] = len(x & y) / len(x | y)
+        assert {(r.a, r.b): r.score for r in similarity.jaccard_edges(df, "id", "t", cap, 0.5).collect()} == edges
+        label = {i: i for i in sets}
+        for _ in sets:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        assert {r.id: r.cluster for r in similarity.jaccard_clusters(df, "id", "t", cap, 0.5).collect()} == label
+
+
+def test_external_scores_refuse_shared_rows(spark):
+    import pytest as p
+
+    from evbench.operators import models
+
+    rows = spark.createDataFrame([(i, float(i % 7), i % 2 == 0) for i in range(60)], "id long, x double, label boolean")
+    with p.raises(ValueError, match="valid rows"):
+        models.external_scores(rows, rows.where("id < 5"), rows, "id", "label", [], ["x"])
+    with p.raises(ValueError, match="two classes"):
+        models.fit_score(rows.selectExpr("id", "x", "true AS label", "'train' AS part"), "part", "label", [], ["x"], "logistic")
+    out = models.external_scores(rows.where("id < 40"), rows.where("id >= 40 and id < 50"), rows.where("id >= 50"), "id", "label", [], ["x"])
+    assert {(r.part, r.id) for r in out.collect()} == {("valid", i) for i in range(40, 50)} | {("external", i) for i in range(50, 60)}
