@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sequences import ALPHABET
-from .durable import cut
+from .ranks import numbered
 
 
 def resolve_columns(df: DataFrame, aliases: Mapping[str, Sequence[str]], explicit: Mapping[str, str] | None = None) -> DataFrame:
@@ -150,13 +150,6 @@ def route_ambiguous(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame
 
 
 def stable_ids(df: DataFrame, keys: Sequence[str], out: str = "row_id", prefix: str = "event_", width: int = 5) -> DataFrame:
-    """df with an id by place in the order of the keys, from 0, zero-padded.
-
-    Ranges are sorted by Spark and numbered within their tasks; only their sizes are summed, one row for each range.
-    """
-    ranged = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id()))
-    part, at = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    numbered = ranged.withColumn("__p", part).join(base, "__p").withColumn("__at", at + F.col("__base"))
-    return numbered.select(*df.columns, F.concat(F.lit(prefix), F.lpad(F.col("__at").cast("string"), F.greatest(F.lit(width), F.length(F.col("__at").cast("string"))), F.lit("0"))).alias(out))
+    """df with an id by place in the order of the keys, from 0, zero-padded."""
+    at = F.col("__at").cast("string")
+    return numbered(df, keys, "__at").select(*df.columns, F.concat(F.lit(prefix), F.lpad(at, F.greatest(F.lit(width), F.length(at)), F.lit("0"))).alias(out))

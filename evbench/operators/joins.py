@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import kmer_list
+from .ranks import numbered
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -24,18 +25,10 @@ def membership(df: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFram
     return out.agg(F.count(F.lit(1)).alias("row_count"), *[F.count(f"__{k}").alias(f"{k}_shared") for k in keys])
 
 
-def batches(keys: DataFrame, key: str, size: int, prefix: int = 2) -> DataFrame:
-    """(key, batch): consecutive runs of `size` keys in order.
-
-    The rank is found in two steps, so that no task sorts all keys: counts by key prefix, their running sum, and a local rank.
-    """
-    p = F.substring(F.col(key).cast("string"), 1, prefix)
-    rows = keys.select(F.col(key).cast("string").alias(key), p.alias("__p")).distinct()
-    order = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per prefix, however many keys there are
-    base = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(key)) + F.col("__before")
-    return rows.join(base, "__p").select(key, F.floor((rank - 1) / size).cast("long").alias("batch"))
+def batches(keys: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, batch): consecutive runs of `size` distinct keys in order; see ranks.numbered()."""
+    rows = keys.select(F.col(key).cast("string").alias(key)).distinct()
+    return numbered(rows, [key], "__at").select(key, F.floor(F.col("__at") / size).cast("long").alias("batch"))
 
 
 def nearest(points: DataFrame, sites: DataFrame, group: str, ident: str, value: str) -> DataFrame:

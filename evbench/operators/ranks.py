@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 
 def hash_rank(df: DataFrame, by: Sequence[str], digest: Column, tie: Sequence[str], out: str = "rank", digits: int = 3) -> DataFrame:
     """df with its 1-based rank within `by` in the order of the hex digest, then of tie.
@@ -38,3 +40,15 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], b
     local = Window.partitionBy(*by, "__b").orderBy(key(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = rows.join(base, [*by, "__b"])
     return j.select(*df.columns, *[(F.sum(s).over(local) + F.col(f"__{s}")).alias(f"cum_{s}") for s in sums])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """df with its place in the order of the keys, from 0.
+
+    Ranges are sorted by Spark and numbered within their tasks; only their sizes are summed, one row for each range.
+    """
+    ranged = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return ranged.withColumn("__p", part).join(base, "__p").select(*df.columns, (at + F.col("__base")).alias(out))
