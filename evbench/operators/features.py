@@ -49,6 +49,35 @@ def mechanism_columns(df: DataFrame, defaults: dict[str, str], lengths: Sequence
     return out
 
 
+def mechanism_frame(df: DataFrame, kind: str, residue: str, organism: str, site: str, own: str, partner: str, window: str, own_id: str, partner_id: str) -> DataFrame:
+    """df with the thirteen columns that describe a modification site without looking at its effect.
+
+    own, partner and window are sequences, null or empty where unknown; site counts from 1 and may be text.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("double")
+    ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    place = F.col(site).try_cast("double")
+    known = F.coalesce(place, F.lit(0.0))
+    return df.withColumns(
+        {
+            "ptm": text(kind),
+            "residue": F.upper(text(residue)),
+            "organism": text(organism),
+            "site": F.coalesce(place, F.lit(-1.0)),
+            "site_log1p": F.log1p(F.greatest(known, F.lit(0.0))),
+            "mod_length_log1p": F.log1p(size(own)),
+            "partner_length_log1p": F.log1p(size(partner)),
+            "window_length": size(window),
+            "site_fraction": F.when(size(own) > 0, known / size(own)).otherwise(0.0),
+            "same_entity": ident(own_id) == ident(partner_id),
+            "has_mod_sequence": size(own) > 0,
+            "has_partner_sequence": size(partner) > 0,
+            "has_window": size(window) > 0,
+        }
+    )
+
+
 def prefer_own(df: DataFrame, store: DataFrame, on: str, own: str, other: str) -> DataFrame:
     """df with `sequence`: the row's own where it has one, else the store's, else the empty string."""
     return df.join(store.select(on, F.col(other).alias("__other")), on, "left").withColumn("sequence", F.coalesce(F.nullif(F.col(own), F.lit("")), F.col("__other"), F.lit(""))).drop("__other")

@@ -98,17 +98,36 @@ def degree_features(train: DataFrame, rows: DataFrame, a: str, b: str, site: str
 
 
 def pair_degree_features(train: DataFrame, rows: DataFrame, a: str, b: str, label: str | None) -> DataFrame:
-    """rows with sum, difference, least, greatest and product of the train degrees of a and b, and whether each was seen.
+    """rows with the train degrees of a and b, their sum, difference, least, greatest and product, whether either and both were seen,
+    whether the pair was, in any order, and the source of the counts.
 
-    Degrees count positive train rows where the label is known to be positive somewhere, else all train rows.
+    A degree counts train rows that have the entity at either end; rows with a blank end count nothing.  Positive train rows are
+    counted where there are any, else all.  Entities are compared trimmed and in upper case.
     """
+    source = "all_train_rows"
     if label is not None and not train.where(F.col(label)).isEmpty():
-        train = train.where(F.col(label))
-    n = F.count(F.lit(1))
-    da, db = train.groupBy(a).agg(n.alias("deg_a")), train.groupBy(b).agg(n.alias("deg_b"))
-    j = rows.join(da, a, "left").join(db, b, "left").fillna(0, ["deg_a", "deg_b"])
+        train, source = train.where(F.col(label)), "train_positive_rows"
+    named = lambda c: F.nullif(F.upper(F.trim(F.col(c).cast("string"))), F.lit(""))
+    known = train.select(named(a).alias("x"), named(b).alias("y")).dropna()
+    degrees = known.select(F.explode(F.array("x", "y")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    pairs = known.select(F.least("x", "y").alias("__lo"), F.greatest("x", "y").alias("__hi")).distinct().withColumn("pair_seen", F.lit(1))
+    j = rows.withColumn("__x", named(a)).withColumn("__y", named(b))
+    j = j.withColumn("__lo", F.when(F.col("__y").isNotNull(), F.least("__x", "__y"))).withColumn("__hi", F.when(F.col("__x").isNotNull(), F.greatest("__x", "__y")))
+    for end, name in (("__x", "deg_a"), ("__y", "deg_b")):
+        j = j.join(degrees.select(F.col("v").alias(end), F.col("n").alias(name)), end, "left")
+    j = j.join(pairs, ["__lo", "__hi"], "left").fillna(0, ["deg_a", "deg_b", "pair_seen"]).drop("__x", "__y", "__lo", "__hi")
     x, y = F.col("deg_a"), F.col("deg_b")
-    return j.select("*", (x + y).alias("deg_sum"), F.abs(x - y).alias("deg_diff"), F.least(x, y).alias("deg_min"), F.greatest(x, y).alias("deg_max"), (x * y).alias("deg_product"), (x > 0).alias("seen_a"), (y > 0).alias("seen_b"))
+    made = {
+        "deg_sum": x + y,
+        "deg_diff": F.abs(x - y),
+        "deg_min": F.least(x, y),
+        "deg_max": F.greatest(x, y),
+        "deg_product": x * y,
+        "either_seen": ((x > 0) | (y > 0)).cast("int"),
+        "both_seen": ((x > 0) & (y > 0)).cast("int"),
+        "degree_source": F.lit(source),
+    }
+    return j.withColumns(made)
 
 
 def topology_features(train: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import kmer_list
+from .durable import cut
 from .ranks import numbered
 
 
@@ -32,17 +33,28 @@ def batches(keys: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def nearest(points: DataFrame, sites: DataFrame, group: str, ident: str, value: str) -> DataFrame:
-    """(group, id, value, distance) to the nearest site of the group, null where it has none.
+    """(group, id, value, distance) to the nearest site of the group, null where it has none; null groups and values have none.
 
-    Sites and points are merged in order within a group; the last site before and the first one after are the only candidates.
-    Distance 0 counts, and the cost is a sort, not a product.
+    Distinct places of points and sites are sorted together by Spark's ranges of (group, value), so that a group of any size
+    spreads over tasks.  The last site before and the first one after are the only candidates: they are found within a range,
+    or carried from the nearest other range of the group that holds one.  Distance 0 counts.
     """
-    s = sites.select(F.col(group), F.lit(None).cast(points.schema[ident].dataType).alias(ident), F.col(value), F.lit(0).alias("__k"), F.col(value).alias("__s")).distinct()
-    p = points.select(group, ident, value, F.lit(1).alias("__k"), F.lit(None).cast(points.schema[value].dataType).alias("__s"))
-    before = Window.partitionBy(group).orderBy(value, "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(group).orderBy(value, F.desc("__k")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    u = p.unionByName(s).withColumn("__b", F.last("__s", True).over(before)).withColumn("__a", F.first("__s", True).over(after))
-    return u.where("__k = 1").select(group, ident, value, F.least(F.col(value) - F.col("__b"), F.col("__a") - F.col(value)).alias("distance"))
+    asked = points.select(group, value, F.lit(True).alias("__p"), F.lit(False).alias("__k"))
+    places = asked.unionByName(sites.select(group, value, F.lit(False).alias("__p"), F.lit(True).alias("__k"))).dropna(subset=[group, value])
+    each = places.groupBy(group, value).agg(F.bool_or("__p").alias("__p"), F.bool_or("__k").alias("__k"))
+    site = F.when(F.col("__k"), F.col(value))
+    ranged = cut(each.withColumn("__s", site).repartitionByRange(group, value).withColumn("__r", F.spark_partition_id()))
+    # a row for each range of a group
+    ends = ranged.groupBy(group, "__r").agg(F.min("__s").alias("lo"), F.max("__s").alias("hi"))
+    by = Window.partitionBy(group).orderBy("__r")
+    earlier = F.last("hi", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__e")
+    later = F.first("lo", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("__l")
+    local = Window.partitionBy(group, "__r").orderBy(value)
+    before = F.coalesce(F.last("__s", True).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "__e")
+    after = F.coalesce(F.first("__s", True).over(local.rowsBetween(Window.currentRow, Window.unboundedFollowing)), "__l")
+    found = ranged.join(ends.select(group, "__r", earlier, later), [group, "__r"]).withColumns({"__b": before, "__a": after}).where("__p")
+    distance = F.least(F.col(value) - F.col("__b"), F.col("__a") - F.col(value)).alias("distance")
+    return points.select(group, ident, value).join(found.select(group, value, distance), [group, value], "left").select(group, ident, value, "distance")
 
 
 def inside(crops: DataFrame, ranges: DataFrame, on: str) -> DataFrame:

@@ -112,9 +112,19 @@ def sweep(df: DataFrame, by: Sequence[str], label: str, score: str, candidates:
 
 
 def quantile_candidates(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
-    """(by, s): the 2 % to 98 % quantiles of the scores."""
-    q = F.array(*[F.lit(i / 100) for i in range(2, 99)])
-    return df.groupBy(*by).agg(F.percentile(score, q).alias("q")).select(*by, F.explode("q").alias("s"))
+    """(by, s): the 2 % to 98 % quantiles of the scores, between two scores linearly; read off running counts, so that no group is held whole."""
+    h = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    r = running(h, by, "s", ["n"], _bucket()).join(h.groupBy(*by).agg(F.sum("n").alias("of")), list(by))
+    at = lambda k: (F.col("of") - 1) * (k / F.lit(100.0))
+    holds = lambda place: (place >= F.col("cum_n") - F.col("n")) & (place < F.col("cum_n"))
+    # the quantiles whose place, or the one after it, is one of this score's
+    marks = F.filter(F.sequence(F.lit(2), F.lit(98)), lambda k: holds(F.floor(at(k))) | holds(F.ceil(at(k))))
+    each = r.select(*by, "s", "n", "cum_n", "of", F.explode(marks).alias("k"))
+    p = at(F.col("k"))
+    one = lambda place: F.max(F.when(holds(place), F.col("s")))
+    g = each.groupBy(*by, "k", p.alias("p")).agg(one(F.floor(p)).alias("lo"), one(F.ceil(p)).alias("hi"))
+    between = (F.ceil("p") - F.col("p")) * F.col("lo") + (F.col("p") - F.floor("p")) * F.col("hi")
+    return g.select(*by, F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.floor("p") == F.ceil("p"), F.col("lo")).otherwise(between).alias("s"))
 
 
 def weighted_f1(df: DataFrame, by: Sequence[str], label: str, score: str, threshold: Column | float) -> DataFrame:

@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import overall_and_by
+from .joins import nearest
+
 
 def robust_scores(metrics: DataFrame, audit: DataFrame, random_split: str, controls: Sequence[str] = ()) -> DataFrame:
     """(model, robust): rewards mean quality over the shielded splits and takes off for missing splits, leaks and a bad worst case.
@@ -74,6 +77,49 @@ def scorecard(checks: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     return out
 
 
+def readiness(metrics: DataFrame, audit: DataFrame, gates: DataFrame, ablations: DataFrame, external: DataFrame, random_split: str, controls: Sequence[str], model: str, least_splits: int = 3) -> DataFrame:
+    """(criterion, status, evidence): rules over the tables that an evaluation leaves, each as a one-row aggregate.
+
+    Shielded splits without leaks, controls among the models, claims that pass their gates, a model that gains on its reference,
+    a worst shielded split above chance, and an external set large enough and free of overlap.
+    """
+    one = lambda frame, ok, *text: frame.agg(ok.alias("ok"), F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in text]).alias("evidence"))
+    n = lambda c: c.cast("string")
+    shielded = audit.where(F.col("split") != random_split)
+    splits, leaking = F.count_distinct("split"), F.count_if(F.col("leaks"))
+    present = F.count_distinct(F.when(F.col("model").isin(*controls), F.col("model")))
+    passed = F.count_if(F.col("passed"))
+    gain = F.max(F.when(F.col("model") == model, F.col("delta")))
+    worst = F.min(F.when((F.col("split") != random_split) & (F.col("model") == model), F.col("auprc")))
+    checks = [
+        ("shielded_splits", one(shielded, (splits >= least_splits) & (leaking == 0), n(splits), " splits, ", n(leaking), " leaking"), ""),
+        ("controls", one(metrics, present == len(controls), n(present), f" of {len(controls)} controls"), ""),
+        ("claims", one(gates, passed > 0, n(passed), " of ", n(F.count(F.lit(1))), " claims pass"), ""),
+        ("ablation_gain", one(ablations, gain > 0, "delta ", F.coalesce(F.format_string("%.3f", gain), F.lit("unknown"))), ""),
+        ("worst_split", one(metrics, worst >= 0.5, "AUPRC ", F.coalesce(F.format_string("%.3f", worst), F.lit("unknown"))), ""),
+        ("external_set", one(external, F.max("status") == "validation", n(F.max("row_count")), " rows, ", n(F.max("overlaps")), " overlaps"), ""),
+    ]
+    return scorecard(checks)
+
+
+def matched_distances(sites: DataFrame, interface: DataFrame, events: DataFrame) -> DataFrame:
+    """(label, n, actual, expected, ratio, distance, null_distance, distance_ratio): for all events and for each label.
+
+    sites: (chain, site, res); interface: (chain, site); events: (event, label, chain, site, res), a row per mapping.  A mapping is held
+    against the sites of its residue in its chain: their share at the interface and their mean distance to it.  An event
+    takes the best of its own mappings and the mean of what is expected.
+    """
+    near = nearest(sites.distinct(), interface, "chain", "res", "site")
+    hit = (F.coalesce(F.col("distance"), F.lit(-1)) == 0).cast("int")
+    null = near.groupBy("chain", "res").agg(F.avg(hit).alias("rate"), F.avg("distance").alias("away"))
+    own = events.join(near, ["chain", "site", "res"], "left").join(null, ["chain", "res"], "left")
+    per = own.groupBy("event").agg(F.min("label").alias("label"), F.max(hit).alias("hit"), F.min("distance").alias("distance"), F.avg("rate").alias("rate"), F.avg("away").alias("away"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    ratio = lambda x, y: F.round(F.avg(x) / F.nullif(F.avg(y), F.lit(0.0)), 6)
+    aggs = {"actual": mean("hit"), "expected": mean("rate"), "ratio": ratio("hit", "rate"), "distance": mean("distance"), "null_distance": mean("away"), "distance_ratio": ratio("distance", "away")}
+    return overall_and_by(per, "label", F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in aggs.items()])
+
+
 def seed_gate(deltas: DataFrame, least_positive: float = 0.8) -> DataFrame:
     return deltas.select("metric", "mean", "positive", ((F.col("mean") > 0) & (F.col("positive") >= least_positive)).alias("passed"))
 

@@ -79,8 +79,13 @@ def degree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pair_degree_features",
-    f"""WITH {TRAIN}, x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, coalesce(na, 0) AS p, coalesce(nb, 0) AS q FROM q LEFT JOIN (SELECT l_suppkey, count(*) AS na FROM t WHERE l_linestatus = 'F' GROUP BY 1) USING (l_suppkey) LEFT JOIN (SELECT l_partkey, count(*) AS nb FROM t WHERE l_linestatus = 'F' GROUP BY 1) USING (l_partkey))
-    SELECT l_orderkey, l_linenumber, 'n' || l_suppkey AS a, 'n' || l_partkey AS b, p AS deg_a, q AS deg_b, p + q AS deg_sum, abs(p - q) AS deg_diff, least(p, q) AS deg_min, greatest(p, q) AS deg_max, p * q AS deg_product, p > 0 AS seen_a, q > 0 AS seen_b FROM x""",
+    f"""WITH {TRAIN}, f AS (SELECT * FROM t WHERE l_linestatus = 'F'),
+    d AS (SELECT p, count(*) AS n FROM (SELECT l_suppkey AS p FROM f UNION ALL SELECT l_partkey FROM f) GROUP BY p),
+    k AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS lo, greatest(l_suppkey, l_partkey) AS hi FROM f),
+    x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, coalesce(u.n, 0) AS p, coalesce(v.n, 0) AS q, (lo IS NOT NULL)::INT AS pair_seen FROM q
+      LEFT JOIN d u ON u.p = l_suppkey LEFT JOIN d v ON v.p = l_partkey LEFT JOIN k ON lo = least(l_suppkey, l_partkey) AND hi = greatest(l_suppkey, l_partkey))
+    SELECT l_orderkey, l_linenumber, 'n' || l_suppkey AS a, 'n' || l_partkey AS b, p AS deg_a, q AS deg_b, p + q AS deg_sum, abs(p - q) AS deg_diff, least(p, q) AS deg_min, greatest(p, q) AS deg_max,
+      p * q AS deg_product, (p > 0 OR q > 0)::INT AS either_seen, (p > 0 AND q > 0)::INT AS both_seen, pair_seen, 'train_positive_rows' AS degree_source FROM x""",
 )
 def pair_degree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _train_test(spark, sf_dir)

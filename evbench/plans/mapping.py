@@ -118,3 +118,20 @@ def null_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = li.select("chain", "site", "res", "label").distinct()
     x = e.join(n, ["chain", "res"]).join(i, ["chain", "site"], "left").fillna(0, ["hit"])
     return overall_and_by(x, "label", F.count(F.lit(1)).alias("n"), F.sum("hit").alias("observed"), F.round(F.sum("rate"), 6).alias("expected"), F.round(F.sum("hit") / F.sum("rate"), 6).alias("ratio"))
+
+
+@query(
+    "matched_distances",
+    """WITH s AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site FROM lineitem WHERE l_quantity > 47 AND l_suppkey % 10 > 0),
+    d AS (SELECT s.chain, s.site, s.res, least(s.site - b.site, a.site - s.site) AS away FROM s ASOF LEFT JOIN i b ON b.chain = s.chain AND b.site <= s.site ASOF LEFT JOIN i a ON a.chain = s.chain AND a.site >= s.site),
+    n AS (SELECT chain, res, avg((coalesce(away, -1) = 0)::INT) AS rate, avg(away) AS mean_away FROM d GROUP BY ALL),
+    e AS (SELECT l_orderkey AS event, l_linestatus AS label, l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem),
+    p AS (SELECT event, min(label) AS label, max((coalesce(away, -1) = 0)::INT) AS hit, min(away) AS away, avg(rate) AS rate, avg(mean_away) AS mean_away FROM e JOIN d USING (chain, site, res) JOIN n USING (chain, res) GROUP BY event)
+    SELECT coalesce(label, 'all') AS label, count(*) AS n, round(avg(hit), 6) AS actual, round(avg(rate), 6) AS expected, round(avg(hit) / nullif(avg(rate), 0), 6) AS ratio, round(avg(away), 6) AS distance, round(avg(mean_away), 6) AS null_distance, round(avg(away) / nullif(avg(mean_away), 0), 6) AS distance_ratio FROM p GROUP BY ROLLUP (label)""",
+)
+def matched_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.reports import matched_distances as matched
+
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(li.l_orderkey.alias("event"), li.l_linestatus.alias("label"), li.l_suppkey.alias("chain"), li.l_partkey.alias("site"), li.l_returnflag.alias("res"))
+    return matched(rows.select("chain", "site", "res"), li.where("l_quantity > 47 and l_suppkey % 10 > 0").select(li.l_suppkey.alias("chain"), li.l_partkey.alias("site")), rows)

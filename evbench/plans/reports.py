@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import reports as R
 from ..operators import statistics as S
-from .base import query, table
+from ..operators.durable import cut
+from .base import ORACLE_SQL, query, table
 from .metrics import AP, BY, CONFUSION, MCC, PRED, predictions
 
 #: Splits: S0 is the random one; shielded ones hold the events of some users.
@@ -77,13 +78,13 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scorecard",
     f"""WITH {PRED}, {METRICS} SELECT 'no_leaks' AS criterion, CASE WHEN count(*) FILTER (WHERE leaks) = 0 THEN 'met' ELSE 'open' END AS status, count(*) FILTER (WHERE leaks) || ' leaking splits' AS evidence FROM au
-    UNION ALL SELECT 'beats_chance', CASE WHEN min(mcc) > -1 THEN 'met' ELSE 'open' END, count(*) || ' metric rows' FROM mt""",
+    UNION ALL SELECT 'beats_chance', CASE WHEN min(mcc) > 0 THEN 'met' ELSE 'open' END, count(*) || ' metric rows' FROM mt""",
 )
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, audit = metric_table(spark, sf_dir)
     leaks = F.count_if(F.col("leaks"))
     a = audit.agg((leaks == 0).alias("ok"), F.concat(leaks.cast("string"), F.lit(" leaking splits")).alias("evidence"))
-    b = m.agg((F.min("mcc") > -1).alias("ok"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" metric rows")).alias("evidence"))
+    b = m.agg((F.min("mcc") > 0).alias("ok"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" metric rows")).alias("evidence"))
     return R.scorecard([("no_leaks", a, ""), ("beats_chance", b, "")])
 
 
@@ -109,3 +110,20 @@ def topk_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def min_evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("o", F.col("l_suppkey") % 97 == 0)
     return R.minimum_evidence(li, "l_orderkey", "o")
+
+
+@query(
+    "readiness",
+    f"""WITH {PRED}, {METRICS}, r AS (
+      SELECT 'shielded_splits' AS criterion, count(DISTINCT split) >= 3 AND count(*) FILTER (WHERE leaks) = 0 AS ok, count(DISTINCT split) || ' splits, ' || count(*) FILTER (WHERE leaks) || ' leaking' AS evidence FROM au WHERE split <> 'S0'
+      UNION ALL SELECT 'controls', count(DISTINCT model) FILTER (WHERE model IN ('m0', 'm9')) = 2, count(DISTINCT model) FILTER (WHERE model IN ('m0', 'm9')) || ' of 2 controls' FROM mt
+      UNION ALL SELECT 'claims', count(*) FILTER (WHERE passed) > 0, count(*) FILTER (WHERE passed) || ' of ' || count(*) || ' claims pass' FROM ({ORACLE_SQL["claim_gates"]})
+      UNION ALL SELECT 'ablation_gain', max(delta) FILTER (WHERE model = 'm2') > 0, 'delta ' || coalesce(printf('%.3f', max(delta) FILTER (WHERE model = 'm2')), 'unknown') FROM ({ORACLE_SQL["ablation_summary"]})
+      UNION ALL SELECT 'worst_split', min(auprc) FILTER (WHERE split <> 'S0' AND model = 'm2') >= 0.5, 'AUPRC ' || coalesce(printf('%.3f', min(auprc) FILTER (WHERE split <> 'S0' AND model = 'm2')), 'unknown') FROM mt
+      UNION ALL SELECT 'external_set', max(status) = 'validation', max(row_count) || ' rows, ' || max("overlaps") || ' overlaps' FROM ({ORACLE_SQL["min_evidence_gate"]}))
+    SELECT criterion, CASE WHEN coalesce(ok, false) THEN 'met' ELSE 'open' END AS status, evidence FROM r""",
+)
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, audit = metric_table(spark, sf_dir)
+    m = cut(m)
+    return R.readiness(m, audit, R.claim_gates(m, RULES), R.ablation_summary(m, "m0", "m2"), min_evidence_gate(spark, sf_dir), "S0", ["m0", "m9"], "m2")

@@ -142,6 +142,33 @@ def mechanism_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.mechanism_columns(rows, {"segment": "unknown"}, ["name"]).select("c_custkey", "segment", F.round("log_name", 9).alias("log_name"))
 
 
+@query(
+    "mechanism_frame",
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN p_brand END AS k, CASE WHEN p_partkey % 8 > 0 THEN left(p_name, 1) END AS r, p_type AS o,
+      CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 40 END AS s, CASE WHEN p_partkey % 6 > 0 THEN p_name ELSE '' END AS a, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS b, CASE WHEN p_partkey % 4 > 0 THEN left(p_name, 5) ELSE '' END AS w FROM part)
+    SELECT p_partkey, coalesce(k, 'unknown') AS ptm, upper(coalesce(r, 'unknown')) AS residue, coalesce(o, 'unknown') AS organism, coalesce(s, -1)::DOUBLE AS site, round(ln(1 + coalesce(s, 0)), 9) AS site_log1p,
+      round(ln(1 + length(a)), 9) AS mod_length_log1p, round(ln(1 + coalesce(length(b), 0)), 9) AS partner_length_log1p, length(w)::DOUBLE AS window_length, CASE WHEN a <> '' THEN round(coalesce(s, 0) / length(a), 9) ELSE 0 END AS site_fraction,
+      p_partkey % 3 = 0 AS same_entity, a <> '' AS has_mod_sequence, b IS NOT NULL AS has_partner_sequence, w <> '' AS has_window FROM r""",
+)
+def mechanism_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = p.p_partkey
+    rows = p.select(
+        k,
+        F.when(k % 9 > 0, p.p_brand).alias("kind"),
+        F.when(k % 8 > 0, F.left("p_name", F.lit(1))).alias("aa"),
+        p.p_type.alias("species"),
+        F.when(k % 7 > 0, (k % 40).cast("string")).otherwise("n/a").alias("place"),
+        F.when(k % 6 > 0, p.p_name).otherwise("").alias("a"),
+        F.when(k % 5 > 0, p.p_type).alias("b"),
+        F.when(k % 4 > 0, F.left("p_name", F.lit(5))).otherwise("").alias("w"),
+        (k % 3).alias("id_a"),
+        F.lit(0).alias("id_b"),
+    )
+    made = X.mechanism_frame(rows, "kind", "aa", "species", "place", "a", "b", "w", "id_a", "id_b").drop("kind", "aa", "species", "place", "a", "b", "w", "id_a", "id_b")
+    return made.withColumns({c: F.round(c, 9) for c in ("site_log1p", "mod_length_log1p", "partner_length_log1p", "site_fraction")})
+
+
 @query("attach_sequences", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '-own' ELSE coalesce(quality::VARCHAR, '') END AS sequence FROM documents LEFT JOIN labels USING (doc_id)")
 def attach_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

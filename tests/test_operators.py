@@ -198,3 +198,37 @@ def test_external_scores_refuse_shared_rows(spark):
         models.fit_score(rows.selectExpr("id", "x", "true AS label", "'train' AS part"), "part", "label", [], ["x"], "logistic")
     out = models.external_scores(rows.where("id < 40"), rows.where("id >= 40 and id < 50"), rows.where("id >= 50"), "id", "label", [], ["x"])
     assert {(r.part, r.id) for r in out.collect()} == {("valid", i) for i in range(40, 50)} | {("external", i) for i in range(50, 60)}
+
+
+def test_nearest_over_ranges(spark):
+    """Sites are carried between the ranges of a hot group, whatever the number of ranges; null groups have no site."""
+    points = [("hot", i, (i * 37) % 1000) for i in range(400)] + [("none", 1, 5), (None, 2, 5), ("hot", 9000, None)]
+    sites = [("hot", v) for v in (3, 400, 401, 990)] + [(None, 5)]
+    p = spark.createDataFrame(points, "g string, i int, v int").repartition(7)
+    s = spark.createDataFrame(sites, "g string, v int")
+    places = [v for _, v in sites[:4]]
+    want = {(g, i): min(abs(v - x) for x in places) if g == "hot" and v is not None else None for g, i, v in points}
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = {(r.g, r.i): r.distance for r in J.nearest(p, s, "g", "i", "v").collect()}
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert got == want
+
+
+def test_pair_degrees_blank_and_reversed(spark):
+    train = spark.createDataFrame([("a", "B ", True), ("b", "a", True), ("c", "", True), ("c", "d", False)], "a string, b string, y boolean")
+    rows = spark.createDataFrame([(1, "A", "b"), (2, "c", "d"), (3, "", None)], "i int, a string, b string")
+    got = {r.i: (r.deg_a, r.deg_b, r.deg_product, r.either_seen, r.both_seen, r.pair_seen, r.degree_source) for r in G.pair_degree_features(train, rows, "a", "b", "y").collect()}
+    assert got == {1: (2, 2, 4, 1, 1, 1, "train_positive_rows"), 2: (0, 0, 0, 0, 0, 0, "train_positive_rows"), 3: (0, 0, 0, 0, 0, 0, "train_positive_rows")}
+    assert {r.degree_source for r in G.pair_degree_features(train.where("not y"), rows, "a", "b", "y").collect()} == {"all_train_rows"}
+
+
+def test_quantile_candidates_are_percentiles(spark):
+    import numpy as np
+
+    for scores in ([0.5], [0.1, 0.1, 0.9], [round((i * i % 97) / 97, 3) for i in range(251)]):
+        df = spark.createDataFrame([("g", s) for s in scores], "g string, p double")
+        got = sorted(r.s for r in M.quantile_candidates(df, ["g"], "p").collect())
+        assert np.allclose(got, np.percentile(scores, range(2, 99)))
