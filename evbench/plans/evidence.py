@@ -37,23 +37,29 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EV = """ev AS (
   SELECT k AS row_key, CASE WHEN h NOT LIKE '00%' THEN concat('S', l_suppkey) END AS modified, concat('P', l_partkey) AS partner,
-         CASE WHEN h LIKE '0%' THEN '' WHEN h LIKE '1%' THEN 'XX' ELSE translate(substr(h, 2, 1), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') END AS residue,
+         CASE WHEN h LIKE '0%' THEN '' WHEN h LIKE '1%' THEN 'XX' ELSE translate(substr(h, 2, 1), '0123456789abcdef',
+         'ACDEFGHIKLMNPQRS') END AS residue,
          CASE WHEN h LIKE '2%' THEN 'x' WHEN h LIKE '3%' THEN '99' ELSE l_linenumber::VARCHAR END AS position,
-         concat(' ', l_returnflag, '; ', l_linestatus) AS kinds, l_returnflag AS kind, l_linestatus AS label, l_orderkey::VARCHAR AS publication
+         concat(' ', l_returnflag, '; ', l_linestatus) AS kinds, l_returnflag AS kind, l_linestatus AS label,
+         l_orderkey::VARCHAR AS publication
   FROM (SELECT *, md5(k) AS h FROM (SELECT *, concat_ws('||', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem))
 ), store AS (
-  SELECT concat('S', s_suppkey) AS accession, translate(md5(s_name), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS sequence FROM supplier WHERE s_suppkey % 17 <> 0
+  SELECT concat('S', s_suppkey) AS accession, translate(md5(s_name), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS sequence
+  FROM supplier WHERE s_suppkey % 17 <> 0
 ), clean AS (
-  SELECT * REPLACE (CASE WHEN residue = '' THEN NULL ELSE residue END AS residue), try_cast(position AS INT) AS pos FROM ev LEFT JOIN store ON modified = accession
+  SELECT * REPLACE (CASE WHEN residue = '' THEN NULL ELSE residue END AS residue), try_cast(position AS INT) AS pos FROM ev
+  LEFT JOIN store ON modified = accession
 ), checked AS (
   SELECT *, list_filter([
     CASE WHEN modified IS NULL THEN 'missing_id' END,
     CASE WHEN residue IS NULL THEN 'missing_residue' END,
-    CASE WHEN residue IS NOT NULL AND NOT (length(residue) = 1 AND contains('ACDEFGHIKLMNPQRSTVWY', residue)) THEN 'invalid_residue' END,
+    CASE WHEN residue IS NOT NULL AND NOT (length(residue) = 1 AND contains('ACDEFGHIKLMNPQRSTVWY',
+    residue)) THEN 'invalid_residue' END,
     CASE WHEN pos IS NULL THEN 'invalid_position' END,
     CASE WHEN sequence IS NULL THEN 'missing_sequence' END,
     CASE WHEN sequence IS NOT NULL AND pos <> 0 AND NOT (pos BETWEEN 1 AND length(sequence)) THEN 'position_out_of_range' END,
-    CASE WHEN sequence IS NOT NULL AND pos BETWEEN 1 AND length(sequence) AND residue IS NOT NULL AND substr(sequence, pos, 1) <> residue THEN 'residue_mismatch' END], lambda x: x IS NOT NULL) AS reasons
+    CASE WHEN sequence IS NOT NULL AND pos BETWEEN 1 AND length(sequence) AND residue IS NOT NULL AND substr(sequence, pos,
+    1) <> residue THEN 'residue_mismatch' END], lambda x: x IS NOT NULL) AS reasons
   FROM clean
 )"""
 
@@ -63,7 +69,8 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.validate(ev, store(spark, sf_dir), "modified", "residue", "position")
 
 
-@query("normalize_validate", f"WITH {EV} SELECT row_key, modified, residue, pos AS position, len(reasons) = 0 AS valid, array_to_string(reasons, ';') AS reasons FROM checked")
+@query("normalize_validate", f"""WITH {EV} SELECT row_key, modified, residue, pos AS position, len(reasons) = 0 AS valid,
+    array_to_string(reasons, ';') AS reasons FROM checked""")
 def normalize_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = checked(spark, sf_dir)
     return c.select("row_key", "modified", "residue", T.lenient_int(F.col("position")).alias("position"), (F.size("reasons") == 0).alias("valid"), F.array_join("reasons", ";").alias("reasons"))
@@ -74,16 +81,21 @@ def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.reason_counts(checked(spark, sf_dir))
 
 
-@query("quarantine_rows", f"WITH {EV} SELECT row_key, array_to_string(reasons, ';') AS reasons, CASE WHEN pos >= 1 THEN nullif(substr(sequence, pos, 1), '') END AS found_residue FROM checked WHERE len(reasons) > 0")
+@query("quarantine_rows", f"""WITH {EV} SELECT row_key, array_to_string(reasons, ';') AS reasons, CASE
+    WHEN pos >= 1 THEN nullif(substr(sequence, pos, 1), '') END AS found_residue FROM checked WHERE len(reasons) > 0""")
 def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.route(checked(spark, sf_dir))[1].select("row_key", "reasons", "found_residue")
 
 
 @query(
     "filter_funnel",
-    f"""WITH {EV}, f AS (SELECT *, label = 'F' AS a, label = 'F' AND sequence IS NOT NULL AS b, label = 'F' AND sequence IS NOT NULL AND coalesce(substr(sequence, pos, 1) = residue, false) AS c FROM checked)
-    SELECT count(*) AS rows_in, count(*) FILTER (WHERE a) AS labelled, count(*) FILTER (WHERE b) AS with_sequence, count(*) FILTER (WHERE c) AS matching,
-           count(DISTINCT CASE WHEN c THEN modified END) AS entities, count(DISTINCT CASE WHEN c THEN least(modified, partner) || '||' || greatest(modified, partner) END) AS pairs, count(DISTINCT CASE WHEN c THEN publication END) AS publications FROM f""",
+    f"""WITH {EV}, f AS (SELECT *, label = 'F' AS a, label = 'F' AND sequence IS NOT NULL AS b, label = 'F' AND sequence IS NOT NULL
+    AND coalesce(substr(sequence, pos, 1) = residue, false) AS c FROM checked)
+    SELECT count(*) AS rows_in, count(*) FILTER (WHERE a) AS labelled, count(*) FILTER (WHERE b) AS with_sequence,
+    count(*) FILTER (WHERE c) AS matching,
+           count(DISTINCT CASE WHEN c THEN modified END) AS entities, count(DISTINCT CASE WHEN c THEN least(modified,
+           partner) || '||' || greatest(modified, partner) END) AS pairs, count(DISTINCT CASE
+           WHEN c THEN publication END) AS publications FROM f""",
 )
 def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = {"labelled": F.col("label") == "F", "with_sequence": F.col("sequence").isNotNull(), "matching": F.substring("sequence", T.lenient_int(F.col("position")), F.lit(1)) == F.col("residue")}
@@ -91,20 +103,26 @@ def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.funnel(checked(spark, sf_dir), stages, keys)
 
 
-@query("dedup_first", "SELECT l_suppkey, l_partkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
+@query("dedup_first", """SELECT l_suppkey, l_partkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *,
+    row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem)
+    WHERE rn = 1""")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_orderkey", "l_linenumber")
     return E.first_of_each(li, ["l_suppkey", "l_partkey", "l_returnflag"], ["l_orderkey", "l_linenumber"])
 
 
-@query("derive_keys", f"WITH {EV} SELECT row_key, least(modified, partner) || '||' || greatest(modified, partner) AS pair_key, concat_ws('||', modified, position, kind) AS site_key, concat_ws('||', modified, partner) AS directed_key FROM ev WHERE modified IS NOT NULL")
+@query("derive_keys", f"""WITH {EV} SELECT row_key, least(modified, partner) || '||' || greatest(modified, partner) AS pair_key,
+    concat_ws('||', modified, position, kind) AS site_key, concat_ws('||', modified, partner) AS directed_key FROM ev
+    WHERE modified IS NOT NULL""")
 def derive_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evidence(spark, sf_dir).where("modified is not null")
     m, p = F.col("modified"), F.col("partner")
     return e.select("row_key", T.pair_key(m, p).alias("pair_key"), T.joined_key(m, F.col("position"), F.col("kind")).alias("site_key"), T.joined_key(m, p).alias("directed_key"))
 
 
-@query("tokenize_entities", f"WITH {EV} SELECT token, count(*) AS n, count(DISTINCT row_key) AS row_count FROM (SELECT row_key, upper(trim(unnest(regexp_split_to_array(kinds || ' and NA|' || partner, '[;,|]|\\band\\b')))) AS token FROM ev) WHERE token NOT IN ('', 'NA', 'NAN', 'NONE', 'NULL') GROUP BY token")
+@query("tokenize_entities", f"""WITH {EV} SELECT token, count(*) AS n, count(DISTINCT row_key) AS row_count FROM (SELECT row_key,
+    upper(trim(unnest(regexp_split_to_array(kinds || ' and NA|' || partner, '[;,|]|\\band\\b')))) AS token FROM ev)
+    WHERE token NOT IN ('', 'NA', 'NAN', 'NONE', 'NULL') GROUP BY token""")
 def tokenize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evidence(spark, sf_dir).select("row_key", F.explode(T.tokens(F.concat("kinds", F.lit(" and NA|"), "partner"))).alias("token"))
     return e.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_key").alias("row_count"))
@@ -114,7 +132,9 @@ def tokenize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 METHODS = (("widget", "screen"), ("^small|^red", "pulldown"), (r"gear\b", "spectrum"), ("o.*l", "array"))
 
 
-@query("regex_classify", r"SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%widget%' THEN 'screen' WHEN regexp_matches(lower(p_name), '^small|^red') THEN 'pulldown' WHEN regexp_matches(lower(p_name), 'gear\b') THEN 'spectrum' WHEN regexp_matches(lower(p_name), 'o.*l') THEN 'array' ELSE 'other' END AS family FROM part")
+@query("regex_classify", r"""SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%widget%' THEN 'screen'
+    WHEN regexp_matches(lower(p_name), '^small|^red') THEN 'pulldown' WHEN regexp_matches(lower(p_name), 'gear\b') THEN 'spectrum'
+    WHEN regexp_matches(lower(p_name), 'o.*l') THEN 'array' ELSE 'other' END AS family FROM part""")
 def regex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", T.first_match(p.p_name, METHODS).alias("family"))
@@ -122,10 +142,14 @@ def regex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rule_label_ratio",
-    """WITH r AS (SELECT round(log2(l_quantity / 15), 9) AS ratio, l_returnflag = 'R' AS p, l_returnflag = 'A' OR l_discount > 0.08 AS w, l_tax > 0.04 AS m FROM lineitem)
+    """WITH r AS (SELECT round(log2(l_quantity / 15), 9) AS ratio, l_returnflag = 'R' AS p, l_returnflag = 'A'
+    OR l_discount > 0.08 AS w, l_tax > 0.04 AS m FROM lineitem)
     SELECT effect, why, count(*) AS n FROM (SELECT
-      CASE WHEN ratio <= -1 THEN 'enhance' WHEN ratio >= 1 THEN 'inhibit' WHEN p AND NOT w AND NOT m THEN 'enhance' WHEN w AND NOT p THEN 'inhibit' END AS effect,
-      CASE WHEN ratio <= -1 AND p THEN 'ratio and modified flag' WHEN ratio >= 1 AND w THEN 'ratio and unmodified flag' WHEN ratio <= -1 OR ratio >= 1 THEN 'ratio alone' WHEN p AND NOT w AND NOT m THEN 'modified flag alone' WHEN w AND NOT p THEN 'unmodified flag alone' ELSE 'ambiguous' END AS why FROM r) GROUP BY ALL""",
+      CASE WHEN ratio <= -1 THEN 'enhance' WHEN ratio >= 1 THEN 'inhibit' WHEN p AND NOT w AND NOT m THEN 'enhance' WHEN w
+      AND NOT p THEN 'inhibit' END AS effect,
+      CASE WHEN ratio <= -1 AND p THEN 'ratio and modified flag' WHEN ratio >= 1 AND w THEN 'ratio and unmodified flag'
+      WHEN ratio <= -1 OR ratio >= 1 THEN 'ratio alone' WHEN p AND NOT w AND NOT m THEN 'modified flag alone' WHEN w
+      AND NOT p THEN 'unmodified flag alone' ELSE 'ambiguous' END AS why FROM r) GROUP BY ALL""",
 )
 def rule_label_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -133,7 +157,9 @@ def rule_label_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(e.alias("e")).groupBy("e.effect", "e.why").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("year_parse", r"SELECT y AS year, count(*) AS n, min(d) AS first_date, max(d) AS last_date FROM (SELECT nullif(regexp_extract(s, '(19|20)\d{2}', 0), '')::INT AS y, replace(substr(s, 1, 10), '/', '-') AS d FROM (SELECT strftime(o_orderdate, '%Y/%m/%d') || ' issue ' || o_orderkey AS s FROM orders)) GROUP BY y")
+@query("year_parse", r"""SELECT y AS year, count(*) AS n, min(d) AS first_date, max(d) AS last_date
+    FROM (SELECT nullif(regexp_extract(s, '(19|20)\d{2}', 0), '')::INT AS y, replace(substr(s, 1, 10), '/', '-') AS d
+    FROM (SELECT strftime(o_orderdate, '%Y/%m/%d') || ' issue ' || o_orderkey AS s FROM orders)) GROUP BY y""")
 def year_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     s = F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" issue "), o.o_orderkey.cast("string"))
@@ -148,8 +174,10 @@ def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "class_guard",
-    """WITH s AS (SELECT o_orderpriority AS split, o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS part, o_orderstatus AS label FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderkey % 10 >= 7 AND o_orderstatus <> 'F')),
-    g AS (SELECT split FROM s GROUP BY split HAVING count(*) FILTER (WHERE part = 'test') >= 25 AND count(DISTINCT CASE WHEN part = 'test' THEN label END) > 1 AND count(DISTINCT CASE WHEN part = 'train' THEN label END) > 1)
+    """WITH s AS (SELECT o_orderpriority AS split, o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS part,
+    o_orderstatus AS label FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderkey % 10 >= 7 AND o_orderstatus <> 'F')),
+    g AS (SELECT split FROM s GROUP BY split HAVING count(*) FILTER (WHERE part = 'test') >= 25 AND count(DISTINCT CASE
+    WHEN part = 'test' THEN label END) > 1 AND count(DISTINCT CASE WHEN part = 'train' THEN label END) > 1)
     SELECT split, part, count(*) AS n FROM s WHERE split IN (SELECT split FROM g) GROUP BY ALL""",
 )
 def class_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +196,8 @@ def strict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "schema_contract",
     """WITH e AS (SELECT event_id AS id, CASE WHEN user_id % 50 <> 0 THEN user_id::VARCHAR END AS user, event_type FROM events)
-    SELECT id, 'user' AS "column", 'missing' AS violation FROM e WHERE user IS NULL UNION ALL SELECT id, 'event_type', 'not allowed' FROM e WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')""",
+    SELECT id, 'user' AS "column", 'missing' AS violation FROM e WHERE user IS NULL UNION ALL SELECT id, 'event_type',
+    'not allowed' FROM e WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')""",
 )
 def schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -176,7 +205,9 @@ def schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.contract_violations(rows, "event_id", ["user"], {"event_type": ["view", "click", "purchase", "signup"]})
 
 
-@query("conflict_collapse", "SELECT pair, count(*) AS n, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS labels FROM (SELECT least(l_suppkey::VARCHAR, l_partkey::VARCHAR) || '||' || greatest(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS pair, l_linestatus FROM lineitem) GROUP BY pair HAVING count(DISTINCT l_linestatus) > 1")
+@query("conflict_collapse", """SELECT pair, count(*) AS n, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS labels
+    FROM (SELECT least(l_suppkey::VARCHAR, l_partkey::VARCHAR) || '||' || greatest(l_suppkey::VARCHAR,
+    l_partkey::VARCHAR) AS pair, l_linestatus FROM lineitem) GROUP BY pair HAVING count(DISTINCT l_linestatus) > 1""")
 def conflict_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return E.conflicts(li.select(T.pair_key(li.l_suppkey, li.l_partkey).alias("pair"), "l_linestatus"), "pair", "l_linestatus")
@@ -184,8 +215,10 @@ def conflict_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "evidence_tier",
-    """WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n, bool_or(l_returnflag = 'R') AS direct, bool_or(l_orderkey % 100 = 0) AS overlap FROM lineitem GROUP BY ALL)
-    SELECT CASE WHEN overlap THEN 'excluded' WHEN direct AND n > 1 THEN 'tier1' WHEN direct THEN 'tier2' ELSE 'tier3' END AS tier, count(*) AS pairs, sum(n)::BIGINT AS row_count FROM c GROUP BY 1""",
+    """WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n, bool_or(l_returnflag = 'R') AS direct,
+    bool_or(l_orderkey % 100 = 0) AS overlap FROM lineitem GROUP BY ALL)
+    SELECT CASE WHEN overlap THEN 'excluded' WHEN direct AND n > 1 THEN 'tier1' WHEN direct THEN 'tier2' ELSE 'tier3' END AS tier,
+    count(*) AS pairs, sum(n)::BIGINT AS row_count FROM c GROUP BY 1""",
 )
 def evidence_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -193,7 +226,9 @@ def evidence_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(E.evidence_tier(F.col("direct"), F.col("n") > 1, F.col("overlap")).alias("tier")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("row_count"))
 
 
-@query("canonical_labels", "SELECT event_type, CASE event_type WHEN 'purchase' THEN 'enhance' WHEN 'error' THEN 'inhibit' WHEN 'signup' THEN 'enhance' END AS label, count(*) AS n, CASE event_type WHEN 'purchase' THEN true WHEN 'signup' THEN true WHEN 'error' THEN false END AS positive FROM events GROUP BY ALL")
+@query("canonical_labels", """SELECT event_type, CASE event_type WHEN 'purchase' THEN 'enhance' WHEN 'error' THEN 'inhibit'
+    WHEN 'signup' THEN 'enhance' END AS label, count(*) AS n, CASE event_type WHEN 'purchase' THEN true WHEN 'signup' THEN true
+    WHEN 'error' THEN false END AS positive FROM events GROUP BY ALL""")
 def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     label = T.canonical(e.event_type, {"Purchase": "enhance", "ERROR": "inhibit", "signup": "enhance"}, keep_unknown=False)

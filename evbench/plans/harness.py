@@ -60,13 +60,15 @@ def shield_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.audit(long.select("split", "key", "part", F.col("row.label").alias("label")))
 
 
-@query("cohort_split", "SELECT CASE WHEN year(o_orderdate) <= 1998 THEN 'train' WHEN o_orderdate IS NOT NULL THEN 'holdout' END AS part, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
+@query("cohort_split", """SELECT CASE WHEN year(o_orderdate) <= 1998 THEN 'train'
+    WHEN o_orderdate IS NOT NULL THEN 'holdout' END AS part, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1""")
 def cohort_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return S.cohort_split(o, F.year("o_orderdate"), 1998).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("split_file_names", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' WHEN 2 THEN 'test' WHEN 3 THEN NULL ELSE 'valid' END AS part FROM documents")
+@query("split_file_names", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' WHEN 2 THEN 'test'
+    WHEN 3 THEN NULL ELSE 'valid' END AS part FROM documents""")
 def split_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ["data/x_Training.tsv", "a\\b\\val-1.csv", "s3/holdout.parquet", "train/other.csv", "dev_set_train.csv"]))
     return table(spark, sf_dir, "documents").select("doc_id", T.split_from_path(F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int"))).alias("part"))
@@ -75,15 +77,20 @@ def split_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- metrics and models
 
 
-@query("weighted_f1", f"WITH {PRED}, c AS ({CONFUSION.replace('t)', '0.5)')} FROM test GROUP BY ALL) SELECT split, model, round(((tp + fn) * CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + (tn + fp) * CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / (tp + fp + fn + tn), 9) AS weighted_f1 FROM c")
+@query("weighted_f1", f"""WITH {PRED}, c AS ({CONFUSION.replace('t)', '0.5)')} FROM test GROUP BY ALL) SELECT split, model,
+    round(((tp + fn) * CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + (tn + fp) * CASE
+    WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / (tp + fp + fn + tn), 9) AS weighted_f1 FROM c""")
 def weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.weighted_f1(test_rows(spark, sf_dir), BY, "label", "score", 0.5)
 
 
 @query(
     "prevalence_threshold",
-    f"""WITH {PRED}, n AS (SELECT split, model, count(*) AS n, sum(label::INT)::BIGINT AS p FROM valid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY split, model ORDER BY score) - 1 AS i FROM valid JOIN n USING (split, model)),
-    g AS (SELECT split, model, min(score) FILTER (WHERE i = (n - 1) * (n - p) // n) AS a, min(score) FILTER (WHERE i = (n - 1) * (n - p) // n + 1) AS b, any_value(((n - 1) * (n - p) % n)::DOUBLE / n) AS f FROM r GROUP BY ALL)
+    f"""WITH {PRED}, n AS (SELECT split, model, count(*) AS n, sum(label::INT)::BIGINT AS p FROM valid GROUP BY ALL), r AS (SELECT *,
+    row_number() OVER (PARTITION BY split, model ORDER BY score) - 1 AS i FROM valid JOIN n USING (split, model)),
+    g AS (SELECT split, model, min(score) FILTER (WHERE i = (n - 1) * (n - p) // n) AS a,
+    min(score) FILTER (WHERE i = (n - 1) * (n - p) // n + 1) AS b, any_value(((n - 1) * (n - p) % n)::DOUBLE / n) AS f FROM r
+    GROUP BY ALL)
     SELECT split, model, round(a + f * (coalesce(b, a) - a), 9) AS threshold FROM g""",
 )
 def prevalence_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +108,17 @@ def threshold_mcc_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "metric_rows_full",
-    f"""WITH {PRED}, th AS ({ORACLE_SQL['threshold_mcc']}), c AS ({CONFUSION.replace('t)', 'threshold)')} FROM test JOIN th USING (split, model) GROUP BY ALL),
-    n AS (SELECT split, model, count(*) FILTER (WHERE part = 'valid') AS valid_n, count(*) FILTER (WHERE part = 'test') AS test_n, round(avg(label::INT) FILTER (WHERE part = 'valid'), 9) AS valid_rate, round(avg(label::INT) FILTER (WHERE part = 'test'), 9) AS test_rate FROM pred GROUP BY ALL)
-    SELECT n.*, threshold, auroc, auprc, round({MCC}, 9) AS mcc, round({F1}, 9) AS macro_f1, round({BALANCED}, 9) AS balanced_accuracy, brier, ece, precision AS precision_at_50
-    FROM n JOIN th USING (split, model) JOIN c USING (split, model) JOIN ({ORACLE_SQL['auroc']}) USING (split, model) JOIN ({ORACLE_SQL['average_precision']}) USING (split, model)
-    JOIN (SELECT split, model, brier FROM ({ORACLE_SQL['brier_logloss']})) USING (split, model) JOIN ({ORACLE_SQL['ece']}) USING (split, model) JOIN ({ORACLE_SQL['precision_at_k']}) USING (split, model)""",
+    f"""WITH {PRED}, th AS ({ORACLE_SQL['threshold_mcc']}), c AS ({CONFUSION.replace('t)', 'threshold)')} FROM test
+    JOIN th USING (split, model) GROUP BY ALL),
+    n AS (SELECT split, model, count(*) FILTER (WHERE part = 'valid') AS valid_n, count(*) FILTER (WHERE part = 'test') AS test_n,
+    round(avg(label::INT) FILTER (WHERE part = 'valid'), 9) AS valid_rate, round(avg(label::INT) FILTER (WHERE part = 'test'),
+    9) AS test_rate FROM pred GROUP BY ALL)
+    SELECT n.*, threshold, auroc, auprc, round({MCC}, 9) AS mcc, round({F1}, 9) AS macro_f1, round({BALANCED},
+    9) AS balanced_accuracy, brier, ece, precision AS precision_at_50
+    FROM n JOIN th USING (split, model) JOIN c USING (split, model) JOIN ({ORACLE_SQL['auroc']}) USING (split, model)
+    JOIN ({ORACLE_SQL['average_precision']}) USING (split, model)
+    JOIN (SELECT split, model, brier FROM ({ORACLE_SQL['brier_logloss']})) USING (split, model)
+    JOIN ({ORACLE_SQL['ece']}) USING (split, model) JOIN ({ORACLE_SQL['precision_at_k']}) USING (split, model)""",
 )
 def metric_rows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metric_rows(predictions(spark, sf_dir), BY, "label", "score", "event_id")
@@ -141,7 +154,9 @@ def prediction_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "subgraph_degree",
-    """WITH v AS (SELECT 's' || s_suppkey AS v FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT 'p' || p_partkey FROM part WHERE p_size > 25), e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), k AS (SELECT * FROM e WHERE a IN (FROM v) AND b IN (FROM v))
+    """WITH v AS (SELECT 's' || s_suppkey AS v FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT 'p' || p_partkey FROM part
+    WHERE p_size > 25), e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), k AS (SELECT * FROM e
+    WHERE a IN (FROM v) AND b IN (FROM v))
     SELECT v, (SELECT count(*) FROM k WHERE a = v.v) + (SELECT count(*) FROM k WHERE b = v.v) AS degree FROM v""",
 )
 def subgraph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +168,9 @@ def subgraph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "community_key",
-    """WITH c AS (SELECT s_suppkey AS v, (s_nationkey * 7)::VARCHAR AS l FROM supplier WHERE s_suppkey % 5 <> 0), j AS (SELECT l_orderkey, l_linenumber, l_suppkey AS a, l_partkey AS b, coalesce(x.l, '-1') AS p, coalesce(y.l, '-1') AS q FROM lineitem LEFT JOIN c x ON x.v = l_suppkey LEFT JOIN c y ON y.v = l_partkey)
+    """WITH c AS (SELECT s_suppkey AS v, (s_nationkey * 7)::VARCHAR AS l FROM supplier WHERE s_suppkey % 5 <> 0),
+    j AS (SELECT l_orderkey, l_linenumber, l_suppkey AS a, l_partkey AS b, coalesce(x.l, '-1') AS p, coalesce(y.l, '-1') AS q
+    FROM lineitem LEFT JOIN c x ON x.v = l_suppkey LEFT JOIN c y ON y.v = l_partkey)
     SELECT l_orderkey, l_linenumber, a, b, least(p, q) || '|' || greatest(p, q) AS community_pair FROM j""",
 )
 def community_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +179,9 @@ def community_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.community_key(li, labels)
 
 
-@query("stable_row_ids", "SELECT o_orderkey, 'event_' || CASE WHEN length(i::VARCHAR) < 5 THEN lpad(i::VARCHAR, 5, '0') ELSE i::VARCHAR END AS row_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i FROM orders)")
+@query("stable_row_ids", """SELECT o_orderkey, 'event_' || CASE WHEN length(i::VARCHAR) < 5 THEN lpad(i::VARCHAR, 5, '0')
+    ELSE i::VARCHAR END AS row_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i
+    FROM orders)""")
 def stable_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stable_ids(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"]).drop("o_custkey")
 
@@ -170,19 +189,23 @@ def stable_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------- small policies
 
 
-@query("conflict_policy", "WITH o AS (SELECT l_partkey AS k, l_linestatus AS y, l_suppkey AS p, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT k FROM o GROUP BY k HAVING count(DISTINCT y) > 1) SELECT k, y, p, n, k IN (FROM c) AS excluded FROM o")
+@query("conflict_policy", """WITH o AS (SELECT l_partkey AS k, l_linestatus AS y, l_suppkey AS p, count(*) AS n FROM lineitem
+    GROUP BY ALL), c AS (SELECT k FROM o GROUP BY k HAVING count(DISTINCT y) > 1) SELECT k, y, p, n, k IN (FROM c) AS excluded
+    FROM o""")
 def conflict_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return E.collapse(li.select(li.l_partkey.alias("k"), li.l_linestatus.alias("y"), li.l_suppkey.alias("p")), "k", "y", "p")
 
 
-@query("ambiguous_rows", """SELECT CASE WHEN p_size > 40 THEN 'too large' ELSE 'no brand' END AS reason, '{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS original FROM part WHERE p_size > 40 OR p_partkey % 50 = 0""")
+@query("ambiguous_rows", """SELECT CASE WHEN p_size > 40 THEN 'too large' ELSE 'no brand' END AS reason,
+    '{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS original FROM part WHERE p_size > 40 OR p_partkey % 50 = 0""")
 def ambiguous_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     return E.route_ambiguous(p, F.when(p.p_size > 40, "too large").when(p.p_partkey % 50 == 0, "no brand"))[1]
 
 
-@query("placeholder_tokens", "SELECT doc_id, CASE WHEN quality = 1 THEN lang ELSE 'ID:' || doc_id || ':' || n_chars END AS token FROM documents LEFT JOIN labels USING (doc_id)")
+@query("placeholder_tokens", """SELECT doc_id, CASE WHEN quality = 1 THEN lang ELSE 'ID:' || doc_id || ':' || n_chars END AS token
+    FROM documents LEFT JOIN labels USING (doc_id)""")
 def placeholder_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return d.select("doc_id", T.placeholder(F.when(F.col("quality") == 1, F.col("lang")).otherwise(""), F.col("doc_id"), F.col("n_chars")).alias("token"))
@@ -190,7 +213,9 @@ def placeholder_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "site_flags",
-    "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 10 > 0 THEN round(l_linenumber / (l_partkey % 10), 9) ELSE 0 END AS share, l_suppkey = l_partkey % 100 AS self_interaction, l_partkey % 3 > 0 AS has_a, l_suppkey % 4 > 0 AS has_b, 3 AS total, 1 + (l_linenumber = 1)::INT AS at_site FROM lineitem",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 10 > 0 THEN round(l_linenumber / (l_partkey % 10), 9)
+    ELSE 0 END AS share, l_suppkey = l_partkey % 100 AS self_interaction, l_partkey % 3 > 0 AS has_a, l_suppkey % 4 > 0 AS has_b,
+    3 AS total, 1 + (l_linenumber = 1)::INT AS at_site FROM lineitem""",
 )
 def site_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -206,7 +231,8 @@ def once_per_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.once_per_value(d, "lang", lambda v: v.withColumn("cost", F.length("lang"))).select("doc_id", "lang", "cost")
 
 
-@query("first_workable_key", "SELECT o_orderkey, l AS label FROM orders LEFT JOIN (SELECT o_orderkey, min(o_orderpriority) AS l FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1) USING (o_orderkey)")
+@query("first_workable_key", """SELECT o_orderkey, l AS label FROM orders LEFT JOIN (SELECT o_orderkey, min(o_orderpriority) AS l
+    FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1) USING (o_orderkey)""")
 def first_workable_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     source = o.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit(-1).alias("o_custkey"), F.col("o_orderpriority").alias("label"))
@@ -219,7 +245,8 @@ def first_accession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.first_of_many(F.concat(F.lit("P"), d.doc_id % 90, F.lit("-2; Q1,Q2")), strip_suffix=True).alias("accession"))
 
 
-@query("interface_sites", "SELECT c, count(*) AS sites, min(s) AS least FROM (SELECT DISTINCT l_suppkey AS c, l_partkey AS s FROM lineitem UNION SELECT l_partkey % 100, l_suppkey FROM lineitem) GROUP BY c")
+@query("interface_sites", """SELECT c, count(*) AS sites, min(s) AS least FROM (SELECT DISTINCT l_suppkey AS c, l_partkey AS s
+    FROM lineitem UNION SELECT l_partkey % 100, l_suppkey FROM lineitem) GROUP BY c""")
 def interface_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site sets from both ends of a contact."""
     li = table(spark, sf_dir, "lineitem")
@@ -227,7 +254,10 @@ def interface_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("c").agg(F.count(F.lit(1)).alias("sites"), F.min("s").alias("least"))
 
 
-@query("extracted_overlap", "WITH i AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{4,7}')) AS id FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{4,7}')) AS id FROM benchmark), x AS (SELECT id FROM i INTERSECT SELECT id FROM b) SELECT count(*) AS shared, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM x ORDER BY id LIMIT 20)) AS first FROM x")
+@query("extracted_overlap", """WITH i AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{4,7}')) AS id FROM documents),
+    b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{4,7}')) AS id FROM benchmark), x AS (SELECT id
+    FROM i INTERSECT SELECT id FROM b) SELECT count(*) AS shared, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM x
+    ORDER BY id LIMIT 20)) AS first FROM x""")
 def extracted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lambda t: table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,7}"), F.lit(0))).alias("id"))
     shared = ids("documents").intersect(ids("benchmark"))
@@ -248,7 +278,8 @@ def discovered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(suffix.alias("suffix")).agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-@query("any_table_formats", "SELECT format, count(*) AS n, min(n_name) AS least FROM nation, (VALUES ('csv'), ('json'), ('parquet')) AS v(format) GROUP BY format")
+@query("any_table_formats", """SELECT format, count(*) AS n, min(n_name) AS least FROM nation, (VALUES ('csv'), ('json'),
+    ('parquet')) AS v(format) GROUP BY format""")
 def any_table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _landing(spark, "any")
     n = table(spark, sf_dir, "nation").select("n_name")
@@ -265,7 +296,8 @@ def any_table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "feature_packs",
-    "SELECT p_partkey, round(p_retailprice + p_size, 6) AS combined_sum, 1 AS site_dims, 2 AS combined_dims, round(p_size - 2 * p_size, 6) AS delta_sum FROM part",
+    """SELECT p_partkey, round(p_retailprice + p_size, 6) AS combined_sum, 1 AS site_dims, 2 AS combined_dims,
+    round(p_size - 2 * p_size, 6) AS delta_sum FROM part""",
 )
 def feature_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature families with their combination, and the two states of a site with their difference."""
@@ -277,8 +309,12 @@ def feature_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "model_inputs",
-    """WITH s AS (SELECT p_partkey AS id, md5(p_name) AS x, md5(p_brand) AS y, (p_partkey % 32 + 1)::INT AS pos FROM part), t AS (SELECT *, greatest(0, least(pos - 1 - 6, 32 - 12))::INT AS sa, greatest(0, least(((id % 9) + 1) - 1 - 6, 32 - 12))::INT AS sb FROM s)
-    SELECT id, substr(x, sa + 1, 12) AS crop_a, sa AS start_a, pos - 1 - sa AS at_a, substr(y, sb + 1, 12) AS crop_b, sb AS start_b, CASE WHEN id % 9 - sb BETWEEN 0 AND 11 THEN (pos - 1 - sa) || ':' || (id % 9 - sb) ELSE '' END AS contacts, least('a' || id, 'b' || (id % 7)) || '||' || greatest('a' || id, 'b' || (id % 7)) AS key FROM t""",
+    """WITH s AS (SELECT p_partkey AS id, md5(p_name) AS x, md5(p_brand) AS y, (p_partkey % 32 + 1)::INT AS pos FROM part),
+    t AS (SELECT *, greatest(0, least(pos - 1 - 6, 32 - 12))::INT AS sa, greatest(0, least(((id % 9) + 1) - 1 - 6,
+    32 - 12))::INT AS sb FROM s)
+    SELECT id, substr(x, sa + 1, 12) AS crop_a, sa AS start_a, pos - 1 - sa AS at_a, substr(y, sb + 1, 12) AS crop_b,
+    sb AS start_b, CASE WHEN id % 9 - sb BETWEEN 0 AND 11 THEN (pos - 1 - sa) || ':' || (id % 9 - sb) ELSE '' END AS contacts,
+    least('a' || id, 'b' || (id % 7)) || '||' || greatest('a' || id, 'b' || (id % 7)) AS key FROM t""",
 )
 def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -288,7 +324,8 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.model_inputs(rows, 12)
 
 
-@query("broken_inputs", "SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 3 THEN 4 ELSE 5 END AS n FROM part WHERE p_partkey % 10 = 3 OR p_partkey % 10 = 7")
+@query("broken_inputs", """SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 3 THEN 4 ELSE 5 END AS n FROM part
+    WHERE p_partkey % 10 = 3 OR p_partkey % 10 = 7""")
 def broken_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a strict manifest must not hold: every tenth list is too short, another holds an id of 20."""
     p = table(spark, sf_dir, "part")

@@ -16,7 +16,8 @@ def _needles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return n, t
 
 
-FOUND = "found AS (SELECT item_id AS needle_id, doc_id AS text_id, strpos(d.text, b.text) - 1 AS start FROM benchmark b, documents d WHERE contains(d.text, b.text) AND length(b.text) >= 20)"
+FOUND = """found AS (SELECT item_id AS needle_id, doc_id AS text_id, strpos(d.text, b.text) - 1 AS start FROM benchmark b,
+    documents d WHERE contains(d.text, b.text) AND length(b.text) >= 20)"""
 
 
 @query("containment_map", f"WITH {FOUND} SELECT needle_id, text_id, start FROM found")
@@ -24,13 +25,19 @@ def containment_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.contained(*_needles(spark, sf_dir))
 
 
-@query("match_or_keep", f"WITH {FOUND}, c AS (SELECT needle_id, count(*) AS n FROM found GROUP BY 1) SELECT item_id AS needle_id, text_id, start, text_id IS NOT NULL AS mapped, coalesce(n = 1, false) AS is_unique FROM benchmark LEFT JOIN found ON needle_id = item_id LEFT JOIN c ON c.needle_id = item_id")
+@query("match_or_keep", f"""WITH {FOUND}, c AS (SELECT needle_id, count(*) AS n FROM found GROUP BY 1) SELECT item_id AS needle_id,
+    text_id, start, text_id IS NOT NULL AS mapped, coalesce(n = 1, false) AS is_unique FROM benchmark
+    LEFT JOIN found ON needle_id = item_id LEFT JOIN c ON c.needle_id = item_id""")
 def match_or_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, t = _needles(spark, sf_dir)
     return J.match_or_keep(n, J.contained(n, t))
 
 
-@query("positional_coverage", "WITH t AS (SELECT l_suppkey AS k, l_partkey AS pos, min(l_linenumber) AS token FROM lineitem GROUP BY ALL), c AS (SELECT l_orderkey AS crop_id, min(l_suppkey) AS k, min(l_partkey) AS start, 3 + min(l_linenumber) AS size FROM lineitem GROUP BY 1), p AS (SELECT crop_id, k, unnest(range(start, start + size)) AS pos FROM c) SELECT crop_id, count(*) FILTER (WHERE token IS NULL) AS n_missing, coalesce(string_agg(token::VARCHAR, ',' ORDER BY pos), '') AS ids FROM p LEFT JOIN t USING (k, pos) GROUP BY crop_id")
+@query("positional_coverage", """WITH t AS (SELECT l_suppkey AS k, l_partkey AS pos, min(l_linenumber) AS token FROM lineitem
+    GROUP BY ALL), c AS (SELECT l_orderkey AS crop_id, min(l_suppkey) AS k, min(l_partkey) AS start, 3 + min(l_linenumber) AS size
+    FROM lineitem GROUP BY 1), p AS (SELECT crop_id, k, unnest(range(start, start + size)) AS pos FROM c) SELECT crop_id,
+    count(*) FILTER (WHERE token IS NULL) AS n_missing, coalesce(string_agg(token::VARCHAR, ',' ORDER BY pos), '') AS ids FROM p
+    LEFT JOIN t USING (k, pos) GROUP BY crop_id""")
 def positional_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "k")
     t = li.groupBy("k", F.col("l_partkey").alias("pos")).agg(F.min("l_linenumber").alias("token"))
@@ -40,7 +47,10 @@ def positional_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "strict_manifest",
-    """WITH r AS (SELECT l_suppkey AS k, min(l_partkey) + 50 AS lo, max(l_partkey) - 50 AS hi FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1), x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN lo IS NULL THEN 'no_range' WHEN l_partkey < lo THEN 'before' WHEN l_partkey + 20 > hi THEN 'after' WHEN l_quantity < 3 THEN 'low_coverage' END AS why FROM lineitem LEFT JOIN r ON k = l_suppkey)
+    """WITH r AS (SELECT l_suppkey AS k, min(l_partkey) + 50 AS lo, max(l_partkey) - 50 AS hi FROM lineitem WHERE l_suppkey % 5 <> 0
+    GROUP BY 1), x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN lo IS NULL THEN 'no_range'
+    WHEN l_partkey < lo THEN 'before' WHEN l_partkey + 20 > hi THEN 'after' WHEN l_quantity < 3 THEN 'low_coverage' END AS why
+    FROM lineitem LEFT JOIN r ON k = l_suppkey)
     SELECT coalesce(why, 'kept') AS reason, count(*) AS n, count(DISTINCT l_suppkey) AS entities FROM x GROUP BY 1""",
 )
 def strict_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +61,13 @@ def strict_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("entities"))
 
 
-CONTACT = "c AS (SELECT 'C' || (l_suppkey % 9) || ':' || upper(left(l_returnflag || 'la', 3)) || l_partkey || CASE WHEN l_linenumber = 7 THEN 'bad' ELSE '' END AS s, l_orderkey, l_linenumber FROM lineitem)"
+CONTACT = """c AS (SELECT 'C' || (l_suppkey % 9) || ':' || upper(left(l_returnflag || 'la', 3)) || l_partkey || CASE
+    WHEN l_linenumber = 7 THEN 'bad' ELSE '' END AS s, l_orderkey, l_linenumber FROM lineitem)"""
 
 
-@query("contact_parse", rf"WITH {CONTACT} SELECT regexp_extract(s, '^([A-Za-z0-9_]+):([A-Z]{{3}})(-?\d+)', 1) AS chain, regexp_extract(s, '^([A-Za-z0-9_]+):([A-Z]{{3}})(-?\d+)', 2) AS residue, count(*) AS n, sum(regexp_extract(s, '^([A-Za-z0-9_]+):([A-Z]{{3}})(-?\d+)', 3)::INT)::BIGINT AS sites FROM c GROUP BY 1, 2")
+@query("contact_parse", rf"""WITH {CONTACT} SELECT regexp_extract(s, '^([A-Za-z0-9_]+):([A-Z]{{3}})(-?\d+)', 1) AS chain,
+    regexp_extract(s, '^([A-Za-z0-9_]+):([A-Z]{{3}})(-?\d+)', 2) AS residue, count(*) AS n, sum(regexp_extract(s,
+    '^([A-Za-z0-9_]+):([A-Z]{{3}})(-?\d+)', 3)::INT)::BIGINT AS sites FROM c GROUP BY 1, 2""")
 def contact_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     s = F.concat(F.lit("C"), li.l_suppkey % 9, F.lit(":"), F.upper(F.left(F.concat("l_returnflag", F.lit("la")), F.lit(3))), li.l_partkey, F.when(li.l_linenumber == 7, "bad").otherwise(""))
@@ -63,8 +76,11 @@ def contact_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "contact_signatures",
-    """WITH e AS (SELECT l_orderkey AS id, l_suppkey AS s, l_partkey AS p, l_linenumber AS o, l_returnflag AS f FROM lineitem WHERE l_quantity > 45), t AS (SELECT id, unnest(['M:S' || s || ':' || o, 'P:P' || p || ':' || o, 'REL:' || printf('%+d', o - 4) || ':' || f]) AS t FROM e)
-    SELECT o_orderkey AS id, coalesce(string_agg(DISTINCT t, '|' ORDER BY t), CASE WHEN o_orderkey % 2 = 0 THEN 'IFACE_NEAR' ELSE '' END) AS signature FROM orders LEFT JOIN t ON id = o_orderkey GROUP BY o_orderkey""",
+    """WITH e AS (SELECT l_orderkey AS id, l_suppkey AS s, l_partkey AS p, l_linenumber AS o, l_returnflag AS f FROM lineitem
+    WHERE l_quantity > 45), t AS (SELECT id, unnest(['M:S' || s || ':' || o, 'P:P' || p || ':' || o, 'REL:' || printf('%+d',
+    o - 4) || ':' || f]) AS t FROM e)
+    SELECT o_orderkey AS id, coalesce(string_agg(DISTINCT t, '|' ORDER BY t), CASE WHEN o_orderkey % 2 = 0 THEN 'IFACE_NEAR'
+    ELSE '' END) AS signature FROM orders LEFT JOIN t ON id = o_orderkey GROUP BY o_orderkey""",
 )
 def contact_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
@@ -78,8 +94,10 @@ def contact_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pair_list_remap",
-    """WITH p AS (SELECT l_orderkey AS id, l_linenumber AS i, (l_partkey % 40)::INT AS j FROM lineitem), k AS (SELECT DISTINCT id, i - 2 AS i, j - 5 AS j FROM p WHERE i - 2 BETWEEN 0 AND 3 AND j - 5 BETWEEN 0 AND 19)
-    SELECT o_orderkey AS id, coalesce(string_agg(i || ':' || j, ';' ORDER BY i, j), '') AS pairs FROM (SELECT DISTINCT id AS o_orderkey FROM p) LEFT JOIN k ON id = o_orderkey GROUP BY 1""",
+    """WITH p AS (SELECT l_orderkey AS id, l_linenumber AS i, (l_partkey % 40)::INT AS j FROM lineitem), k AS (SELECT DISTINCT id,
+    i - 2 AS i, j - 5 AS j FROM p WHERE i - 2 BETWEEN 0 AND 3 AND j - 5 BETWEEN 0 AND 19)
+    SELECT o_orderkey AS id, coalesce(string_agg(i || ':' || j, ';' ORDER BY i, j), '') AS pairs
+    FROM (SELECT DISTINCT id AS o_orderkey FROM p) LEFT JOIN k ON id = o_orderkey GROUP BY 1""",
 )
 def pair_list_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -90,8 +108,11 @@ def pair_list_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lineage_audit",
-    """WITH b AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber AS pos, l_returnflag AS res FROM lineitem WHERE l_partkey % 2 = 0), o AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber - 1 AS pos, l_returnflag AS res FROM lineitem WHERE l_partkey % 3 = 0)
-    SELECT count(*) AS row_count, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.acc = o.acc AND b.pos = o.pos AND b.res = o.res)) AS same_position, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.acc = o.acc AND b.pos = o.pos + 1 AND b.res = o.res)) AS next_position FROM o""",
+    """WITH b AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber AS pos, l_returnflag AS res FROM lineitem WHERE l_partkey % 2 = 0),
+    o AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber - 1 AS pos, l_returnflag AS res FROM lineitem WHERE l_partkey % 3 = 0)
+    SELECT count(*) AS row_count, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.acc = o.acc AND b.pos = o.pos
+    AND b.res = o.res)) AS same_position, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.acc = o.acc AND b.pos = o.pos + 1
+    AND b.res = o.res)) AS next_position FROM o""",
 )
 def lineage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -105,9 +126,14 @@ def lineage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "null_enrichment",
-    """WITH s AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site FROM lineitem WHERE l_quantity > 40), e AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res, l_linestatus AS label FROM lineitem),
-    n AS (SELECT s.chain, s.res, count(*) AS total, count(i.site) AS hits FROM s LEFT JOIN i USING (chain, site) GROUP BY ALL), x AS (SELECT label, (i.site IS NOT NULL)::INT AS hit, hits / total AS expected FROM e JOIN n USING (chain, res) LEFT JOIN i USING (chain, site))
-    SELECT coalesce(label, 'all') AS label, count(*) AS n, sum(hit)::BIGINT AS observed, round(sum(expected), 6) AS expected, round(sum(hit) / sum(expected), 6) AS ratio FROM x GROUP BY ROLLUP (label)""",
+    """WITH s AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem),
+    i AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site FROM lineitem WHERE l_quantity > 40),
+    e AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res, l_linestatus AS label FROM lineitem),
+    n AS (SELECT s.chain, s.res, count(*) AS total, count(i.site) AS hits FROM s LEFT JOIN i USING (chain, site) GROUP BY ALL),
+    x AS (SELECT label, (i.site IS NOT NULL)::INT AS hit, hits / total AS expected FROM e JOIN n USING (chain, res)
+    LEFT JOIN i USING (chain, site))
+    SELECT coalesce(label, 'all') AS label, count(*) AS n, sum(hit)::BIGINT AS observed, round(sum(expected), 6) AS expected,
+    round(sum(hit) / sum(expected), 6) AS ratio FROM x GROUP BY ROLLUP (label)""",
 )
 def null_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.aggregates import overall_and_by
@@ -122,12 +148,18 @@ def null_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "matched_distances",
-    """WITH s AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site FROM lineitem WHERE l_quantity > 47 AND l_suppkey % 10 > 0),
-    d AS (SELECT s.chain, s.site, s.res, least(s.site - b.site, a.site - s.site) AS away FROM s ASOF LEFT JOIN i b ON b.chain = s.chain AND b.site <= s.site ASOF LEFT JOIN i a ON a.chain = s.chain AND a.site >= s.site),
+    """WITH s AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem),
+    i AS (SELECT DISTINCT l_suppkey AS chain, l_partkey AS site FROM lineitem WHERE l_quantity > 47 AND l_suppkey % 10 > 0),
+    d AS (SELECT s.chain, s.site, s.res, least(s.site - b.site, a.site - s.site) AS away FROM s ASOF
+    LEFT JOIN i b ON b.chain = s.chain AND b.site <= s.site ASOF LEFT JOIN i a ON a.chain = s.chain AND a.site >= s.site),
     n AS (SELECT chain, res, avg((coalesce(away, -1) = 0)::INT) AS rate, avg(away) AS mean_away FROM d GROUP BY ALL),
-    e AS (SELECT l_orderkey AS event, l_linestatus AS label, l_suppkey AS chain, l_partkey AS site, l_returnflag AS res FROM lineitem),
-    p AS (SELECT event, min(label) AS label, max((coalesce(away, -1) = 0)::INT) AS hit, min(away) AS away, avg(rate) AS rate, avg(mean_away) AS mean_away FROM e JOIN d USING (chain, site, res) JOIN n USING (chain, res) GROUP BY event)
-    SELECT coalesce(label, 'all') AS label, count(*) AS n, round(avg(hit), 6) AS actual, round(avg(rate), 6) AS expected, round(avg(hit) / nullif(avg(rate), 0), 6) AS ratio, round(avg(away), 6) AS distance, round(avg(mean_away), 6) AS null_distance, round(avg(away) / nullif(avg(mean_away), 0), 6) AS distance_ratio FROM p GROUP BY ROLLUP (label)""",
+    e AS (SELECT l_orderkey AS event, l_linestatus AS label, l_suppkey AS chain, l_partkey AS site, l_returnflag AS res
+    FROM lineitem),
+    p AS (SELECT event, min(label) AS label, max((coalesce(away, -1) = 0)::INT) AS hit, min(away) AS away, avg(rate) AS rate,
+    avg(mean_away) AS mean_away FROM e JOIN d USING (chain, site, res) JOIN n USING (chain, res) GROUP BY event)
+    SELECT coalesce(label, 'all') AS label, count(*) AS n, round(avg(hit), 6) AS actual, round(avg(rate), 6) AS expected,
+    round(avg(hit) / nullif(avg(rate), 0), 6) AS ratio, round(avg(away), 6) AS distance, round(avg(mean_away),
+    6) AS null_distance, round(avg(away) / nullif(avg(mean_away), 0), 6) AS distance_ratio FROM p GROUP BY ROLLUP (label)""",
 )
 def matched_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.reports import matched_distances as matched

@@ -21,13 +21,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRED = """pred AS (
-  SELECT event_id, user_id, CASE WHEN event_id % 10 < 3 THEN 'valid' ELSE 'test' END AS part, CASE WHEN user_id % 2 = 0 THEN 'S0' ELSE 'S1' END AS split, 'm' || m AS model, event_type = 'purchase' AS label,
-         (('0x' || substr(md5(m || '|' || event_id), 1, 8))::BIGINT % 1000 + CASE WHEN event_type = 'purchase' THEN 150 * m ELSE 0 END)::DOUBLE / 1400.0::DOUBLE AS score
+  SELECT event_id, user_id, CASE WHEN event_id % 10 < 3 THEN 'valid' ELSE 'test' END AS part, CASE WHEN user_id % 2 = 0 THEN 'S0'
+  ELSE 'S1' END AS split, 'm' || m AS model, event_type = 'purchase' AS label,
+         (('0x' || substr(md5(m || '|' || event_id), 1, 8))::BIGINT % 1000 + CASE WHEN event_type = 'purchase' THEN 150 * m
+         ELSE 0 END)::DOUBLE / 1400.0::DOUBLE AS score
   FROM events, (VALUES (0), (1), (2)) AS v(m)
 ), test AS (SELECT * FROM pred WHERE part = 'test'), valid AS (SELECT * FROM pred WHERE part = 'valid')"""
 
-AUROC = "SELECT {by}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum(pos * (2 * (cum - neg) + neg))::DOUBLE / (2 * sum(pos) * sum(neg))::DOUBLE, 9) END AS auroc FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY score) AS cum FROM (SELECT {by}, score, sum(label::INT) AS pos, sum(1 - label::INT) AS neg FROM {src} GROUP BY ALL)) GROUP BY {by}"
-AP = "SELECT {by}, round(sum(pos * cp::DOUBLE / (cp + cn)::DOUBLE) / sum(pos)::DOUBLE, 9) AS auprc FROM (SELECT *, sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY {by} ORDER BY score DESC) AS cn FROM (SELECT {by}, score, sum(label::INT) AS pos, sum(1 - label::INT) AS neg FROM {src} GROUP BY ALL)) GROUP BY {by}"
+AUROC = """SELECT {by}, CASE WHEN sum(pos) > 0
+    AND sum(neg) > 0 THEN round(sum(pos * (2 * (cum - neg) + neg))::DOUBLE / (2 * sum(pos) * sum(neg))::DOUBLE, 9) END AS auroc
+    FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY score) AS cum FROM (SELECT {by}, score, sum(label::INT) AS pos,
+    sum(1 - label::INT) AS neg FROM {src} GROUP BY ALL)) GROUP BY {by}"""
+AP = """SELECT {by}, round(sum(pos * cp::DOUBLE / (cp + cn)::DOUBLE) / sum(pos)::DOUBLE, 9) AS auprc FROM (SELECT *,
+    sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY {by} ORDER BY score DESC) AS cn
+    FROM (SELECT {by}, score, sum(label::INT) AS pos, sum(1 - label::INT) AS neg FROM {src} GROUP BY ALL)) GROUP BY {by}"""
 
 
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +53,9 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "macro_ovr_auroc",
-    f"WITH e AS (SELECT event_id % 2 AS half, event_type, c, event_type = c AS label, (('0x' || substr(md5(c || '|' || event_id), 1, 8))::BIGINT % 1000)::DOUBLE / 1000.0::DOUBLE AS score FROM events, (VALUES ('click'), ('view'), ('purchase')) AS v(c)), a AS ({AUROC.format(by='half, c', src='e')}) SELECT half, round(avg(auroc), 8) AS macro_auroc FROM a GROUP BY half",
+    f"""WITH e AS (SELECT event_id % 2 AS half, event_type, c, event_type = c AS label, (('0x' || substr(md5(c || '|' || event_id), 1,
+    8))::BIGINT % 1000)::DOUBLE / 1000.0::DOUBLE AS score FROM events, (VALUES ('click'), ('view'), ('purchase')) AS v(c)),
+    a AS ({AUROC.format(by='half, c', src='e')}) SELECT half, round(avg(auroc), 8) AS macro_auroc FROM a GROUP BY half""",
 )
 def macro_ovr_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -57,38 +66,51 @@ def macro_ovr_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MCC = "CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END"
 F1 = "(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2"
-CONFUSION = "SELECT split, model, count(*) FILTER (WHERE label AND score >= t)::DOUBLE AS tp, count(*) FILTER (WHERE NOT label AND score >= t)::DOUBLE AS fp, count(*) FILTER (WHERE label AND score < t)::DOUBLE AS fn, count(*) FILTER (WHERE NOT label AND score < t)::DOUBLE AS tn"
+CONFUSION = """SELECT split, model, count(*) FILTER (WHERE label AND score >= t)::DOUBLE AS tp, count(*) FILTER (WHERE NOT label
+    AND score >= t)::DOUBLE AS fp, count(*) FILTER (WHERE label AND score < t)::DOUBLE AS fn, count(*) FILTER (WHERE NOT label
+    AND score < t)::DOUBLE AS tn"""
 
 
 @query(
     "confusion_metrics",
-    f"WITH {PRED}, c AS ({CONFUSION.replace('t)', '0.5)')} FROM test GROUP BY ALL) SELECT split, model, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS balanced_accuracy, round({F1}, 9) AS macro_f1, round({MCC}, 9) AS mcc FROM c",
+    f"""WITH {PRED}, c AS ({CONFUSION.replace('t)', '0.5)')} FROM test GROUP BY ALL) SELECT split, model, tp::BIGINT AS tp,
+    fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy,
+    round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS balanced_accuracy, round({F1}, 9) AS macro_f1, round({MCC}, 9) AS mcc
+    FROM c""",
 )
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.confusion(test_rows(spark, sf_dir), BY, "label", "score", 0.5)
 
 
-@query("brier_logloss", f"WITH {PRED}, p AS (SELECT *, label::INT AS y, least(greatest(score, 1e-6), 1 - 1e-6) AS q FROM test) SELECT split, model, round(avg((score - y) * (score - y)), 7) AS brier, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 7) AS log_loss FROM p GROUP BY ALL")
+@query("brier_logloss", f"""WITH {PRED}, p AS (SELECT *, label::INT AS y, least(greatest(score, 1e-6), 1 - 1e-6) AS q FROM test)
+    SELECT split, model, round(avg((score - y) * (score - y)), 7) AS brier, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))),
+    7) AS log_loss FROM p GROUP BY ALL""")
 def brier_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.brier_and_log_loss(test_rows(spark, sf_dir), BY, "label", "score")
 
 
-@query("ece", f"WITH {PRED}, b AS (SELECT split, model, {' + '.join(f'(score >= {e!r}::DOUBLE)::INT' for e in M.ECE_EDGES)} AS bin, count(*) AS n, sum(label::INT) AS y, sum(score) AS p FROM test GROUP BY ALL) SELECT split, model, round(sum(abs(p - y)) / sum(n), 7) AS ece FROM b GROUP BY ALL")
+@query("ece", f"""WITH {PRED}, b AS (SELECT split, model, {' + '.join(f'(score >= {e!r}::DOUBLE)::INT' for e in M.ECE_EDGES)} AS bin,
+    count(*) AS n, sum(label::INT) AS y, sum(score) AS p FROM test GROUP BY ALL) SELECT split, model,
+    round(sum(abs(p - y)) / sum(n), 7) AS ece FROM b GROUP BY ALL""")
 def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ece(test_rows(spark, sf_dir), BY, "label", "score")
 
 
-@query("precision_at_k", f"WITH {PRED} SELECT split, model, round(avg(label::INT), 9) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY split, model ORDER BY score DESC, event_id) AS r FROM test) WHERE r <= 50 GROUP BY ALL")
+@query("precision_at_k", f"""WITH {PRED} SELECT split, model, round(avg(label::INT), 9) AS precision FROM (SELECT *,
+    row_number() OVER (PARTITION BY split, model ORDER BY score DESC, event_id) AS r FROM test) WHERE r <= 50 GROUP BY ALL""")
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.precision_at(test_rows(spark, sf_dir), BY, "label", "score", "event_id")
 
 
 def _sweep(value: str, candidates: str) -> str:
-    return f"""WITH {PRED}, cand AS ({candidates}), c AS ({CONFUSION}, t FROM valid JOIN cand USING (split, model) GROUP BY split, model, t)
-    SELECT split, model, t AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY split, model ORDER BY round({value}, 9) DESC, t) AS r FROM c) WHERE r = 1"""
+    return f"""WITH {PRED}, cand AS ({candidates}), c AS ({CONFUSION}, t FROM valid JOIN cand USING (split, model) GROUP BY split,
+    model, t)
+    SELECT split, model, t AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY split, model ORDER BY round({value},
+    9) DESC, t) AS r FROM c) WHERE r = 1"""
 
 
-@query("threshold_mcc", _sweep(MCC, f"SELECT DISTINCT split, model, unnest(quantile_cont(score, [{', '.join(str(i / 100) for i in range(2, 99))}])) AS t FROM valid GROUP BY split, model"))
+@query("threshold_mcc", _sweep(MCC, f"""SELECT DISTINCT split, model, unnest(quantile_cont(score,
+    [{', '.join(str(i / 100) for i in range(2, 99))}])) AS t FROM valid GROUP BY split, model"""))
 def threshold_mcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = predictions(spark, sf_dir).where("part = 'valid'")
     return M.sweep(v, BY, "label", "score", M.quantile_candidates(v, BY, "score"))

@@ -28,7 +28,10 @@ def _report(scored: DataFrame) -> DataFrame:
     return M.auroc(t, ["g"], "label", "score").join(M.average_precision(t, ["g"], "label", "score"), "g").join(M.confusion(t, ["g"], "label", "score", 0.5), "g").drop("g")
 
 
-@query("model_prior", "WITH r AS (SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 < 7 THEN 'train' ELSE 'test' END AS part, quality = 1 AS label FROM documents JOIN labels USING (doc_id)) SELECT part, label, count(*) AS n, (SELECT round(avg(label::INT), 9) FROM r WHERE part = 'train') AS score FROM r GROUP BY part, label")
+@query("model_prior", """WITH r AS (SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1,
+    8))::BIGINT % 10 < 7 THEN 'train' ELSE 'test' END AS part, quality = 1 AS label FROM documents JOIN labels USING (doc_id))
+    SELECT part, label, count(*) AS n, (SELECT round(avg(label::INT), 9) FROM r WHERE part = 'train') AS score FROM r
+    GROUP BY part, label""")
 def model_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.prior(rows(spark, sf_dir), "part", "label").groupBy("part", "label", "score").agg(F.count(F.lit(1)).alias("n"))
 
@@ -64,7 +67,10 @@ def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(K.stacked(p, "event_id", "part", "label", ["m0", "m1", "m2"]))
 
 
-@query("aligned_probabilities", "WITH i AS (SELECT DISTINCT user_id FROM events), k AS (SELECT user_id, event_type AS class, count(*) AS k FROM events WHERE event_type <> 'error' GROUP BY ALL), p AS (SELECT user_id, class, round(k / sum(k) OVER (PARTITION BY user_id), 9) AS p FROM k) SELECT user_id, class, coalesce(p, 0) AS p FROM i CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS c(class) LEFT JOIN p USING (user_id, class)")
+@query("aligned_probabilities", """WITH i AS (SELECT DISTINCT user_id FROM events), k AS (SELECT user_id, event_type AS class,
+    count(*) AS k FROM events WHERE event_type <> 'error' GROUP BY ALL), p AS (SELECT user_id, class,
+    round(k / sum(k) OVER (PARTITION BY user_id), 9) AS p FROM k) SELECT user_id, class, coalesce(p, 0) AS p FROM i CROSS
+    JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS c(class) LEFT JOIN p USING (user_id, class)""")
 def aligned_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type <> 'error'")
     n = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

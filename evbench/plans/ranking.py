@@ -9,13 +9,16 @@ from ..operators.evidence import first_of_each
 from .base import query, table
 
 
-@query("rank_min", "SELECT l_suppkey, n, rank() OVER (PARTITION BY l_suppkey % 10 ORDER BY n DESC) AS rank FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)")
+@query("rank_min", """SELECT l_suppkey, n, rank() OVER (PARTITION BY l_suppkey % 10 ORDER BY n DESC) AS rank FROM (SELECT l_suppkey,
+    count(*) AS n FROM lineitem GROUP BY 1)""")
 def rank_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rank", F.rank().over(Window.partitionBy(F.col("l_suppkey") % 10).orderBy(F.desc("n"))))
 
 
-@query("best_per_group", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)) WHERE rn = 1")
+@query("best_per_group", """SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+    ORDER BY (o_orderstatus = 'F') DESC, o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_orderkey IN (SELECT l_orderkey
+    FROM lineitem WHERE l_quantity > 40)) WHERE rn = 1""")
 def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
     o = table(spark, sf_dir, "orders").join(big, "o_orderkey", "left_semi")
@@ -27,13 +30,15 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(250)
 
 
-@query("argmax_by_group", "SELECT l_returnflag, arg_max(l_suppkey, (n, -l_suppkey)) AS best, max(n) AS n FROM (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey % 10 <> 0 GROUP BY ALL) GROUP BY l_returnflag")
+@query("argmax_by_group", """SELECT l_returnflag, arg_max(l_suppkey, (n, -l_suppkey)) AS best, max(n) AS n FROM (SELECT l_returnflag,
+    l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey % 10 <> 0 GROUP BY ALL) GROUP BY l_returnflag""")
 def argmax_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "lineitem").where("l_suppkey % 10 <> 0").groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("l_returnflag").agg(F.max_by("l_suppkey", F.struct("n", -F.col("l_suppkey"))).alias("best"), F.max("n").alias("n"))
 
 
-@query("sample_examples", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events) WHERE rn <= 3")
+@query("sample_examples", """SELECT event_type, event_id FROM (SELECT event_type, event_id,
+    row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events) WHERE rn <= 3""")
 def sample_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy("event_id")
     return table(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(w).alias("rn")).where("rn <= 3").drop("rn")
@@ -47,7 +52,9 @@ def dense_category_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(ids, "p_brand").select("p_partkey", "brand_id")
 
 
-@query("keyword_selection", "WITH h AS (SELECT p_partkey, p_name, p_retailprice, regexp_matches(p_name, '(?i)ring|GEAR') OR regexp_matches(p_type, '(?i)promo') AS hit FROM part) SELECT p_partkey, p_name FROM (SELECT *, (SELECT count(*) FROM h WHERE hit) AS n FROM h) WHERE CASE WHEN n >= 10 THEN hit ELSE true END ORDER BY p_retailprice DESC, p_partkey LIMIT 80")
+@query("keyword_selection", """WITH h AS (SELECT p_partkey, p_name, p_retailprice, regexp_matches(p_name, '(?i)ring|GEAR')
+    OR regexp_matches(p_type, '(?i)promo') AS hit FROM part) SELECT p_partkey, p_name FROM (SELECT *, (SELECT count(*) FROM h
+    WHERE hit) AS n FROM h) WHERE CASE WHEN n >= 10 THEN hit ELSE true END ORDER BY p_retailprice DESC, p_partkey LIMIT 80""")
 def keyword_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     hits = p.where(p.p_name.rlike("(?i)ring|GEAR") | p.p_type.rlike("(?i)promo"))

@@ -21,7 +21,8 @@ def _landing(spark: SparkSession, what: str) -> str:
 CLEAN = "regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]', '', 'g'), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g')"
 
 
-@query("fasta_scan", f"SELECT 'B' || item_id AS accession, CASE WHEN item_id % 2 = 0 THEN s || s ELSE s END AS sequence FROM (SELECT item_id, {CLEAN} AS s FROM benchmark)")
+@query("fasta_scan", f"""SELECT 'B' || item_id AS accession, CASE WHEN item_id % 2 = 0 THEN s || s ELSE s END AS sequence
+    FROM (SELECT item_id, {CLEAN} AS s FROM benchmark)""")
 def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     s = Q.clean_sequence(b.text)
@@ -32,7 +33,8 @@ def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fasta(spark, path)
 
 
-@query("atom_scan", "SELECT 'Complex' || (p_partkey // 5000) AS complex_id, chr((65 + p_partkey % 5)::INT) AS chain, count(*) AS residues, min(p_size) AS first_size, max(p_size) AS last_size FROM part GROUP BY ALL")
+@query("atom_scan", """SELECT 'Complex' || (p_partkey // 5000) AS complex_id, chr((65 + p_partkey % 5)::INT) AS chain,
+    count(*) AS residues, min(p_size) AS first_size, max(p_size) AS last_size FROM part GROUP BY ALL""")
 def atom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.floor(F.col("p_partkey") / 5000).alias("file"))
     line = F.format_string("ATOM  %5d  CA  GLY %s%4d    ", (p.p_partkey % 99999).cast("int"), F.char(65 + p.p_partkey % 5), (p.p_partkey % 5000).cast("int"))
@@ -50,7 +52,8 @@ def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.delimited(spark, path, "\t", ["p_partkey", "p_brand"])
 
 
-@query("tsv_profile", "SELECT 'conv-' || (conv_id % 7) AS file, count(*) - 1 AS row_count, 2 AS columns, false AS looks_like_html FROM conversations GROUP BY 1")
+@query("tsv_profile", """SELECT 'conv-' || (conv_id % 7) AS file, count(*) - 1 AS row_count, 2 AS columns, false AS looks_like_html
+    FROM conversations GROUP BY 1""")
 def tsv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     lines = c.select(F.concat(F.lit("conv-"), c.conv_id % 7).alias("file"), (c.conv_id * 1000 + c.turn).alias("at"), F.concat_ws("\t", "role", "turn").alias("value"))
@@ -65,7 +68,8 @@ def id_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.array_distinct(ids)).alias("id"))
 
 
-@query("basename_paths", "SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS tail, lower(trim(CASE WHEN page_id % 2 = 0 THEN ' TRUE' ELSE 'no' END)) = 'true' AS even FROM pages")
+@query("basename_paths", """SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS tail, lower(trim(CASE
+    WHEN page_id % 2 = 0 THEN ' TRUE' ELSE 'no' END)) = 'true' AS even FROM pages""")
 def basename_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", T.basename(p.url).alias("tail"), T.as_bool(F.when(p.page_id % 2 == 0, " TRUE").otherwise("no")).alias("even"))
@@ -77,7 +81,8 @@ def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.summary_json(d.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("lang").alias("langs")))
 
 
-@query("keyed_store", "SELECT 'D' || doc_id AS accession, CASE WHEN quality = 1 THEN 'label' ELSE lang END AS sequence FROM documents LEFT JOIN labels USING (doc_id)")
+@query("keyed_store", """SELECT 'D' || doc_id AS accession, CASE WHEN quality = 1 THEN 'label' ELSE lang END AS sequence
+    FROM documents LEFT JOIN labels USING (doc_id)""")
 def keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), "doc_id").alias("accession"), F.col("lang").alias("sequence"))
     over = table(spark, sf_dir, "labels").select(F.concat(F.lit("D"), "doc_id").alias("accession"), F.when(F.col("quality") == 1, "label").otherwise("").alias("sequence"))

@@ -15,23 +15,34 @@ GREEDY = """
 {p}c AS (SELECT size, count(*) AS n, row_number() OVER (ORDER BY size DESC) AS i FROM {p}g GROUP BY size),
 {p}t AS (SELECT sum(size * n)::BIGINT AS total FROM {p}c),
 {p}r AS (
-  SELECT 0::BIGINT AS i, 0::BIGINT AS size, 14 * total AS d0, 3 * total AS d1, 3 * total AS d2, 0::BIGINT AS n0, 0::BIGINT AS n1, 0::BIGINT AS n2 FROM {p}t
+  SELECT 0::BIGINT AS i, 0::BIGINT AS size, 14 * total AS d0, 3 * total AS d1, 3 * total AS d2, 0::BIGINT AS n0, 0::BIGINT AS n1,
+  0::BIGINT AS n2 FROM {p}t
   UNION ALL
-  SELECT i, size, d0 - 20 * size * sum((p = 0)::INT)::BIGINT, d1 - 20 * size * sum((p = 1)::INT)::BIGINT, d2 - 20 * size * sum((p = 2)::INT)::BIGINT, sum((p = 0)::INT)::BIGINT, sum((p = 1)::INT)::BIGINT, sum((p = 2)::INT)::BIGINT
+  SELECT i, size, d0 - 20 * size * sum((p = 0)::INT)::BIGINT, d1 - 20 * size * sum((p = 1)::INT)::BIGINT,
+  d2 - 20 * size * sum((p = 2)::INT)::BIGINT, sum((p = 0)::INT)::BIGINT, sum((p = 1)::INT)::BIGINT, sum((p = 2)::INT)::BIGINT
   FROM (SELECT *, row_number() OVER (ORDER BY CASE p WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END - j * 20 * size DESC, p) AS rn
-        FROM (SELECT c.i, c.size, c.n, r.d0, r.d1, r.d2, p, unnest(range(c.n)) AS j FROM {p}r r JOIN {p}c c ON c.i = r.i + 1, (VALUES (0), (1), (2)) AS v(p)))
+        FROM (SELECT c.i, c.size, c.n, r.d0, r.d1, r.d2, p, unnest(range(c.n)) AS j FROM {p}r r JOIN {p}c c ON c.i = r.i + 1,
+        (VALUES (0), (1), (2)) AS v(p)))
   WHERE rn <= n GROUP BY i, size, d0, d1, d2
 ),
 {p}s AS (
   SELECT k, g.size, CASE WHEN rk <= n0 THEN 'train' WHEN rk <= n0 + n1 THEN 'valid' ELSE 'test' END AS part
-  FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY md5('{seed}|' || k), k) AS rk FROM {p}g) g JOIN {p}r r ON r.size = g.size
+  FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY md5('{seed}|' || k), k) AS rk FROM {p}g) g
+  JOIN {p}r r ON r.size = g.size
 )"""
 
-AUDIT = """SELECT split, sum(train)::BIGINT AS train_rows, sum(valid)::BIGINT AS valid_rows, sum(test)::BIGINT AS test_rows, count(*) FILTER (WHERE train > 0 AND valid > 0) AS train_valid_overlap, count(*) FILTER (WHERE train > 0 AND test > 0) AS train_test_overlap, count(*) FILTER (WHERE valid > 0 AND test > 0) AS valid_test_overlap,
-  round(sum(trp) / sum(train), 9) AS train_rate, round(sum(vap) / sum(valid), 9) AS valid_rate, round(sum(tep) / sum(test), 9) AS test_rate
-  FROM (SELECT split, key, sum((part = 'train')::INT) AS train, sum((part = 'valid')::INT) AS valid, sum((part = 'test')::INT) AS test, sum((part = 'train' AND label)::INT) AS trp, sum((part = 'valid' AND label)::INT) AS vap, sum((part = 'test' AND label)::INT) AS tep FROM long GROUP BY ALL) GROUP BY split"""
+AUDIT = """SELECT split, sum(train)::BIGINT AS train_rows, sum(valid)::BIGINT AS valid_rows, sum(test)::BIGINT AS test_rows,
+    count(*) FILTER (WHERE train > 0 AND valid > 0) AS train_valid_overlap, count(*) FILTER (WHERE train > 0
+    AND test > 0) AS train_test_overlap, count(*) FILTER (WHERE valid > 0 AND test > 0) AS valid_test_overlap,
+  round(sum(trp) / sum(train), 9) AS train_rate, round(sum(vap) / sum(valid), 9) AS valid_rate, round(sum(tep) / sum(test),
+  9) AS test_rate
+  FROM (SELECT split, key, sum((part = 'train')::INT) AS train, sum((part = 'valid')::INT) AS valid,
+  sum((part = 'test')::INT) AS test, sum((part = 'train' AND label)::INT) AS trp, sum((part = 'valid' AND label)::INT) AS vap,
+  sum((part = 'test' AND label)::INT) AS tep FROM long GROUP BY ALL) GROUP BY split"""
 
-PAIRS = "li AS (SELECT least(l_suppkey::VARCHAR, l_partkey::VARCHAR) || '||' || greatest(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS pair, l_suppkey::VARCHAR AS supplier, l_partkey::VARCHAR AS part_key, l_linestatus = 'F' AS label FROM lineitem)"
+PAIRS = """li AS (SELECT least(l_suppkey::VARCHAR, l_partkey::VARCHAR) || '||' || greatest(l_suppkey::VARCHAR,
+    l_partkey::VARCHAR) AS pair, l_suppkey::VARCHAR AS supplier, l_partkey::VARCHAR AS part_key, l_linestatus = 'F' AS label
+    FROM lineitem)"""
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +50,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(T.pair_key(li.l_suppkey, li.l_partkey).alias("pair"), li.l_suppkey.cast("string").alias("supplier"), li.l_partkey.cast("string").alias("part_key"), (li.l_linestatus == "F").alias("label"))
 
 
-@query("overlap_audit", f"WITH RECURSIVE {PAIRS}, src AS (SELECT pair AS k FROM li), {GREEDY.format(p='x_', src='src', seed=7)}, long AS (SELECT 'pair' AS split, pair AS key, part, label FROM li JOIN x_s ON pair = k) {AUDIT}")
+@query("overlap_audit", f"""WITH RECURSIVE {PAIRS}, src AS (SELECT pair AS k FROM li), {GREEDY.format(p='x_', src='src', seed=7)},
+    long AS (SELECT 'pair' AS split, pair AS key, part, label FROM li JOIN x_s ON pair = k) {AUDIT}""")
 def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = rows(spark, sf_dir)
     j = S.attach(li, S.group_split(li, "pair", 7), "pair")
@@ -48,7 +60,10 @@ def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "multi_split",
-    f"WITH RECURSIVE {PAIRS}, src1 AS (SELECT supplier AS k FROM li), src2 AS (SELECT part_key AS k FROM li), {GREEDY.format(p='x_', src='src1', seed=11)}, {GREEDY.format(p='y_', src='src2', seed=12)}, long AS (SELECT 'supplier' AS split, supplier AS key, part, label FROM li JOIN x_s ON supplier = k UNION ALL SELECT 'part', part_key, part, label FROM li JOIN y_s ON part_key = k) {AUDIT}",
+    f"""WITH RECURSIVE {PAIRS}, src1 AS (SELECT supplier AS k FROM li), src2 AS (SELECT part_key AS k FROM li),
+    {GREEDY.format(p='x_', src='src1', seed=11)}, {GREEDY.format(p='y_', src='src2', seed=12)},
+    long AS (SELECT 'supplier' AS split, supplier AS key, part, label FROM li JOIN x_s ON supplier = k UNION ALL SELECT 'part',
+    part_key, part, label FROM li JOIN y_s ON part_key = k) {AUDIT}""",
 )
 def multi_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = rows(spark, sf_dir)
@@ -57,17 +72,23 @@ def multi_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.audit(long[0].unionByName(long[1]))
 
 
-@query("group_split", f"WITH RECURSIVE src AS (SELECT l_partkey::VARCHAR AS k FROM lineitem), {GREEDY.format(p='x_', src='src', seed=3)} SELECT k, size, part FROM x_s")
+@query("group_split", f"""WITH RECURSIVE src AS (SELECT l_partkey::VARCHAR AS k FROM lineitem),
+    {GREEDY.format(p='x_', src='src', seed=3)} SELECT k, size, part FROM x_s""")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.group_split(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("k")), "k", 3)
 
 
-@query("random_split", "SELECT o_orderkey, CASE WHEN r <= n * 14 // 20 THEN 'train' WHEN r <= n * 14 // 20 + n * 3 // 20 THEN 'valid' ELSE 'test' END AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('5|' || o_orderkey), o_orderkey) AS r, count(*) OVER () AS n FROM orders)")
+@query("random_split", """SELECT o_orderkey, CASE WHEN r <= n * 14 // 20 THEN 'train'
+    WHEN r <= n * 14 // 20 + n * 3 // 20 THEN 'valid' ELSE 'test' END AS part FROM (SELECT o_orderkey,
+    row_number() OVER (ORDER BY md5('5|' || o_orderkey), o_orderkey) AS r, count(*) OVER () AS n FROM orders)""")
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.random_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 5)
 
 
-@query("temporal_split", "WITH y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN year(o_orderdate) END AS y FROM orders), q AS (SELECT floor(quantile_cont(y, 0.7))::INT AS a, floor(quantile_cont(y, 0.85))::INT AS b FROM y) SELECT y AS year, CASE WHEN y > b THEN 'test' WHEN y > a THEN 'valid' ELSE 'train' END AS part, count(*) AS n FROM y, q GROUP BY ALL")
+@query("temporal_split", """WITH y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN year(o_orderdate) END AS y
+    FROM orders), q AS (SELECT floor(quantile_cont(y, 0.7))::INT AS a, floor(quantile_cont(y, 0.85))::INT AS b FROM y)
+    SELECT y AS year, CASE WHEN y > b THEN 'test' WHEN y > a THEN 'valid' ELSE 'train' END AS part, count(*) AS n FROM y, q
+    GROUP BY ALL""")
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     text = F.when(o.o_orderkey % 50 != 0, F.date_format("o_orderdate", "yyyy/MM/dd"))
@@ -83,8 +104,11 @@ def stratified_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "entity_leakage_audit",
-    """WITH r AS (SELECT ['S' || l_suppkey, 'P' || l_partkey] AS e, CASE WHEN l_suppkey % 10 < 7 THEN 'train' WHEN l_suppkey % 10 < 8 THEN 'valid' ELSE 'test' END AS part FROM lineitem), x AS (SELECT e, bool_or(part = 'train') AS a, bool_or(part = 'valid') AS b, bool_or(part = 'test') AS c FROM (SELECT unnest(e) AS e, part FROM r) GROUP BY e)
-    SELECT count(*) AS n_entities, count(*) FILTER (WHERE a::INT + b::INT + c::INT > 1) AS leaking, count(*) FILTER (WHERE a AND c) AS train_test, count(*) FILTER (WHERE a::INT + b::INT + c::INT > 1) = 0 AS passed FROM x""",
+    """WITH r AS (SELECT ['S' || l_suppkey, 'P' || l_partkey] AS e, CASE WHEN l_suppkey % 10 < 7 THEN 'train'
+    WHEN l_suppkey % 10 < 8 THEN 'valid' ELSE 'test' END AS part FROM lineitem), x AS (SELECT e, bool_or(part = 'train') AS a,
+    bool_or(part = 'valid') AS b, bool_or(part = 'test') AS c FROM (SELECT unnest(e) AS e, part FROM r) GROUP BY e)
+    SELECT count(*) AS n_entities, count(*) FILTER (WHERE a::INT + b::INT + c::INT > 1) AS leaking, count(*) FILTER (WHERE a
+    AND c) AS train_test, count(*) FILTER (WHERE a::INT + b::INT + c::INT > 1) = 0 AS passed FROM x""",
 )
 def entity_leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.entity_leakage(_by_supplier(spark, sf_dir), F.array("s", "p"))
@@ -92,7 +116,9 @@ def entity_leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "leakage_examples",
-    "SELECT entity, string_agg(DISTINCT part, ',' ORDER BY part) AS parts, count(*) AS n FROM (SELECT 'P' || l_partkey AS entity, CASE WHEN l_suppkey % 10 < 7 THEN 'train' WHEN l_suppkey % 10 < 8 THEN 'valid' ELSE 'test' END AS part FROM lineitem) GROUP BY entity HAVING count(DISTINCT part) > 1 ORDER BY entity LIMIT 10",
+    """SELECT entity, string_agg(DISTINCT part, ',' ORDER BY part) AS parts, count(*) AS n FROM (SELECT 'P' || l_partkey AS entity,
+    CASE WHEN l_suppkey % 10 < 7 THEN 'train' WHEN l_suppkey % 10 < 8 THEN 'valid' ELSE 'test' END AS part FROM lineitem)
+    GROUP BY entity HAVING count(DISTINCT part) > 1 ORDER BY entity LIMIT 10""",
 )
 def leakage_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leakage_examples(_by_supplier(spark, sf_dir), F.array("s", "p"))
@@ -106,8 +132,11 @@ def _by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "shuffled_labels",
-    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS part, o_orderstatus AS label FROM orders),
-    a AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS rk FROM r), b AS (SELECT part, label AS shuffled, row_number() OVER (PARTITION BY part ORDER BY md5('4|' || o_orderkey), o_orderkey) AS rk FROM r)
+    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS part, o_orderstatus AS label
+    FROM orders),
+    a AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS rk FROM r),
+    b AS (SELECT part, label AS shuffled, row_number() OVER (PARTITION BY part ORDER BY md5('4|' || o_orderkey), o_orderkey) AS rk
+    FROM r)
     SELECT o_orderkey, part, label, shuffled FROM a JOIN b USING (part, rk)""",
 )
 def shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +147,14 @@ def shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "external_overlap",
-    """WITH e AS (SELECT l_suppkey AS supplier, l_partkey AS part_key, CASE WHEN l_orderkey % 4 <> 0 THEN l_orderkey END AS publication, l_shipdate, l_linestatus = 'F' AS label FROM lineitem), x AS (SELECT * FROM e WHERE supplier % 10 = 0), b AS (SELECT * FROM e WHERE supplier % 10 <> 0 AND part_key % 3 = 0)
-    SELECT count(*) AS row_count, count(*) FILTER (WHERE supplier IN (SELECT supplier FROM b)) AS supplier_overlap, count(*) FILTER (WHERE part_key IN (SELECT part_key FROM b)) AS part_key_overlap, count(*) FILTER (WHERE publication IN (SELECT publication FROM b WHERE publication IS NOT NULL)) AS publication_overlap, count(*) FILTER (WHERE l_shipdate > TIMESTAMP '2000-01-01') AS after_cutoff, count(*) FILTER (WHERE label) AS positives, count(*) FILTER (WHERE NOT label) AS negatives FROM x""",
+    """WITH e AS (SELECT l_suppkey AS supplier, l_partkey AS part_key, CASE
+    WHEN l_orderkey % 4 <> 0 THEN l_orderkey END AS publication, l_shipdate, l_linestatus = 'F' AS label FROM lineitem),
+    x AS (SELECT * FROM e WHERE supplier % 10 = 0), b AS (SELECT * FROM e WHERE supplier % 10 <> 0 AND part_key % 3 = 0)
+    SELECT count(*) AS row_count, count(*) FILTER (WHERE supplier IN (SELECT supplier FROM b)) AS supplier_overlap,
+    count(*) FILTER (WHERE part_key IN (SELECT part_key FROM b)) AS part_key_overlap,
+    count(*) FILTER (WHERE publication IN (SELECT publication FROM b WHERE publication IS NOT NULL)) AS publication_overlap,
+    count(*) FILTER (WHERE l_shipdate > TIMESTAMP '2000-01-01') AS after_cutoff, count(*) FILTER (WHERE label) AS positives,
+    count(*) FILTER (WHERE NOT label) AS negatives FROM x""",
 )
 def external_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -127,7 +162,9 @@ def external_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.external_overlap(e.where("supplier % 10 = 0"), e.where("supplier % 10 <> 0 and part_key % 3 = 0"), ["supplier", "part_key", "publication"], F.col("l_shipdate") > F.lit("2000-01-01").cast("timestamp"), "label")
 
 
-@query("key_manifest", "SELECT DISTINCT concat_ws('||', l_suppkey, l_linenumber) AS site_key, least(l_suppkey::VARCHAR, l_partkey::VARCHAR) || '||' || greatest(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS pair_key, l_orderkey, l_linestatus FROM lineitem")
+@query("key_manifest", """SELECT DISTINCT concat_ws('||', l_suppkey, l_linenumber) AS site_key, least(l_suppkey::VARCHAR,
+    l_partkey::VARCHAR) || '||' || greatest(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS pair_key, l_orderkey, l_linestatus
+    FROM lineitem""")
 def key_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(T.joined_key(li.l_suppkey, li.l_linenumber).alias("site_key"), T.pair_key(li.l_suppkey, li.l_partkey).alias("pair_key"), "l_orderkey", "l_linestatus").distinct()

@@ -10,7 +10,8 @@ from ..operators import statistics as S
 from .base import query, table
 from .metrics import PRED, predictions
 
-REPS = 20
+#: Resamples of an interval.
+REPS = 150
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +19,21 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _draws(unit: str, seed: int) -> str:
-    return f"""rows AS (SELECT * FROM test WHERE split = 'S0'), units AS (SELECT {unit} AS unit, row_number() OVER (ORDER BY md5({unit}::VARCHAR), {unit}) AS i FROM (SELECT DISTINCT {unit} FROM rows)), n AS (SELECT count(*) AS n FROM units),
-    d AS (SELECT rep, ('0x' || substr(md5('{seed}|' || rep || '|' || i), 1, 8))::BIGINT % n + 1 AS i FROM (SELECT n, unnest(range(n)) AS i FROM n), (SELECT unnest(range({REPS})) AS rep)),
-    w AS (SELECT rep, unit, count(*) AS w FROM d JOIN units USING (i) GROUP BY ALL), x AS (SELECT rep, model, label, score, w FROM rows JOIN w ON unit = {unit})"""
+    return f"""rows AS (SELECT * FROM test WHERE split = 'S0'), units AS (SELECT {unit} AS unit,
+    row_number() OVER (ORDER BY md5({unit}::VARCHAR), {unit}) AS i FROM (SELECT DISTINCT {unit} FROM rows)),
+    n AS (SELECT count(*) AS n FROM units),
+    d AS (SELECT rep, ('0x' || substr(md5('{seed}|' || rep || '|' || i), 1, 8))::BIGINT % n + 1 AS i FROM (SELECT n,
+    unnest(range(n)) AS i FROM n), (SELECT unnest(range({REPS})) AS rep)),
+    w AS (SELECT rep, unit, count(*) AS w FROM d JOIN units USING (i) GROUP BY ALL), x AS (SELECT rep, model, label, score, w
+    FROM rows JOIN w ON unit = {unit})"""
 
 
-WAP = "SELECT rep, model, round(sum(pos * cp::DOUBLE / (cp + cn)::DOUBLE) / sum(pos)::DOUBLE, 9) AS value FROM (SELECT *, sum(pos) OVER (PARTITION BY rep, model ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY rep, model ORDER BY score DESC) AS cn FROM (SELECT rep, model, score, sum(label::INT * w) AS pos, sum((1 - label::INT) * w) AS neg FROM x GROUP BY ALL)) GROUP BY rep, model"
-INTERVAL = "SELECT model, count(*) AS reps, round(quantile_cont(value, 0.025), 7) AS lo, round(quantile_cont(value, 0.975), 7) AS hi FROM v GROUP BY model"
+WAP = """SELECT rep, model, round(sum(pos * cp::DOUBLE / (cp + cn)::DOUBLE) / sum(pos)::DOUBLE, 9) AS value FROM (SELECT *,
+    sum(pos) OVER (PARTITION BY rep, model ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY rep, model
+    ORDER BY score DESC) AS cn FROM (SELECT rep, model, score, sum(label::INT * w) AS pos, sum((1 - label::INT) * w) AS neg FROM x
+    GROUP BY ALL)) GROUP BY rep, model"""
+INTERVAL = """SELECT model, count(*) AS reps, round(quantile_cont(value, 0.025), 7) AS lo, round(quantile_cont(value, 0.975),
+    7) AS hi FROM v GROUP BY model"""
 
 
 def _ap(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -41,16 +50,21 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.interval(S.bootstrap(_rows(spark, sf_dir), ["model"], "user_id", _ap, "auprc", REPS, 2), ["model"])
 
 
-@query("paired_bootstrap", f"WITH {PRED}, {_draws('event_id', 3)}, v AS ({WAP}), dl AS (SELECT round(f.value - b.value, 9) AS d FROM v f JOIN v b USING (rep) WHERE f.model = 'm1' AND b.model = 'm0') SELECT count(*) AS reps, round(avg(d), 7) AS mean_delta, round(avg((d <= 0)::INT), 7) AS share_not_positive FROM dl")
+@query("paired_bootstrap", f"""WITH {PRED}, {_draws('event_id', 3)}, v AS ({WAP}), dl AS (SELECT round(f.value - b.value, 9) AS d
+    FROM v f JOIN v b USING (rep) WHERE f.model = 'm1' AND b.model = 'm0') SELECT count(*) AS reps, round(avg(d),
+    7) AS mean_delta, round(avg((d <= 0)::INT), 7) AS share_not_positive FROM dl""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.paired(S.bootstrap(_rows(spark, sf_dir), ["model"], "event_id", _ap, "auprc", REPS, 3), [], "model", "m1", "m0")
 
 
 @query(
     "seed_deltas",
-    """WITH s AS (SELECT user_id % 20 AS seed, CASE WHEN event_id % 2 = 0 THEN 'full' ELSE 'base' END AS model, round(avg(value), 6) AS a, round(max(value), 6) AS b FROM events GROUP BY ALL),
-    d AS (SELECT f.a - b.a AS a, f.b - b.b AS b FROM s f JOIN s b USING (seed) WHERE f.model = 'full' AND b.model = 'base'), l AS (SELECT 'a' AS metric, a AS d FROM d UNION ALL SELECT 'b', b FROM d)
-    SELECT metric, count(*) AS n, round(avg(d), 7) AS mean, round(stddev_samp(d), 7) AS sd, round(min(d), 7) AS lo, round(max(d), 7) AS hi, round(avg((d > 0)::INT), 7) AS positive FROM l GROUP BY metric""",
+    """WITH s AS (SELECT user_id % 20 AS seed, CASE WHEN event_id % 2 = 0 THEN 'full' ELSE 'base' END AS model, round(avg(value),
+    6) AS a, round(max(value), 6) AS b FROM events GROUP BY ALL),
+    d AS (SELECT f.a - b.a AS a, f.b - b.b AS b FROM s f JOIN s b USING (seed) WHERE f.model = 'full' AND b.model = 'base'),
+    l AS (SELECT 'a' AS metric, a AS d FROM d UNION ALL SELECT 'b', b FROM d)
+    SELECT metric, count(*) AS n, round(avg(d), 7) AS mean, round(stddev_samp(d), 7) AS sd, round(min(d), 7) AS lo, round(max(d),
+    7) AS hi, round(avg((d > 0)::INT), 7) AS positive FROM l GROUP BY metric""",
 )
 def seed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -58,7 +72,8 @@ def seed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.seed_deltas(s, "seed", "model", "full", "base", ["a", "b"])
 
 
-@query("ensemble_mean", f"WITH {PRED} SELECT event_id, split, round(avg(score), 9) AS score, string_agg(model, ',' ORDER BY model) AS members, count(*) AS n, round(greatest(avg(score), 1 - avg(score)), 9) AS confidence FROM test GROUP BY ALL")
+@query("ensemble_mean", f"""WITH {PRED} SELECT event_id, split, round(avg(score), 9) AS score, string_agg(model, ','
+    ORDER BY model) AS members, count(*) AS n, round(greatest(avg(score), 1 - avg(score)), 9) AS confidence FROM test GROUP BY ALL""")
 def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).where("part = 'test'")
     mean = F.avg("score")
