@@ -50,7 +50,8 @@ def seed_deltas(df: DataFrame, seed: str, model: str, full: str, base: str, metr
     """(metric, n, mean, sd, lo, hi, positive): of full minus base over paired seeds."""
     f, b = (df.where(F.col(model) == m).select(seed, *[F.col(x).alias(f"{p}{x}") for x in metrics]) for m, p in ((full, "f_"), (base, "b_")))
     long = f.join(b, seed).select(seed, F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), (F.col(f"f_{x}") - F.col(f"b_{x}")).alias("d")) for x in metrics])).alias("x")).select(seed, "x.*")
-    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 7).alias("mean"), F.round(F.stddev_samp("d"), 7).alias("sd"), F.round(F.min("d"), 7).alias("lo"), F.round(F.max("d"), 7).alias("hi"), F.round(F.avg((F.col("d") > 0).cast("int")), 7).alias("positive"))
+    stats = {"mean": F.avg("d"), "sd": F.stddev_samp("d"), "lo": F.min("d"), "hi": F.max("d"), "positive": F.avg((F.col("d") > 0).cast("int"))}
+    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), *[F.round(c, 7).alias(k) for k, c in stats.items()])
 
 
 def calibration(df: DataFrame, by: Sequence[str], label: str, score: str, steps: int = 12, eps: float = 1e-6) -> DataFrame:

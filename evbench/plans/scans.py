@@ -78,7 +78,9 @@ def basename_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("summary_json", """SELECT '{"documents":' || count(*) || ',"langs":' || count(DISTINCT lang) || '}' AS summary FROM documents""")
 def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return R.summary_json(d.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("lang").alias("langs")))
+    path = _landing(spark, "summary")
+    R.write_summary(d.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("lang").alias("langs")), path)
+    return spark.read.text(path).withColumnRenamed("value", "summary")
 
 
 @query("keyed_store", """SELECT 'D' || doc_id AS accession, CASE WHEN quality = 1 THEN 'label' ELSE lang END AS sequence

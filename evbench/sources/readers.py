@@ -116,6 +116,11 @@ def summary_json(row: DataFrame) -> DataFrame:
     return row.select(F.to_json(F.struct("*")).alias("summary"))
 
 
+def write_summary(row: DataFrame, path: str) -> None:
+    """A one-row frame as a folder with one JSON object, nested as the row is."""
+    summary_json(row).write.mode("overwrite").text(path)
+
+
 def write_delimited(df: DataFrame, path: str, columns: Sequence[str], sep: str = "\t") -> None:
     """Header, the named columns in that order; others are left out."""
     df.select(*columns).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)

@@ -232,3 +232,9 @@ def test_quantile_candidates_are_percentiles(spark):
         df = spark.createDataFrame([("g", s) for s in scores], "g string, p double")
         got = sorted(r.s for r in M.quantile_candidates(df, ["g"], "p").collect())
         assert np.allclose(got, np.percentile(scores, range(2, 99)))
+
+
+def test_summary_sink_nests(spark, tmp_path):
+    row = spark.sql("select 3 as n, named_struct('a', 1, 'b', null) as part, map('x', 2) as counts")
+    R.write_summary(row, f"file://{tmp_path}/s")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/s").collect()] == ['{"n":3,"part":{"a":1},"counts":{"x":2}}']
