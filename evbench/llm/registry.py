@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licences, linededup, media, neardup, packing, quality, records, suffixdedup, urls
+from . import bpe, exactdedup, licences, linededup, media, neardup, packing, quality, records, suffixdedup, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": records.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": urls.query,
     "op9_media": media.query,
     "op10_bpe_chunks": bpe.query,
+    "op11_exact_dedup": exactdedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_licences": licences.SQL,
     "op5_line_dedup": linededup.SQL,
     "op8_urls": urls.SQL,
+    "op11_exact_dedup": exactdedup.SQL,
 }
