@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, licences, linededup, media, neardup, packing, quality, records, suffixdedup, urls
+from . import bpe, divergence, exactdedup, licences, linededup, media, neardup, packing, quality, records, search, suffixdedup, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": records.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": media.query,
     "op10_bpe_chunks": bpe.query,
     "op11_exact_dedup": exactdedup.query,
+    "op12_divergence": divergence.query,
+    "op13_search": search.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.SQL,
     "op8_urls": urls.SQL,
     "op11_exact_dedup": exactdedup.SQL,
+    "op12_divergence": divergence.SQL,
+    "op13_search": search.SQL,
 }
