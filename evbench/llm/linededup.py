@@ -10,7 +10,8 @@ points; 128 bits of BLAKE2b stand for it.  The state of a corpus is three tables
 Inserting documents adds postings, adds to the counts and puts keys that became shared into their shard's filter; deleting
 documents takes all of that back, so that a line comes back when its other holders go.  To decide on a document's lines,
 its postings first probe the filters, which let all but shared keys and a few false positives go, and what is left is
-looked up in the exact counts.  Shards grow in number with the keys, so that one filter stays small; probes of a shard are
+looked up in the exact counts.  Shards grow in number with the keys, so that one filter stays small: insertions that outgrow
+the layout deal all keys anew and rebuild the filters from the exact counts.  Probes of a shard are
 dealt over several salts, so that a line in a third of all documents doesn't meet in one task.
 
 Null or empty text: one empty line, which has no key and stays.  Repeated ids count as one holder and are treated alike.
@@ -36,6 +37,8 @@ SLOTS = 4
 MOST_KICKS = 200
 #: Keys for which one shard's filter is laid out at first.
 SHARD_KEYS = 50_000
+#: Shared keys of a shard that don't yet ask for another layout.
+FEWEST = 64
 #: Tasks over which the probes of one shard are dealt.
 SALTS = 16
 
@@ -54,7 +57,11 @@ def digest(key: bytes) -> bytes:
 
 
 class CuckooFilter:
-    """A chain of tables of 16-bit fingerprints; the last one takes insertions, and a full one gets a successor twice its size."""
+    """A chain of tables of 16-bit fingerprints; a full one gets a successor of the same size.
+
+    All tables have the same number of buckets.  So two keys that share a fingerprint and a bucket share both buckets in every
+    table: whichever of their copies a removal takes, the other key is still found.
+    """
 
     def __init__(self, keys: int = 0, blob: bytes | None = None):
         self.tables: list[np.ndarray] = []
@@ -64,11 +71,8 @@ class CuckooFilter:
             self.tables.append(np.frombuffer(blob, "<u2", n * SLOTS, at + 4).reshape(n, SLOTS).copy())
             at += 4 + 2 * n * SLOTS
         if not self.tables:
-            self._grow(keys)
-
-    def _grow(self, keys: int) -> None:
-        n = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / SLOTS / 0.85))))
-        self.tables.append(np.zeros((n, SLOTS), "<u2"))
+            n = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / SLOTS / 0.85))))
+            self.tables.append(np.zeros((n, SLOTS), "<u2"))
 
     def blob(self) -> bytes:
         return b"".join(np.asarray([len(t)], "<u4").tobytes() + t.tobytes() for t in self.tables)
@@ -84,14 +88,15 @@ class CuckooFilter:
 
     def add(self, k0: int) -> None:
         fp = int(self.prints(np.asarray([k0], dtype="<i8"))[0])
-        table = self.tables[-1]
-        n = len(table)
+        n = len(self.tables[0])
         i = k0 & (n - 1)
-        for bucket in (i, self._other(i, fp, n)):
-            free = np.flatnonzero(table[bucket] == 0)
-            if len(free):
-                table[bucket, free[0]] = fp
-                return
+        for table in reversed(self.tables):  # the last one has room most often
+            for bucket in (i, self._other(i, fp, n)):
+                free = np.flatnonzero(table[bucket] == 0)
+                if len(free):
+                    table[bucket, free[0]] = fp
+                    return
+        table = self.tables[-1]
         before = table.copy()
         moved, bucket = fp, i
         for kick in range(MOST_KICKS):
@@ -103,7 +108,7 @@ class CuckooFilter:
                 table[bucket, free[0]] = moved
                 return
         table[:] = before
-        self._grow(2 * n * SLOTS)
+        self.tables.append(np.zeros_like(table))
         self.add(k0)
 
     def remove(self, k0: int) -> bool:
@@ -130,7 +135,10 @@ class CuckooFilter:
 
 @dataclass
 class State:
+    """laid_out: the shared keys for which the filters were laid out."""
+
     shards: int
+    laid_out: int
     postings: DataFrame
     counts: DataFrame
     filters: DataFrame
@@ -181,14 +189,21 @@ def _changed_filters(filters: DataFrame | None, changes: DataFrame) -> DataFrame
     return rows.groupBy("shard").applyInPandas(change, "shard int, blob binary")
 
 
+def _laid_out(postings: DataFrame, counts: DataFrame, shards: int, shared: int) -> State:
+    """A state whose filters are built from the exact counts alone, over as many shards."""
+    again = lambda df: df.withColumn("shard", _shard(shards))
+    postings, counts = again(postings), again(counts)
+    filters = cut(_changed_filters(None, _shared(counts).select("shard", "k0", F.lit(1).alias("sign"))))
+    return State(shards, shared, postings, counts, filters)
+
+
 def build(docs: DataFrame, min_chars: int = 10) -> State:
     """The state of a corpus: of (doc_id, text) rows as texts() gives them."""
     raw = cut(_postings(docs, min_chars))
     shards = max(8, -(-raw.count() // SHARD_KEYS))
     postings = raw.select(_shard(shards), "k0", "k1", "doc_id")
     counts = cut(_counts(postings))
-    filters = cut(_changed_filters(None, _shared(counts).select("shard", "k0", F.lit(1).alias("sign"))))
-    return State(shards, postings, counts, filters)
+    return _laid_out(postings, counts, shards, _shared(counts).count())
 
 
 def insert(state: State, docs: DataFrame, min_chars: int = 10) -> State:
@@ -197,8 +212,12 @@ def insert(state: State, docs: DataFrame, min_chars: int = 10) -> State:
     counts = cut(
         state.counts.unionByName(_counts(new)).groupBy("shard", "k0", "k1").agg(F.sum("refs").alias("refs"), F.min("min_doc").alias("min_doc"), F.max("max_doc").alias("max_doc"))
     )
+    postings = cut(state.postings.unionByName(new))
+    keys, shared = counts.agg(F.count(F.lit(1)), F.count_if(F.col("min_doc") != F.col("max_doc"))).first()
+    if keys > 2 * SHARD_KEYS * state.shards or shared > 4 * max(state.laid_out, FEWEST * state.shards):
+        return _laid_out(postings, counts, max(state.shards, -(-keys // SHARD_KEYS)), shared)
     gained = _shared(counts).join(_shared(state.counts), ["shard", "k0", "k1"], "left_anti").select("shard", "k0", F.lit(1).alias("sign"))
-    return State(state.shards, cut(state.postings.unionByName(new)), counts, cut(_changed_filters(state.filters, gained)))
+    return State(state.shards, state.laid_out, postings, counts, cut(_changed_filters(state.filters, gained)))
 
 
 def delete(state: State, ids: DataFrame) -> State:
@@ -209,7 +228,7 @@ def delete(state: State, ids: DataFrame) -> State:
     again = _counts(postings.join(touched, ["shard", "k0", "k1"], "left_semi"))
     counts = cut(state.counts.join(touched, ["shard", "k0", "k1"], "left_anti").unionByName(again))
     lost = _shared(state.counts).join(_shared(counts), ["shard", "k0", "k1"], "left_anti").select("shard", "k0", F.lit(-1).alias("sign"))
-    return State(state.shards, postings, counts, cut(_changed_filters(state.filters, lost)))
+    return State(state.shards, state.laid_out, postings, counts, cut(_changed_filters(state.filters, lost)))
 
 
 def _candidates(state: State, postings: DataFrame) -> DataFrame:
