@@ -17,6 +17,11 @@ query takes LENGTH; figures below are for it, and measures() derives all sizes f
 4. q-grams kept more than `hot` times don't meet in one task: there, each string of a text is a row with 128 bits of hash
    and all its places in the text, and Spark counts them, over SALTS salts a string.
 
+With `words` the passages are counted in words (runs without ASCII white space): each word stands for eight bytes of its hash, the
+strings are `words` of these, and a repeated run takes the text from its first word's first byte to its last word's last.  A string
+that starts inside a word's eight bytes covers words - 1 whole ones and a part of a hash on either side; that those parts agree for different
+words takes 64 bits by chance.
+
 Strings are judged on the input: nothing depends on what is removed.  Null or empty text, or fewer than `length` bytes:
 nothing is removed.  Repeated rows are copies of one another.  Very long texts are scanned in segments, and their rows are
 dealt like those of many texts.  An empty table gives an empty result.  Removing bytes may cut a
@@ -26,6 +31,8 @@ character; `removed` then drops its broken rest from the text, while the digests
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,6 +57,11 @@ _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15
 
 
+with np.errstate(over="ignore"):
+    #: Powers that tell apart the places of a word's bytes.
+    _POWERS = np.cumprod(np.full(1 << 16, 0xD6E8FEB86659FD93, _U))
+
+
 class Measures(NamedTuple):
     """Bytes of a q-gram, q-grams in a window, starts that share a core, bytes of a core and most bytes beside it."""
 
@@ -109,6 +121,31 @@ def _least_places(g: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
+def word_units(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(eight bytes of hash for each word, first byte of each word, byte after its last)."""
+    raw = np.frombuffer(data, "u1")
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return b"", starts, ends
+    h = np.empty(len(starts), _U)
+    lo = 0
+    while lo < len(starts):  # about SEGMENT bytes at a time, or one word
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SEGMENT, "right")))
+        a, b, base = starts[lo:hi], ends[lo:hi], int(starts[lo])
+        at = np.arange(base, int(b[-1])) - np.repeat(a, np.diff(np.append(a, b[-1])))
+        with np.errstate(over="ignore"):
+            power = _POWERS[at & 0xFFFF] * (2 * (at >> 16) + 1).astype(_U)
+            value = np.where(inside[base : b[-1]], (raw[base : b[-1]].astype(_U) + _U(1)) * power, _U(0))
+            h[lo:hi] = np.add.reduceat(value, a - base) + (b - a).astype(_U)
+        lo = hi
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> _U(31))) * _U(0x94D049BB133111EB)
+        h ^= h >> _U(29)
+    return h.astype("<u8").tobytes(), starts, ends
+
+
 def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(codes, hashes) of the q-grams of least hash in some window of length bytes.
 
@@ -199,22 +236,26 @@ def _arrow(rows: list[tuple], kinds: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names.split())
 
 
-def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH) -> DataFrame:
-    """(doc_id, h, lo, hi): byte ranges covered by repeated strings, overlapping.
+def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """(doc_id, h, lo, hi): byte ranges covered by repeated strings, overlapping; with words, ranges of word_units().
 
     rows: _keyed(docs).  They are joined here just as in _cut_out(), so that Spark shuffles the texts once for both.
     """
     spark = rows.sparkSession
+    least = length
+    if words:
+        length, least = 8 * words, 2 * words - 1
+    coded = (lambda text: word_units(text.encode())[0]) if words else str.encode
     m = measures(length)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long_, int_, list_ = pa.int64(), pa.int32(), pa.list_(pa.int64())
 
     def find(batches):
         for b in batches:
-            found = [anchors((text or "").encode(), length) for text in b.column(2).to_pylist()]
+            found = [anchors(coded(text or ""), length) for text in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[i] for x in found], list_) for i in (0, 1))], names=["doc_id", "h", "codes", "grams"])
 
-    some = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= length))
+    some = rows.where(F.col("__id").isNotNull() & (F.octet_length(text_col) >= least))
     found = cut(some.select("__id", "__h", text_col).mapInArrow(find, "doc_id long, h long, codes array<long>, grams array<long>"))
     counted = found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     total = found.agg(F.sum(F.size("grams"))).first()[0] or 0  # one number
@@ -241,7 +282,7 @@ def spans(rows: DataFrame, text_col: str, hot: int = HOT, length: int = LENGTH)
             for doc_id, h, text, got in zip(b.column(width - 2).to_pylist(), b.column(width - 1).to_pylist(), b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True):
                 if not got:
                     continue
-                data = text.encode()
+                data = coded(text)
                 raw = np.frombuffer(data, "u1")
                 own = [(*x, is_hot) for kind, is_hot in (("cold", False), ("hot", True)) for x in blocks(got[kind], m.block)]
                 k0, k1 = core_names(raw, np.asarray([x[0] for x in own]), m)
@@ -329,13 +370,15 @@ def _joined(rows: DataFrame, side: DataFrame) -> DataFrame:
     return rows.join(side.hint("shuffle_hash"), (rows["__id"] == side["__i"]) & (rows["__h"] == side["__g"]), "left").drop("__i", "__g")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, length: int = LENGTH) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """docs with every column, text_col without bytes of repeated strings of `length` bytes, plus n_bytes, n_removed, n_spans and kept_sha256.
 
+    words: passages of as many words instead, whatever their bytes.
+
     Rows with a null id keep their text and neither give nor take repeats.
     """
     rows = _keyed(docs, id_col, text_col)
-    gone = spans(rows, text_col, hot, length).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
+    gone = spans(rows, text_col, hot, length, words).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
     joined = _joined(rows, gone.select("__spans", F.col("doc_id").alias("__i"), F.col("h").alias("__g")))
     end, at = len(docs.columns), docs.columns.index(text_col)
     counts = ["n_bytes", "n_removed", "n_spans"]
@@ -346,6 +389,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
             for text, found in zip(b.column(at).to_pylist(), b.column(end + 2).to_pylist(), strict=True):
                 data = (text or "").encode()
                 merged = united([(r["lo"], r["hi"]) for r in found or ()])
+                if words and merged:
+                    _, starts, ends = word_units(data)
+                    merged = united([(int(starts[-(-lo // 8)]), int(ends[hi // 8 - 1])) for lo, hi in merged])
                 numbers.append((len(data), sum(hi - lo for lo, hi in merged), len(merged)))
                 if merged:
                     bounds = [0, *(x for r in merged for x in r), len(data)]
@@ -369,6 +415,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def brute_force_words(rows: list[tuple[int, str | None]], words: int) -> dict[int, bytes]:
+    """The bytes that removed() keeps of each text when it counts in words, by a table of all passages."""
+    cut_up = [(i, d, [x.span() for x in re.finditer(rb"[^\x20\x09-\x0D]+", d)]) for i, d in ((i, (t or "").encode()) for i, t in rows)]
+    seen: Counter = Counter()
+    passages = [[tuple(d[a:b] for a, b in at[k : k + words]) for k in range(len(at) - words + 1)] for _, d, at in cut_up]
+    for own in passages:
+        seen.update(own)
+    out = {}
+    for (i, d, at), own in zip(cut_up, passages, strict=True):
+        gone = np.zeros(len(d), bool)
+        for k, p in enumerate(own):
+            if seen[p] > 1:
+                gone[at[k][0] : at[k + words - 1][1]] = True
+        out[i] = bytes(np.frombuffer(d, "u1")[~gone])
+    return out
+
+
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
     """The same by a table of all strings, for tests on small tables."""
     seen: dict[bytes, int] = {}

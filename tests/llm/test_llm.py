@@ -545,11 +545,15 @@ def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline as cp
 
     once = list({r[0]: r for r in rows}.values())
-    spark.createDataFrame(once, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = spark.createDataFrame(once, SCHEMA).repartition(3)
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i, *_ in once], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
     got = cp.run(spark, str(tmp_path)).collect()
 
-    keep = [(i, t) for i, t, *_ in once if quality.judge(t or "", quality.DEFAULT)[-1]]
+    field = quality.learn(given, labels)
+    assert field != quality.DEFAULT
+    keep = [(i, t) for i, t, *_ in once if quality.judge(t or "", field)[-1]]
     keys = {}
     for i, t in keep:
         for line in t.encode().split(b"\n"):
@@ -558,14 +562,44 @@ def test_pipeline(spark, tmp_path, rows):
     lines = [(i, b"\n".join(x for x in t.encode().split(b"\n") if (k := linededup.line_key(x, 10)) is None or min(keys[k]) == i).decode()) for i, t in keep]
     kept = {i for (i, _, _, k), n in brute_near(lines, 5, 80).items() if k}
     few = [(i, t) for i, t in lines if i in kept]
-    sizes = {r[0]: r[1] - r[2] for r in suffixdedup.brute_force(few)}
-    assert {p.doc_id for p in got} == set(sizes) and len(sizes) > 10
+    left = suffixdedup.brute_force_words(few, cp.PASSAGE)
+    assert {p.doc_id for p in got} == set(left) and len(left) > 10
     tok = codec.Codec(codec.vocabulary("byte_bpe_50k.json"))
-    gone = {r[0]: r[2] for r in suffixdedup.brute_force(few)}
-    for i, t in few:
-        if not gone[i]:
-            assert {p.doc_tokens for p in got if p.doc_id == i} == {len(tok.ids(t)) // 4 + 1}
-    assert any(gone.values())
+    for i, text in left.items():
+        assert {p.doc_tokens for p in got if p.doc_id == i} == {len(tok.ids(text.decode())) // 4 + 1}
+        assert sum(p.length for p in got if p.doc_id == i) == len(tok.ids(text.decode())) // 4 + 1
+    assert any(len(left[i]) < len(t.encode()) for i, t in few)
+
+
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 3])
+def test_repeated_passages_counted_in_words(spark, hot):
+    rnd = random.Random(19)
+    word = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(k))
+    words = lambda n, k=9: [word(rnd.randint(1, k)) for _ in range(n)]
+    shared = [words(51, 1), words(51), words(50), words(80, 3), ["a"] * 60, ["long" * 3000, *words(55)]]
+    rows = [(i, "\t ".join([*words(rnd.randint(0, 90)), *shared[i % 6], *words(rnd.randint(0, 60))]) + "\n") for i in range(40)]
+    rows += [(50, None), (51, ""), (52, "  \n"), (53, " ".join(shared[0])), (54, " ".join(words(20_000, 4))), (55, " ".join(["x"] * 51)), (56, " ".join(["y"] * 52))]
+    rows += [(57, rows[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in suffixdedup.removed(df, hot=hot, words=51).collect()}
+    for i, kept in suffixdedup.brute_force_words(rows, 51).items():
+        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest() and got[i].n_bytes - got[i].n_removed == len(kept), i
+
+
+def test_word_units():
+    assert suffixdedup.word_units(b"")[0] == suffixdedup.word_units(b" \n\t")[0] == b""
+    text = "  a bb\x0ba  \n ccc bb\rbb a" + " " + "z" * 200_000 + " z"
+    units, starts, ends = suffixdedup.word_units(text.encode())
+    each = [units[8 * k : 8 * k + 8] for k in range(len(starts))]
+    seen = [text[a:b] for a, b in zip(starts, ends, strict=True)]
+    assert seen == text.split() and len({*each}) == len({*seen})
+    assert all((x == y) == (u == v) for x, u in zip(seen, each, strict=True) for y, v in zip(seen, each, strict=True))
+    rnd = random.Random(4)
+    many = {"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 18))) for _ in range(20_000)}
+    whole = " ".join(sorted(many)).encode()
+    units = suffixdedup.word_units(whole)[0]
+    assert len({units[k : k + 8] for k in range(0, len(units), 8)}) == len(many)
+    assert units[:80] == suffixdedup.word_units(whole[: whole.index(b" ", 120)])[0][:80]
 
 
 def test_pipeline_removes_a_shared_passage_of_51_words(spark):
@@ -574,15 +608,15 @@ def test_pipeline_removes_a_shared_passage_of_51_words(spark):
     rnd = random.Random(9)
     word = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
     words = lambda n: " ".join(word(rnd.randint(2, 9)) for _ in range(n))
-    short, usual = " ".join(word(3) for _ in range(51)), words(51)
-    phrase = words(12)
-    assert len(short) < 400 and len(usual) < 400
+    short, usual = " ".join(word(1) for _ in range(51)), words(51)
+    phrase = words(50)  # one word less than a passage, and more than 200 bytes
+    assert len(short) == 101 and 200 < len(phrase) < 400
     texts = [(1, f"{words(60)} {short} {words(40)}"), (2, f"{words(30)} {short} {words(80)}"), (3, f"{usual} {words(70)}"), (4, f"{words(70)} {usual}")]
     clean = [(5, words(150)), (6, f"{words(50)} {phrase} {words(50)}"), (7, f"{words(20)} {phrase} {words(90)}")]
     df = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in texts + clean], SCHEMA)
     got = {r.doc_id: r.text for r in cp.substring_dedup(spark, df, "").collect()}
     for i, t in texts:
-        assert not any(x in got[i].split() for x in (short if i < 3 else usual).split()[1:-1] if t.split().count(x) == 1)
+        assert got[i] == t.replace(short if i < 3 else usual, "")
     assert [got[i] for i, _ in clean] == [t for _, t in clean]
 
 
