@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from evbench.llm import linededup, neardup, packing, quality, suffixdedup
 from evbench.llm.common import shared_path, table
 
-#: Bytes of a shared passage: passages of over 50 words are to go, and 51 words of three letters have 203 bytes.
-PASSAGE = 200
+#: Words of a shared passage, whatever their bytes: passages of over 50 words are to go.
+PASSAGE = 51
 
 
 def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every byte of passages of PASSAGE bytes or more that stand in the corpus twice."""
-    return _same_columns(suffixdedup.removed(docs, length=PASSAGE), docs)
+    """Removes passages of PASSAGE words or more that stand in the corpus twice."""
+    return _same_columns(suffixdedup.removed(docs, words=PASSAGE), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
