@@ -37,7 +37,7 @@ from .common import cut, forget, table
 
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Distinct (lang, source, term) triples that a task counts before it passes them on.
-HELD = 200_000
+HELD = 400_000
 #: Cells of a block when a source's counts meet the other sources of its language.
 CELLS = 1 << 20
 
@@ -50,36 +50,49 @@ def words(text: str) -> list[bytes]:
 
 
 def counted(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """(lang, source, term, c, d): occurrences and documents of a term in a group; a row with the term '' stands for the group itself."""
+    """(lang, source, term, c, d): occurrences and documents of a term in a group, summed within a task's run of documents; a row with the term '' stands for the group itself."""
 
     def scan(batches):
-        occurrences: Counter = Counter()
-        holders: Counter = Counter()
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def flush():
-            keys = [*holders]
-            langs, sources, terms = zip(*keys, strict=True) if keys else ([], [], [])
-            columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array([t.decode() for t in terms], pa.string())]
-            columns += [pa.array([x[k] for k in keys], pa.int64()) for x in (occurrences, holders)]
-            occurrences.clear()
-            holders.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "c", "d"])
-
+            for (lang, source), (occurrences, holders) in groups.items():
+                terms, n = [*holders], len(holders)
+                columns = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (lang, source)]
+                columns += [pa.array(terms, pa.binary()).cast(pa.string()), pa.array([occurrences[t] for t in terms], pa.int64()), pa.array([holders[t] for t in terms], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "c", "d"])
+            groups.clear()
+
+        size = 0
         for b in batches:
             for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                found = Counter(words(text))
-                found[b""] = 1
-                for term, n in found.items():
-                    key = (lang, source, term)
-                    occurrences[key] += n
-                    holders[key] += 1
-                if len(holders) >= held:
-                    yield flush()
-        yield flush()
+                found = words(text)
+                group = groups.get((lang, source))
+                if group is None:
+                    group = groups[lang, source] = (Counter(), Counter({b"": 1}))
+                    size += 1
+                before = len(group[1])
+                group[0].update(found)
+                group[1].update(set(found))
+                size += len(group[1]) - before
+                if size >= held:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    parts = plain.mapInArrow(scan, "lang string, source string, term string, c long, d long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    return plain.mapInArrow(scan, "lang string, source string, term string, c long, d long")
+
+
+def kept_terms(parts: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, own): of the terms of at least min_docs documents their occurrences in each source, and of the term '' every source.
+
+    The counts meet by language and term once: they are summed by source there, and rare terms end there.
+    """
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_source = parts.repartition(n, "lang", "term").groupBy("lang", "term", "source").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    rows = by_source.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.collect_list(F.struct("source", "c")).alias("own"))
+    return rows.where((F.col("term") == "") | (F.col("d") >= min_docs)).select("lang", "term", "own")
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -125,7 +138,7 @@ class PatternTree:
     def __init__(self):
         self.path: list[tuple[int, int, int]] = []
         self.times: list[int] = []
-        self.sums: dict[int, dict[int, int]] = {}
+        self.sums: dict[int, np.ndarray] = {}
 
     def insert(self, items: list[tuple[int, int, int]], times: int) -> None:
         same = 0
@@ -144,9 +157,9 @@ class PatternTree:
             for k in range(len(self.path) - 1, depth - 1, -1):
                 own, q0, q = self.path[k]
                 value = (np.abs(q - p[:k]) - np.abs(q - p0[:k]) - np.abs(q0 - p[:k]) + np.abs(q0 - p0[:k])) * self.times[k]
-                sums = self.sums.setdefault(own, {})
-                for other, x in zip(at[:k].tolist(), value.tolist(), strict=True):
-                    sums[other] = sums.get(other, 0) + x
+                if own not in self.sums:
+                    self.sums[own] = np.zeros(own, np.int64)  # ancestors have lower places
+                self.sums[own][at[:k]] += value
                 if k:
                     self.times[k - 1] += self.times[k]
         del self.path[depth:], self.times[depth:]
@@ -160,7 +173,7 @@ def _tree(rows: DataFrame) -> DataFrame:
 
         def result():
             tree.close()
-            found = [(a, b, x) for a, row in tree.sums.items() for b, x in row.items() if x]
+            found = [(a, int(b), int(row[b])) for a, row in tree.sums.items() for b in np.flatnonzero(row)]
             for at in range(0, len(found), 50_000):
                 a, b, value = zip(*found[at : at + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.int64())], names=["lang", "a", "b", "value"])
@@ -178,12 +191,12 @@ def _tree(rows: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): `pair` rows for each other source of the language, and at most `top` `term` rows."""
-    counts = cut(counted(docs))
-    occurring = counts.where("term = ''").select("lang", "source")
-    terms = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("c").alias("all")).where(F.col("d") >= min_docs)
-    terms = cut(terms.select("lang", "term", "all"))
+    rows = cut(kept_terms(counted(docs), min_docs))
+    every = rows.select("lang", "term", F.explode("own").alias("x")).select("lang", "term", F.col("x.source").alias("source"), F.col("x.c").alias("c"))
+    occurring = every.where("term = ''").select("lang", "source")
+    terms = rows.where("term <> ''").select("lang", "term", F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["c"]).alias("all"), "own")
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("n_all"))
-    kept = counts.where("term <> ''").join(terms, ["lang", "term"]).select("lang", "source", "term", "c", "all")
+    kept = terms.select("lang", "term", "all", F.explode("own").alias("x")).select("lang", F.col("x.source").alias("source"), "term", F.col("x.c").alias("c"), "all")
     sizes = kept.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     groups = occurring.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["n", "v", "n_all"])
     # small sources first: their low counts repeat, so that more rows begin alike
@@ -195,7 +208,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
         )
     )
 
-    forget(counts, terms)
+    forget(rows)
     hist = valued.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("m")).groupBy("lang", "source").agg(F.collect_list(F.struct("p", "m")).alias("hist"))
     others = groups.groupBy("lang").agg(F.collect_list(F.struct("source", "p0")).alias("others"))
     single = _single(groups.join(hist, ["lang", "source"], "left").join(others, "lang"))
