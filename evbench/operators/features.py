@@ -99,15 +99,3 @@ def broken_inputs(manifest: DataFrame, sequence: str, ids: str, least: int = 0,
     """Rows of a strict manifest whose id list isn't as long as the sequence or holds an id out of range; it must be empty."""
     bad = F.exists(ids, lambda i: i.isNull() | (i < least) | (i > most))
     return manifest.where(F.col(ids).isNull() | (F.size(ids) != F.length(sequence)) | bad)
-
-
-def feature_pack(df: DataFrame, families: dict[str, Sequence[str]]) -> DataFrame:
-    """df with a vector for each family of numeric columns and `combined`, which holds all of them in order; nulls are 0."""
-    out = df.fillna(0.0, sorted({c for cs in families.values() for c in cs}))
-    every = {**families, "combined": [c for cs in families.values() for c in cs]}
-    return out.withColumns({name: F.array(*[F.col(c).cast("double") for c in cs]) for name, cs in every.items()})
-
-
-def counterfactual(modified: Column, unmodified: Column) -> Column:
-    """struct(modified, unmodified, delta) of two states' vectors of one length."""
-    return F.struct(modified.alias("modified"), unmodified.alias("unmodified"), F.zip_with(modified, unmodified, lambda a, b: a - b).alias("delta"))

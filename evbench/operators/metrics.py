@@ -147,11 +147,57 @@ def prevalence_threshold(df: DataFrame, by: Sequence[str], label: str, score: st
     return g.select(*by, F.round(F.col("a") + F.col("f") * (F.coalesce("b", "a") - F.col("a")), 9).alias("threshold"))
 
 
-def metric_rows(preds: DataFrame, by: Sequence[str], label: str, score: str, ident: str, part: str = "part") -> DataFrame:
-    """One row per group: sizes and positive rates of the parts, the threshold of best MCC on valid, and test metrics at it."""
+def class_confusion(df: DataFrame, by: Sequence[str], truth: str, predicted: str) -> DataFrame:
+    """(by, truth, predicted, n): the cells of the confusion of K classes that hold a row; null labels are no class and are left out."""
+    return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_scores(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, class, support, predicted, hits, precision, recall, f1) of each class that occurs as truth or prediction; 0 where undefined."""
+    hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
+    ends = cells.select(*by, F.col("truth").alias("class"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), hit.alias("h"))
+    ends = ends.unionByName(cells.select(*by, F.col("predicted").alias("class"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("h")))
+    g = ends.groupBy(*by, "class").agg(F.sum("t").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("hits"))
+    share = lambda x, of: F.when(of > 0, x / of).otherwise(0.0)
+    t, p, h = F.col("support"), F.col("predicted"), F.col("hits")
+    return g.withColumns({"precision": share(h, p), "recall": share(h, t), "f1": share(2 * h, t + p)})
+
+
+def class_metrics(df: DataFrame, by: Sequence[str], truth: str, predicted: str) -> DataFrame:
+    """(by, n, classes, accuracy, balanced_accuracy, macro_f1, weighted_f1, mcc) of K classes.
+
+    Balanced accuracy is the mean recall of the classes that occur; F1 averages over those that occur or are predicted; the correlation comes from the
+    margins alone and is 0 where one of them is a single class.  What is aggregated twice has a row for each cell, at most K * K a group.
+    """
+    c = class_scores(class_confusion(df, by, truth, predicted), by)
+    t, p, h = F.col("support"), F.col("predicted"), F.col("hits")
+    d = lambda x: x.cast("double")
+    g = c.groupBy(*by).agg(
+        F.sum(t).alias("n"), F.count(F.lit(1)).alias("classes"), F.sum(h).alias("h"), F.avg(F.when(t > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"),
+        (F.sum(t * F.col("f1")) / F.sum(t)).alias("weighted_f1"), F.sum(d(t) * d(p)).alias("tp"), F.sum(d(t) * d(t)).alias("tt"), F.sum(d(p) * d(p)).alias("pp"),
+    )
+    n = d(F.col("n"))
+    below = (n * n - F.col("pp")) * (n * n - F.col("tt"))
+    r = lambda x, name: F.round(x, 9).alias(name)
+    correlation = F.when(below > 0, (d(F.col("h")) * n - F.col("tp")) / F.sqrt(below)).otherwise(0.0)
+    return g.select(*by, "n", "classes", r(F.col("h") / F.col("n"), "accuracy"), *[r(F.col(x), x) for x in ("balanced_accuracy", "macro_f1", "weighted_f1")], r(correlation, "mcc"))
+
+
+def class_log_loss(probs: DataFrame, by: Sequence[str], ident: str, truth: str, cls: str, p: str, eps: float = 1e-15) -> DataFrame:
+    """(by, log_loss) of long probabilities (by, id, class, p): each id's are brought to a sum of 1, and its true class's is clipped to [eps, 1 - eps]."""
+    own = probs.groupBy(*by, ident).agg(F.sum(p).alias("s"), F.sum(F.when(F.col(cls) == F.col(truth), F.col(p)).otherwise(0.0)).alias("p"))
+    q = F.least(F.greatest(F.coalesce(F.col("p") / F.nullif(F.col("s"), F.lit(0.0)), F.lit(0.0)), F.lit(eps)), F.lit(1 - eps))
+    return own.groupBy(*by).agg(F.round(F.avg(-F.ln(q)), 7).alias("log_loss"))
+
+
+def metric_rows(preds: DataFrame, by: Sequence[str], label: str, score: str, ident: str, part: str = "part", parts: Sequence[str] = ("valid", "test"), resamples: int = 0, within: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """One row per group: sizes and positive rates of the parts, the threshold of best MCC on valid, and test metrics at it.
+
+    resamples: the bounds of the middle 95 % of the average precision over so many resamples of the test ids, drawn within pools of the columns `within`.
+    """
     y = F.col(label).cast("int")
     of = lambda p: F.col(part) == p
-    sizes = preds.groupBy(*by).agg(*[F.count_if(of(p)).alias(f"{p}_n") for p in ("valid", "test")], *[F.round(F.avg(F.when(of(p), y)), 9).alias(f"{p}_rate") for p in ("valid", "test")])
+    sizes = preds.groupBy(*by).agg(*[F.count_if(of(p)).alias(f"{p}_n") for p in parts], *[F.round(F.avg(F.when(of(p), y)), 9).alias(f"{p}_rate") for p in parts])
     valid, test = preds.where(of("valid")), preds.where(of("test"))
     best = sweep(valid, by, label, score, quantile_candidates(valid, by, score))
     out = sizes.join(best, list(by))
@@ -164,4 +210,9 @@ def metric_rows(preds: DataFrame, by: Sequence[str], label: str, score: str, ide
         precision_at(test, by, label, score, ident).withColumnRenamed("precision", "precision_at_50"),
     ):
         out = out.join(one, list(by), "left")
+    if resamples:
+        from .statistics import bootstrap, interval
+
+        drawn = interval(bootstrap(test, by, ident, label, score, resamples, seed, within), by)
+        out = out.join(drawn.select(*by, F.col("lo").alias("auprc_ci_low"), F.col("hi").alias("auprc_ci_high")), list(by), "left")
     return out

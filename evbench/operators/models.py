@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import cut
+from .fits import Family, fit, scored, with_parts
 
 
 def prior(rows: DataFrame, part: str, label: str) -> DataFrame:
@@ -79,24 +80,15 @@ def aligned(probs: DataFrame, ident: str, classes: Sequence[str]) -> DataFrame:
     return ids.join(probs, [ident, "class"], "left").fillna(0.0, ["p"])
 
 
-def harness(rows: DataFrame, ident: str, splits: DataFrame, names: Sequence[str], label: str, categories: Sequence[str], numbers: Sequence[str], kinds: Sequence[str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """(predictions (id, split, model, part, label, score, confidence), status per split) of every split and model.
+def harness(rows: DataFrame, ident: str, splits: DataFrame, names: Sequence[str], families: dict[str, Family]) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """(predictions (id, split, model, part, label, score, confidence), status per split and model) of every split and model.
 
-    splits: long table (id, split, part).  The driver loops over the splits and models, each a distributed fit on train alone; a split
-    whose train can't be used is skipped with its reason.
+    rows: (id, label, the families' columns of entries); splits: long table (id, split, part).  All groups are fitted together on their own train rows,
+    in as many jobs as one of them takes; a split whose train can't be used is skipped with its reason.
     """
-    out, status = None, {}
-    for name in names:
-        mine = rows.join(splits.where(F.col("split") == name).select(ident, "part"), ident)
-        try:
-            for kind in kinds:
-                scored = fit_score(mine, "part", label, categories, numbers, kind)
-                one = cut(scored.select(ident, F.lit(name).alias("split"), F.lit(kind).alias("model"), "part", label, "score", "confidence"))
-                out = one if out is None else out.unionByName(one)
-            status[name] = "ok"
-        except ValueError as why:
-            status[name] = str(why)
-    return out, status
+    ready = cut(with_parts(rows, ident, splits, names))
+    fits, status = fit(ready, names, families)
+    return scored(ready, ident, names, fits), status
 
 
 def external_scores(train: DataFrame, valid: DataFrame, external: DataFrame, ident: str, label: str, categories: Sequence[str], numbers: Sequence[str], kind: str = "logistic") -> DataFrame:

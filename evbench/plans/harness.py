@@ -10,17 +10,21 @@ from ..functions import site as P
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import features as X
+from ..operators import fits as L
 from ..operators import graphs as G
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as K
+from ..operators import packs as Y
 from ..operators import splits as S
+from ..operators.durable import cut
 from ..sources import readers as R
 from .base import ORACLE_SQL, query, table
 from .metrics import BY, CONFUSION, F1, MCC, PRED, predictions, test_rows
-from .models import NUMBERS, rows as labelled_rows
+from .models import NUMBERS, rows as labelled_rows, with_entries
 from .scans import _landing
 from .splits import AUDIT, GREEDY
+from .statistics import average_precision_sql, draws_sql
 
 # --------------------------------------------------------------------------------------------------------- splits
 
@@ -124,13 +128,36 @@ def metric_rows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metric_rows(predictions(spark, sf_dir), BY, "label", "score", "event_id")
 
 
+#: DuckDB and Spark: predictions with a train part too.
+PART2, PART3 = "CASE WHEN event_id % 10 < 3 THEN 'valid' ELSE 'test' END", "CASE WHEN event_id % 10 < 5 THEN 'train' WHEN event_id % 10 < 7 THEN 'valid' ELSE 'test' END"
+RESAMPLES = 150
+
+
+@query(
+    "metric_rows_ci",
+    f"""SELECT m.*, train_n, train_rate, auprc_ci_low, auprc_ci_high FROM ({ORACLE_SQL['metric_rows_full'].replace(PART2, PART3)}) m JOIN (WITH {PRED.replace(PART2, PART3)}
+    SELECT split, model, count(*) AS train_n, round(avg(label::INT), 9) AS train_rate FROM pred WHERE part = 'train' GROUP BY ALL) USING (split, model)
+    JOIN (WITH RECURSIVE {PRED.replace(PART2, PART3)}, rows AS (SELECT *, CASE split WHEN 'S0' THEN 0 ELSE 1 END AS pl FROM test), {draws_sql('event_id', 5, RESAMPLES, within='pl')},
+    v AS ({average_precision_sql('rep, split, model')}) SELECT split, model, round(quantile_cont(value, 0.025), 7) AS auprc_ci_low, round(quantile_cont(value, 0.975), 7) AS auprc_ci_high
+    FROM v WHERE value IS NOT NULL GROUP BY ALL) USING (split, model)""",
+)
+def metric_rows_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rows with the train part's size and rate, and bounds of the average precision; each split resamples its own test rows."""
+    p = predictions(spark, sf_dir).withColumn("part", F.expr(PART3))
+    return M.metric_rows(p, BY, "label", "score", "event_id", parts=("train", "valid", "test"), resamples=RESAMPLES, within=["split"], seed=5)
+
+
 @query("split_model_metrics")
 def split_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits by document, language and source group; two models on each; metric rows of their predictions."""
-    r = labelled_rows(spark, sf_dir).drop("part").withColumn("group", F.col("doc_id") % 37)
-    splits = S.named_splits(r, "doc_id", [("by_document", "doc_id", 1), ("by_group", "group", 2)]).select("doc_id", "split", "part")
-    preds, _ = K.harness(r, "doc_id", splits, ["by_document", "by_group"], "label", ["lang"], NUMBERS, ["logistic", "forest"])
-    return M.metric_rows(preds, BY, "label", "score", "doc_id")
+    """Five splits of the labelled documents, five models on each, all fitted together; metric rows of their predictions."""
+    r, sizes = with_entries(labelled_rows(spark, sf_dir).drop("part"))
+    length = F.floor(4 * F.col("log_n")).cast("int")
+    r = r.withColumns({"language": F.col("lang"), "group": F.concat_ws("|", "lang", "source"), "length": length, "cell": F.concat_ws("|", "lang", "source", length)})
+    keys = {"by_document": "doc_id", "by_source": "source", "by_group": "group", "by_length": "length", "by_cell": "cell"}
+    splits = S.named_splits(r, "doc_id", [(name, key, k) for k, (name, key) in enumerate(keys.items())]).select("doc_id", "split", "part")
+    families = {"prior": L.Family(None)} | {name[2:]: L.Family(name, n) for name, n in sizes.items()} | {"network": L.Family("f_all", sizes["f_all"], "mlp")}
+    preds, _ = K.harness(r, "doc_id", splits, list(keys), families)
+    return M.metric_rows(cut(preds), BY, "label", "score", "doc_id", parts=("train", "valid", "test"), resamples=RESAMPLES, within=["split"], seed=6)
 
 
 @query("external_metrics")
@@ -300,11 +327,11 @@ def any_table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(p_size - 2 * p_size, 6) AS delta_sum FROM part""",
 )
 def feature_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature families with their combination, and the two states of a site with their difference."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
-    f = X.feature_pack(p, {"site": ["size"], "partner": ["price"]}).withColumn("cf", X.counterfactual(F.col("site"), F.transform("site", lambda x: 2 * x)))
-    add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
-    return f.select("p_partkey", add("combined").alias("combined_sum"), F.size("site").alias("site_dims"), F.size("combined").alias("combined_dims"), add("cf.delta").alias("delta_sum"))
+    """Two families with their combination, and the two states of a site with their difference; plans/packs.py has the whole packs."""
+    blocks = {"site": Y.dense([F.col("p_size")]), "other": Y.dense([2 * F.col("p_size")]), "partner": Y.dense([F.col("p_retailprice")])}
+    f = Y.with_packs(table(spark, sf_dir, "part"), blocks, {"combined": [Y.Part("site"), Y.Part("partner")]}).withColumn("delta", Y.difference(blocks["site"].entries, blocks["other"].entries))
+    add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x["v"]), 6)
+    return f.select("p_partkey", add("combined").alias("combined_sum"), F.lit(blocks["site"].size).alias("site_dims"), F.lit(blocks["site"].size + blocks["partner"].size).alias("combined_dims"), add("delta").alias("delta_sum"))
 
 
 @query(

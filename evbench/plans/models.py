@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_int
+from ..operators import fits as L
 from ..operators import metrics as M
 from ..operators import models as K
+from ..operators import packs as X
+from ..operators.durable import cut
 from .base import query, table
 from .metrics import predictions
 
@@ -17,7 +20,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.greatest(F.length("text"), F.lit(1))
     share = lambda p: F.regexp_count("text", F.lit(p)) / n
     part = F.when(hash_int(F.col("doc_id")) % 10 < 7, "train").otherwise("test")
-    return d.select("doc_id", part.alias("part"), (F.col("quality") == 1).alias("label"), "lang", share("[#*$%&|<>]").alias("symbols"), share("[A-Z]").alias("upper"), share("[0-9]").alias("digits"), F.log1p(n.cast("double")).alias("log_n"))
+    made = d.select("doc_id", part.alias("part"), (F.col("quality") == 1).alias("label"), "lang", "source", share("[#*$%&|<>]").alias("symbols"), share("[A-Z]").alias("upper"), share("[0-9]").alias("digits"), F.log1p(n.cast("double")).alias("log_n"))
+    return cut(made)  # fits read the rows again and again, and the texts once
 
 
 NUMBERS = ["symbols", "upper", "digits", "log_n"]
@@ -36,9 +40,25 @@ def model_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.prior(rows(spark, sf_dir), "part", "label").groupBy("part", "label", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_entries(r: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(rows with entries of the feature families, their sizes)"""
+    langs = X.categories(r, ["lang"])["lang"]
+    dense = lambda *names: X.dense([F.col(c) for c in names])
+    blocks = {"lang": X.one_hot([(F.col("lang"), langs)]), "symbols": dense("symbols"), "letters": dense("upper", "digits"), "numbers": dense(*NUMBERS)}
+    packs = {"f_symbols": [X.Part("symbols")], "f_letters": [X.Part("letters")], "f_all": [X.Part("lang"), X.Part("numbers")]}
+    return X.with_packs(r, blocks, packs), {name: X.stacked(blocks, parts).size for name, parts in packs.items()}
+
+
+def _by_part(r: DataFrame, families: dict[str, str], kind: str = "logistic") -> DataFrame:
+    """Predictions of the families (model -> column of entries) on the rows' own part."""
+    rows, sizes = with_entries(r)
+    splits = r.select("doc_id", F.lit("one").alias("split"), "part")
+    return K.harness(rows, "doc_id", splits, ["one"], {m: L.Family(c, sizes[c], kind) for m, c in families.items()})[0]
+
+
 @query("model_logistic")
 def model_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(K.fit_score(rows(spark, sf_dir), "part", "label", ["lang"], NUMBERS, "logistic"))
+    return _report(_by_part(rows(spark, sf_dir), {"all": "f_all"}))
 
 
 @query("model_forest")
@@ -48,17 +68,14 @@ def model_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_mlp")
 def model_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(K.fit_score(rows(spark, sf_dir), "part", "label", ["lang"], NUMBERS, "mlp"))
+    return _report(_by_part(rows(spark, sf_dir), {"all": "f_all"}, "mlp"))
 
 
 @query("model_ablations")
 def model_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rows(spark, sf_dir)
-    out = None
-    for name, cats, nums in (("symbols", [], ["symbols"]), ("letters", [], ["upper", "digits"]), ("all", ["lang"], NUMBERS)):
-        one = _report(K.fit_score(r, "part", "label", cats, nums, "logistic")).withColumn("family", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    t = _by_part(rows(spark, sf_dir), {"symbols": "f_symbols", "letters": "f_letters", "all": "f_all"}).where("part = 'test'").withColumnRenamed("model", "family")
+    by = ["family"]
+    return M.auroc(t, by, "label", "score").join(M.average_precision(t, by, "label", "score"), by).join(M.confusion(t, by, "label", "score", 0.5), by)
 
 
 @query("stacked_scores")

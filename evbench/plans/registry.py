@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregates, evidence, graphs, harness, joins, mapping, metrics, models, ranking, reports, scans, sequences, splits, statistics  # noqa: F401
+from . import aggregates, evidence, graphs, harness, joins, mapping, metrics, models, packs, ranking, reports, scans, sequences, splits, statistics  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import assignment as A
 from ..operators import splits as S
 from .base import query, table
 
@@ -168,3 +169,24 @@ def external_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(T.joined_key(li.l_suppkey, li.l_linenumber).alias("site_key"), T.pair_key(li.l_suppkey, li.l_partkey).alias("pair_key"), "l_orderkey", "l_linestatus").distinct()
+
+
+@query(
+    "scored_group_split",
+    f"""WITH {PAIRS} SELECT count(*) AS n_rows, count(DISTINCT part_key) AS n_keys, 0 AS keys_in_two_parts, 3 AS parts, true AS sizes_within, true AS rates_within FROM li""",
+)
+def scored_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of lineitem's part keys by the scored assignment, audited: whole keys, sizes within half of the largest key, positive rates within 2 %."""
+    li = rows(spark, sf_dir)
+    split = A.scored_group_split(li, "part_key", "label", 9).withColumnRenamed("size", "rows")
+    j = li.join(split, "part_key")
+    per = j.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("int")).alias("rate"))
+    keys = j.groupBy("part_key").agg(F.count_distinct("part").alias("in"), F.count(F.lit(1)).alias("size"))
+    whole = keys.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("in") > 1).alias("keys_in_two_parts"), F.max("size").alias("largest"))
+    share = F.when(F.col("part") == "train", 0.70).otherwise(0.15)
+    rate = li.agg(F.avg(F.col("label").cast("int")).alias("all"), F.count(F.lit(1)).alias("n_rows"))
+    x = per.join(F.broadcast(whole)).join(F.broadcast(rate))  # one row each
+    return x.agg(
+        F.max("n_rows").alias("n_rows"), F.max("n_keys").alias("n_keys"), F.max("keys_in_two_parts").alias("keys_in_two_parts"), F.count(F.lit(1)).alias("parts"),
+        F.bool_and(F.abs(F.col("n") - share * F.col("n_rows")) <= 1 + F.col("largest") / 2).alias("sizes_within"), F.bool_and(F.abs(F.col("rate") - F.col("all")) <= 0.02).alias("rates_within"),
+    )
