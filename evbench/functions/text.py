@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cells that mean "missing", compared case-insensitively.
@@ -124,7 +124,45 @@ def split_from_path(path: Column) -> Column:
     return F.get(F.filter(F.transform(words, split_name), lambda x: x.isNotNull()), F.lit(0))
 
 
+#: Names that a split column may have, in order of precedence.
+SPLIT_COLUMNS = ("split", "set", "subset", "partition", "fold")
+
+
+def find_split_column(df: DataFrame) -> str | None:
+    """The first column, by its name in any case and without `_`, `-` and blanks, that is named like a split and has a value that names a part.
+
+    All candidates are looked at in one pass; one row comes back.
+    """
+    plain = lambda c: c.lower().replace("_", "").replace("-", "").replace(" ", "")
+    found = [c for name in SPLIT_COLUMNS for c in df.columns if plain(c) == name]
+    if not found:
+        return None
+    known = df.agg(*[F.bool_or(split_name(F.col(f"`{c}`").cast("string")).isNotNull()).alias(str(k)) for k, c in enumerate(found)]).first()
+    return next((c for k, c in enumerate(found) if known[str(k)]), None)
+
+
 def placeholder(sequence: Column, accession: Column, site: Column | None = None) -> Column:
     """The sequence, or ID:accession[:site] where it is missing or empty."""
     parts = [F.lit("ID"), accession.cast("string"), *([site.cast("string")] if site is not None else [])]
     return F.coalesce(F.nullif(sequence, F.lit("")), F.concat_ws(":", *parts))
+
+
+def pair_entities(a: Column, b: Column) -> Column:
+    """An array with the key of both ends, trimmed, in upper case and in either order; empty where both are blank."""
+    x, y = (F.upper(F.trim(F.coalesce(c.cast("string"), F.lit("")))) for c in (a, b))
+    return F.when((x == "") & (y == ""), F.array().cast("array<string>")).otherwise(F.array(pair_key(x, y)))
+
+
+def site_entities(site: Column, owner: Column | None = None) -> Column:
+    """owner:site for each value of a multi-valued owner and site; the sites alone where there is no owner; empty without a site."""
+    sites = tokens(site)
+    if owner is None:
+        return sites
+    owners = tokens(owner)
+    both = F.flatten(F.transform(owners, lambda o: F.transform(sites, lambda s: F.concat(o, F.lit(":"), s))))
+    return F.array_distinct(F.when(F.size(owners) > 0, both).otherwise(sites))
+
+
+def value_entities(c: Column) -> Column:
+    """The distinct values of a multi-valued cell: modified entities or publications."""
+    return F.array_distinct(tokens(c))

@@ -153,3 +153,15 @@ def stable_ids(df: DataFrame, keys: Sequence[str], out: str = "row_id", prefix:
     """df with an id by place in the order of the keys, from 0, zero-padded."""
     at = F.col("__at").cast("string")
     return numbered(df, keys, "__at").select(*df.columns, F.concat(F.lit(prefix), F.lpad(at, F.greatest(F.lit(width), F.length(at)), F.lit("0"))).alias(out))
+
+
+def keyword_rows(df: DataFrame, columns: Sequence[str], words: str, order: Sequence[Column], most: int = 80, least: int = 10, fallback: int = 60) -> DataFrame:
+    """The first `most` rows in the order of those with one of the words (a pattern, in any case) in a column; where fewer than `least` rows have one, the
+    first `fallback` of all rows.  How many have one is counted in the same job."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.col(c).rlike(f"(?i){words}"), F.lit(False))
+    rows = df.withColumn("__hit", hit)
+    few = rows.agg((F.count_if("__hit") < least).alias("__few"))
+    best = rows.where("__hit").orderBy(*order).limit(most).unionByName(rows.orderBy(*order).limit(fallback).withColumn("__hit", F.lit(None).cast("boolean")))
+    return best.join(F.broadcast(few)).where(F.col("__few") == F.col("__hit").isNull()).drop("__hit", "__few")  # one row

@@ -4,35 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import cut
+from .durable import Stored, cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges up to which what is left of a graph is united in one task.
+TASK_EDGES = 200_000
+
+
+def _united(edges: DataFrame) -> DataFrame:
+    """(v, label) of a bounded number of edges: label is the least vertex that a union-find reaches."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def unite(batches):
+        t = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if t is None:
+            return
+        names = pc.unique(pa.chunked_array([*t.column("a").chunks, *t.column("b").chunks]))
+        names = names.take(pc.sort_indices(names))  # so that the least number is the least vertex
+        a, b = (pc.index_in(t.column(c), names).to_pylist() for c in ("a", "b"))
+        parent = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(a, b, strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        roots = pa.array([root(x) for x in range(len(names))])
+        yield pa.RecordBatch.from_arrays([names, names.take(roots)], names=["v", "label"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(unite, f"v {kind}, label {kind}")
+
+
+def components(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """(v, label) of every vertex of the undirected edges (a, b); label is the smallest vertex of its component.
 
     Each round orders the vertices by a fresh hash, points every vertex at the least of itself and its neighbours, and puts those
     in place of the ends of the edges; edges within one vertex and repeated ones go.  A constant share of the vertices goes in each
-    round, of a chain as of a star.  Minima are combined map-side, and a hub's edges are gone after the first rounds; joins by a hub
-    or by a large component's label are split by Spark's skew join.  Self-loops keep a vertex without other edges.
+    round, of a chain as of a star, until what is left fits one task, which unites it.  A round keeps the map of its own vertices alone, and the maps are
+    applied to one another at the end, from the smallest on, so that no round writes the labels of all vertices.
+    Minima are combined map-side, and a hub's edges are gone after the first rounds; joins by a hub
+    or by a large component's label are split by Spark's skew join.  Self-loops keep a vertex without other edges.  What the rounds wrote is deleted.
     """
-    every = cut(edges.select("a", "b").distinct())
-    labels = cut(every.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
-    left = every.where("a <> b")
+    rounds = Stored(edges.sparkSession)
+    every = rounds.put(edges.select("a", "b").distinct())
+    left, moves = rounds.put(every.where("a <> b")), []
     for k in range(most_rounds):
-        if left.isEmpty():
-            named = labels.groupBy("label").agg(F.min("v").alias("least"))
-            return labels.join(named, "label").select("v", F.col("least").alias("label"))
+        if left.count() <= task_edges:
+            break
         key = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         least = F.least(key("a"), key("b")).alias("m")
         ends = left.select(F.col("a").alias("v"), least).unionByName(left.select(F.col("b").alias("v"), least))
-        step = cut(ends.groupBy("v").agg(F.min("m").alias("m")).select("v", F.col("m.v").alias("m")))
-        labels = cut(labels.join(step.toDF("label", "m"), "label", "left").select("v", F.coalesce("m", "label").alias("label")))
+        step = rounds.put(ends.groupBy("v").agg(F.min("m").alias("m")).select("v", F.col("m.v").alias("m")))
+        moves.append(step)
         moved = left.join(step.toDF("a", "am"), "a").join(step.toDF("b", "bm"), "b")
-        left = cut(moved.select(F.least("am", "bm").alias("a"), F.greatest("am", "bm").alias("b")).where("a <> b").distinct())
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        before, left = left, rounds.put(moved.select(F.least("am", "bm").alias("a"), F.greatest("am", "bm").alias("b")).where("a <> b").distinct())
+        rounds.drop(before)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    names = _united(left)
+    for step in reversed(moves):
+        names = step.join(names.toDF("m", "label"), "m", "left").select("v", F.coalesce("label", "m").alias("label"))
+    if moves:
+        names = rounds.put(names)
+        names = names.join(names.groupBy("label").agg(F.min("v").alias("least")), "label").select("v", F.col("least").alias("label"))
+    vertices = every.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    out = cut(vertices.join(names, "v", "left").select("v", F.coalesce("label", "v").alias("label")))
+    rounds.close()
+    return out
 
 
 def stars(memberships: DataFrame, row: str, keys: Sequence[str], cap: int | None = None) -> DataFrame:
@@ -63,16 +111,174 @@ def axis_edge_counts(members: DataFrame, cap: int) -> DataFrame:
     return g.groupBy("axis").agg(F.sum(F.when(F.col("n") <= cap, F.expr("n * (n - 1) div 2")).otherwise(0)).alias("edges"), F.count_if(F.col("n") > cap).alias("skipped"))
 
 
-def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds_: int) -> DataFrame:
     """(v, label) after synchronous rounds: each vertex takes its neighbours' commonest label, the smallest among ties."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))
-    for _ in range(rounds):
+    rounds = Stored(edges.sparkSession)
+    both = rounds.put(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = rounds.put(both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
+    for _ in range(rounds_):
         votes = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
         # the greatest count, then the smallest label
         best = votes.groupBy("a").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label"))
-        labels = cut(best.select(F.col("a").alias("v"), "label"))
-    return labels
+        before, labels = labels, rounds.put(best.select(F.col("a").alias("v"), "label"))
+        rounds.drop(before)
+    out = cut(labels)
+    rounds.close()
+    return out
+
+
+def _settled(near: list[dict[int, float]], own: list[float], least_gain: float) -> list[int]:
+    """The community of each vertex: vertices move one by one to where the modularity gains most, until a pass gains little; communities become vertices, and so on.
+
+    near: for each vertex its neighbours with their weights; own: the weight within each vertex, both ways.
+    """
+    k = [sum(x.values()) + o for x, o in zip(near, own, strict=True)]
+    total = sum(k)
+    label = list(range(len(near)))
+    while True:
+        at, held, moved = list(range(len(near))), list(k), 0.0
+        while True:
+            gained = 0.0
+            for v, x in enumerate(near):
+                to: dict[int, float] = {at[v]: 0.0}
+                for u, w in x.items():
+                    to[at[u]] = to.get(at[u], 0.0) + w
+                now = at[v]
+                held[now] -= k[v]
+                best, stay = now, to[now] - k[v] * held[now] / total
+                top = stay
+                for c, w in to.items():
+                    gain = w - k[v] * held[c] / total
+                    if gain > top + 1e-12 or (best != now and abs(gain - top) <= 1e-12 and c < best):
+                        best, top = c, max(top, gain)
+                held[best] += k[v]
+                at[v] = best
+                gained += 2 * (top - stay) / total
+            moved += gained
+            if gained < least_gain / 10:
+                break
+        names = {c: i for i, c in enumerate(sorted(set(at)))}
+        label = [names[at[c]] for c in label]
+        if moved < least_gain or len(names) == len(near):
+            return label
+        nearer: list[dict[int, float]] = [{} for _ in names]
+        inner, degree = [0.0] * len(names), [0.0] * len(names)
+        for v, x in enumerate(near):
+            c = names[at[v]]
+            inner[c] += own[v]
+            degree[c] += k[v]
+            for u, w in x.items():
+                d = names[at[u]]
+                if c == d:
+                    inner[c] += w
+                else:
+                    nearer[c][d] = nearer[c].get(d, 0.0) + w
+        near, own, k = nearer, inner, degree
+
+
+def _settled_in_task(both: DataFrame, vertices: DataFrame, least_gain: float) -> DataFrame:
+    """(v, label) of a graph of a bounded number of edges; label is the least vertex of the community."""
+    kind = vertices.schema["v"].dataType.simpleString()
+    rows = both.select("a", "b", "w").unionByName(vertices.select(F.col("v").alias("a"), F.col("v").alias("b"), F.col("own").alias("w")))
+
+    def settle(batches):
+        t = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if t is None:
+            return
+        names = pc.unique(t.column("a"))
+        names = names.take(pc.sort_indices(names))
+        near: list[dict[int, float]] = [{} for _ in range(len(names))]
+        own = [0.0] * len(names)
+        for a, b, w in zip(*(pc.index_in(t.column(c), names).to_pylist() for c in ("a", "b")), t.column("w").to_pylist(), strict=True):
+            if a == b:
+                own[a] = w
+            else:
+                near[a][b] = w
+        label = _settled([dict(sorted(x.items())) for x in near], own, least_gain)
+        first: dict[int, int] = {}
+        for v, c in enumerate(label):
+            first.setdefault(c, v)
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array([first[c] for c in label]))], names=["v", "label"])
+
+    return rows.repartition(1).mapInArrow(settle, f"v {kind}, label {kind}")
+
+
+#: Shares of the vertices that move at once: the largest one that raises the modularity.
+SHARES = (2, 4, 16, 64)
+
+
+def communities(edges: DataFrame, least_gain: float = 1e-3, most_levels: int = 6, most_rounds: int = 10, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(v, label) of communities found by their modularity; labels are vertices.
+
+    Levels of local moving and contraction.  In a round every vertex looks at the communities of its neighbours, one row for each
+    (vertex, community), and picks that of the greatest gain
+
+        (edges to it) - (own degree) * (degrees in it, without its own) / (all degrees)
+
+    if that beats staying; the smaller label wins ties.  Gains hold for a vertex that moves alone, so a share of the vertices moves, by a fresh hash: a half, or if the
+    modularity falls a quarter, and so on; so it never falls.  A level ends when a round gains less than least_gain, and the search when a level
+    does.  Then the communities are the vertices of the next level, with the edges between them added up.  A level whose edges fit one task ends there,
+    vertex by vertex.  What the rounds wrote is deleted.
+    """
+    rounds = Stored(edges.sparkSession)
+    one = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    both = rounds.put(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("w", F.lit(1.0)))
+    # own: the weight within a vertex of this level, both ways
+    vertices = rounds.put(both.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("v"), "k", F.lit(0.0).alias("own")))
+    total = vertices.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]
+    names = None
+
+    def quality(labels: DataFrame) -> float:
+        """Modularity of the labels (v, c, k, own) of this level."""
+        end = lambda v, c: labels.select(F.col("v").alias(v), F.col("c").alias(c))
+        inside = both.join(end("a", "ca"), "a").join(end("b", "cb"), "b").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w"))).alias("inside"))
+        held = labels.groupBy("c").agg(F.sum("own").alias("own"), F.sum("k").alias("k")).agg(F.sum("own").alias("own"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+        x = inside.join(F.broadcast(held)).first()  # two single rows
+        return ((x["inside"] or 0.0) + x["own"]) / total - x["squares"] / (total * total)
+
+    for level in range(most_levels if total else 0):
+        if both.count() <= 2 * task_edges:
+            step = rounds.put(_settled_in_task(both, vertices, least_gain))
+            names = step if names is None else rounds.put(names.join(step.toDF("label", "next"), "label").select("v", F.col("next").alias("label")))
+            break
+        labels = rounds.put(vertices.withColumn("c", F.col("v")))
+        start = reached = quality(labels)
+        for k in range(most_rounds):
+            held = labels.groupBy("c").agg(F.sum("k").alias("t"))
+            near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+            stay = labels.select(F.col("v").alias("a"), "c", F.lit(0.0).alias("w"))
+            options = near.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w")).join(held, "c")
+            j = options.join(labels.select(F.col("v").alias("a"), "k", "own", F.col("c").alias("now")), "a")
+            gain = F.round(F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / F.lit(total), 9)
+            # staying wins ties, then the smaller label
+            pick = F.min_by("c", F.struct((-gain).alias("g"), (F.col("c") != F.col("now")).alias("moves"), F.col("c").alias("c")))
+            wish = rounds.put(j.groupBy("a").agg(pick.alias("to"), F.first("now").alias("now"), F.first("k").alias("k"), F.first("own").alias("own")))
+            gained = 0.0
+            for share in SHARES:
+                turn = F.pmod(F.xxhash64("a", F.lit(1000 * level + k)), F.lit(share)) == 0
+                tried = wish.select(F.col("a").alias("v"), "k", "own", F.when(turn, F.col("to")).otherwise(F.col("now")).alias("c"))
+                q = quality(tried)
+                if q > reached:
+                    gained, reached = q - reached, q
+                    before, labels = labels, rounds.put(tried)
+                    rounds.drop(before)
+                    break
+            rounds.drop(wish)
+            if gained < least_gain:
+                break
+        step = labels.select("v", F.col("c").alias("label"))
+        names = step if names is None else rounds.put(names.join(step.toDF("label", "next"), "label").select("v", F.col("next").alias("label")))
+        if reached - start < least_gain:
+            break
+        end = lambda c, d: labels.select(F.col("v").alias(c), F.col("c").alias(d))  # noqa: B023, E731
+        summed = rounds.put(both.join(end("a", "ca"), "a").join(end("b", "cb"), "b").groupBy("ca", "cb").agg(F.sum("w").alias("w")))
+        inner = summed.where("ca = cb").select(F.col("ca").alias("c"), "w")
+        grown = labels.groupBy("c").agg(F.sum("k").alias("k"), F.sum("own").alias("own"))
+        vertices = rounds.put(grown.join(inner, "c", "left").select(F.col("c").alias("v"), "k", (F.col("own") + F.coalesce("w", F.lit(0.0))).alias("own")))
+        both = summed.where("ca <> cb").toDF("a", "b", "w")
+    out = cut(names if names is not None else vertices.select("v", F.col("v").alias("label")))
+    rounds.close()
+    return out
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,18 +64,6 @@ def inside(crops: DataFrame, ranges: DataFrame, on: str) -> DataFrame:
     return j.withColumn("status", why)
 
 
-def token_pairs(items: DataFrame, ident: str, token: str, cap: int | None) -> DataFrame:
-    """Distinct pairs (a < b) of ids that share a token held by at most cap ids; cap None: by any number.
-
-    cap is part of the operator's meaning (commoner tokens say nothing); it bounds a group to cap rows before it meets itself.
-    """
-    rows = items.select(F.col(ident).alias("id"), F.col(token).alias("token")).distinct()
-    n = F.col("n")
-    kept = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((n > 1) & (n <= cap) if cap is not None else n > 1).select("token")
-    few = rows.join(kept, "token")
-    return few.select("token", F.col("id").alias("a")).join(few.select("token", F.col("id").alias("b")), "token").where("a < b").select("a", "b").distinct()
-
-
 def window_minima(rows: DataFrame, values: str, size: int) -> DataFrame:
     """rows with the array column replaced by the distinct minima of its windows of `size` values; the last windows are shorter.
 

@@ -38,7 +38,8 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], b
     base = rows.groupBy(*by, "__b").agg(*[F.sum(s).alias(s) for s in sums])
     base = base.select(*by, "__b", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"__{s}") for s in sums])
     local = Window.partitionBy(*by, "__b").orderBy(key(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = rows.join(base, [*by, "__b"])
+    named = base.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate([*by, "__b"])], *[f"__{s}" for s in sums])
+    j = rows.join(named, [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate([*by, "__b"])])  # a null is a group too
     return j.select(*df.columns, *[(F.sum(s).over(local) + F.col(f"__{s}")).alias(f"cum_{s}") for s in sums])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import overall_and_by
 from .joins import nearest
+from .ranks import hash_rank, running
 
 
 def robust_scores(metrics: DataFrame, audit: DataFrame, random_split: str, controls: Sequence[str] = ()) -> DataFrame:
@@ -134,6 +135,40 @@ def enrichment(scored: DataFrame, ident: str, score: str, hit: str, stratum: Seq
     return s.withColumn("ratio", F.when(F.col("expected") > 0, F.round(F.col("hits") / F.col("expected"), 6)))
 
 
+def degree_bins(df: DataFrame, degree: str, bins: int, out: str = "bin") -> DataFrame:
+    """df with the bin of its degree: bins hold like numbers of rows, and rows of one degree share a bin.
+
+    A degree's bin follows from the running count of rows below it, over the distinct degrees.
+    """
+    h = df.groupBy(F.col(degree).alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    total = h.agg(F.sum("__n")).first()[0] or 1  # one number
+    bucket = F.floor(16 * F.log2(F.greatest(F.col("__d"), F.lit(0)).cast("double") + 1)).cast("int")
+    below = running(h.where(F.col("__d").isNotNull()), [], "__d", ["__n"], bucket)
+    at = below.select("__d", F.floor((F.col("cum___n") - F.col("__n")) * bins / F.lit(total)).cast("int").alias(out))
+    return df.join(at, F.col(degree) == F.col("__d"), "left").drop("__d")
+
+
+def matched_background(scored: DataFrame, ident: str, score: str, hit: str, kind: str, degree: str, k: int, bins: int = 5, per_row: int = 1, seed: int = 0) -> DataFrame:
+    """(kind, bin, top_n, top_hits, wanted, matched, shortfall, matched_hits): the k best rows against as many others, per_row for each, of
+    their kind and degree bin, matched without replacement.
+
+    Within a stratum the others come in the order of a seeded digest of their ids; where there are too few, the shortfall says so and nothing
+    from elsewhere fills in.  Ties of the score go by id.
+    """
+    rows = degree_bins(scored, degree, bins)
+    top = scored.orderBy(F.desc(score), ident).limit(k).select(ident, F.lit(True).alias("__top"))  # k is the feature
+    rows = rows.join(F.broadcast(top) if k <= 10_000 else top, ident, "left").withColumn("__top", F.coalesce("__top", F.lit(False)))
+    y = F.col(hit).cast("int")
+    best = rows.where("__top").groupBy(F.col(kind).alias("kind"), "bin").agg(F.count(F.lit(1)).alias("top_n"), F.sum(y).alias("top_hits")).withColumn("wanted", F.col("top_n") * per_row)
+    others = rows.where(~F.col("__top")).select(ident, F.col(kind).alias("kind"), "bin", y.alias("y"))
+    ranked = hash_rank(others, ["kind", "bin"], F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string"))), [ident], "__r")
+    named = lambda c: F.col(c).alias(f"__{c}")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("kind", "bin")]
+    taken = ranked.join(best.select(named("kind"), named("bin"), "wanted"), [*same, F.col("__r") <= F.col("wanted")]).groupBy("__kind", "__bin").agg(F.count(F.lit(1)).alias("__m"), F.sum("y").alias("__h"))
+    out = best.join(taken, same, "left").select("kind", "bin", "top_n", "top_hits", "wanted", F.coalesce("__m", F.lit(0)).alias("matched"), F.coalesce("__h", F.lit(0)).alias("matched_hits"))
+    return out.withColumn("shortfall", F.col("wanted") - F.col("matched"))
+
+
 def minimum_evidence(rows: DataFrame, publication: str, overlap: str, least_rows: int = 50, least_publications: int = 10) -> DataFrame:
     """One row: whether an external set is large enough and free of overlap, else it is a pilot."""
     s = rows.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(publication).alias("publications"), F.count_if(F.col(overlap)).alias("overlaps"))

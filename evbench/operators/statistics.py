@@ -202,8 +202,9 @@ def bootstrap(df: DataFrame, by: Sequence[str], unit: str, label: str, score: st
             for p in np.unique(pool).tolist():
                 own, sums = number[pool == p], totals.setdefault(p, np.zeros(reps, np.int64))
                 for lo in range(0, reps, 1024):
-                    for at in range(0, len(own), CELLS // 1024):
-                        sums[lo : lo + 1024] += poisson(own[at : at + CELLS // 1024], sizes[p], seed, p, every[lo : lo + 1024]).sum(axis=0)
+                    height = max(1, CELLS // 1024)
+                    for at in range(0, len(own), height):
+                        sums[lo : lo + 1024] += poisson(own[at : at + height], sizes[p], seed, p, every[lo : lo + 1024]).sum(axis=0)
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array([*totals], pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["pool", "totals"])
 

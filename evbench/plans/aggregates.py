@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators.quantiles import exact_quantiles as exact
 from .base import query, table
 
 
@@ -60,7 +61,17 @@ def joined_set_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("exact_quantiles", """SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.9) AS q90,
     min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag""")
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", 0.5).alias("median"), F.percentile("l_quantity", 0.9).alias("q90"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    li = table(spark, sf_dir, "lineitem")
+    q = exact(li, ["l_returnflag"], "l_quantity", [0.5, 0.9]).withColumnsRenamed({"q0": "median", "q1": "q90"})
+    return q.join(li.groupBy("l_returnflag").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi")), "l_returnflag")
+
+
+@query("whole_quantiles", """SELECT 'all' AS g, round(quantile_cont(l_extendedprice, 0.025), 7) AS q0, round(quantile_cont(l_extendedprice, 0.5), 7) AS q1,
+    round(quantile_cont(l_extendedprice, 0.975), 7) AS q2 FROM lineitem""")
+def whole_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group of all rows, of nearly as many values."""
+    q = exact(table(spark, sf_dir, "lineitem").withColumn("g", F.lit("all")), ["g"], "l_extendedprice", [0.025, 0.5, 0.975])
+    return q.select("g", *[F.round(c, 7).alias(c) for c in ("q0", "q1", "q2")])
 
 
 @query("mixed_rollup", """SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) AS first_flag,

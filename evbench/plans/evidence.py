@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import contracts as C
 from ..operators import evidence as E
 from .base import query, table
 
@@ -233,3 +234,74 @@ def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     label = T.canonical(e.event_type, {"Purchase": "enhance", "ERROR": "inhibit", "signup": "enhance"}, keep_unknown=False)
     return e.select("event_type", label.alias("label")).groupBy("event_type", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("positive", T.positive_label(F.col("label")))
+
+
+# Fields of the two evidence contracts, what they require, and their types.
+SIGNED_CONTRACT = (
+    ("source", "yes", "string"), ("source_record_id", "no", "string"), ("source_url", "no", "string"), ("modified_uniprot", "yes", "string"), ("modified_gene", "no", "string"),
+    ("partner_uniprot", "yes", "string"), ("partner_gene", "no", "string"), ("organism", "no", "string"), ("ptm_type", "yes", "string"), ("residue", "yes", "string"), ("position", "yes", "integer"),
+    ("effect_label", "yes_for_signed", "string"), ("source_effect_label", "no", "string"), ("pmid", "yes", "string"), ("publication_date", "yes_for_temporal", "date"),
+    ("detection_method", "no", "string"), ("disease", "no", "string"), ("evidence_score", "no", "float"), ("evidence_direction_basis", "yes_for_signed", "string"), ("row_key", "yes", "string"),
+    ("site_key", "yes", "string"), ("pair_key", "yes", "string"), ("inclusion_tier", "yes", "string"), ("adjudication_status", "yes", "string"),
+)
+NO_EFFECT_CONTRACT = (
+    "modified_uniprot modified_gene partner_uniprot partner_gene organism ptm_type residue position effect_label assay_type perturbation pmid publication_date source evidence_sentence "
+    "curator curation_confidence notes"
+).split()
+ALLOWED = {"ptm_type": "Phos|Ac|Ub", "effect_label": "enhance|inhibit", "inclusion_tier": "Tier1_signed_prospective|Tier2_signed_independent|Tier3_support_only|excluded"}
+PATTERNS = {"residue": "[ACDEFGHIKLMNPQRSTVWY]", "pair_key": r".+\|\|.+"}
+
+
+def contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as rows that claim to follow the contract of signed evidence; some cells don't."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    j = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    signed = F.col("l_returnflag") != "N"
+    return j.select(
+        T.joined_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("row_key"), F.col("o_orderpriority").alias("source"), F.concat(F.lit("S"), "l_suppkey").alias("modified_uniprot"), F.concat(F.lit("P"), "l_partkey").alias("partner_uniprot"),
+        F.coalesce(F.when(F.col("l_linenumber") < 6, F.get(F.array(*map(F.lit, ("Phos", "Ac", "Me", "Ub"))), F.col("l_linenumber") % 4)), F.lit(" ")).alias("ptm_type"),
+        F.translate(F.substring(F.md5(F.col("l_partkey").cast("string")), 1, 1), HEX, "ACDEFGHIKLMNOPQB").alias("residue"), F.when(F.col("l_quantity") > 5, F.col("l_quantity").cast("int").cast("string")).otherwise(F.col("l_quantity").cast("string")).alias("position"),
+        F.when(F.col("l_linestatus") == "F", F.when(F.col("l_returnflag") == "A", "enhance").otherwise("none")).alias("effect_label"), F.col("l_orderkey").alias("pmid"),
+        F.when(F.col("l_discount") > 0.02, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise(F.when(F.col("l_discount") > 0.01, F.date_format("l_shipdate", "yyyy/MM"))).alias("publication_date"),
+        F.col("l_tax").alias("evidence_score"), F.concat_ws("||", "l_suppkey", F.nullif("o_orderstatus", F.lit("P"))).alias("pair_key"), F.lit("Tier1_signed_prospective").alias("inclusion_tier"), F.lit("included").alias("adjudication_status"),
+        signed.alias("is_signed"), (F.col("l_discount") > 0.015).alias("is_temporal"),
+    )
+
+
+def signed_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f, r, t, ALLOWED.get(f, ""), PATTERNS.get(f, "")) for f, r, t in SIGNED_CONTRACT], "field string, required string, type string, allowed string, pattern string")
+
+
+_CONTRACT_ROWS = f"""c AS (SELECT concat_ws('||', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key, o_orderpriority AS source, CASE WHEN l_linenumber < 6
+    THEN ['Phos', 'Ac', 'Me', 'Ub'][l_linenumber % 4 + 1] END AS ptm_type, translate(substr(md5(l_partkey::VARCHAR), 1, 1), '{HEX}', 'ACDEFGHIKLMNOPQB') AS residue,
+    CASE WHEN l_quantity > 5 THEN l_quantity::INT::VARCHAR ELSE l_quantity::VARCHAR END AS position, CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'A' THEN 'enhance' ELSE 'none' END END AS effect_label,
+    CASE WHEN l_discount > 0.02 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN l_discount > 0.01 THEN strftime(l_shipdate, '%Y/%m') END AS publication_date,
+    concat_ws('||', l_suppkey, nullif(o_orderstatus, 'P')) AS pair_key, l_returnflag <> 'N' AS signed, l_discount > 0.015 AS temporal FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(
+    "contract_report",
+    f"""WITH {_CONTRACT_ROWS}, v AS (SELECT unnest([
+      CASE WHEN source IS NULL THEN 'source: missing' END, CASE WHEN ptm_type IS NULL THEN 'ptm_type: missing' WHEN ptm_type NOT IN ('Phos', 'Ac', 'Ub') THEN 'ptm_type: not allowed' END,
+      CASE WHEN NOT regexp_full_match(residue, '[ACDEFGHIKLMNPQRSTVWY]') THEN 'residue: pattern' END, CASE WHEN NOT regexp_full_match(position, '[+-]?[0-9]+') THEN 'position: not integer' END,
+      CASE WHEN signed AND effect_label IS NULL THEN 'effect_label: missing' WHEN effect_label NOT IN ('enhance', 'inhibit') THEN 'effect_label: not allowed' END,
+      CASE WHEN temporal AND publication_date IS NULL THEN 'publication_date: missing' WHEN NOT regexp_full_match(publication_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'publication_date: not date' END,
+      CASE WHEN signed THEN 'evidence_direction_basis: no column' END, 'site_key: no column', CASE WHEN pair_key NOT LIKE '%_||_%' THEN 'pair_key: pattern' END]) AS v FROM c)
+    SELECT split_part(v, ': ', 1) AS field, split_part(v, ': ', 2) AS violation, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL""",
+)
+def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows break each rule of the contract of signed evidence."""
+    rows = contract_rows(spark, sf_dir)
+    found = C.violations(rows, "row_key", signed_rules(spark), {"signed": F.col("is_signed"), "temporal": F.col("is_temporal")})
+    return found.groupBy("field", "violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("no_effect_contract", f"""WITH {_CONTRACT_ROWS} SELECT field, violation, (SELECT count(*) FROM c)::BIGINT AS n FROM (VALUES {', '.join(f"('{f}', 'no column')" for f in NO_EFFECT_CONTRACT
+    if f not in ('modified_uniprot', 'partner_uniprot', 'ptm_type', 'residue', 'position', 'effect_label', 'pmid', 'publication_date', 'source'))}) AS t(field, violation)
+    UNION ALL SELECT 'effect_label', 'missing', count(*) FROM c WHERE effect_label IS NULL UNION ALL SELECT 'effect_label', 'not allowed', count(*) FROM c WHERE effect_label IS NOT NULL
+    UNION ALL SELECT 'publication_date', 'missing', count(*) FROM c WHERE publication_date IS NULL UNION ALL SELECT 'ptm_type', 'missing', count(*) FROM c WHERE ptm_type IS NULL""")
+def no_effect_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract of evidence without effect, on rows that were made for the other one."""
+    rules = spark.createDataFrame([(f, "True", "no_effect" if f == "effect_label" else "") for f in NO_EFFECT_CONTRACT], "field string, required string, allowed string")
+    found = C.violations(contract_rows(spark, sf_dir).drop("is_signed", "is_temporal"), "row_key", rules)
+    return found.groupBy("field", "violation").agg(F.count(F.lit(1)).alias("n"))

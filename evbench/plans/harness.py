@@ -20,6 +20,7 @@ from ..operators import splits as S
 from ..operators.durable import cut
 from ..sources import readers as R
 from .base import ORACLE_SQL, query, table
+from .graphs import LABELS, _edges
 from .metrics import BY, CONFUSION, F1, MCC, PRED, predictions, test_rows
 from .models import NUMBERS, rows as labelled_rows, with_entries
 from .scans import _landing
@@ -195,15 +196,15 @@ def subgraph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "community_key",
-    """WITH c AS (SELECT s_suppkey AS v, (s_nationkey * 7)::VARCHAR AS l FROM supplier WHERE s_suppkey % 5 <> 0),
-    j AS (SELECT l_orderkey, l_linenumber, l_suppkey AS a, l_partkey AS b, coalesce(x.l, '-1') AS p, coalesce(y.l, '-1') AS q
-    FROM lineitem LEFT JOIN c x ON x.v = l_suppkey LEFT JOIN c y ON y.v = l_partkey)
+    f"""WITH {LABELS}, j AS (SELECT l_orderkey, l_linenumber, 'n' || l_suppkey AS a, 'n' || l_partkey AS b, coalesce(x.label, '-1') AS p, coalesce(y.label, '-1') AS q
+    FROM lineitem LEFT JOIN l3 x ON x.v = 'n' || l_suppkey LEFT JOIN l3 y ON y.v = 'n' || l_partkey)
     SELECT l_orderkey, l_linenumber, a, b, least(p, q) || '|' || greatest(p, q) AS community_pair FROM j""",
 )
 def community_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("v"), (F.col("s_nationkey") * 7).alias("label"))
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
-    return G.community_key(li, labels)
+    """The communities of both ends, by three rounds of votes; an end without neighbours but itself has none."""
+    e = _edges(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("n"), "l_suppkey").alias("a"), F.concat(F.lit("n"), "l_partkey").alias("b"))
+    return G.community_key(li, G.label_propagation(e, 3))
 
 
 @query("stable_row_ids", """SELECT o_orderkey, 'event_' || CASE WHEN length(i::VARCHAR) < 5 THEN lpad(i::VARCHAR, 5, '0')

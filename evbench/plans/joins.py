@@ -26,27 +26,27 @@ def fanout_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("o_orderkey").agg(F.count("hit").alias("lines"), F.count(F.lit(1)).alias("row_count"))
 
 
-@query("outer_merge", """WITH a AS (SELECT l_suppkey AS k, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R'
-    AND l_suppkey % 3 = 0 GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS discounted FROM lineitem WHERE l_discount > 0.05
-    AND l_suppkey % 2 = 0 GROUP BY 1) SELECT k, returned, discounted FROM a FULL JOIN b USING (k)""")
+@query("outer_merge", """WITH a AS (SELECT l_orderkey AS k, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R'
+    GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS discounted FROM lineitem WHERE l_discount > 0.05
+    GROUP BY 1) SELECT k, returned, discounted FROM a FULL JOIN b USING (k)""")
 def outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "k")
-    a = li.where("l_returnflag = 'R' and k % 3 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("returned"))
-    b = li.where("l_discount > 0.05 and k % 2 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("discounted"))
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k")
+    a = li.where("l_returnflag = 'R'").groupBy("k").agg(F.count(F.lit(1)).alias("returned"))
+    b = li.where("l_discount > 0.05").groupBy("k").agg(F.count(F.lit(1)).alias("discounted"))
     return a.join(b, "k", "full")
 
 
 @query(
     "semi_counts",
-    """WITH ext AS (SELECT l_suppkey, l_partkey, l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0), ben AS (SELECT l_suppkey,
-    l_partkey, l_orderkey FROM lineitem WHERE l_orderkey % 10 <> 0 AND l_suppkey % 2 = 0)
+    """WITH ext AS (SELECT l_suppkey, l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A'), ben AS (SELECT l_suppkey,
+    l_partkey, l_orderkey FROM lineitem WHERE l_returnflag <> 'A')
     SELECT count(*) AS row_count, count(*) FILTER (WHERE l_suppkey IN (SELECT l_suppkey FROM ben)) AS l_suppkey_shared,
     count(*) FILTER (WHERE l_partkey IN (SELECT l_partkey FROM ben)) AS l_partkey_shared,
     count(*) FILTER (WHERE l_orderkey IN (SELECT l_orderkey FROM ben)) AS l_orderkey_shared FROM ext""",
 )
 def semi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
-    return J.membership(li.where("l_orderkey % 10 = 0"), li.where("l_orderkey % 10 <> 0 and l_suppkey % 2 = 0"), ["l_suppkey", "l_partkey", "l_orderkey"])
+    li = table(spark, sf_dir, "lineitem")
+    return J.membership(li.where("l_returnflag = 'A'"), li.where("l_returnflag <> 'A'"), ["l_suppkey", "l_partkey", "l_orderkey"])
 
 
 @query("anti_missing", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -130,8 +130,8 @@ def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "either_direction",
     """WITH c AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS y, l_linenumber AS v FROM lineitem),
-    q AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey % 2 = 0 UNION SELECT DISTINCT l_suppkey,
-    l_partkey FROM lineitem WHERE l_orderkey % 3 = 0),
+    q AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_returnflag = 'A' UNION SELECT DISTINCT l_suppkey,
+    l_partkey FROM lineitem WHERE l_returnflag <> 'A'),
     w AS (SELECT x AS a, y AS b, v, 0 AS p FROM c UNION ALL SELECT y, x, v, 1 FROM c), m AS (SELECT a, b, min(p) AS p FROM w
     GROUP BY ALL)
     SELECT a, b, v, p = 1 AS reversed FROM q JOIN m USING (a, b) JOIN w USING (a, b, p)""",
@@ -139,7 +139,7 @@ def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def either_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     c = li.select(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y"), F.col("l_linenumber").alias("v")).distinct()
-    q = li.where("l_orderkey % 2 = 0").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).union(li.where("l_orderkey % 3 = 0").select("l_suppkey", "l_partkey")).distinct()
+    q = li.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).union(li.where("l_returnflag <> 'A'").select("l_suppkey", "l_partkey")).distinct()
     return J.either_direction(q, c, "v")
 
 

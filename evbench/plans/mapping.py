@@ -108,16 +108,16 @@ def pair_list_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lineage_audit",
-    """WITH b AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber AS pos, l_returnflag AS res FROM lineitem WHERE l_partkey % 2 = 0),
-    o AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber - 1 AS pos, l_returnflag AS res FROM lineitem WHERE l_partkey % 3 = 0)
+    """WITH b AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber AS pos, l_returnflag AS res FROM lineitem WHERE l_linestatus = 'F'),
+    o AS (SELECT DISTINCT l_suppkey AS acc, l_linenumber - 1 AS pos, l_returnflag AS res FROM lineitem WHERE l_linestatus <> 'F')
     SELECT count(*) AS row_count, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.acc = o.acc AND b.pos = o.pos
     AND b.res = o.res)) AS same_position, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.acc = o.acc AND b.pos = o.pos + 1
     AND b.res = o.res)) AS next_position FROM o""",
 )
 def lineage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    b = li.where("l_partkey % 2 = 0").select(li.l_suppkey.alias("acc"), li.l_linenumber.alias("pos"), li.l_returnflag.alias("res")).distinct()
-    o = li.where("l_partkey % 3 = 0").select(li.l_suppkey.alias("acc"), (li.l_linenumber - 1).alias("pos"), li.l_returnflag.alias("res")).distinct()
+    b = li.where("l_linestatus = 'F'").select(li.l_suppkey.alias("acc"), li.l_linenumber.alias("pos"), li.l_returnflag.alias("res")).distinct()
+    o = li.where("l_linestatus <> 'F'").select(li.l_suppkey.alias("acc"), (li.l_linenumber - 1).alias("pos"), li.l_returnflag.alias("res")).distinct()
     same = b.withColumn("same", F.lit(1))
     shifted = b.select("acc", (F.col("pos") - 1).alias("pos"), "res", F.lit(1).alias("next"))
     j = o.join(same, ["acc", "pos", "res"], "left").join(shifted, ["acc", "pos", "res"], "left")

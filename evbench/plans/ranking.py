@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.evidence import first_of_each
+from ..operators.evidence import keyword_rows
 from .base import query, table
 
 
@@ -52,11 +53,23 @@ def dense_category_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(ids, "p_brand").select("p_partkey", "brand_id")
 
 
-@query("keyword_selection", """WITH h AS (SELECT p_partkey, p_name, p_retailprice, regexp_matches(p_name, '(?i)ring|GEAR')
-    OR regexp_matches(p_type, '(?i)promo') AS hit FROM part) SELECT p_partkey, p_name FROM (SELECT *, (SELECT count(*) FROM h
-    WHERE hit) AS n FROM h) WHERE CASE WHEN n >= 10 THEN hit ELSE true END ORDER BY p_retailprice DESC, p_partkey LIMIT 80""")
-def keyword_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _selection_sql(words: str) -> str:
+    return f"""WITH h AS (SELECT p_partkey, p_name, p_retailprice, regexp_matches(p_name, '(?i){words}') OR regexp_matches(p_type, '(?i){words}') AS hit FROM part),
+    r AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM h WHERE hit OR (SELECT count(*) FROM h WHERE hit) < 10)
+    SELECT p_partkey, p_name FROM r WHERE r <= CASE WHEN (SELECT count(*) FROM h WHERE hit) < 10 THEN 60 ELSE 80 END"""
+
+
+def _selection(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    hits = p.where(p.p_name.rlike("(?i)ring|GEAR") | p.p_type.rlike("(?i)promo"))
-    few = len(hits.select("p_partkey").take(10)) < 10
-    return (p if few else hits).orderBy(F.desc("p_retailprice"), "p_partkey").limit(60 if few else 80).select("p_partkey", "p_name")
+    return keyword_rows(p, ["p_name", "p_type"], words, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "p_name")
+
+
+@query("keyword_selection", _selection_sql("ring|GEAR|promo"))
+def keyword_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir, "ring|GEAR|promo")
+
+
+@query("keyword_fallback", _selection_sql("no such word"))
+def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that too few rows have: the best rows of all."""
+    return _selection(spark, sf_dir, "no such word")

@@ -130,6 +130,26 @@ def topk_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.enrichment(o.select("o_orderkey", "o_totalprice", o.o_orderpriority.alias("st"), (o.o_orderstatus == "F").alias("hit")), "o_orderkey", "o_totalprice", "hit", ["st"], 200)
 
 
+@query(
+    "matched_background",
+    """WITH c AS (SELECT o_custkey, count(*) AS degree FROM orders GROUP BY 1), h AS (SELECT degree, sum(degree)::BIGINT AS n FROM c GROUP BY 1),
+    b AS (SELECT degree, floor((sum(n) OVER (ORDER BY degree) - n) * 5 / (SELECT count(*) FROM orders))::INT AS bin FROM h),
+    o AS (SELECT o_orderkey AS id, o_orderpriority AS kind, bin, o_orderstatus = 'F' AS hit, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= 300 AS top
+    FROM orders JOIN c USING (o_custkey) JOIN b USING (degree)),
+    t AS (SELECT kind, bin, count(*) AS top_n, sum(hit::INT)::BIGINT AS top_hits, 4 * count(*) AS wanted FROM o WHERE top GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kind, bin ORDER BY md5('11|' || id), id) AS r FROM o WHERE NOT top),
+    m AS (SELECT t.kind, t.bin, count(*) AS matched, sum(hit::INT)::BIGINT AS matched_hits FROM r JOIN t ON t.kind = r.kind AND t.bin = r.bin AND r <= wanted GROUP BY ALL)
+    SELECT kind, bin, top_n, top_hits, wanted, coalesce(matched, 0) AS matched, coalesce(matched_hits, 0) AS matched_hits, wanted - coalesce(matched, 0) AS shortfall
+    FROM t LEFT JOIN m USING (kind, bin)""",
+)
+def matched_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 300 largest orders against four others each of their priority and of customers with as many orders."""
+    o = table(spark, sf_dir, "orders")
+    d = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("degree"))
+    rows = o.join(d, "o_custkey").select("o_orderkey", "o_totalprice", "o_orderpriority", "degree", (F.col("o_orderstatus") == "F").alias("hit"))
+    return R.matched_background(rows, "o_orderkey", "o_totalprice", "hit", "o_orderpriority", "degree", 300, per_row=4, seed=11)
+
+
 @query("min_evidence_gate", """SELECT count(*) AS row_count, count(DISTINCT l_orderkey) AS publications,
     count(*) FILTER (WHERE l_suppkey % 97 = 0) AS overlaps, CASE WHEN count(*) >= 50 AND count(DISTINCT l_orderkey) >= 10
     AND count(*) FILTER (WHERE l_suppkey % 97 = 0) = 0 THEN 'validation' ELSE 'pilot' END AS status FROM lineitem""")

@@ -115,6 +115,43 @@ def entity_leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.entity_leakage(_by_supplier(spark, sf_dir), F.array("s", "p"))
 
 
+@query(
+    "entity_functions_audit",
+    """WITH r AS (SELECT CASE WHEN l_linenumber > 1 THEN ' s' || l_suppkey ELSE '' END AS a, CASE WHEN l_quantity > 3 THEN 'p' || l_partkey END AS b, CASE WHEN l_returnflag = 'N' THEN 'NA'
+    ELSE l_linenumber || ' and ' || l_returnflag END AS site, 'o' || l_orderkey || '; ' || l_returnflag AS publication, CASE l_linestatus WHEN 'F' THEN 'train' ELSE 'test' END AS part
+    FROM lineitem), k AS (SELECT *, upper(trim(a)) AS x, upper(trim(coalesce(b, ''))) AS y FROM r), e AS (
+    SELECT 'pair' AS kind, least(x, y) || '||' || greatest(x, y) AS e, part FROM k WHERE x <> '' OR y <> ''
+    UNION ALL SELECT 'modified', x, part FROM k WHERE x <> ''
+    UNION ALL SELECT 'site', CASE WHEN x <> '' THEN x || ':' ELSE '' END || unnest(list_distinct(string_split(site, ' and '))), part FROM k WHERE site <> 'NA'
+    UNION ALL SELECT 'publication', upper(trim(unnest(string_split(publication, ';')))), part FROM k)
+    SELECT kind, count(*) AS n_entities, count(*) FILTER (WHERE parts > 1) AS leaking FROM (SELECT kind, e, count(DISTINCT part) AS parts FROM e GROUP BY ALL) GROUP BY kind""",
+)
+def entity_functions_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs, modified entities, sites and publications of messy cells, between open and finished lines."""
+    li = table(spark, sf_dir, "lineitem")
+    r = li.select(
+        F.when(li.l_linenumber > 1, F.concat(F.lit(" s"), li.l_suppkey)).otherwise("").alias("a"), F.when(li.l_quantity > 3, F.concat(F.lit("p"), li.l_partkey)).alias("b"),
+        F.when(li.l_returnflag == "N", "NA").otherwise(F.concat(li.l_linenumber, F.lit(" and "), li.l_returnflag)).alias("site"), F.concat(F.lit("o"), li.l_orderkey, F.lit("; "), li.l_returnflag).alias("publication"),
+        F.when(li.l_linestatus == "F", "train").otherwise("test").alias("part"),
+    )
+    a, b, site = F.col("a"), F.col("b"), F.col("site")
+    kinds = {"pair": T.pair_entities(a, b), "modified": T.value_entities(a), "site": T.site_entities(site, a), "publication": T.value_entities(F.col("publication"))}
+    long = r.select("part", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("e")) for k, c in kinds.items()])).alias("x")).select("part", "x.kind", F.explode("x.e").alias("e"))
+    per = long.groupBy("kind", "e").agg(F.count_distinct("part").alias("parts"))
+    return per.groupBy("kind").agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(F.col("parts") > 1).alias("leaking"))
+
+
+@query("split_column", """SELECT event_type AS part, count(*) AS n, 'Sub_Set' AS found FROM (SELECT CASE WHEN event_type = 'view' THEN 'valid' WHEN event_type = 'click' THEN 'train'
+    WHEN event_type = 'error' THEN 'test' END AS event_type FROM events) GROUP BY 1""")
+def split_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column that holds the split is found by its name and its values: the one named `split` has none that names a part."""
+    e = table(spark, sf_dir, "events")
+    named = F.when(e.event_type == "view", " Dev").when(e.event_type == "click", "TRAINING").when(e.event_type == "error", "holdout").otherwise(e.event_type)
+    rows = e.select(e.user_id.alias("split"), named.alias("Sub_Set"))
+    found = T.find_split_column(rows)
+    return rows.groupBy(T.split_name(F.col(found)).alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("found", F.lit(found))
+
+
 @query(
     "leakage_examples",
     """SELECT entity, string_agg(DISTINCT part, ',' ORDER BY part) AS parts, count(*) AS n FROM (SELECT 'P' || l_partkey AS entity,
@@ -149,8 +186,8 @@ def shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "external_overlap",
     """WITH e AS (SELECT l_suppkey AS supplier, l_partkey AS part_key, CASE
-    WHEN l_orderkey % 4 <> 0 THEN l_orderkey END AS publication, l_shipdate, l_linestatus = 'F' AS label FROM lineitem),
-    x AS (SELECT * FROM e WHERE supplier % 10 = 0), b AS (SELECT * FROM e WHERE supplier % 10 <> 0 AND part_key % 3 = 0)
+    WHEN l_discount > 0.02 THEN l_orderkey END AS publication, l_shipdate, l_returnflag, l_linestatus = 'F' AS label FROM lineitem),
+    x AS (SELECT * FROM e WHERE l_returnflag = 'A'), b AS (SELECT * FROM e WHERE l_returnflag <> 'A')
     SELECT count(*) AS row_count, count(*) FILTER (WHERE supplier IN (SELECT supplier FROM b)) AS supplier_overlap,
     count(*) FILTER (WHERE part_key IN (SELECT part_key FROM b)) AS part_key_overlap,
     count(*) FILTER (WHERE publication IN (SELECT publication FROM b WHERE publication IS NOT NULL)) AS publication_overlap,
@@ -159,8 +196,8 @@ def shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def external_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    e = li.select(li.l_suppkey.alias("supplier"), li.l_partkey.alias("part_key"), F.when(li.l_orderkey % 4 != 0, li.l_orderkey).alias("publication"), "l_shipdate", (li.l_linestatus == "F").alias("label"))
-    return S.external_overlap(e.where("supplier % 10 = 0"), e.where("supplier % 10 <> 0 and part_key % 3 = 0"), ["supplier", "part_key", "publication"], F.col("l_shipdate") > F.lit("2000-01-01").cast("timestamp"), "label")
+    e = li.select(li.l_suppkey.alias("supplier"), li.l_partkey.alias("part_key"), F.when(li.l_discount > 0.02, li.l_orderkey).alias("publication"), "l_shipdate", "l_returnflag", (li.l_linestatus == "F").alias("label"))
+    return S.external_overlap(e.where("l_returnflag = 'A'"), e.where("l_returnflag <> 'A'"), ["supplier", "part_key", "publication"], F.col("l_shipdate") > F.lit("2000-01-01").cast("timestamp"), "label")
 
 
 @query("key_manifest", """SELECT DISTINCT concat_ws('||', l_suppkey, l_linenumber) AS site_key, least(l_suppkey::VARCHAR,

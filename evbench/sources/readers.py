@@ -16,10 +16,14 @@ RESIDUES = dict(
 )
 
 
-def delimited(spark: SparkSession, path: str, sep: str = ",", required: Sequence[str] = ()) -> DataFrame:
-    """All columns as strings; a byte-order mark before the first header is dropped; missing columns are an error that names them."""
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True, escape='"')
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+def delimited(spark: SparkSession, path: str, sep: str = ",", required: Sequence[str] = (), quoted_breaks: bool = False) -> DataFrame:
+    """All columns as strings; a byte-order mark before the first header is dropped; missing columns are an error that names them.
+
+    Files are read in splits.  quoted_breaks: cells may hold line breaks within quotes, so that only a reader from the file's start knows where a row
+    ends, and a file is one task.
+    """
+    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=quoted_breaks, escape='"')
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     return require_columns(df, required)
 
 
@@ -51,8 +55,14 @@ def any_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, strip_isoform: bool = False) -> DataFrame:
-    """(accession, sequence): the accession is the second `|` field or the first word; parts of one accession are joined in file order."""
-    records = spark.read.text(path, lineSep=">").where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    """(accession, sequence): the accession is the second `|` field or the first word; parts of one accession are joined in the order of the files'
+    paths and of their place in the file.
+
+    A file is read in splits, of which Spark packs several into a task, larger ones first; so a part's place is its split's start and its number within the task, which
+    rises within a split.
+    """
+    of = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("within"))
+    records = spark.read.text(path, lineSep=">").select("value", of.alias("at")).where("trim(value) <> ''")
     head = F.trim(F.split("value", "\n")[0])
     acc = F.when(F.contains(head, F.lit("|")), F.split(head, r"\|")[1]).otherwise(F.split(head, r"\s+")[0])
     if strip_isoform:
