@@ -35,8 +35,8 @@ ROWS = 5
 BAND_MISS, MISS = 1e-5, 1e-6
 #: Signature places that a verification step looks at.
 BATCH = 20
-#: Members of a bucket that the exhaustive round compares as one block.
-BLOCK = 2048
+#: Members of a bucket, and bytes of their sets and signatures, that the exhaustive round compares as one block, about.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 #: Tasks over which the members that are compared with one leader are dealt.
 SALTS = 8
 
@@ -256,12 +256,12 @@ def _block_links(rows: list[tuple], percent: int, steps: list) -> list[tuple[int
 
 
 def _exhaustive(open_: DataFrame, sets: DataFrame, percent: int, steps: list) -> DataFrame:
-    """Links between different components of buckets; open_: (band, h, id, label, top, c, o), see _open().
+    """Links between different components of buckets; open_: (band, h, id, label, top, c, o, cb, ob), see _open().
 
     The o members outside a bucket's largest component are dealt to blocks 0, 1, ..., its c members to blocks -1, -2, ...  Units
     are pairs of the former, and pairs of one of each, so that a task holds two blocks at most.  Only links leave a task.
     """
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    blocks = lambda c: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(f"{c}b") / BLOCK_BYTES)).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     outside = F.col("label") != F.col("top")
     own = open_.withColumn("own", F.when(outside, deal(blocks("o"))).otherwise(-1 - deal(blocks("c"))))
@@ -291,14 +291,15 @@ def _exhaustive(open_: DataFrame, sets: DataFrame, percent: int, steps: list) ->
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: (band, h, id, label, top, leader, c, o).
+    """Members of buckets that hold several components: (band, h, id, label, top, leader, c, cb, o, ob).
 
-    top is the label of the bucket's largest component, which has c members, of which leader is one; o members are outside it.
+    top is the label of the bucket's largest component, which has c members of cb bytes, of which leader is one; o members of ob bytes are outside it.
     """
-    now = shared.select("band", "h", "id").join(labels, "id")
-    each = now.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("id", F.xxhash64("id", "band")).alias("leader"))
-    top = each.groupBy("band", "h").agg(F.max(F.struct("c", "label", "leader")).alias("t"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return now.join(top, ["band", "h"]).select("band", "h", "id", "label", F.col("t.label").alias("top"), F.col("t.leader").alias("leader"), F.col("t.c").alias("c"), (F.col("m") - F.col("t.c")).alias("o"))
+    now = shared.select("band", "h", "id", "bytes").join(labels, "id")
+    each = now.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.sum("bytes").alias("cb"))
+    top = each.groupBy("band", "h").agg(F.max(F.struct("c", "label", "leader", "cb")).alias("t"), F.sum("c").alias("m"), F.sum("cb").alias("mb"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    outside = ((F.col("m") - F.col("t.c")).alias("o"), (F.col("mb") - F.col("t.cb")).alias("ob"))
+    return now.join(top, ["band", "h"]).select("band", "h", "id", "label", F.col("t.label").alias("top"), F.col("t.leader").alias("leader"), F.col("t.c").alias("c"), F.col("t.cb").alias("cb"), *outside)
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -317,9 +318,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     raw = cut(_scan(rows, size, bands))
     members = raw.where("n > 0")
     classes = cut(members.groupBy("c0", "c1", "n").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("x")).select("c0", "c1", "id", "n", "x.sig", "x.bands"))
-    banded = classes.select("id", F.posexplode("bands").alias("band", "h"))
+    # a member's set, bands and signature, as a block holds them
+    banded = classes.select("id", (8 * F.col("n") + 40 * F.size("bands") + F.octet_length("sig")).cast("long").alias("bytes"), F.posexplode("bands").alias("band", "h"))
     full = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least")).where("m > 1")
-    shared = cut(banded.join(full, ["band", "h"]).select("band", "h", "id", "least"))
+    shared = cut(banded.join(full, ["band", "h"]).select("band", "h", "id", "least", "bytes"))
     wanted = classes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "n", "sig", "bands")
 
     def grams(batches):
