@@ -16,6 +16,7 @@ at several places count once; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -136,7 +137,11 @@ BASE = (("under the mit license", "mit", 2), ("apache license version 2", "apach
 #: Words of a template that a file looks up besides those of its key phrases.
 RARE = 8
 #: Words that say nothing about a licence; they are not indexed but do count in the comparison.
-FUNCTION_WORDS = frozenset("a all and any are by copy extent for form has in into is met of on or other possible released subject terms that the this to under use with without work".split())
+FUNCTION_WORDS = frozenset(
+    "a above all an and any anyone appear are as at be being but by can changed changing copy do either everyone event except following for form from free has held if in including indirect into is it its long "
+    "made make making may means met must name names neither no non nor not of on one open or original other otherwise our out over party people possible real released required shall so subject such terms than "
+    "that the their them these this those to two under use used using version was we were what whether which who will with without work would you your 0 1 2 3 4 http www".split()
+)
 
 
 def words_of(text: Column) -> Column:
@@ -208,21 +213,22 @@ def by_rarity(index: list[tuple[str, int, int]]) -> dict[int, list[str]]:
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, min_share: float = 0.6, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)"""
     index, key = index_of(templates), key_words(templates)
-    literal = lambda ws: F.array(*map(F.lit, ws))
     span = max(len(t.text.split()) for t in templates)
     # a vote is template << 32 | start + span; a word's postings are its votes at place 0, each with template << 32 | word
     postings: dict[str, list[tuple[int, int]]] = {}
     number = {word: k for k, word in enumerate(sorted({word for word, _, _ in index}))}
     for word, t, i in index:
         postings.setdefault(word, []).append(((t << 32) + span - i, (t << 32) + number[word]))
-    entry = lambda p: F.struct(F.lit(p[0]).cast("long").alias("vote"), F.lit(p[1]).cast("long").alias("own"))
-    lookup = F.create_map(*[c for word, ps in postings.items() for c in (F.lit(word), F.array(*map(entry, ps)))])
-    rarest = F.array(*[F.array(*[F.struct(F.lit(word).alias("word"), F.lit((t << 32) + number[word]).cast("long").alias("own"), F.lit(word in key[t]).alias("key")) for word in words]) for t, words in sorted(by_rarity(index).items())])
-    forms = F.array(*[F.struct(F.lit(x.label).alias("label"), literal(x.text.split()).alias("words"), literal(key_places(x)).alias("keys")) for x in templates])
+    # each of these is one literal, which the optimizer parses once
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    lookup = constant({word: [{"vote": vote, "own": own} for vote, own in ps] for word, ps in postings.items()}, "map<string,array<struct<vote:bigint,own:bigint>>>")
+    rarest = constant([[{"word": word, "own": (t << 32) + number[word], "key": word in key[t]} for word in words] for t, words in sorted(by_rarity(index).items())], "array<array<struct<word:string,own:bigint,key:boolean>>>")
+    forms = constant([{"label": x.label, "words": x.text.split(), "keys": key_places(x)} for x in templates], "array<struct<label:string,words:array<string>,keys:array<int>>>")
+    indexed = constant(sorted(postings), "array<string>")
 
     w = F.col("w")
     worded = texts(docs, id_col, text_col).select("doc_id", words_of(F.col("text")).alias("w"))
-    present = worded.select("doc_id", "w", F.array_intersect(literal(sorted(postings)), w).alias("present"))
+    present = worded.select("doc_id", "w", F.array_intersect(indexed, w).alias("present"))
     # of each template the words of highest IDF that the file holds, and those of its key phrases
     some = lambda words: F.filter(F.filter(words, lambda x: F.array_contains("present", x["word"])), lambda x, i: (i < rare) | x["key"])
     asked = F.when(F.size("present") > 0, F.flatten(F.transform(rarest, lambda words: F.transform(some(words), lambda x: x["own"])))).otherwise(F.array().cast("array<long>"))
