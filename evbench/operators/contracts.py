@@ -49,7 +49,7 @@ def violations(df: DataFrame, ident: str, rules: DataFrame, conditions: Mapping[
         typed = F.lit(None).cast("string")
         for name, pattern in TYPES.items():
             typed = F.when((r["type"] == name) & ~cell.rlike(f"^({pattern})$"), F.lit(f"not {name}")).otherwise(typed)
-        listed = (r["allowed"] != "") & ~F.array_contains(F.transform(F.split(r["allowed"], r"\|"), F.trim), cell)
+        listed = (r["allowed"] != "") & ~F.array_contains(F.transform(F.split(r["allowed"], r"\|"), lambda x: F.trim(x)), cell)
         fits = F.call_function("rlike", cell, F.concat(F.lit("^(?:"), r["pattern"], F.lit(")$")))
         why = F.when(asked & ~F.array_contains(known, r["field"]), "no column").when(asked & cell.isNull(), "missing").when(cell.isNull(), F.lit(None))
         return why.when(typed.isNotNull(), typed).when(listed, "not allowed").when((r["pattern"] != "") & ~fits, "pattern")

@@ -99,3 +99,30 @@ def broken_inputs(manifest: DataFrame, sequence: str, ids: str, least: int = 0,
     """Rows of a strict manifest whose id list isn't as long as the sequence or holds an id out of range; it must be empty."""
     bad = F.exists(ids, lambda i: i.isNull() | (i < least) | (i > most))
     return manifest.where(F.col(ids).isNull() | (F.size(ids) != F.length(sequence)) | bad)
+
+
+def event_contact_signatures(mapping: DataFrame, contacts: DataFrame) -> DataFrame:
+    """(event_id, complex_id, modified_chain, signature_tokens, signature_size, mapped_contact_count) of each mapping of an event to a chain.
+
+    mapping: event_id, complex_id, modified_chain, modified, partner, partner_chains (comma-separated; blank: any), position, residue, distance.
+    contacts: complex_id, chain_a, entity_a, site_a, chain_b, entity_b, site_b, contact_type; a contact counts from either end, once.
+    Its tokens are the sites of both ends, the distance of its own site from the event's with its type, and the residue with its type.  Without
+    a contact the token is that of the nearest interface site, where its distance is known, else there is none.
+    """
+    end = lambda x, y: F.struct(F.col(f"chain_{x}").alias("chain"), F.col(f"entity_{x}").alias("own"), F.col(f"site_{x}").alias("at"), F.col(f"chain_{y}").alias("other_chain"), F.col(f"entity_{y}").alias("other"), F.col(f"site_{y}").alias("other_at"))
+    symmetric = (F.col("chain_a") == F.col("chain_b")) & (F.col("entity_a") == F.col("entity_b"))
+    ends = contacts.select(F.col("complex_id").alias("__complex"), "contact_type", F.explode(F.when(symmetric, F.array(end("a", "b"))).otherwise(F.array(end("a", "b"), end("b", "a")))).alias("e")).select("__complex", "contact_type", "e.*")
+    chains = F.filter(F.transform(F.split(F.coalesce("partner_chains", F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
+    rows = mapping.withColumn("__chains", chains)
+    keys = ["event_id", "complex_id", "modified_chain", "modified", "partner", "position", "residue", "distance", "__chains"]
+    same = [F.col("complex_id") == F.col("__complex"), F.col("modified_chain") == F.col("chain"), F.col("modified") == F.col("own"), F.col("partner") == F.col("other")]
+    j = rows.join(ends, [*same, (F.size("__chains") == 0) | F.array_contains("__chains", F.col("other_chain"))], "left")
+    away = F.col("at") - F.col("position")
+    tokens = F.array(
+        F.concat_ws(":", F.lit("M"), "modified", "at"), F.concat_ws(":", F.lit("P"), "partner", "other_at"),
+        F.concat(F.lit("REL:"), F.when(away >= 0, "+").otherwise(""), away.cast("string"), F.lit(":"), "contact_type"), F.concat_ws(":", F.lit("AA"), "residue", "contact_type"),
+    )
+    g = j.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("chain").isNotNull(), tokens)))).alias("t"), F.count("chain").alias("mapped_contact_count"))
+    near = F.when(F.col("distance").isNotNull(), F.array(F.concat_ws(":", F.lit("IFACE_NEAR"), "modified", F.col("distance").cast("int")))).otherwise(F.array().cast("array<string>"))
+    t = F.when(F.size("t") > 0, F.col("t")).otherwise(near)
+    return g.select("event_id", "complex_id", "modified_chain", F.array_join(F.array_sort(t), "|").alias("signature_tokens"), F.size(t).cast("long").alias("signature_size"), "mapped_contact_count")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as Q
 from ..operators import joins as J
+from ..operators.features import event_contact_signatures
 from .base import query, table
 
 
@@ -92,6 +93,31 @@ def contact_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(t, "id", "left").select("id", F.coalesce("s", F.when(F.col("id") % 2 == 0, "IFACE_NEAR").otherwise("")).alias("signature"))
 
 
+@query(
+    "chain_signatures",
+    """WITH k AS (SELECT *, 'S' || l_suppkey AS s, 'P' || l_partkey AS p, l_quantity::INT AS q FROM lineitem),
+    e AS (SELECT l_orderkey AS cx, 'A' AS chain, s AS own, l_linenumber AS pos, l_returnflag AS oc, p AS other, q AS oat, l_linestatus AS t FROM k
+    UNION ALL SELECT l_orderkey, l_returnflag, p, q, 'A', s, l_linenumber, l_linestatus FROM k),
+    m AS (SELECT l_orderkey || '-' || l_linenumber AS event_id, l_orderkey AS cx, CASE WHEN l_linestatus = 'F' THEN 'A' ELSE l_returnflag END AS chain, CASE WHEN l_linestatus = 'F' THEN s ELSE p END AS own,
+    CASE WHEN l_linestatus = 'F' THEN p ELSE s END AS other, l_discount > 0.05 AS few, l_returnflag AS residue, CASE WHEN l_tax > 0.04 THEN l_linenumber END AS distance FROM k),
+    j AS (SELECT m.*, e.pos, e.oat, e.t FROM m LEFT JOIN e ON e.cx = m.cx AND e.chain = m.chain AND e.own = m.own AND e.other = m.other AND (NOT few OR e.oc IN ('A', 'R'))),
+    x AS (SELECT event_id, cx, chain, own, other, few, residue, distance, count(pos) AS n, list_distinct(flatten(list([ 'M:' || own || ':' || pos, 'P:' || other || ':' || oat, 'REL:' || printf('%+d', pos - 4) || ':' || t,
+    'AA:' || residue || ':' || t]) FILTER (WHERE pos IS NOT NULL))) AS t FROM j GROUP BY ALL),
+    y AS (SELECT *, CASE WHEN n > 0 THEN list_sort(t) WHEN distance IS NOT NULL THEN ['IFACE_NEAR:' || own || ':' || distance] ELSE [] END AS tokens FROM x)
+    SELECT event_id, cx AS complex_id, chain AS modified_chain, array_to_string(tokens, '|') AS signature_tokens, len(tokens)::BIGINT AS signature_size, n AS mapped_contact_count FROM y""",
+)
+def chain_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of each line as an event on a chain of its order, whose lines are the contacts."""
+    li = table(spark, sf_dir, "lineitem")
+    s, p, f = F.concat(F.lit("S"), li.l_suppkey), F.concat(F.lit("P"), li.l_partkey), li.l_linestatus == "F"
+    contacts = li.select(li.l_orderkey.alias("complex_id"), F.lit("A").alias("chain_a"), s.alias("entity_a"), li.l_linenumber.alias("site_a"), li.l_returnflag.alias("chain_b"), p.alias("entity_b"), li.l_quantity.cast("int").alias("site_b"), li.l_linestatus.alias("contact_type"))
+    mapping = li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), li.l_orderkey.alias("complex_id"), F.when(f, "A").otherwise(li.l_returnflag).alias("modified_chain"), F.when(f, s).otherwise(p).alias("modified"),
+        F.when(f, p).otherwise(s).alias("partner"), F.when(li.l_discount > 0.05, " A, R,").alias("partner_chains"), F.lit(4).alias("position"), li.l_returnflag.alias("residue"), F.when(li.l_tax > 0.04, li.l_linenumber).alias("distance"),
+    )
+    return event_contact_signatures(mapping, contacts)
+
+
 @query(
     "pair_list_remap",
     """WITH p AS (SELECT l_orderkey AS id, l_linenumber AS i, (l_partkey % 40)::INT AS j FROM lineitem), k AS (SELECT DISTINCT id,
