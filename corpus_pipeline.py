@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evbench.llm import linededup, neardup, packing, quality, suffixdedup
-from evbench.llm.common import shared_path, table
+from evbench.llm.common import discard, shared_path, table
 
 #: Words of a shared passage, whatever their bytes: passages of over 50 words are to go.
 PASSAGE = 51
@@ -63,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces; what a stage wrote is deleted as soon as the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = shared_path(spark, f"stage-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
