@@ -7,6 +7,7 @@ first slots that it takes); the offsets follow from the blocks' sizes, which the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.sequences import hash32, kmer_list, letter_share
-from ..functions.site import chemistry
+from ..functions.site import CHEMISTRY
 from .durable import stored_path
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
@@ -28,10 +29,11 @@ ENTRIES = "array<struct<i:int,v:double>>"
 
 
 class Block(NamedTuple):
-    """A block of a row: its entries and its number of slots."""
+    """A block of a row: its entries and its number of slots; a block of few slots also as single (slot, value), 0 where it has none."""
 
     entries: Column
     size: int
+    terms: tuple[tuple[Column, Column], ...] = ()
 
 
 class Part(NamedTuple):
@@ -47,8 +49,9 @@ def known_letters(seq: Column) -> Column:
 
 def dense(values: Sequence[Column]) -> Block:
     """The entries of a few values in order; nulls are zeros."""
-    both = F.array(*[F.struct(F.lit(k).alias("i"), F.coalesce(v.cast("double"), F.lit(0.0)).alias("v")) for k, v in enumerate(values)])
-    return Block(F.filter(both, lambda x: x["v"] != 0), len(values))
+    terms = tuple((F.lit(k), F.coalesce(v.cast("double"), F.lit(0.0))) for k, v in enumerate(values))
+    both = F.array(*[F.struct(i.alias("i"), v.alias("v")) for i, v in terms])
+    return Block(F.filter(both, lambda x: x["v"] != 0), len(values), terms)
 
 
 def composition(seq: Column) -> Block:
@@ -63,18 +66,23 @@ def descriptors(seq: Column, groups: Sequence[str] = DESCRIPTORS) -> Block:
 
 
 def kind_chemistry(kind: Column) -> Block:
-    c = chemistry(kind)
-    return dense([F.get(c, F.lit(k)) for k in range(6)])
+    """The entries of each listed kind are one constant."""
+    entries = F.array().cast(ENTRIES)
+    for name, (mass, *rest) in CHEMISTRY.items():
+        values = (math.log1p(abs(mass)), *rest)
+        entries = F.when(kind == name, F.array(*[F.struct(F.lit(k).alias("i"), F.lit(float(v)).alias("v")) for k, v in enumerate(values) if v])).otherwise(entries)
+    return Block(entries, 6)
 
 
 def one_hot(columns: Sequence[tuple[Column, Sequence[str]]]) -> Block:
     """One slot for each category of each column, in order; null counts as `missing`, and what isn't listed has no slot."""
-    made, offset = [], 0
+    made, terms, offset = [], [], 0
     for c, categories in columns:
         at = F.array_position(F.array(*map(F.lit, categories)), F.coalesce(c.cast("string"), F.lit("missing"))).cast("int")
         made.append(F.when(at > 0, F.array(F.struct((at + (offset - 1)).alias("i"), F.lit(1.0).alias("v")))).otherwise(F.array().cast(ENTRIES)))
+        terms.append((at + (offset - 1), F.when(at > 0, 1.0).otherwise(0.0)))
         offset += len(categories)
-    return Block(F.concat(*made), offset)
+    return Block(F.concat(*made), offset, tuple(terms))
 
 
 def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
@@ -178,69 +186,174 @@ ONE_HOT = {
     "kinds": ("kind", "residue", "organism"), "motif_kinds": ("kind", "residue", "motif", "kinase"), "state_kinds": ("kind", "residue", "motif", "assay"),
     "plain_kinds": ("residue", "motif", "assay"), "two_kinds": ("kind", "residue"), "assays": ("assay", "method"),
 }
+#: Column, its blocks of letter groups, its blocks of hashed k-mers (k, dims, salt).
+SEQUENCES: list[tuple[str, dict[str, Sequence[str]], dict[str, tuple[int, int, str]]]] = [
+    ("window", {"window29": (*DESCRIPTORS, "C"), "window28": DESCRIPTORS}, {"window_hash128": (2, 128, "site"), "window_hash96": (2, 96, "site")}),
+    ("changed_window", {"changed28": DESCRIPTORS}, {"changed_hash96": (2, 96, "site")}),
+    ("modified_sequence", {"mod29": (*DESCRIPTORS, "C"), "mod28": DESCRIPTORS}, {"mod_hash192": (3, 192, "mod"), "mod_hash128": (3, 128, "mod")}),
+    ("partner_sequence", {"partner29": (*DESCRIPTORS, "C"), "partner28": DESCRIPTORS}, {"partner_hash192": (3, 192, "partner"), "partner_hash128": (3, 128, "partner")}),
+]
 #: First slots of the two states that are subtracted; they lie within the windows' blocks.
 STATE = 64
 
 
-def sequence_table(df: DataFrame, column: str, plain: dict[str, Sequence[str]], hashed: dict[str, tuple[int, int, str]]) -> tuple[DataFrame, dict[str, int]]:
-    """((column, __block...) of each distinct sequence, block -> size).
+def sequence_table(one: DataFrame, column: str, plain: dict[str, Sequence[str]], hashed: dict[str, tuple[int, int, str]]) -> tuple[DataFrame, dict[str, int]]:
+    """((column, __block...) of the distinct sequences of one, block -> size).
 
     plain: block -> letter groups, for composition and descriptors; hashed: block -> (k, dims, salt).
     """
-    one = df.select(column).distinct()
     seq = F.col(column)
     sizes = {name: 21 + len(groups) for name, groups in plain.items()} | {name: dims for name, (_, dims, _) in hashed.items()}
     out = one.withColumns({f"__{name}": _end_to_end(composition(seq), descriptors(seq, groups)).entries for name, groups in plain.items()})
     for name, (k, dims, salt) in hashed.items():
         out = out.join(hashed_kmers(one, column, seq, k, dims, salt).toDF(column, f"__{name}"), column, "left")
-    return out, sizes
+    empty = F.array().cast(ENTRIES)
+    return out.withColumns({f"__{name}": F.coalesce(f"__{name}", empty) for name in sizes}), sizes
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df as Parquet below the shared folder, so that Spark knows its size when it is joined."""
+    path = stored_path(df.sparkSession, "blocks")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _sequence_tables(df: DataFrame, asked: set[str]) -> tuple[dict[str, DataFrame], dict[str, int], DataFrame | None]:
+    """(column -> its stored sequence table, block -> size, the stored distinct pairs of windows if asked for); df is read once."""
+    wanted: dict[str, tuple[dict, dict]] = {}
+    for column, plain, hashed in SEQUENCES:
+        plain, hashed = ({name: how for name, how in x.items() if name in asked} for x in (plain, hashed))
+        if plain or hashed:
+            wanted[column] = plain, hashed
+    if not wanted:
+        return {}, {}, None
+    named = lambda name, s, t: F.struct(F.lit(name).alias("column"), s.alias("s"), t.alias("t"))
+    kinds = [named(c, F.col(c), F.lit(None).cast("string")) for c in wanted]
+    if "state_difference" in asked:
+        kinds.append(named("both", F.col("window"), F.col("changed_window")))
+    keys = _stored(df.select(F.explode(F.array(*kinds)).alias("x")).select("x.*").distinct())
+    tables: dict[str, DataFrame] = {}
+    sizes: dict[str, int] = {}
+    for column, (plain, hashed) in wanted.items():
+        table, own = sequence_table(keys.where((F.col("column") == column) & F.col("s").isNotNull()).select(F.col("s").alias(column)), column, plain, hashed)
+        tables[column], sizes = _stored(table), sizes | own
+    pairs = keys.where("column = 'both'").select(F.col("s").alias("window"), F.col("t").alias("changed_window")) if "state_difference" in asked else None
+    return tables, sizes, pairs
+
+
+def _state_differences(tables: dict[str, DataFrame], sizes: dict[str, int], pairs: DataFrame) -> DataFrame:
+    """(window, changed_window, __state_difference) of distinct pairs: it hangs on the two windows alone."""
+    state = lambda parts: first_slots(stacked({p.block: Block(F.col(f"__{p.block}"), sizes[p.block]) for p in parts}, parts).entries, STATE)
+    x = tables["changed_window"].select("changed_window", state(_CHANGED).alias("x"))
+    y = tables["window"].select("window", state(_WINDOW).alias("y"))
+    none = F.array().cast(ENTRIES)
+    j = pairs.join(x, "changed_window", "left").join(y, "window", "left")
+    return j.select("window", "changed_window", difference(F.coalesce("x", none), F.coalesce("y", none)).alias("__state_difference"))
 
 
 def _end_to_end(*blocks: Block) -> Block:
     return stacked({str(k): b for k, b in enumerate(blocks)}, [Part(str(k)) for k in range(len(blocks))])
 
 
+def _asked(packs: dict[str, Sequence[Part]]) -> set[str]:
+    asked = {part.block for parts in packs.values() for part in parts}
+    asked |= {"window29"} if "window30" in asked else set()
+    return asked | ({part.block for part in (*_WINDOW, *_CHANGED)} if "state_difference" in asked else set())
+
+
+def _row_blocks(df: DataFrame, asked: set[str]) -> dict[str, Block]:
+    """The blocks that a row's own columns give."""
+    listed = {c: None for name in ONE_HOT if name in asked for c in ONE_HOT[name]}
+    levels = categories(df, list(listed)) if listed else {}
+    c = F.col
+    place = c("position").cast("double") / F.nullif(F.length("modified_sequence"), F.lit(0))
+    flag = lambda x: F.when(F.length(F.coalesce(x.cast("string"), F.lit(""))) > 0, 1.0).otherwise(0.0)
+    blocks = {name: one_hot([(c(x), levels[x]) for x in columns]) for name, columns in ONE_HOT.items() if name in asked}
+    blocks["flags"] = dense([place, F.when(c("modified") == c("partner"), 1.0).otherwise(0.0), flag(c("disease")), flag(c("colocalized"))])
+    blocks["place"], blocks["chemistry"] = dense([place]), kind_chemistry(c("kind"))
+    return blocks
+
+
 def event_blocks(df: DataFrame, packs: dict[str, Sequence[Part]]) -> tuple[DataFrame, dict[str, Block]]:
     """(df with the blocks of its sequences joined, the blocks that the packs ask for).
 
     df: modified, partner (entity ids), modified_sequence, partner_sequence, window, changed_window (the window in its other state),
     position, kind, residue, organism, motif, kinase, assay, method, disease, colocalized.  Null sequences have empty blocks.
     """
-    asked = {part.block for parts in packs.values() for part in parts}
-    asked |= {"window29"} if "window30" in asked else set()
-    asked |= {part.block for part in (*_WINDOW, *_CHANGED)} if "state_difference" in asked else set()
-    listed = {c: None for name in ONE_HOT if name in asked for c in ONE_HOT[name]}
-    levels = categories(df, list(listed)) if listed else {}
-    second, first = DESCRIPTORS, (*DESCRIPTORS, "C")
-    sizes: dict[str, int] = {}
+    asked = _asked(packs)
+    own = _row_blocks(df, asked)
+    tables, sizes, pairs = _sequence_tables(df, asked)
     rows = df
-    for column, plain, hashed in (
-        ("window", {"window29": first, "window28": second}, {"window_hash128": (2, 128, "site"), "window_hash96": (2, 96, "site")}),
-        ("changed_window", {"changed28": second}, {"changed_hash96": (2, 96, "site")}),
-        ("modified_sequence", {"mod29": first, "mod28": second}, {"mod_hash192": (3, 192, "mod"), "mod_hash128": (3, 128, "mod")}),
-        ("partner_sequence", {"partner29": first, "partner28": second}, {"partner_hash192": (3, 192, "partner"), "partner_hash128": (3, 128, "partner")}),
-    ):
-        plain, hashed = ({name: how for name, how in x.items() if name in asked} for x in (plain, hashed))
-        if plain or hashed:
-            table, own = sequence_table(df, column, plain, hashed)
-            rows, sizes = rows.join(table, column, "left"), sizes | own
-    rows = rows.withColumns({f"__{name}": F.coalesce(f"__{name}", F.array().cast(ENTRIES)) for name in sizes})
+    for column, table in tables.items():
+        rows = rows.join(table, column, "left")
     blocks = {name: Block(F.col(f"__{name}"), n) for name, n in sizes.items()}
-
-    if "state_difference" in asked:  # it hangs on the two windows alone
-        window = lambda parts: first_slots(stacked(blocks, parts).entries, STATE)
-        pair = ["window", "changed_window"]
-        states = rows.groupBy(*pair).agg(F.first(window(_CHANGED)).alias("x"), F.first(window(_WINDOW)).alias("y"))
-        rows = rows.join(states.select(*pair, difference(F.col("x"), F.col("y")).alias("__state_difference")), pair, "left")
-        rows = rows.withColumn("__state_difference", F.coalesce("__state_difference", F.array().cast(ENTRIES)))
+    if pairs is not None:
+        rows = rows.join(_stored(_state_differences(tables, sizes, pairs)), ["window", "changed_window"], "left")
         blocks["state_difference"] = Block(F.col("__state_difference"), STATE)
-
-    c = {x: F.col(x) for x in df.columns}
-    place = c["position"].cast("double") / F.nullif(F.length("modified_sequence"), F.lit(0))
-    flag = lambda x: F.when(F.length(F.coalesce(x.cast("string"), F.lit(""))) > 0, 1.0).otherwise(0.0)
+    rows = rows.withColumns({f"__{name}": F.coalesce(f"__{name}", F.array().cast(ENTRIES)) for name in blocks})
     if "window30" in asked:
-        blocks["window30"] = _end_to_end(blocks["window29"], dense([place]))
-    blocks |= {name: one_hot([(c[x], levels[x]) for x in columns]) for name, columns in ONE_HOT.items() if name in asked}
-    blocks["flags"] = dense([place, F.when(c["modified"] == c["partner"], 1.0).otherwise(0.0), flag(c["disease"]), flag(c["colocalized"])])
-    blocks["place"], blocks["chemistry"] = dense([place]), kind_chemistry(c["kind"])
-    return rows, blocks
+        blocks["window30"] = _end_to_end(blocks["window29"], own["place"])
+    return rows, blocks | own
+
+
+def sums(entries: Column) -> Column:
+    """struct(n, s, t): how many slots are set, the sum of their values, and that of slot times value."""
+    of = lambda n, s, t: F.struct(n.alias("n"), s.alias("s"), t.alias("t"))
+    zero = of(F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0))
+    return F.aggregate(entries, zero, lambda a, x: of(a["n"] + 1, a["s"] + x["v"], a["t"] + x["i"] * x["v"]))  # one pass, so that Catalyst copies the entries nowhere
+
+
+#: Columns of an event that blocks of its own row take.
+_OWN = {"place": ("position", "modified_sequence"), "flags": ("position", "modified_sequence", "modified", "partner", "disease", "colocalized"), "chemistry": ("kind",)} | ONE_HOT
+_OWN["window30"] = _OWN["place"]
+
+
+def pack_sums(df: DataFrame, ident: Sequence[str], packs: dict[str, Sequence[Part]]) -> DataFrame:
+    """(ident..., a column for each pack: sums() of its entries) of every event.
+
+    A pack's sums are those of its parts at their slots.  So the parts that hang on a sequence, or on the two windows, are stacked and summed once for each
+    distinct one, and an event gets three numbers of each: the entries themselves never move with the events.  The events are made once, with
+    the columns that the packs take, and stored.  df: as for event_blocks().
+    """
+    asked = _asked(packs)
+    needed = {c for c, plain, hashed in SEQUENCES if asked & {*plain, *hashed}} | {c for name in asked for c in _OWN.get(name, ())}
+    df = _stored(df.select(*ident, *sorted(needed - {*ident})))
+    own = _row_blocks(df, asked)
+    tables, sizes, pairs = _sequence_tables(df, asked)
+    sizes |= {name: b.size for name, b in own.items()} | {"state_difference": STATE}
+    placed: dict[str, list[tuple[int, Part]]] = {}
+    for pack, parts in packs.items():
+        offset, placed[pack] = 0, []
+        for p in (y for x in parts for y in ([Part("window29"), Part("place")] if x.block == "window30" else [x])):
+            placed[pack].append((offset, p))
+            offset += sizes[p.block] if p.first is None else min(p.first, sizes[p.block])
+
+    def summed(of: dict[str, Column], tag: str) -> dict[str, Column]:
+        """A column of sums for each pack that takes some of these blocks."""
+        made = {}
+        for pack, parts in placed.items():
+            here = [shifted(of[p.block] if p.first is None else first_slots(of[p.block], p.first), offset) for offset, p in parts if p.block in of]
+            if here:
+                made[f"__{pack}:{tag}"] = sums(F.concat(*here))
+        return made
+
+    joined = [([column], table) for column, table in tables.items()]
+    if pairs is not None:
+        joined.append((["window", "changed_window"], _state_differences(tables, sizes, pairs)))
+    kinds = df.sparkSession.createDataFrame([(k,) for k in CHEMISTRY], "kind string")  # a list in the program
+    joined.append((["kind"], kinds.withColumn("__chemistry", own["chemistry"].entries)))
+    rows, every = df, []
+    for keys, table in joined:
+        if made := summed({c[2:]: F.col(c) for c in table.columns if c.startswith("__")}, "_".join(keys)):
+            small = table.select(*keys, *[c.alias(name) for name, c in made.items()])
+            rows = rows.join(F.broadcast(small) if keys == ["kind"] else _stored(small), keys, "left")
+            every += made
+    made = {}
+    for pack, parts in placed.items():
+        if terms := [(i + offset, v if p.first is None else F.when(i < p.first, v).otherwise(0.0)) for offset, p in parts if p.block in own for i, v in own[p.block].terms]:
+            n, s, t = (sum((f(i, v) for i, v in terms), zero) for f, zero in ((lambda i, v: F.when(v != 0, 1).otherwise(0), F.lit(0)), (lambda i, v: v, F.lit(0.0)), (lambda i, v: F.when(v != 0, i * v).otherwise(0.0), F.lit(0.0))))
+            made[f"__{pack}:own"] = F.struct(n.cast("long").alias("n"), s.alias("s"), t.alias("t"))
+    rows, every = rows.withColumns(made), [*every, *made]
+    add = lambda pack, f, zero: sum((F.coalesce(F.col(c)[f], zero) for c in every if c.startswith(f"__{pack}:")), zero).alias(f)
+    of_pack = lambda pack: F.struct(add(pack, "n", F.lit(0).cast("long")), add(pack, "s", F.lit(0.0)), add(pack, "t", F.lit(0.0)))
+    return rows.select(*ident, *[of_pack(pack).alias(pack) for pack in packs])

@@ -139,15 +139,13 @@ def pack_sql(parts: list[X.Part]) -> str:
     return f"WITH {', '.join(ctes)} SELECT l_orderkey, l_linenumber, ({n})::BIGINT AS slots, round(({s})::DOUBLE, 6) AS total, round(({t})::DOUBLE, 5) AS weighted FROM ev {' '.join(joins)}"
 
 
-def digest(rows: DataFrame, entries: str) -> DataFrame:
-    add = lambda f: F.aggregate(entries, F.lit(0.0), lambda s, x: s + f(x))
-    return rows.select("l_orderkey", "l_linenumber", F.size(entries).cast("long").alias("slots"), F.round(add(lambda x: x["v"]), 6).alias("total"), F.round(add(lambda x: x["i"] * x["v"]), 5).alias("weighted"))
+def digest(rows: DataFrame, sums: str) -> DataFrame:
+    return rows.select("l_orderkey", "l_linenumber", F.col(sums)["n"].alias("slots"), F.round(F.col(sums)["s"], 6).alias("total"), F.round(F.col(sums)["t"], 5).alias("weighted"))
 
 
 def _pack(name: str, parts: list[X.Part]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, blocks = X.event_blocks(events(spark, sf_dir), {"pack": parts})
-        return digest(X.with_packs(rows, blocks, {"pack": parts}), "pack")
+        return digest(X.pack_sums(events(spark, sf_dir), ["l_orderkey", "l_linenumber"], {"pack": parts}), "pack")
 
     run.__name__ = name
     return run
