@@ -31,3 +31,14 @@ def test_a_trial_of_communities_passes_over_the_edges_once(spark, monkeypatch):
     G.communities(e, task_edges=0).count()
     # the edges (a, b, w) are joined to the labels of one end alone: what is around a trial is judged without another pass
     assert seen["a", "b", "w"] > 0 and seen["a", "b", "w", "ca"] == 0
+
+
+def test_only_similar_pairs_leave_the_join(spark, monkeypatch):
+    rnd = random.Random(3)
+    sets = {i: sorted(rnd.sample(range(40), rnd.randrange(1, 9))) for i in range(120)}
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.5}
+    rows = M._sets(spark.createDataFrame([*sets.items()], "id long, t array<long>"), "id", "t", None).selectExpr("*", "1 as m")
+    for carried in (M.CARRIED, 5, 0):  # longer sets look themselves up
+        monkeypatch.setattr(M, "CARRIED", carried)
+        pairs = M._candidates(rows, None, 0.5)[0].collect()
+        assert len(pairs) == len(want) and {(r.a, r.b) for r in pairs} == want
