@@ -52,3 +52,10 @@ def test_groups_are_audited_as_their_rows(spark):
     long = S.named_splits(df, "id", specs).join(df.select("id", "label"), "id")
     audited = lambda d: sorted(map(tuple, d.collect()))
     assert audited(S.audit(S.named_split_groups(df, "label", specs), size="size")) == audited(S.audit(long))
+
+
+def test_rows_of_groups_over_the_cap_go_before_the_join(spark):
+    rows = [(i, "day", str(i // 5)) for i in range(60)] + [(i, "status", "F") for i in range(60)] + [(60, "day", None)]
+    stars = G.stars(spark.createDataFrame(rows, "row int, axis string, key string"), "row", ["axis", "key"], 5)
+    assert {(r.a, r.b) for r in stars.collect()} == {(i // 5 * 5, i) for i in range(60)} | {(i, i) for i in range(61)}
+    assert "BroadcastHashJoin [axis" in plan(stars) and "LeftAnti" in plan(stars)
