@@ -59,3 +59,17 @@ def test_rows_of_groups_over_the_cap_go_before_the_join(spark):
     stars = G.stars(spark.createDataFrame(rows, "row int, axis string, key string"), "row", ["axis", "key"], 5)
     assert {(r.a, r.b) for r in stars.collect()} == {(i // 5 * 5, i) for i in range(60)} | {(i, i) for i in range(61)}
     assert "BroadcastHashJoin [axis" in plan(stars) and "LeftAnti" in plan(stars)
+
+
+def test_common_neighbours_of_hubs_in_several_lists(spark, monkeypatch):
+    monkeypatch.setattr(G, "LISTED", 3)
+    rnd = random.Random(8)
+    edges = {tuple(sorted((f"v{rnd.randrange(4)}", f"v{rnd.randrange(30)}"))) for _ in range(150)}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    pairs = {(f"v{rnd.randrange(30)}", f"v{rnd.randrange(32)}") for _ in range(120)}
+    got = G.topology_features(spark.createDataFrame([*edges], "a string, b string"), spark.createDataFrame([*pairs], "a string, b string")).collect()
+    assert {(r.a, r.b): r.common for r in got} == {(a, b): len((near.get(a, set()) & near.get(b, set())) - {a, b}) for a, b in pairs}
