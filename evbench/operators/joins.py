@@ -49,9 +49,10 @@ def nearest(points: DataFrame, sites: DataFrame, group: str, ident: str, value:
     by = Window.partitionBy(group).orderBy("__r")
     earlier = F.last("hi", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__e")
     later = F.first("lo", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("__l")
-    local = Window.partitionBy(group, "__r").orderBy(value)
-    before = F.coalesce(F.last("__s", True).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "__e")
-    after = F.coalesce(F.first("__s", True).over(local.rowsBetween(Window.currentRow, Window.unboundedFollowing)), "__l")
+    # both windows end at the row itself: a frame from a row to the end of its group is read anew for each row
+    local, back = (Window.partitionBy(group, "__r").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(value), F.desc(value)))
+    before = F.coalesce(F.last("__s", True).over(local), "__e")
+    after = F.coalesce(F.last("__s", True).over(back), "__l")
     found = ranged.join(ends.select(group, "__r", earlier, later), [group, "__r"]).withColumns({"__b": before, "__a": after}).where("__p")
     distance = F.least(F.col(value) - F.col("__b"), F.col("__a") - F.col(value)).alias("distance")
     return points.select(group, ident, value).join(found.select(group, value, distance), [group, value], "left").select(group, ident, value, "distance")

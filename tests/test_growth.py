@@ -73,3 +73,11 @@ def test_common_neighbours_of_hubs_in_several_lists(spark, monkeypatch):
     pairs = {(f"v{rnd.randrange(30)}", f"v{rnd.randrange(32)}") for _ in range(120)}
     got = G.topology_features(spark.createDataFrame([*edges], "a string, b string"), spark.createDataFrame([*pairs], "a string, b string")).collect()
     assert {(r.a, r.b): r.common for r in got} == {(a, b): len((near.get(a, set()) & near.get(b, set())) - {a, b}) for a, b in pairs}
+
+
+def test_nearest_reads_no_frame_to_the_end_of_a_group(spark):
+    p = spark.createDataFrame([("g", i, 7 * i) for i in range(30)], "g string, i int, v int")
+    s = spark.createDataFrame([("g", 20), ("g", 100)], "g string, v int")
+    d = J.nearest(p, s, "g", "i", "v")
+    assert {r.i: r.distance for r in d.collect()} == {i: min(abs(7 * i - 20), abs(7 * i - 100)) for i in range(30)}
+    assert "currentrow$(), unboundedfollowing$()" not in plan(d)
