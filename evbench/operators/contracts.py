@@ -7,7 +7,8 @@ A rule has a field, what it requires, a type, a list of allowed values and a pat
     allowed    values with | between them
     pattern    a regular expression that the whole cell must fit
 
-A contract is the array of its rules: as many as a table has fields, so that it goes along with every row, however many rows.
+A contract is the array of its rules: as many as a table has fields.  The driver reads it and makes one expression of each rule, so that Catalyst compiles them
+with their patterns and lists as constants, however many rows.
 """
 
 from __future__ import annotations
@@ -37,22 +38,24 @@ def violations(df: DataFrame, ident: str, rules: DataFrame, conditions: Mapping[
     no column: the table lacks a required field (for a condition: one that holds for the row); missing: the cell is null or blank; not <type>; not allowed;
     pattern.  Rules of a condition that isn't given never apply.  A blank cell breaks nothing but being required.
     """
-    names = [c for c in df.columns]
-    cells = F.create_map(*[x for c in names for x in (F.lit(c), F.trim(F.col(f"`{c}`").cast("string")))]) if names else F.create_map().cast("map<string,string>")
-    holds = F.array_compact(F.array(*[F.when(c, F.lit(name.lower())) for name, c in (conditions or {}).items()])) if conditions else F.array().cast("array<string>")
-    rows = df.select(F.col(ident).alias("id"), cells.alias("__cells"), holds.alias("__holds")).join(F.broadcast(contract(rules)))  # a row of a bounded array
-    known = F.array(*map(F.lit, names))
-
-    def broken(r: Column) -> Column:
-        cell = F.nullif(F.element_at("__cells", r["field"]), F.lit(""))
-        asked = r["required"].isin("yes", "true") | (r["required"].startswith("yes_for_") & F.array_contains("__holds", F.substring(r["required"], 9, 1000)))
-        typed = F.lit(None).cast("string")
-        for name, pattern in TYPES.items():
-            typed = F.when((r["type"] == name) & ~cell.rlike(f"^({pattern})$"), F.lit(f"not {name}")).otherwise(typed)
-        listed = (r["allowed"] != "") & ~F.array_contains(F.transform(F.split(r["allowed"], r"\|"), lambda x: F.trim(x)), cell)
-        fits = F.call_function("rlike", cell, F.concat(F.lit("^(?:"), r["pattern"], F.lit(")$")))
-        why = F.when(asked & ~F.array_contains(known, r["field"]), "no column").when(asked & cell.isNull(), "missing").when(cell.isNull(), F.lit(None))
-        return why.when(typed.isNotNull(), typed).when(listed, "not allowed").when((r["pattern"] != "") & ~fits, "pattern")
-
-    found = F.filter(F.transform("__rules", lambda r: F.struct(r["field"].alias("field"), broken(r).alias("violation"))), lambda v: v["violation"].isNotNull())
-    return rows.select("id", F.explode(found).alias("v")).select("id", "v.field", "v.violation")
+    holds = {name.lower(): c for name, c in (conditions or {}).items()}
+    made = []
+    for r in contract(rules).first()[0] or []:  # as many as a table has fields
+        field, required = r["field"], r["required"]
+        asked = F.lit(required in ("yes", "true"))
+        if required.startswith("yes_for_"):
+            asked = F.coalesce(holds.get(required[8:], F.lit(False)), F.lit(False))
+        if field not in df.columns:
+            why = F.when(asked, F.lit("no column"))
+        else:
+            cell = F.nullif(F.trim(F.col(f"`{field}`").cast("string")), F.lit(""))
+            why = F.when(cell.isNull(), F.when(asked, F.lit("missing")))
+            if r["type"] in TYPES:
+                why = why.when(~cell.rlike(f"^({TYPES[r['type']]})$"), F.lit(f"not {r['type']}"))
+            if r["allowed"]:
+                why = why.when(~cell.isin(*[x.strip(" ") for x in r["allowed"].split("|")]), F.lit("not allowed"))
+            if r["pattern"]:
+                why = why.when(~cell.rlike(f"^(?:{r['pattern']})$"), F.lit("pattern"))
+        made.append(F.struct(F.lit(field).alias("field"), why.cast("string").alias("violation")))
+    found = F.array(*made) if made else F.array().cast("array<struct<field:string,violation:string>>")
+    return df.select(F.col(ident).alias("id"), F.explode(found).alias("v")).select("id", "v.field", "v.violation").where(F.col("violation").isNotNull())

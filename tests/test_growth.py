@@ -81,3 +81,10 @@ def test_nearest_reads_no_frame_to_the_end_of_a_group(spark):
     d = J.nearest(p, s, "g", "i", "v")
     assert {r.i: r.distance for r in d.collect()} == {i: min(abs(7 * i - 20), abs(7 * i - 100)) for i in range(30)}
     assert "currentrow$(), unboundedfollowing$()" not in plan(d)
+
+
+def test_rules_are_compiled_as_constants(spark):
+    rules = spark.createDataFrame([("a", "yes", "integer", "", ""), ("b", "no", "", "x| y", "[xy]")], "field string, required string, type string, allowed string, pattern string")
+    found = C.violations(spark.createDataFrame([(1, "2", "y"), (2, " ", "z"), (3, "q", None)], "id int, a string, b string"), "id", rules)
+    assert {tuple(r) for r in found.collect()} == {(2, "a", "missing"), (2, "b", "not allowed"), (3, "a", "not integer")}
+    assert "lambda" not in plan(found)
