@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import kmer_list
 from .durable import cut
 from .ranks import numbered
 
@@ -65,37 +67,99 @@ def inside(crops: DataFrame, ranges: DataFrame, on: str) -> DataFrame:
     return j.withColumn("status", why)
 
 
-def window_minima(rows: DataFrame, values: str, size: int) -> DataFrame:
-    """rows with the array column replaced by the distinct minima of its windows of `size` values; the last windows are shorter.
+#: Bytes of texts whose places a task hashes at once, and bits of a place's hash that are looked up before it leaves the task.
+PIECE, FILTER_BITS = 1 << 20, 24
 
-    Windows double by a projection each, so that an array is computed once and not once for each use.
-    """
+_U = np.uint64
+
+
+def _place_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k bytes that stand together: of 1, 2, 4, ... bytes by doubling, joined to k, and mixed."""
+    base, out, done = 0x9E3779B97F4A7C15, None, 0
+    power, one, size = base, data.astype(_U) + _U(1), 1
+    while True:
+        if k & size:  # the next `size` bytes come behind those that out holds
+            n = len(data) - done - size + 1
+            out = one[:n] if out is None else out[:n] * _U(power) + one[done : done + n]
+            done += size
+        if done == k:
+            break
+        one = one[: len(one) - size] * _U(power) + one[size:]
+        power, size = power * power % (1 << 64), 2 * size
+    out = (out ^ (out >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    return out ^ (out >> _U(29))
+
+
+def _window_least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least value of each `size` that stand together."""
+    if len(values) < size:
+        return values[:0]
     step = 1
     while step < size:
         move = min(step, size - step)
-        after = F.slice(values, move + 1, F.greatest(F.size(values) - move, F.lit(0)))
-        rows = rows.withColumn(values, F.zip_with(values, after, lambda a, b: F.least(a, b)))
+        values = np.minimum(values[: len(values) - move], values[move:])
         step += move
-    return rows.withColumn(values, F.array_distinct(values))
+    return values
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each text begins and the last one ends); null is empty."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each beginning of a hash (g), set if some key has it: at most 2**FILTER_BITS bits, whatever the number of keys."""
+    at = F.shiftrightunsigned("g", 64 - FILTER_BITS) + 1
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in keys.groupBy(F.bitmap_bucket_number(at).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        lo = (r["n"] - 1) * 4096
+        out[lo : lo + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def contained(needles: DataFrame, texts: DataFrame, k: int = 20, window: int = 64) -> DataFrame:
     """(needle_id, text_id, start): needles (needle_id, needle) that stand in texts (text_id, text); start counts from 0.
 
-    A needle is looked up by the least hash among its first `window` k-mers.  A text that holds it has that hash as the minimum
-    of the window there, so only about two of `window` k-mers of a text leave its task, as numbers; texts that share one are
-    searched.  Needles of fewer than window k-mers are looked up by their first k-mer among all k-mers, needles shorter than k
-    match nothing.
+    A needle is looked up by the least hash among those of its first `window` places, of k bytes each.  A text that holds it has that hash as the minimum
+    of the window there.  Needles of fewer places are looked up by their first k bytes at all places; needles of fewer than k characters match nothing.
+    Places are hashed in Arrow batches.  Only hashes whose first bits some needle has leave a task, which drops nothing that matches; they are joined to the needles' hashes, and
+    texts that share one are searched.
     """
-    hashes = lambda c: F.transform(kmer_list(F.col(c), k), lambda g: F.xxhash64(g))
-    n = F.length("needle")
-    long_ = needles.where(n >= k + window - 1).select("needle_id", F.array_min(F.slice(hashes("needle"), 1, window)).alias("g"))
-    minima = window_minima(texts.select("text_id", hashes("text").alias("g")), "g", window).withColumn("g", F.explode_outer("g"))  # a plain explode pushes a filter on the array, with all its steps, below them
-    hits = minima.join(long_, "g").select("needle_id", "text_id")
-    short = needles.where((n >= k) & (n < k + window - 1)).select("needle_id", F.xxhash64(F.left("needle", F.lit(k))).alias("g"))
-    if not short.isEmpty():
-        every = texts.select("text_id", F.explode(F.array_distinct(hashes("text"))).alias("g"))
-        hits = hits.unionByName(every.join(short, "g").select("needle_id", "text_id"))
+    kind = {f: d.schema[f].dataType.simpleString() for d, f in ((needles, "needle_id"), (texts, "text_id"))}
+    span = k + window - 1
+
+    def look(batches):
+        for b in batches:
+            data, at = _bytes_of(b.column(1))
+            keys = [int(_place_hashes(data[lo : lo + (span if hi - lo >= span else k)], k).min()) for lo, hi in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, _U).view(np.int64)), pa.array(np.diff(at) >= span)], names=["needle_id", "g", "long"])
+
+    asked = cut(needles.where(F.length("needle") >= k).select("needle_id", "needle").mapInArrow(look, f"needle_id {kind['needle_id']}, g long, long boolean"))
+    sides = {r[0] for r in asked.select("long").distinct().collect()}
+    held = texts.sparkSession.sparkContext.broadcast({side: _bits(asked.where(F.col("long") == side)) for side in sorted(sides)})
+
+    def places(batches):
+        known = {side: np.unpackbits(bits, bitorder="little").view(bool) for side, bits in held.value.items()}
+        for b in batches:
+            data, at = _bytes_of(b.column(1))
+            for lo in range(0, len(data), PIECE):
+                piece = data[lo : lo + PIECE + span - 1]
+                if len(piece) < k:
+                    continue
+                every = _place_hashes(piece, k)
+                for side, bits in known.items():
+                    g, size = (_window_least(every, window), span) if side else (every, k)
+                    p = np.flatnonzero(bits[(g[:PIECE] >> _U(64 - FILTER_BITS)).astype(np.int64)])
+                    text = np.searchsorted(at, lo + p, "right") - 1
+                    inside = lo + p + size <= at[text + 1]
+                    found = np.unique(np.stack([text[inside], g[p[inside]].view(np.int64)]), axis=1)
+                    if found.shape[1]:
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found[0])), pa.array(found[1]), pa.array(np.full(found.shape[1], side))], names=["text_id", "g", "long"])
+
+    hits = texts.select("text_id", "text").mapInArrow(places, f"text_id {kind['text_id']}, g long, long boolean").join(asked, ["g", "long"]).select("needle_id", "text_id")
     found = hits.distinct().join(needles, "needle_id").join(texts, "text_id")
     return found.select("needle_id", "text_id", (F.instr(F.col("text"), F.col("needle")) - 1).alias("start")).where("start >= 0")
 

@@ -88,3 +88,15 @@ def test_rules_are_compiled_as_constants(spark):
     found = C.violations(spark.createDataFrame([(1, "2", "y"), (2, " ", "z"), (3, "q", None)], "id int, a string, b string"), "id", rules)
     assert {tuple(r) for r in found.collect()} == {(2, "a", "missing"), (2, "b", "not allowed"), (3, "a", "not integer")}
     assert "lambda" not in plan(found)
+
+
+def test_contained_by_bytes_in_pieces(spark, monkeypatch):
+    rnd = random.Random(15)
+    word = lambda n: "".join(rnd.choice("abé😀 ") for _ in range(n))
+    texts = {i: word(rnd.randrange(400)) for i in range(40)} | {40: "", 41: None, 42: "a" * 300}
+    needles = {i: (lambda t, n: t[(k := rnd.randrange(max(1, len(t) - n + 1))) : k + n])(texts[rnd.randrange(40)], rnd.choice([19, 20, 25, 60, 120])) for i in range(60)} | {60: "a" * 90, 61: "a" * 20, 62: None, 63: word(50)}
+    want = {(n, t): b.find(a) for n, a in needles.items() for t, b in texts.items() if a and b and len(a) >= 20 and a in b}
+    n, t = spark.createDataFrame([*needles.items()], "needle_id long, needle string"), spark.createDataFrame([*texts.items()], "text_id long, text string")
+    for piece in (J.PIECE, 50):
+        monkeypatch.setattr(J, "PIECE", piece)
+        assert {(r.needle_id, r.text_id): r.start for r in J.contained(n, t).collect()} == want
