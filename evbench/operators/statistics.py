@@ -34,7 +34,7 @@ MOST = 12
 #: Rows that a range holds, about, and the most ranges; the driver holds six arrays for each range.
 RANGE_ROWS, MOST_RANGES = 1_000_000, 512
 #: Weights, and draws that fill up, that a task holds at once.
-CELLS, FILLING = 1 << 19, 1 << 22
+CELLS, FILLING = 1 << 19, 1 << 19
 
 _U = np.uint32
 
@@ -85,10 +85,11 @@ class Fillings:
     def __init__(self, n: int, totals: np.ndarray, seed: int, pool: int, reps: np.ndarray):
         """totals: the Poisson totals of these repetitions."""
         missing = np.maximum(n - totals, 0)
-        rep = np.repeat(np.arange(len(reps)), missing)
+        rep = np.repeat(np.arange(len(reps), dtype=np.int32), missing)
         k = np.arange(len(rep)) - np.repeat(np.cumsum(missing) - missing, missing)
-        high, low = (self._each(k, rep, *_keys(seed, pool, reps, use)) for use in (1, 2))
-        slot = ((high << np.uint64(32)) | low) % np.uint64(n)
+        slot = self._each(k, rep, *_keys(seed, pool, reps, 1)) << np.uint64(32)
+        slot |= self._each(k, rep, *_keys(seed, pool, reps, 2))
+        slot %= np.uint64(n)
         order = np.argsort(slot, kind="stable")
         self.slot, self.rep = slot[order].astype(np.int64), rep[order]
 

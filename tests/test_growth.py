@@ -100,3 +100,14 @@ def test_contained_by_bytes_in_pieces(spark, monkeypatch):
     for piece in (J.PIECE, 50):
         monkeypatch.setattr(J, "PIECE", piece)
         assert {(r.needle_id, r.text_id): r.start for r in J.contained(n, t).collect()} == want
+
+
+def test_fillings_of_a_large_pool_are_held_in_parts():
+    n, reps = 12_600_000, 150
+    part = next(T._parts(reps, n))
+    totals = np.full(len(part), n - int(T.MARGIN * n**0.5))
+    tracemalloc.start()
+    T.Fillings(n, totals, 4, 0, part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
