@@ -111,3 +111,12 @@ def test_fillings_of_a_large_pool_are_held_in_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20, peak
+
+
+def test_modularity_joins_the_edges_once(spark):
+    edges = [(i, j) for i in range(6) for j in range(i)] + [(10 + i, 10 + j) for i in range(6) for j in range(i)] + [(0, 10)]
+    e, labels = spark.createDataFrame(edges, "a int, b int"), spark.createDataFrame([(v, v // 10) for v in [*range(6), *range(10, 16)]], "v int, label int")
+    got = G.modularity(e, labels)
+    r = got.first()
+    assert (r.communities, r.modularity) == (2, round(30 / 31 - 2 * (31 / 62) ** 2, 9))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
