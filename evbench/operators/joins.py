@@ -180,9 +180,10 @@ def covered(crops: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
 
 def either_direction(asked: DataFrame, contacts: DataFrame, value: str) -> DataFrame:
     """Join (a, b) to contacts (x, y) as they stand, or reversed where that fails; `reversed` tells which."""
-    both = contacts.select(F.col("x").alias("a"), F.col("y").alias("b"), value, F.lit(0).alias("prio")).unionByName(contacts.select(F.col("y").alias("a"), F.col("x").alias("b"), value, F.lit(1).alias("prio")))
-    best = both.groupBy("a", "b").agg(F.min("prio").alias("prio"))
-    return asked.join(best, ["a", "b"]).join(both, ["a", "b", "prio"]).withColumn("reversed", F.col("prio") == 1).drop("prio")
+    stand = contacts.select(F.col("x").alias("a"), F.col("y").alias("b"), value)
+    turned = contacts.select(F.col("y").alias("a"), F.col("x").alias("b"), value)
+    rest = asked.join(stand.select("a", "b"), ["a", "b"], "left_anti")
+    return asked.join(stand, ["a", "b"]).withColumn("reversed", F.lit(False)).unionByName(rest.join(turned, ["a", "b"]).withColumn("reversed", F.lit(True)))
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:

@@ -120,3 +120,11 @@ def test_modularity_joins_the_edges_once(spark):
     r = got.first()
     assert (r.communities, r.modularity) == (2, round(30 / 31 - 2 * (31 / 62) ** 2, 9))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_either_direction_without_doubling_the_contacts(spark):
+    asked = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (5, 6)], "a int, b int")
+    contacts = spark.createDataFrame([(1, 2, 7), (1, 2, 8), (4, 3, 9)], "x int, y int, v int")
+    d = J.either_direction(asked, contacts, "v")
+    assert sorted(map(tuple, d.collect())) == [(1, 2, 7, False), (1, 2, 8, False), (2, 1, 7, True), (2, 1, 8, True), (3, 4, 9, True)]
+    assert "Aggregate" not in plan(d)
