@@ -620,6 +620,39 @@ def test_pipeline_removes_a_shared_passage_of_51_words(spark):
     assert [got[i] for i, _ in clean] == [t for _, t in clean]
 
 
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 3])
+def test_short_passages_are_counted_beside_the_bytes(spark, tmp_path, hot):
+    rnd = random.Random(21)
+    word = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    words = lambda n: [word(rnd.randint(2, 8)) for _ in range(n)]
+    join = lambda *x: " ".join(w for y in x for w in y)
+    passage, phrase, touching = words(51), words(50), (words(51), words(51))
+    assert len(join(passage)) < 400
+    rows = [(1, join(words(60), passage, words(40))), (2, join(words(30), passage, words(9)) + "\n" + join(passage)), (3, "\t".join(passage)), (4, join(phrase, words(80)))]
+    rows += [(5, join(words(9), phrase)), (6, None), (7, ""), (8, join(words(150))), (9, join(*touching, words(3))), (10, join(touching[0])), (11, join(touching[1]))]
+    copy = join(words(400))
+    rows += [(12, copy), (13, copy), (14, copy + " end"), (15, copy), (15, copy)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffixdedup.query(spark, str(tmp_path)) if hot > 3 else suffixdedup.removed(spark.read.parquet(f"{tmp_path}/documents.parquet"), hot=hot, passages=51)
+    got = got.collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(suffixdedup.brute_force(rows))
+    want = {1: (1, 51), 2: (2, 102), 3: (1, 51), 9: (1, 102), 10: (1, 51), 11: (1, 51), **dict.fromkeys((12, 13, 14, 15), (1, 400))}
+    assert all((r.n_passages, r.n_passage_words) == want.get(r.doc_id, (0, 0)) for r in got) and len(got) == len(rows)
+    assert all(r.n_removed == 0 for r in got if r.doc_id < 12)
+
+
+@pytest.mark.parametrize("words, length", [(False, 400), (True, 51)])
+def test_anchors_of_many_texts(words, length, monkeypatch):
+    rnd = random.Random(22)
+    texts = [prose(rnd, rnd.choice([0, 3, 60, 200, 900])).encode() for _ in range(60)] + [b"", b" ", b"x" * 399, b"x" * 400, b"y " * 50, b"y " * 51]
+    monkeypatch.setattr(suffixdedup, "TOGETHER", 9000)
+    sizes, codes, hashes = suffixdedup.anchors_of(texts, length, words)
+    each = [suffixdedup.anchors(suffixdedup.word_units(t)[0] if words else t, length, "<u8" if words else "u1") for t in texts]
+    assert sizes.tolist() == [len(c) for c, _ in each] and sum(sizes) > 100
+    assert (codes == np.concatenate([c for c, _ in each])).all() and (hashes == np.concatenate([h for _, h in each])).all()
+    assert [len(x) for x in suffixdedup.anchors_of([], length, words)] == [0, 0, 0]
+
+
 def test_pipeline_stages_keep_columns_and_pass_empty_tables(spark, tmp_path, empty):
     import corpus_pipeline as cp
 
