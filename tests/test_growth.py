@@ -33,6 +33,23 @@ def test_a_trial_of_communities_passes_over_the_edges_once(spark, monkeypatch):
     assert seen["a", "b", "w"] > 0 and seen["a", "b", "w", "ca"] == 0
 
 
+def test_a_trial_of_communities_keeps_one_row_a_vertex(spark, monkeypatch):
+    cliques = [(10 * c + i, 10 * c + j) for c in range(6) for i in range(8) for j in range(i)] + [(10 * c, 10 * (c + 1) + 1) for c in range(5)]
+    kept, put = [], G.Stored.put
+
+    def counted(stored, df):
+        out = put(stored, df)
+        kept.append((tuple(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(G.Stored, "put", counted)
+    labels = {r.v: r.label for r in G.communities(spark.createDataFrame(cliques, "a long, b long"), task_edges=0).collect()}
+    assert {labels[10 * c + i] for c in range(6) for i in range(8)} == {labels[10 * c] for c in range(6)} and len({*labels.values()}) == 6
+    edges = 2 * len(cliques)
+    # of the edges' number are the edges themselves alone
+    assert [columns for columns, n in kept if n > len(labels)] == [("a", "b", "w")] and kept[0] == (("a", "b", "w"), edges)
+
+
 def test_only_similar_pairs_leave_the_join(spark, monkeypatch):
     rnd = random.Random(3)
     sets = {i: sorted(rnd.sample(range(40), rnd.randrange(1, 9))) for i in range(120)}
