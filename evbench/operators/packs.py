@@ -8,7 +8,7 @@ first slots that it takes); the offsets follow from the blocks' sizes, which the
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.ml.linalg import VectorUDT
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.sequences import hash32, kmer_list, letter_share
+from ..functions.sequences import kmer_list, letter_share
 from ..functions.site import CHEMISTRY
 from .durable import stored_path
 
@@ -55,14 +55,20 @@ def dense(values: Sequence[Column]) -> Block:
 
 
 def composition(seq: Column) -> Block:
-    s = known_letters(seq)
-    return dense([letter_share(s, x) for x in LETTERS])
+    return _composition(known_letters(seq))
+
+
+def _composition(known: Column) -> Block:
+    return dense([letter_share(known, x) for x in LETTERS])
 
 
 def descriptors(seq: Column, groups: Sequence[str] = DESCRIPTORS) -> Block:
     """log1p of the length and the share of each letter group."""
-    s = known_letters(seq)
-    return dense([F.log1p(F.length(s).cast("double")), *[letter_share(s, g) for g in groups]])
+    return _descriptors(known_letters(seq), groups)
+
+
+def _descriptors(known: Column, groups: Sequence[str]) -> Block:
+    return dense([F.log1p(F.length(known).cast("double")), *[letter_share(known, g) for g in groups]])
 
 
 def kind_chemistry(kind: Column) -> Block:
@@ -91,15 +97,33 @@ def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     return {c: list(sets[c]) for c in columns}
 
 
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, which is evaluated once however often the body takes it, lambdas included."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
+def hashed_entries(seq: Column, k: int, dims: int, salt: str) -> Column:
+    """The entries of signed hashed k-mer counts, of Euclidean norm 1, within the row: no k-mer leaves it."""
+    return _hashed_entries(known_letters(seq), k, dims, salt)
+
+
+def _hashed_entries(known: Column, k: int, dims: int, salt: str) -> Column:
+    digests = F.transform(kmer_list(known, k), lambda m: F.md5(F.concat(F.lit(salt), m)))
+    number = lambda d, at, n: F.conv(F.substring(d, at, n), 16, 10).cast("long")
+    hashed = F.transform(digests, lambda d: F.struct((number(d, 1, 8) % dims).cast("int").alias("i"), (number(d, 9, 2) % 2).alias("odd")))
+    slots = lambda of, odd: F.transform(F.filter(of, lambda x: x["odd"] == odd), lambda x: x["i"])
+    found = lambda of, i: F.size(of) - F.size(F.array_remove(of, i))
+    both = _let(hashed, lambda of: F.struct(slots(of, 0).alias("up"), slots(of, 1).alias("down")))
+    signed = lambda of, i: F.struct(i.alias("i"), (found(of["up"], i) - found(of["down"], i)).cast("double").alias("v"))
+    counts = _let(both, lambda of: F.transform(F.array_sort(F.array_union(of["up"], of["down"])), lambda i: signed(of, i)))
+    normed = lambda of, norm: F.transform(of, lambda x: F.struct(x["i"].alias("i"), (x["v"] / norm).alias("v")))
+    norm = lambda of: F.sqrt(F.aggregate(of, F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+    return _let(F.filter(counts, lambda x: x["v"] != 0), lambda of: _let(norm(of), lambda n: normed(of, n)))
+
+
 def hashed_kmers(df: DataFrame, key: str, seq: Column, k: int, dims: int, salt: str) -> DataFrame:
-    """(key, entries) of signed hashed k-mer counts, of Euclidean norm 1, for each distinct key; k-mers are counted before they meet."""
-    one = df.select(F.col(key).alias("key"), known_letters(seq).alias("s")).distinct()
-    mers = one.select("key", F.explode(kmer_list(F.col("s"), k)).alias("m")).groupBy("key", "m").agg(F.count(F.lit(1)).alias("n"))
-    salted = F.concat(F.lit(salt), F.col("m"))
-    sign = 1 - 2 * (F.conv(F.substring(F.md5(salted), 9, 2), 16, 10).cast("long") % 2)
-    v = mers.groupBy("key", (hash32(salted) % dims).cast("int").alias("i")).agg(F.sum(sign * F.col("n")).cast("double").alias("v")).where("v <> 0")
-    g = v.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # at most dims entries
-    return g.select("key", F.transform("e", lambda x: F.struct(x["i"].alias("i"), (x["v"] / F.col("norm")).alias("v"))).alias("entries"))
+    """(key, entries) of signed hashed k-mer counts, of Euclidean norm 1, for each distinct key."""
+    return df.select(F.col(key).alias("key"), known_letters(seq).alias("s")).distinct().select("key", hashed_entries(F.col("s"), k, dims, salt).alias("entries"))
 
 
 def first_slots(entries: Column, n: int) -> Column:
@@ -113,9 +137,11 @@ def shifted(entries: Column, offset: int) -> Column:
 def difference(a: Column, b: Column) -> Column:
     """The entries of a minus b."""
     slots = lambda e: F.transform(e, lambda x: x["i"])
-    of = lambda e, i: F.coalesce(F.element_at(F.map_from_entries(e), i), F.lit(0.0))
-    every = F.array_sort(F.array_union(slots(a), slots(b)))
-    return F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), (of(a, i) - of(b, i)).alias("v"))), lambda x: x["v"] != 0)
+    of = lambda m, i: F.coalesce(F.element_at(m, i), F.lit(0.0))
+    sides = F.struct(a.alias("a"), b.alias("b"), F.map_from_entries(a).alias("x"), F.map_from_entries(b).alias("y"))
+    every = lambda e: F.array_sort(F.array_union(slots(e["a"]), slots(e["b"])))
+    made = _let(sides, lambda e: F.transform(every(e), lambda i: F.struct(i.alias("i"), (of(e["x"], i) - of(e["y"], i)).alias("v"))))
+    return F.filter(made, lambda x: x["v"] != 0)
 
 
 def stacked(blocks: dict[str, Block], parts: Sequence[Part]) -> Block:
@@ -195,20 +221,18 @@ SEQUENCES: list[tuple[str, dict[str, Sequence[str]], dict[str, tuple[int, int, s
 ]
 #: First slots of the two states that are subtracted; they lie within the windows' blocks.
 STATE = 64
+_STATES = {part.block for part in (*_WINDOW, *_CHANGED)}
 
 
 def sequence_table(one: DataFrame, column: str, plain: dict[str, Sequence[str]], hashed: dict[str, tuple[int, int, str]]) -> tuple[DataFrame, dict[str, int]]:
-    """((column, __block...) of the distinct sequences of one, block -> size).
+    """(one with the entries of its sequences as __block..., block -> size).
 
     plain: block -> letter groups, for composition and descriptors; hashed: block -> (k, dims, salt).
     """
-    seq = F.col(column)
+    seq = F.col("__known")  # a column of its own, as lambdas make what they take anew
     sizes = {name: 21 + len(groups) for name, groups in plain.items()} | {name: dims for name, (_, dims, _) in hashed.items()}
-    out = one.withColumns({f"__{name}": _end_to_end(composition(seq), descriptors(seq, groups)).entries for name, groups in plain.items()})
-    for name, (k, dims, salt) in hashed.items():
-        out = out.join(hashed_kmers(one, column, seq, k, dims, salt).toDF(column, f"__{name}"), column, "left")
-    empty = F.array().cast(ENTRIES)
-    return out.withColumns({f"__{name}": F.coalesce(f"__{name}", empty) for name in sizes}), sizes
+    made = {f"__{name}": _end_to_end(_composition(seq), _descriptors(seq, groups)).entries for name, groups in plain.items()}
+    return one.withColumn("__known", known_letters(F.col(column))).withColumns(made | {f"__{name}": _hashed_entries(seq, *how) for name, how in hashed.items()}).drop("__known"), sizes
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -258,13 +282,11 @@ def _end_to_end(*blocks: Block) -> Block:
 def _asked(packs: dict[str, Sequence[Part]]) -> set[str]:
     asked = {part.block for parts in packs.values() for part in parts}
     asked |= {"window29"} if "window30" in asked else set()
-    return asked | ({part.block for part in (*_WINDOW, *_CHANGED)} if "state_difference" in asked else set())
+    return asked | (_STATES if "state_difference" in asked else set())
 
 
-def _row_blocks(df: DataFrame, asked: set[str]) -> dict[str, Block]:
-    """The blocks that a row's own columns give."""
-    listed = {c: None for name in ONE_HOT if name in asked for c in ONE_HOT[name]}
-    levels = categories(df, list(listed)) if listed else {}
+def _row_blocks(asked: set[str], levels: dict[str, list[str]]) -> dict[str, Block]:
+    """The blocks that a row's own columns give; levels: the categories of each column of the one-hot blocks asked for."""
     c = F.col
     place = c("position").cast("double") / F.nullif(F.length("modified_sequence"), F.lit(0))
     flag = lambda x: F.when(F.length(F.coalesce(x.cast("string"), F.lit(""))) > 0, 1.0).otherwise(0.0)
@@ -281,7 +303,8 @@ def event_blocks(df: DataFrame, packs: dict[str, Sequence[Part]]) -> tuple[DataF
     position, kind, residue, organism, motif, kinase, assay, method, disease, colocalized.  Null sequences have empty blocks.
     """
     asked = _asked(packs)
-    own = _row_blocks(df, asked)
+    listed = {c: None for name in ONE_HOT if name in asked for c in ONE_HOT[name]}
+    own = _row_blocks(asked, categories(df, list(listed)) if listed else {})
     tables, sizes, pairs = _sequence_tables(df, asked)
     rows = df
     for column, table in tables.items():
@@ -303,57 +326,145 @@ def sums(entries: Column) -> Column:
     return F.aggregate(entries, zero, lambda a, x: of(a["n"] + 1, a["s"] + x["v"], a["t"] + x["i"] * x["v"]))  # one pass, so that Catalyst copies the entries nowhere
 
 
-#: Columns of an event that blocks of its own row take.
+#: Columns that a block takes.
 _OWN = {"place": ("position", "modified_sequence"), "flags": ("position", "modified_sequence", "modified", "partner", "disease", "colocalized"), "chemistry": ("kind",)} | ONE_HOT
-_OWN["window30"] = _OWN["place"]
+_TAKES = {name: (column,) for column, plain, hashed in SEQUENCES for name in (*plain, *hashed)} | {"state_difference": ("window", "changed_window")} | _OWN
+
+
+class Side(NamedTuple):
+    """What hangs on some of an event's columns.
+
+    keys: those columns; the first one never matches a null.  base: one row for each distinct combination of the sequences, with them; the sums of the parts that hang on
+    sequences are made here.  spread: base, without the sequences that nothing else takes, to one row for each value of the keys, with the columns that hang on them as well.
+    how: of the join to the events.
+    """
+
+    keys: tuple[str, ...]
+    base: DataFrame
+    spread: Callable[[DataFrame], DataFrame] = lambda base: base
+    how: str = "inner"
 
 
-def pack_sums(df: DataFrame, ident: Sequence[str], packs: dict[str, Sequence[Part]]) -> DataFrame:
+#: Rows of a base whose sequences a task sums, about.
+DEALT = 10_000
+#: Rows of a side that are looked up first for the categories that occur.
+LOOKED_UP = 20_000
+
+
+def _matched(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """rows joined to table by the keys, nulls as values but for the first."""
+    named = table.withColumnsRenamed({c: f"__key_{c}" for c in keys})
+    first, *others = keys
+    on = F.col(first) == F.col(f"__key_{first}")
+    for c in others:
+        on = on & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    return rows.join(named, on, how).drop(*[f"__key_{c}" for c in keys])
+
+
+def _occurring(rows: DataFrame, side: Side, columns: Sequence[str]) -> dict[str, list[str]]:
+    """The sorted categories of the side's columns among the rows, null as `missing`.
+
+    What the side has bounds them.  A bounded part of the side, looked up from all rows, proves most of them; where it leaves one open, the whole side is looked up.
+    """
+    table = side.spread(side.base).select(*side.keys, *columns)
+    every = categories(table, columns)
+    part = table.where(F.pmod(F.xxhash64(*side.keys), F.lit(max(1, table.count() // LOOKED_UP))) == 0)
+    seen = categories(_matched(rows.select(*side.keys), F.broadcast(part), side.keys, "inner"), columns)
+    return seen if seen == every else categories(_matched(rows.select(*side.keys).distinct(), table, side.keys, "inner"), columns)
+
+
+def _own_sides(df: DataFrame, asked: set[str]) -> list[Side]:
+    """Sides of events that have all columns themselves: one for each sequence, one for the pairs of windows, one for the kinds."""
+    taken = {_TAKES[name] for name in asked if name not in _OWN or name == "chemistry"}
+    return [Side(c, df.select(*c).distinct(), how="left") for c in sorted(taken)]
+
+
+def pack_sums(df: DataFrame, ident: Sequence[str], packs: dict[str, Sequence[Part]], sides: Sequence[Side] = ()) -> DataFrame:
     """(ident..., a column for each pack: sums() of its entries) of every event.
 
-    A pack's sums are those of its parts at their slots.  So the parts that hang on a sequence, or on the two windows, are stacked and summed once for each
-    distinct one, and an event gets three numbers of each: the entries themselves never move with the events.  The events are made once, with
-    the columns that the packs take, and stored.  df: as for event_blocks().
+    A pack's sums are those of its parts at their slots.  So a part is stacked and summed where all columns that it takes first meet: once for each distinct sequence or pair of windows,
+    once for each value of a side's keys, or in the event.  An event gets three numbers of each side; neither sequences nor entries move with the events, k-mers don't leave their row.
+
+    df and sides: together the columns of event_blocks().  Without sides the events have all columns, and are stored; sides are joined in their order, and the events are read
+    with the columns that neither is in a side nor goes unused.
     """
-    asked = _asked(packs)
-    needed = {c for c, plain, hashed in SEQUENCES if asked & {*plain, *hashed}} | {c for name in asked for c in _OWN.get(name, ())}
-    df = _stored(df.select(*ident, *sorted(needed - {*ident})))
-    own = _row_blocks(df, asked)
-    tables, sizes, pairs = _sequence_tables(df, asked)
-    sizes |= {name: b.size for name, b in own.items()} | {"state_difference": STATE}
+    flat = {pack: [y for x in parts for y in ([Part("window29"), Part("place")] if x.block == "window30" else [x])] for pack, parts in packs.items()}
+    asked = {p.block for parts in flat.values() for p in parts}
+    needed = {c for name in asked for c in _TAKES[name]}
+    if sides:
+        df = df.select(*ident, *sorted(({c for c in needed if c in df.columns} | {c for side in sides for c in side.keys}) - {*ident}))
+    else:
+        df = _stored(df.select(*ident, *sorted(needed - {*ident})))
+        sides = _own_sides(df, asked)
+    has = [{*side.spread(side.base).columns} for side in sides]
+    listed = {c for name in asked & {*ONE_HOT} for c in ONE_HOT[name]}
+    levels = categories(df, sorted(listed & {*df.columns})) if listed & {*df.columns} else {}
+    for side, columns in zip(sides, has, strict=True):
+        if wanted := sorted((listed & columns) - {*levels}):
+            levels |= _occurring(df, side, wanted)
+    own = _row_blocks(asked, levels)
+    sizes = {name: b.size for name, b in own.items()} | {"state_difference": STATE}
+    for _, plain, hashed in SEQUENCES:
+        sizes |= {name: 21 + len(groups) for name, groups in plain.items()} | {name: dims for name, (_, dims, _) in hashed.items()}
     placed: dict[str, list[tuple[int, Part]]] = {}
-    for pack, parts in packs.items():
+    for pack, parts in flat.items():
         offset, placed[pack] = 0, []
-        for p in (y for x in parts for y in ([Part("window29"), Part("place")] if x.block == "window30" else [x])):
+        for p in parts:
             placed[pack].append((offset, p))
             offset += sizes[p.block] if p.first is None else min(p.first, sizes[p.block])
 
-    def summed(of: dict[str, Column], tag: str) -> dict[str, Column]:
-        """A column of sums for each pack that takes some of these blocks."""
+    def summed(table: DataFrame, blocks: dict[str, Block], tag: str) -> tuple[DataFrame, dict[str, Column]]:
+        """(table, a column of sums for each pack that takes some of these blocks): of the terms of blocks of few slots, else of the entries, once each."""
+        here = {pack: [(offset, p) for offset, p in parts if p.block in blocks] for pack, parts in placed.items()}
+        long = {p for parts in here.values() for _, p in parts if not blocks[p.block].terms}
+        of = lambda p: f"__{p.block}_{p.first}"
+        table = table.withColumns({of(p): sums(blocks[p.block].entries if p.first is None else first_slots(blocks[p.block].entries, p.first)) for p in sorted(long, key=of)})
         made = {}
-        for pack, parts in placed.items():
-            here = [shifted(of[p.block] if p.first is None else first_slots(of[p.block], p.first), offset) for offset, p in parts if p.block in of]
-            if here:
-                made[f"__{pack}:{tag}"] = sums(F.concat(*here))
-        return made
-
-    joined = [([column], table) for column, table in tables.items()]
-    if pairs is not None:
-        joined.append((["window", "changed_window"], _state_differences(tables, sizes, pairs)))
-    kinds = df.sparkSession.createDataFrame([(k,) for k in CHEMISTRY], "kind string")  # a list in the program
-    joined.append((["kind"], kinds.withColumn("__chemistry", own["chemistry"].entries)))
-    rows, every = df, []
-    for keys, table in joined:
-        if made := summed({c[2:]: F.col(c) for c in table.columns if c.startswith("__")}, "_".join(keys)):
-            small = table.select(*keys, *[c.alias(name) for name, c in made.items()])
-            rows = rows.join(F.broadcast(small) if keys == ["kind"] else _stored(small), keys, "left")
-            every += made
-    made = {}
-    for pack, parts in placed.items():
-        if terms := [(i + offset, v if p.first is None else F.when(i < p.first, v).otherwise(0.0)) for offset, p in parts if p.block in own for i, v in own[p.block].terms]:
-            n, s, t = (sum((f(i, v) for i, v in terms), zero) for f, zero in ((lambda i, v: F.when(v != 0, 1).otherwise(0), F.lit(0)), (lambda i, v: v, F.lit(0.0)), (lambda i, v: F.when(v != 0, i * v).otherwise(0.0), F.lit(0.0))))
-            made[f"__{pack}:own"] = F.struct(n.cast("long").alias("n"), s.alias("s"), t.alias("t"))
+        for pack, parts in here.items():
+            n, s, t = F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)
+            for offset, p in parts:
+                if p in long:
+                    x = F.col(of(p))
+                    n, s, t = n + x["n"], s + x["s"], t + x["t"] + offset * x["s"]
+                for i, v in blocks[p.block].terms:
+                    v = v if p.first is None else F.when(i < p.first, v).otherwise(0.0)
+                    n, s, t = n + F.when(v != 0, 1).otherwise(0), s + v, t + F.when(v != 0, (i + offset) * v).otherwise(0.0)
+            if parts:
+                made[f"__{pack}:{tag}"] = F.struct(n.alias("n"), s.alias("s"), t.alias("t"))
+        return table, made
+
+    rows, left, every = df, set(asked), []
+    for k, (side, columns) in enumerate(zip(sides, has, strict=True)):
+        base, blocks = side.base, {}
+        if any(left & {*plain, *hashed} for column, plain, hashed in SEQUENCES if column in base.columns):
+            # few bytes that take long: dealt by their number, which Spark doesn't join again
+            base = _stored(base)
+            base = base.repartition(max(df.sparkSession.sparkContext.defaultParallelism, base.count() // DEALT))
+        for column, plain, hashed in SEQUENCES:
+            mine = lambda of: {name: how for name, how in of.items() if column in base.columns and (name in left or "state_difference" in left and {"window", "changed_window"} <= {*base.columns} and name in _STATES)}  # noqa: B023, E731
+            if mine(plain) or mine(hashed):
+                base, _ = sequence_table(base, column, mine(plain), mine(hashed))
+                blocks |= {name: Block(F.col(f"__{name}"), sizes[name]) for name in (*mine(plain), *mine(hashed))}
+        if "state_difference" in left and {"window", "changed_window"} <= {*base.columns}:
+            state = lambda parts: first_slots(stacked(blocks, parts).entries, STATE)  # noqa: B023, E731
+            base = base.withColumn("__state_difference", difference(state(_CHANGED), state(_WINDOW)))
+            blocks["state_difference"] = Block(F.col("__state_difference"), STATE)
+        base, made = summed(base, {name: b for name, b in blocks.items() if name in left}, f"{k}:sequences")
+        every += made
+        left -= {*blocks}
+        spread = side.spread(_stored(base.select(*side.base.columns, *[c.alias(name) for name, c in made.items()])) if made else side.base)
+        here = {name for name in left & {*own} if {*_TAKES[name]} <= columns}
+        spread, made = summed(spread, {name: own[name] for name in here}, f"{k}:own")
+        left -= here
+        carried = {c for name in left & {*own} for c in _TAKES[name]} & columns - {*df.columns}
+        of_sequences = [c for c in every if c in spread.columns]
+        every += made
+        if made or carried or of_sequences:
+            rows = _matched(rows, _stored(spread.select(*side.keys, *sorted(carried), *of_sequences, *[c.alias(name) for name, c in made.items()])), side.keys, side.how)
+        elif side.how == "inner":
+            rows = _matched(rows, spread.select(*side.keys), side.keys, side.how)
+    rows, made = summed(rows, {name: own[name] for name in left}, "event")
     rows, every = rows.withColumns(made), [*every, *made]
-    add = lambda pack, f, zero: sum((F.coalesce(F.col(c)[f], zero) for c in every if c.startswith(f"__{pack}:")), zero).alias(f)
+    add = lambda pack, f, zero: sum((F.coalesce(F.col(f"`{c}`")[f], zero) for c in every if c.startswith(f"__{pack}:")), zero).alias(f)
     of_pack = lambda pack: F.struct(add(pack, "n", F.lit(0).cast("long")), add(pack, "s", F.lit(0.0)), add(pack, "t", F.lit(0.0)))
     return rows.select(*ident, *[of_pack(pack).alias(pack) for pack in packs])

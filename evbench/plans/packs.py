@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as Q
@@ -22,20 +22,61 @@ KINDS = {"R": "Phos", "A": "Ac", "N": "Ub"}
 CHANGE = ("SRK", "DKQ")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, s, p = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
-    sequence = lambda c: F.translate(F.md5(c), HEX, LETTERS)
-    j = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
-    position = (F.col("l_linenumber") * 4).cast("int")
-    j = j.select(
-        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("modified"), F.col("l_partkey").alias("partner"), sequence(F.col("s_name")).alias("modified_sequence"), sequence(F.col("p_name")).alias("partner_sequence"),
-        position.alias("position"), F.coalesce(*[F.when(F.col("l_returnflag") == k, v) for k, v in KINDS.items()], F.lit("Glyco")).alias("kind"), F.col("l_linestatus").alias("organism"),
-        F.col("p_type").alias("method"), F.col("p_brand").alias("disease"), F.when(F.col("l_discount") > 0.05, "yes").alias("colocalized"), F.when(F.col("l_tax") > 0.01, F.col("p_type")).alias("assay"),
+def _sequence(c: Column) -> Column:
+    return F.translate(F.md5(c), HEX, LETTERS)
+
+
+def _centre() -> Column:
+    return F.least(F.col("position") - 1, F.lit(15))
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """df (modified_sequence, position) with window, residue and changed_window."""
+    df = df.withColumn("window", Q.window_around(F.col("modified_sequence"), F.col("position"), 15)).withColumn("residue", F.substring("modified_sequence", F.col("position"), F.lit(1)))
+    return df.withColumn("changed_window", F.concat(F.substring("window", F.lit(1), _centre()), F.translate("residue", *CHANGE), F.substring("window", _centre() + 2, F.lit(40))))
+
+
+def _context(df: DataFrame) -> DataFrame:
+    """df (kind, residue, window, position) with motif and kinase."""
+    return df.withColumns({"motif": P.motif_family(F.col("kind"), F.col("residue"), F.col("window"), F.lit(""), F.lit(""), _centre()), "kinase": P.kinase_proxy(F.col("kind"), F.col("residue"), F.col("window"), _centre())})
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with what lineitem alone says."""
+    kind = F.coalesce(*[F.when(F.col("l_returnflag") == k, v) for k, v in KINDS.items()], F.lit("Glyco"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("modified"), F.col("l_partkey").alias("partner"), (F.col("l_linenumber") * 4).cast("int").alias("position"), kind.alias("kind"),
+        F.col("l_linestatus").alias("organism"), F.when(F.col("l_discount") > 0.05, "yes").alias("colocalized"), F.coalesce(F.col("l_tax") > 0.01, F.lit(False)).alias("taxed"),
     )
-    j = j.withColumn("window", Q.window_around(F.col("modified_sequence"), F.col("position"), 15)).withColumn("residue", F.substring("modified_sequence", F.col("position"), F.lit(1)))
-    centre = F.least(F.col("position") - 1, F.lit(15))
-    changed = F.concat(F.substring("window", F.lit(1), centre), F.translate("residue", *CHANGE), F.substring("window", centre + 2, F.lit(40)))
-    return j.withColumns({"changed_window": changed, "motif": P.motif_family(F.col("kind"), F.col("residue"), F.col("window"), F.lit(""), F.lit(""), centre), "kinase": P.kinase_proxy(F.col("kind"), F.col("residue"), F.col("window"), centre)})
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with all their columns."""
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    j = _rows(spark, sf_dir).join(s.select(F.col("s_suppkey").alias("modified"), "s_name"), "modified").join(p.select(F.col("p_partkey").alias("partner"), "p_name", "p_type", "p_brand"), "partner")
+    j = j.withColumns({"modified_sequence": _sequence(F.col("s_name")), "partner_sequence": _sequence(F.col("p_name")), "method": F.col("p_type"), "disease": F.col("p_brand"), "assay": F.when(F.col("taxed"), F.col("p_type"))})
+    return _context(_windows(j)).drop("s_name", "p_name", "p_type", "p_brand", "taxed")
+
+
+def sides(spark: SparkSession, sf_dir: str) -> list[X.Side]:
+    """What hangs on an event's partner and on its site: the windows of each distinct sequence, spread over the entities that have it."""
+    s, p, rows = table(spark, sf_dir, "supplier").where("s_suppkey is not null"), table(spark, sf_dir, "part").where("p_partkey is not null"), _rows(spark, sf_dir)
+    places = rows.select("position").distinct()
+    kinds = rows.select("kind").distinct()
+    taxed = rows.select("taxed").distinct()
+
+    def over_parts(base: DataFrame) -> DataFrame:
+        j = base.withColumnRenamed("p_name", "name").join(p, F.col("name").eqNullSafe(F.col("p_name"))).crossJoin(F.broadcast(taxed))
+        own = {"partner": F.col("p_partkey"), "method": F.col("p_type"), "disease": F.col("p_brand"), "assay": F.when(F.col("taxed"), F.col("p_type"))}
+        return j.withColumns(own).drop("name", *p.columns)
+
+    def over_sites(base: DataFrame) -> DataFrame:
+        j = base.withColumnRenamed("s_name", "name").join(s.select("s_suppkey", "s_name"), F.col("name").eqNullSafe(F.col("s_name"))).crossJoin(F.broadcast(kinds))
+        return _context(j.withColumn("modified", F.col("s_suppkey")).drop("name", "s_suppkey", "s_name"))
+
+    partners = p.select("p_name").distinct().withColumn("partner_sequence", _sequence(F.col("p_name")))
+    sites = _windows(s.select("s_name").distinct().withColumn("modified_sequence", _sequence(F.col("s_name"))).crossJoin(F.broadcast(places)))
+    return [X.Side(("partner", "taxed"), partners, over_parts), X.Side(("modified", "position", "kind"), sites, over_sites)]
 
 
 # ------------------------------------------------------------------------------------------------------------- DuckDB
@@ -145,7 +186,7 @@ def digest(rows: DataFrame, sums: str) -> DataFrame:
 
 def _pack(name: str, parts: list[X.Part]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return digest(X.pack_sums(events(spark, sf_dir), ["l_orderkey", "l_linenumber"], {"pack": parts}), "pack")
+        return digest(X.pack_sums(_rows(spark, sf_dir), ["l_orderkey", "l_linenumber"], {"pack": parts}, sides(spark, sf_dir)), "pack")
 
     run.__name__ = name
     return run

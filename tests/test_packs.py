@@ -41,3 +41,30 @@ def test_entries_stay_with_the_sequences(spark):
         assert not wide
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_no_sequence_moves_with_the_events(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stack, moved = [P._pack("x", X.SECOND["counterfactual_no_chemistry"])(spark, SF)._jdf.queryExecution().optimizedPlan()], set()
+        while stack:
+            node = stack.pop()
+            if node.nodeName() == "Join":
+                moved |= {f.name() for f in node.schema().fields()}
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+        assert moved and not moved & {"window", "changed_window", "modified_sequence", "partner_sequence", "s_name", "p_name"}
+        # k-mers don't leave their row
+        assert "Generate" not in X.hashed_kmers(spark.createDataFrame([("ACD",)], "s string"), "s", F.col("s"), 2, 8, "t")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_categories_of_a_side_are_those_that_occur(spark, monkeypatch):
+    side = X.Side(("k", "x"), spark.range(100).selectExpr("id as k", "cast(null as string) as x", "if(id % 5 = 3, null, concat('c', id % 5)) as c"))
+    rows = lambda most: spark.range(100).where(f"id % 5 < {most}").selectExpr("id as k", "cast(null as string) as x")
+    for looked_up in (X.LOOKED_UP, 3):
+        monkeypatch.setattr(X, "LOOKED_UP", looked_up)
+        assert X._occurring(rows(5), side, ["c"]) == {"c": ["c0", "c1", "c2", "c4", "missing"]}
+        assert X._occurring(rows(3), side, ["c"]) == {"c": ["c0", "c1", "c2"]}
